@@ -14,11 +14,12 @@ def dense_id(df: DataFrame, order: list[str | Column], name: str = "gid", start:
     """``row_number() OVER (ORDER BY ...)`` over the whole frame.
 
     Rows are range-partitioned by the order, numbered inside each partition and
-    shifted by the rows before it. The sorted frame is written once, so both
-    passes see the same partitions even when tasks are repeated.
+    shifted by the rows before it. The input is written before sampling its
+    order, so it is computed once; the sorted frame is written with its
+    partition numbers, so both passes agree even when tasks are repeated.
     """
     marked = (
-        df.repartitionByRange(*order)
+        cut_lineage(df).repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_m", F.monotonically_increasing_id())
         .withColumns({"_pid": F.shiftright("_m", _SHIFT), "_m": F.col("_m").bitwiseAND((1 << _SHIFT) - 1)})

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from urbanframe.functions import geometry as G
 from urbanframe.functions import kernels as K
+from urbanframe.session import cut_lineage
 
 RATIO = 8
 TOP_LEVEL = 6
@@ -118,6 +119,7 @@ def join_dwithin(
 
 def pairs_within(df: DataFrame, key: str, geom: str, box: str, radius: float) -> DataFrame:
     """Self join: unordered pairs of rows with different keys (``a_`` key smaller)."""
+    df = cut_lineage(df)
     a = df.select([F.col(c).alias(f"a_{c}") for c in df.columns])
     b = df.select([F.col(c).alias(f"b_{c}") for c in df.columns])
     grown = a.withColumn("_grown", G.bbox_expand(F.col(f"a_{box}"), radius))
@@ -225,6 +227,7 @@ def nearest(
         .where(F.col("_copy") <= (2 if other_only else 1))
         .drop("_copy")
     )
+    right = cut_lineage(right)
     vert = G.first_vertex(right_geom)
     reps = right.where(vert.isNotNull()).select(rk.alias("_rk"), vert["x"].alias("_x"), vert["y"].alias("_y"))
     rep = F.struct("_rk", "_x", "_y")
@@ -259,6 +262,7 @@ def nearest(
     # the tiny margin keeps the bounding representative itself inside the box
     reach = F.col("_bound") * (1 + 1e-12) + 1e-9
     l = l.join(found, l["_k"] == found["_lk"]).drop("_lk").withColumn("_reach", G.bbox_expand(F.col("_lb"), reach))
+    l = cut_lineage(l)
     pairs = bbox_join(l, r, "_reach", "_rb")
     if other_only:
         pairs = pairs.where(F.col("_k") != F.col("_rk"))

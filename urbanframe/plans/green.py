@@ -10,6 +10,7 @@ from urbanframe.functions import kernels as K
 from urbanframe.functions.scalars import height_category, round_numeric
 from urbanframe.operators.ids import dense_id
 from urbanframe.operators.spatial_join import nearest, semi_dwithin_points
+from urbanframe.session import cut_lineage
 
 GREEN_RADIUS_M = 500.0
 TALL_M = 25.0
@@ -40,6 +41,7 @@ def green_near_model(greens: DataFrame, points: DataFrame, radius: float = GREEN
 
 def buildings_near_green(points: DataFrame, greens_near: DataFrame) -> DataFrame:
     """Nearest green area and rounded distance per building."""
+    greens_near = cut_lineage(greens_near)
     near = nearest(
         points.select("gid", "geom", "bbox"),
         greens_near.select(F.col("id").alias("green_id"), F.col("geom").alias("green_geom"), F.col("bbox").alias("green_bbox")),

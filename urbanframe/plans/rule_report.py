@@ -14,6 +14,7 @@ from urbanframe.functions.scalars import below, count_if, graded, round_numeric,
 from urbanframe.operators.dissolve import dissolve
 from urbanframe.operators.footprints import footprint_chain
 from urbanframe.operators.spatial_join import nearest, pairs_within
+from urbanframe.session import cut_lineage
 
 # Fixed status texts of the listings.
 SETBACK_TEXT = [(3, "CRITICAL: Less than 3m apart"), (6, "WARNING: May violate combined side setback (< 6m)")]
@@ -165,7 +166,7 @@ def far_report(fp: DataFrame) -> DataFrame:
 def neighbour_distance(fp: DataFrame) -> DataFrame:
     """Smallest distance from any footprint of a building to any other building."""
     whole = dissolve(fp, ["building_id"], "footprint_2d", "geometry_id")
-    rows = whole.select("building_id", F.col("footprint_2d").alias("geom"), G.st_bbox("footprint_2d").alias("bbox"))
+    rows = cut_lineage(whole).select("building_id", F.col("footprint_2d").alias("geom"), G.st_bbox("footprint_2d").alias("bbox"))
     other = rows.select("building_id", F.col("geom").alias("other_geom"), F.col("bbox").alias("other_bbox"))
     near = nearest(
         rows, other, "building_id", "building_id", "geom", "other_geom", "bbox", "other_bbox", other_only=True

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from urbanframe.functions import geometry as G
 from urbanframe.schema import table_schema
+from urbanframe.session import cut_lineage
 
 SURFACE, ARM, INSTALL, NESTED, TEMPLATE = 10**9, 2 * 10**9, 3 * 10**9, 4 * 10**9, 5 * 10**9
 
@@ -323,7 +324,7 @@ def dictionary(spark: SparkSession, name: str) -> DataFrame:
     return _conform(spark.createDataFrame(rows, ddl), name)
 
 
-def feature(spark, sf) -> DataFrame:
+def _feature(spark, sf) -> DataFrame:
     df = relation(spark, sf, "features")
     box = F.when(
         F.col("xmin").isNotNull(),
@@ -338,13 +339,13 @@ def feature(spark, sf) -> DataFrame:
     return _conform(df, "feature")
 
 
-def property_rows(spark, sf) -> DataFrame:
+def _property(spark, sf) -> DataFrame:
     df = relation(spark, sf, "properties")
     ref = F.when(F.col("refx").isNotNull(), G.st_point(F.col("refx"), F.col("refy"), F.col("refz")))
     return _conform(df.withColumn("val_implicitgeom_refpoint", ref), "property")
 
 
-def geometry_data(spark, sf) -> DataFrame:
+def _geometry_data(spark, sf) -> DataFrame:
     df = relation(spark, sf, "geometries")
     geom = F.when(
         F.col("gx0").isNotNull(),
@@ -366,16 +367,19 @@ _STORE = {
 }
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def store_table(spark, sf, name: str) -> DataFrame:
-    if name == "feature":
-        return feature(spark, sf)
-    if name == "property":
-        return property_rows(spark, sf)
-    if name == "geometry_data":
-        return geometry_data(spark, sf)
+    """A table of the derived store, written once per session as input data."""
     if name in DICTIONARIES:
         return dictionary(spark, name)
-    return _conform(relation(spark, sf, _STORE[name]), name)
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _TABLES:
+        build = _BUILDERS.get(name)
+        df = build(spark, sf) if build else _conform(relation(spark, sf, _STORE[name]), name)
+        _TABLES[key] = cut_lineage(df)
+    return _TABLES[key]
 
 
 STORE_TABLES = ("feature", "property", "geometry_data", *_STORE, *DICTIONARIES)
@@ -392,15 +396,15 @@ def _layer(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def greens(spark, sf) -> DataFrame:
+def _greens(spark, sf) -> DataFrame:
     return _layer(relation(spark, sf, "greens"), "id")
 
 
-def parcels(spark, sf) -> DataFrame:
+def _parcels(spark, sf) -> DataFrame:
     return _layer(relation(spark, sf, "parcels"), "id")
 
 
-def class_geometries(spark, sf) -> DataFrame:
+def _class_geometries(spark, sf) -> DataFrame:
     """Prepared geometry layer: one 3D geometry per feature with its class and material column."""
     f = relation(spark, sf, "features").where("xmin is not null")
     box = G.bbox_struct(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), F.col("zmin"), F.col("zmax"))
@@ -408,3 +412,33 @@ def class_geometries(spark, sf) -> DataFrame:
     return f.join(F.broadcast(oc), "objectclass_id").select(
         F.col("objectid").alias("id"), F.col("classname").alias("class"), G.slanted_envelope(box).alias("geom")
     )
+
+
+_BUILDERS = {
+    "feature": _feature, "property": _property, "geometry_data": _geometry_data, "greens": _greens,
+    "parcels": _parcels, "class_geometries": _class_geometries,
+}
+
+
+def feature(spark, sf) -> DataFrame:
+    return store_table(spark, sf, "feature")
+
+
+def property_rows(spark, sf) -> DataFrame:
+    return store_table(spark, sf, "property")
+
+
+def geometry_data(spark, sf) -> DataFrame:
+    return store_table(spark, sf, "geometry_data")
+
+
+def greens(spark, sf) -> DataFrame:
+    return store_table(spark, sf, "greens")
+
+
+def parcels(spark, sf) -> DataFrame:
+    return store_table(spark, sf, "parcels")
+
+
+def class_geometries(spark, sf) -> DataFrame:
+    return store_table(spark, sf, "class_geometries")

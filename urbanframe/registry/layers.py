@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urbanframe.functions import geometry as G
+from urbanframe.functions.scalars import round_numeric
 from urbanframe.plans import base as base_plan
 from urbanframe.plans import density, green, occupation, rule_report, rules, shadow
 from urbanframe.registry import city
@@ -173,12 +175,48 @@ far AS (
   FROM clean_parcels p LEFT JOIN far_sums USING (parcel_id))"""
 FAR_CTES = f"{PIECE_CTES}, {FAR}"
 
+# Sun in the south: a shadow is the footprint stretched north. Over [x0, x1] its upper border is flat up to the
+# arm's right side xa and then falls straight to the corner of the main rectangle, so the overlap with a green
+# rectangle is a flat part plus the integral of a clamped line.
 LENGTH = "height_m / tan(radians(6.0))"
-# Sun in the south: the hull is the rectangle stretched to the north; with an arm the hull of the L is a
-# polygon, so its overlap is measured as main rectangle, arm strip and the triangle between them.
-SHADOW_DIST = (
-    "sqrt(power(greatest(0, g.x0 - s.x1, s.x0 - g.x1), 2) + power(greatest(0, g.y0 - s.y1, s.y0 - g.y1), 2))"
-)
+
+
+def _ramp(t):
+    return (
+        f"(CASE WHEN {t} <= lo THEN 0 WHEN {t} <= hi THEN power({t} - lo, 2) / 2 "
+        f"ELSE power(hi - lo, 2) / 2 + (hi - lo) * ({t} - hi) END)"
+    )
+
+
+SHADOWS = f"""cast_shadows AS (
+  SELECT k, height_m, {LENGTH} AS len, x0, x1, y0, z, CASE WHEN k % 4 = 0 THEN x0 + (x1 - x0) // 4 ELSE x1 END AS xa,
+         {TOP} + {LENGTH} AS top, CASE WHEN k % 4 = 0 THEN 12.0 / (x1 - x0 - (x1 - x0) // 4) ELSE 0 END AS slope
+  FROM (SELECT k, x0, x1, y0, y1, z, {R(HEIGHT, 2)} AS height_m FROM buildings)),
+clamped AS (
+  SELECT c.*, g.id AS green_id, CAST((g.x1 - g.x0) * (g.y1 - g.y0) AS DOUBLE) AS green_area,
+         greatest(c.x0, g.x0) AS xl, least(c.x1, g.x1) AS xr, greatest(c.y0, g.y0) AS lo, CAST(g.y1 AS DOUBLE) AS hi,
+         g.x0 AS gx0, g.x1 AS gx1, g.y0 AS gy0, g.y1 AS gy1
+  FROM cast_shadows c JOIN near_greens g ON g.x0 < c.x1 AND g.x1 > c.x0 AND g.y0 < c.top AND g.y1 > c.y0),
+shade_cover AS (
+  SELECT *, greatest(0, least(hi, top) - lo) * greatest(0, least(xr, xa) - xl)
+            + CASE WHEN slope > 0 AND xr > greatest(xl, xa) THEN
+                ({_ramp('(top - slope * (greatest(xl, xa) - xa))')} - {_ramp('(top - slope * (xr - xa))')}) / slope ELSE 0 END AS shaded
+  FROM clamped WHERE hi > lo),
+green_distances AS (
+  SELECT s.k, g.id AS green_id, min(sqrt(power(greatest(0, g.x0 - s.x1, s.x0 - g.x1), 2) + power(greatest(0, g.y0 - s.y1, s.y0 - g.y1), 2))) AS d
+  FROM surfaces s, near_greens g GROUP BY s.k, g.id),
+shadows AS (
+  SELECT row_number() OVER (ORDER BY b.gid, o.green_id) AS gid, b.gid AS building_gid, b.building_gml_id AS source_id,
+         b.height_m, b.height_category, o.green_id, CAST(180 AS DOUBLE) AS sun_azimuth_deg, CAST(6 AS DOUBLE) AS sun_elevation_deg,
+         CAST(0 AS DOUBLE) AS shadow_azimuth_deg, {R('len', 2)} AS shadow_length_m, {R('d', 2)} AS distance_to_green_m,
+         {R('shaded', 2)} AS shadow_on_green_m2, green_area AS green_area_m2, {R('shaded / green_area', 4)} AS shadow_risk_score,
+         CASE WHEN shaded / green_area >= 0.2 THEN 'VERY_HIGH' WHEN shaded / green_area >= 0.1 THEN 'HIGH'
+              WHEN shaded / green_area >= 0.03 THEN 'MEDIUM' ELSE 'LOW' END AS shadow_risk_level,
+         CASE {" ".join(f"WHEN shaded / green_area >= {b} THEN '{t}'" for b, t in shadow.REASONS)} ELSE '{shadow.REASON_LOW}' END AS shadow_risk_reason,
+         '{shadow.QUESTION}' AS question
+  FROM shade_cover o JOIN base b ON b.building_id = o.k JOIN green_distances g ON g.k = o.k AND g.green_id = o.green_id
+  WHERE shaded > 0)"""
+SHADOW_CTES = f"{POINTS}, {NEAR_GREENS}, {BASE}, {SHADOWS}"
 
 SPACING = "sqrt(power(greatest(0, a.x0 - b.x1, b.x0 - a.x1), 2) + power(greatest(0, a.y0 - b.y1, b.y0 - a.y1), 2))"
 PAIRS = f"""close_pairs AS (
@@ -239,6 +277,10 @@ def _p(body, ctes=PIECE_CTES):
     return oracle(f"WITH {ctes} {body}", "surfaces", "parcels")
 
 
+def _s(body):
+    return oracle(f"WITH {SHADOW_CTES} {body}", "surfaces", "greens")
+
+
 def _b(body, ctes=BASE):
     return oracle(f"WITH {ctes} {body}", "surfaces")
 
@@ -347,6 +389,45 @@ ENTRIES = {
             "FROM far", FAR_CTES,
         ),
     ),
+    "shadow_vectors": (
+        lambda s, d: shadow.shadow_vectors(base_layer(s, d)).select(
+            "building_gid", "source_id", "sun_azimuth_deg", "shadow_azimuth_deg", round_numeric("shadow_length_raw", 2).alias("shadow_length_m")
+        ),
+        _b(
+            "SELECT gid AS building_gid, building_gml_id AS source_id, CAST(180 AS DOUBLE) AS sun_azimuth_deg, CAST(0 AS DOUBLE) AS shadow_azimuth_deg, "
+            f"{R(LENGTH, 2)} AS shadow_length_m FROM base WHERE height_m > 0"
+        ),
+    ),
+    "shadow_polygons": (
+        lambda s, d: shadow.shadow_polygons(shadow.shadow_vectors(base_layer(s, d))).select(
+            "building_gid", "source_id", "shadow_length_m", round_numeric(G.st_area("shadow_geom"), 2).alias("shadow_area_m2")
+        ),
+        oracle(
+            f"WITH {BASE}, wide AS (SELECT b.gid, b.building_gml_id, {LENGTH.replace('height_m', 'b.height_m')} AS len, x1 - x0 AS w, {TOP} - y0 AS h, "
+            "CASE WHEN k % 4 = 0 THEN x1 - x0 - (x1 - x0) // 4 ELSE 0 END AS cut FROM base b JOIN buildings ON k = building_id) "
+            f"SELECT gid AS building_gid, building_gml_id AS source_id, {R('len', 2)} AS shadow_length_m, {R('w * (h + len) - cut * 12 / 2.0', 2)} AS shadow_area_m2 FROM wide",
+            "buildings",
+        ),
+    ),
+    "shadow_on_green": (lambda s, d: _plain(shadow_layer(s, d)), _s("SELECT * FROM shadows")),
+    "shadow_summary": (
+        lambda s, d: shadow.shadow_summary(shadow_layer(s, d)),
+        _s(
+            "SELECT count(*) AS total_shadow_patches, count(*) FILTER (WHERE shadow_risk_level = 'VERY_HIGH') AS very_high_shadow_risk, "
+            "count(*) FILTER (WHERE shadow_risk_level = 'HIGH') AS high_shadow_risk, count(*) FILTER (WHERE shadow_risk_level = 'MEDIUM') AS medium_shadow_risk, "
+            f"count(*) FILTER (WHERE shadow_risk_level = 'LOW') AS low_shadow_risk, {R('avg(height_m)', 2)} AS avg_height_m, {R('max(height_m)', 2)} AS max_height_m, "
+            f"{R('avg(shadow_length_m)', 2)} AS avg_shadow_length_m, {R('max(shadow_length_m)', 2)} AS max_shadow_length_m, "
+            f"{R('sum(shadow_on_green_m2)', 2)} AS total_shadow_on_green_m2, {R('avg(shadow_risk_score)', 4)} AS avg_shadow_risk_score, "
+            f"{R('max(shadow_risk_score)', 4)} AS max_shadow_risk_score FROM shadows"
+        ),
+    ),
+    "top_k_case_order": (
+        lambda s, d: shadow.worst_shadows(shadow_layer(s, d)),
+        _s(
+            "SELECT source_id, green_id, height_m, shadow_length_m, shadow_on_green_m2, shadow_risk_score, shadow_risk_level, shadow_risk_reason FROM shadows "
+            "ORDER BY CASE shadow_risk_level WHEN 'VERY_HIGH' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END, shadow_risk_score DESC, source_id, green_id LIMIT 25"
+        ),
+    ),
     "rule1_spacing": (
         lambda s, d: _plain(rules.rule1_spacing(base_layer(s, d, True))),
         _b(
