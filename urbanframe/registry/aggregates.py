@@ -11,7 +11,7 @@ from urbanframe.operators import filters as fl
 from urbanframe.operators.dissolve import covered_area
 from urbanframe.operators.ids import dense_id, rank_in_group
 from urbanframe.plans import density, occupation
-from urbanframe.registry import city, layers
+from urbanframe.registry import city, layers, styling
 from urbanframe.registry.city import oracle, table
 from urbanframe.registry.layers import R
 
@@ -114,9 +114,9 @@ ENTRIES = {
     "class_property_map": (
         lambda s, d: advice.class_property_map(city.store(s, d)),
         oracle(
-            "SELECT '{' || string_agg('\"' || classname || '\":{\"properties\":[null]}', ',' ORDER BY classname) || '}' AS properties_by_class FROM "
-            "(SELECT DISTINCT o.classname FROM geometries g JOIN features f ON f.id = g.feature_id JOIN objectclass o ON o.id = f.objectclass_id)",
-            "geometries", "features", "objectclass",
+            f"WITH {styling.CLASS_KEYS}, lists AS (SELECT classname, '[' || string_agg(coalesce('\"' || key || '\"', 'null'), ',' ORDER BY key NULLS LAST) || ']' AS l "
+            "FROM class_keys GROUP BY classname) SELECT '{' || string_agg('\"' || classname || '\":{\"properties\":' || l || '}', ',' ORDER BY classname) || '}' AS properties_by_class FROM lists",
+            "features", "properties", "geometries", "objectclass", "namespace",
         ),
     ),
     "wps_aggregate": (

@@ -116,6 +116,10 @@ PROPERTIES = "\nUNION ALL\n".join([
           parent_id="k * 100 + 12", val_string="'A+'"),
     _prop("sid * 100 + 1", "sid", _S, name="'lod2MultiSurface'", datatype_id="11", namespace_id="1",
           val_geometry_id="sid", val_lod="'2'"),
+    _prop("sid * 100 + 2", "sid", _S + " WHERE k % 3 = 1", name="'condition'", datatype_id="5", namespace_id="3",
+          val_string="'good'"),
+    _prop("sid * 100 + 3", "sid", _S + " WHERE k % 3 = 1", name="'inspector'", datatype_id="5", namespace_id="8",
+          parent_id="sid * 100 + 2", val_string="'team'"),
     _prop(f"(k + {INSTALL}) * 100 + 1", f"k + {INSTALL}", _B + " WHERE k % 10 = 3", name="'buildingInstallation'",
           val_feature_id=f"k + {NESTED}", **_REL),
     _prop(f"(k + {INSTALL}) * 100 + 2", f"k + {INSTALL}", _B + " WHERE k % 10 = 3", name="'lod3MultiSurface'",

@@ -76,14 +76,7 @@ ENTRIES = {
     ),
     "class_property_joins": (
         lambda s, d: advice.class_property_keys(city.store(s, d)),
-        oracle(
-            "SELECT DISTINCT o.classname, CASE WHEN q.id IS NULL THEN CASE WHEN p.id IS NOT NULL THEN n1.alias || '__' || p.name END "
-            "ELSE n2.alias || '__' || q.name || '.' || n1.alias || '__' || p.name END AS key "
-            "FROM features f JOIN objectclass o ON o.id = f.objectclass_id LEFT JOIN properties p ON p.feature_id = f.id AND p.datatype_id NOT IN (10, 11) "
-            "LEFT JOIN namespace n1 ON n1.id = p.namespace_id LEFT JOIN properties q ON q.id = p.parent_id LEFT JOIN namespace n2 ON n2.id = q.namespace_id "
-            "WHERE f.id IN (SELECT feature_id FROM geometries)",
-            "features", "properties", "geometries", "objectclass", "namespace",
-        ),
+        oracle(f"WITH {styling.CLASS_KEYS} SELECT classname, key FROM class_keys", "features", "properties", "geometries", "objectclass", "namespace"),
     ),
     "default_material_join": (
         lambda s, d: city.geometry_data(s, d).select("id").withColumn("material_data", materials.default_material(styling.rules(s))),

@@ -198,9 +198,9 @@ clamped AS (
          g.x0 AS gx0, g.x1 AS gx1, g.y0 AS gy0, g.y1 AS gy1
   FROM cast_shadows c JOIN near_greens g ON g.x0 < c.x1 AND g.x1 > c.x0 AND g.y0 < c.top AND g.y1 > c.y0),
 shade_cover AS (
-  SELECT *, greatest(0, least(hi, top) - lo) * greatest(0, least(xr, xa) - xl)
+  SELECT *, ROUND(greatest(0, least(hi, top) - lo) * greatest(0, least(xr, xa) - xl)
             + CASE WHEN slope > 0 AND xr > greatest(xl, xa) THEN
-                ({_ramp('(top - slope * (greatest(xl, xa) - xa))')} - {_ramp('(top - slope * (xr - xa))')}) / slope ELSE 0 END AS shaded
+                ({_ramp('(top - slope * (greatest(xl, xa) - xa))')} - {_ramp('(top - slope * (xr - xa))')}) / slope ELSE 0 END, 9) AS shaded
   FROM clamped WHERE hi > lo),
 green_distances AS (
   SELECT s.k, g.id AS green_id, min(sqrt(power(greatest(0, g.x0 - s.x1, s.x0 - g.x1), 2) + power(greatest(0, g.y0 - s.y1, s.y0 - g.y1), 2))) AS d

@@ -125,6 +125,14 @@ def styled_sql(sources, extra=""):
     )
 
 
+CLASS_KEYS = """class_keys AS (
+  SELECT DISTINCT o.classname, CASE WHEN q.id IS NULL THEN CASE WHEN p.id IS NOT NULL THEN n1.alias || '__' || p.name END
+         ELSE n2.alias || '__' || q.name || '.' || n1.alias || '__' || p.name END AS key
+  FROM features f JOIN objectclass o ON o.id = f.objectclass_id LEFT JOIN properties p ON p.feature_id = f.id AND p.datatype_id NOT IN (10, 11)
+  LEFT JOIN namespace n1 ON n1.id = p.namespace_id LEFT JOIN properties q ON q.id = p.parent_id LEFT JOIN namespace n2 ON n2.id = q.namespace_id
+  WHERE f.id IN (SELECT feature_id FROM geometries))"""
+
+
 def _brand_sql(where, value):
     rows = ", ".join(
         f"({'NULL' if r[0] is None else repr(r[0])}, '{r[1]}', {'NULL' if r[5] is None else repr(r[5])}, '{value(r)}')" for r in RULES if where(r)
@@ -232,10 +240,9 @@ ENTRIES = {
             "c.name", F.col("c.objectclass_recommendations").alias("recommended"), F.to_json("c.properties").alias("properties")
         ),
         oracle(
-            "SELECT o.classname AS name, 2000 AS recommended, '[null]' AS properties FROM geometries g JOIN features f ON f.id = g.feature_id "
-            "JOIN objectclass o ON o.id = f.objectclass_id WHERE o.classname = 'GroundSurface' GROUP BY o.classname UNION ALL "
-            "SELECT o.classname, 2000, '[null]' FROM geometries g JOIN features f ON f.id = g.feature_id JOIN objectclass o ON o.id = f.objectclass_id "
-            "WHERE o.classname = 'BuildingInstallation' GROUP BY o.classname", "geometries", "features", "objectclass",
+            f"WITH {CLASS_KEYS} SELECT classname AS name, CAST(round(10000 / 5.0) AS INTEGER) AS recommended, "
+            "'[' || string_agg(coalesce('\"' || key || '\"', 'null'), ',' ORDER BY key NULLS LAST) || ']' AS properties FROM class_keys GROUP BY classname",
+            "features", "properties", "geometries", "objectclass", "namespace",
         ),
     ),
     "tile_budget": (

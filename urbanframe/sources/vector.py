@@ -85,25 +85,28 @@ def feature_lines(df: DataFrame, geom: str = "geom") -> DataFrame:
     )
 
 
-def write_geojson_layer(df: DataFrame, path: str, geom: str = "geom") -> None:
-    """Publish a layer: every part file is one valid FeatureCollection, written in parallel."""
-    comma = F.when(F.col("_first"), F.lit("")).otherwise(F.lit(","))
-    lines = feature_lines(df, geom).withColumn("_m", F.monotonically_increasing_id())
-    lines = lines.withColumn("_first", F.col("_m").bitwiseAND((1 << 33) - 1) == 0).select(F.concat(comma, "value").alias("value"))
-    head, tail = '{"type":"FeatureCollection","features":[', "]}"
+def write_framed(lines: DataFrame, path: str, head: str, tail: str) -> None:
+    """Text files that each start with a head line and end with a tail line."""
 
     def framed(batches):
-        yield _lines([head])
-        yield from batches
-        yield _lines([tail])
+        import pyarrow as pa
 
-    lines.mapInArrow(framed, "value string").write.mode("overwrite").text(path)
+        def one(text):
+            return pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["value"])
 
+        yield one(head)
+        yield from batches
+        yield one(tail)
 
-def _lines(values):
-    import pyarrow as pa
+    lines.select("value").mapInArrow(framed, "value string").write.mode("overwrite").text(path)
 
-    return pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["value"])
+
+def write_geojson_layer(df: DataFrame, path: str, geom: str = "geom") -> None:
+    """Publish a layer: every part file is one valid FeatureCollection, written in parallel."""
+    comma = F.when(F.col("_first"), F.lit("")).otherwise(F.lit(","))
+    lines = feature_lines(df, geom).withColumn("_m", F.monotonically_increasing_id())
+    lines = lines.withColumn("_first", F.col("_m").bitwiseAND((1 << 33) - 1) == 0).select(F.concat(comma, "value").alias("value"))
+    write_framed(lines, path, '{"type":"FeatureCollection","features":[', "]}")
 
 
 # ---------------------------------------------------------------- CityGML
