@@ -28,7 +28,7 @@ def _with_class(geometry_data: DataFrame, feature: DataFrame, objectclass: DataF
     oc = objectclass.select(F.col("id").alias("objectclass_id"), "classname")
     return (
         geometry_data.select("feature_id", G.st_npoints("geometry").alias("_n"))
-        .join(f, "feature_id", "left").join(F.broadcast(oc), "objectclass_id", "left")
+        .join(f, "feature_id", "left").join(oc, "objectclass_id", "left")
     )
 
 
@@ -81,8 +81,8 @@ def class_property_keys(store: dict[str, DataFrame]) -> DataFrame:
     oc = store["objectclass"].select(F.col("id").alias("objectclass_id"), "classname")
     ns = store["namespace"]
     for n in ("1", "2"):
-        ids = ids.join(F.broadcast(ns.select(F.col("id").alias(f"_n{n}"), F.col("alias").alias(f"_a{n}"))), f"_n{n}", "left")
-    ids = ids.join(F.broadcast(oc), "objectclass_id", "left")
+        ids = ids.join(ns.select(F.col("id").alias(f"_n{n}"), F.col("alias").alias(f"_a{n}")), f"_n{n}", "left")
+    ids = ids.join(oc, "objectclass_id", "left")
     own = concat_nulls_empty("_a1", F.lit("__"), "_p1")
     up = concat_nulls_empty("_a2", F.lit("__"), "_p2")
     key = F.when(up == "__", F.nullif(own, F.lit("__"))).otherwise(F.concat(up, F.lit("."), own))

@@ -30,9 +30,9 @@ def positive(df: DataFrame, column: str) -> DataFrame:
 
 
 def toplevel_only(feature: DataFrame, objectclass: DataFrame) -> DataFrame:
-    """Features of top-level classes; the class dictionary is a small fixed table."""
+    """Features of top-level classes."""
     top = objectclass.where(F.col("is_toplevel") > 0).select(F.col("id").alias("objectclass_id"))
-    return feature.join(F.broadcast(top), "objectclass_id", "left_semi")
+    return feature.join(top, "objectclass_id", "left_semi")
 
 
 def distinct_layer(df: DataFrame, columns: list[str]) -> DataFrame:

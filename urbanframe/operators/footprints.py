@@ -9,9 +9,9 @@ from urbanframe.functions import geometry as G
 
 
 def features_of_class(feature: DataFrame, objectclass: DataFrame, classname: str) -> DataFrame:
-    """Features of one class; the class dictionary is a small fixed table."""
+    """Features of one class. Spark broadcasts the class dictionary if its size allows."""
     ids = objectclass.where(F.col("classname") == classname).select(F.col("id").alias("objectclass_id"))
-    return feature.join(F.broadcast(ids), "objectclass_id", "left_semi")
+    return feature.join(ids, "objectclass_id", "left_semi")
 
 
 def footprint_chain(

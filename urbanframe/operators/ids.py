@@ -1,25 +1,36 @@
-"""Dense row numbers and surrogate keys without a single-partition window."""
+"""Dense row numbers, ranks in groups and surrogate keys, without unbounded windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urbanframe.session import cut_lineage
+from urbanframe.session import cut_lineage, largest_group
 
 _SHIFT = 33  # bits below the partition number in monotonically_increasing_id
+# A sort of at most this many rows may run in one task; beyond it the work is spread.
+ONE_TASK_ROWS = 200_000
 
 
-def dense_id(df: DataFrame, order: list[str | Column], name: str = "gid", start: int = 1) -> DataFrame:
-    """``row_number() OVER (ORDER BY ...)`` over the whole frame.
+def dense_id(
+    df: DataFrame, order: list[str | Column], name: str = "gid", start: int = 1,
+    settled: bool = False, one_task_rows: int = ONE_TASK_ROWS,
+) -> DataFrame:
+    """``row_number() OVER (ORDER BY ...)`` over the whole frame; the order should be unique.
 
-    Rows are range-partitioned by the order, numbered inside each partition and
-    shifted by the rows before it. The input is written before sampling its
-    order, so it is computed once; the sorted frame is written with its
-    partition numbers, so both passes agree even when tasks are repeated.
+    The input is written once (unless ``settled``: cheap to read again) and
+    counted. A small frame is numbered in one task. A larger one is
+    range-partitioned by the order, numbered inside each partition and shifted
+    by the rows before it; it is written with its partition numbers, so both
+    passes agree even when tasks are repeated.
     """
+    columns = df.columns
+    df = df if settled else cut_lineage(df)
+    if df.limit(one_task_rows + 1).count() <= one_task_rows:
+        number = F.row_number().over(Window.orderBy(*order)) + (start - 1)
+        return df.select(number.cast("long").alias(name), *columns)
     marked = (
-        cut_lineage(df).repartitionByRange(*order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_m", F.monotonically_increasing_id())
         .withColumns({"_pid": F.shiftright("_m", _SHIFT), "_m": F.col("_m").bitwiseAND((1 << _SHIFT) - 1)})
@@ -34,27 +45,33 @@ def dense_id(df: DataFrame, order: list[str | Column], name: str = "gid", start:
     return (
         marked.join(F.broadcast(offsets), "_pid")
         .withColumn(name, (F.col("_before") + F.col("_m") + start).cast("long"))
-        .select(name, *df.columns)
+        .select(name, *columns)
     )
 
 
-def assign_ids(existing: DataFrame, new_rows: DataFrame, order: list[str], key: str = "id") -> DataFrame:
-    """Number new rows after the largest key already in use."""
-    used = existing.select(F.coalesce(F.max(key), F.lit(0))).scalar()
-    rows = dense_id(new_rows, order, "_seq")
-    return rows.withColumn(key, (used + F.col("_seq")).cast("long")).select(key, *new_rows.columns)
-
-
-def rank_in_group(df: DataFrame, group: str, order: list[Column], name: str = "rank") -> DataFrame:
-    """``row_number() OVER (PARTITION BY group ORDER BY ...)`` without holding a group in one task.
+def rank_in_group(
+    df: DataFrame, group: str, order: list[Column], name: str = "rank", one_task_rows: int = ONE_TASK_ROWS
+) -> DataFrame:
+    """``row_number() OVER (PARTITION BY group ORDER BY ...)`` for groups of any size.
 
-    The frame is sorted globally by group and order; the rank is the position
-    minus the first position of the group.
+    With bounded groups this is one window. If any group is larger, the frame is
+    sorted globally by group and order, and the rank is the position minus the
+    first position of the group.
     """
-    rows = dense_id(df, [F.col(group), *order], "_pos")
+    df = cut_lineage(df)
+    if largest_group(df, [group]) <= one_task_rows:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
+    rows = dense_id(df, [F.col(group), *order], "_pos", settled=True, one_task_rows=0)
     first = rows.groupBy(group).agg(F.min("_pos").alias("_first"))
     return (
         rows.join(first, group)
         .withColumn(name, F.col("_pos") - F.col("_first") + 1)
         .select(*df.columns, name)
     )
+
+
+def assign_ids(existing: DataFrame, new_rows: DataFrame, order: list[str], key: str = "id") -> DataFrame:
+    """Number new rows after the largest key already in use."""
+    used = existing.select(F.coalesce(F.max(key), F.lit(0))).scalar()
+    rows = dense_id(new_rows, order, "_seq")
+    return rows.withColumn(key, (used + F.col("_seq")).cast("long")).select(key, *new_rows.columns)

@@ -66,7 +66,7 @@ def material_property_match(
     """
     ns = namespace.select(F.col("id").alias("namespace_id"), F.col("alias"))
     m = material_by_property(rules).where(F.col("property_value").isNotNull())
-    p = prop.select("feature_id", "namespace_id", "name", "val_string", "val_int", "val_double").join(F.broadcast(ns), "namespace_id")
+    p = prop.select("feature_id", "namespace_id", "name", "val_string", "val_int", "val_double").join(ns, "namespace_id")
     value = F.col("property_value")
     hit = p.join(
         m,
@@ -76,7 +76,7 @@ def material_property_match(
     )
     oc = objectclass.select(F.col("id").alias("objectclass_id"), F.col("classname").alias("_class"), "namespace_id")
     oc = oc.join(ns.withColumnRenamed("alias", "_ns"), "namespace_id").drop("namespace_id")
-    f = feature.select(F.col("id").alias("feature_id"), "objectid", "objectclass_id").join(F.broadcast(oc), "objectclass_id")
+    f = feature.select(F.col("id").alias("feature_id"), "objectid", "objectclass_id").join(oc, "objectclass_id")
     return (
         hit.join(f, "feature_id")
         .where((F.col("namespace_of_classname") == F.col("_ns")) & (F.col("classname") == F.col("_class")))
@@ -174,15 +174,15 @@ _ORDER = {
 
 
 def geometry_with_class(geometry_data: DataFrame, feature: DataFrame, objectclass: DataFrame, namespace: DataFrame) -> DataFrame:
-    """Geometry > feature > class > namespace, all left joins; dictionaries are small fixed tables."""
+    """Geometry > feature > class > namespace, all left joins."""
     f = feature.select(F.col("id").alias("feature_id"), "objectid", "objectclass_id")
     oc = objectclass.select(F.col("id").alias("objectclass_id"), F.col("classname").alias("class"), "namespace_id")
     ns = namespace.select(F.col("id").alias("namespace_id"), F.col("alias").alias("ns"))
     return (
         geometry_data.select(F.col("id").alias("geometry_id"), F.col("geometry").alias("geom"), "feature_id")
         .join(f, "feature_id", "left")
-        .join(F.broadcast(oc), "objectclass_id", "left")
-        .join(F.broadcast(ns), "namespace_id", "left")
+        .join(oc, "objectclass_id", "left")
+        .join(ns, "namespace_id", "left")
         .select("geometry_id", "geom", F.col("objectid").alias("id"), "class", "ns")
     )
 

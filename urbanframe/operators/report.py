@@ -20,9 +20,9 @@ GENERIC_NAMESPACE = "gen"
 def _features(store) -> DataFrame:
     oc = store["objectclass"].select(F.col("id").alias("objectclass_id"), "classname", "is_toplevel", "namespace_id")
     ns = store["namespace"].select(F.col("id").alias("namespace_id"), "alias")
-    dict_ = oc.join(F.broadcast(ns), "namespace_id", "left")
+    dict_ = oc.join(ns, "namespace_id", "left")
     live = F.col("termination_date").isNull()
-    return store["feature"].join(F.broadcast(dict_), "objectclass_id", "left").select(
+    return store["feature"].join(dict_, "objectclass_id", "left").select(
         "id", "envelope", F.concat_ws(":", "alias", "classname").alias("type"),
         (F.col("is_toplevel") == 1).alias("top"), live.alias("live"),
     )
@@ -71,8 +71,8 @@ def city_report(store: dict[str, DataFrame], active_only: bool = True) -> DataFr
     ns = store["namespace"].select(F.col("id").alias("namespace_id"), "alias")
     dt = store["datatype"].select(F.col("id").alias("datatype_id"), "typename")
     generic = (
-        store["property"].join(F.broadcast(ns.where(F.col("alias") == GENERIC_NAMESPACE)), "namespace_id", "left_semi")
-        .join(F.broadcast(dt), "datatype_id", "left")
+        store["property"].join(ns.where(F.col("alias") == GENERIC_NAMESPACE), "namespace_id", "left_semi")
+        .join(dt, "datatype_id", "left")
     )
     counted("genericAttributes", generic, F.concat_ws("/", "name", "typename"))
     out = blocks[0]

@@ -36,33 +36,31 @@ SALTED_LEVEL = 4
 SALTS = 32
 
 
-def _native_level(box: Column, cell: float) -> Column:
-    side = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
-    return sum(
-        ((side > MAX_SPAN * cell * RATIO**l).cast("int") for l in range(TOP_LEVEL)), F.lit(0)
-    )
+def _native_level(box: str, cell: float) -> str:
+    """Finest level at which the box covers few cells, as SQL text."""
+    side = f"greatest({box}.xmax - {box}.xmin, {box}.ymax - {box}.ymin)"
+    return " + ".join(f"int({side} > {MAX_SPAN * cell * RATIO**l}D)" for l in range(TOP_LEVEL))
 
 
 def _levels(df: DataFrame, box: str, cell: float) -> Column:
     """Set of native levels in a layer: at most TOP_LEVEL + 1 integers."""
-    return df.select(F.collect_set(_native_level(F.col(box), cell))).scalar()
-
+    return df.select(F.expr(f"collect_set({_native_level(box, cell)})")).scalar()
 
-def _enter_cells(df: DataFrame, box: str, cell: float, other_levels: Column, tag: str) -> DataFrame:
-    b = F.col(box)
-    native = f"_{tag}_native"
-    df = df.where(b.isNotNull()).withColumn(native, _native_level(b, cell))
-    df = df.withColumn(f"_{tag}_l", F.explode(F.sequence(F.col(native), F.lit(TOP_LEVEL))))
-    level = F.col(f"_{tag}_l")
-    df = df.where((level == F.col(native)) | F.array_contains(other_levels, level))
 
-    size = F.lit(cell) * F.pow(F.lit(float(RATIO)), level)
+def _size(cell: float, level: str) -> str:
+    return f"({cell}D * power({RATIO}D, {level}))"
 
-    def steps(axis: str) -> Column:
-        return F.sequence(F.floor(b[f"{axis}min"] / size), F.floor(b[f"{axis}max"] / size))
 
-    df = df.withColumn(f"_{tag}_cx", F.explode(steps("x")))
-    return df.withColumn(f"_{tag}_cy", F.explode(steps("y")))
+def _enter_cells(df: DataFrame, box: str, cell: float, other_levels: Column, tag: str) -> DataFrame:
+    native, level = f"_{tag}_native", f"_{tag}_l"
+    df = df.where(F.col(box).isNotNull()).withColumn(native, F.expr(_native_level(box, cell)))
+    df = df.withColumn(level, F.explode(F.sequence(F.col(native), F.lit(TOP_LEVEL))))
+    df = df.where((F.col(level) == F.col(native)) | F.array_contains(other_levels, F.col(level)))
+    for axis in "xy":
+        size = _size(cell, level)
+        steps = f"explode(sequence(floor({box}.{axis}min / {size}), floor({box}.{axis}max / {size})))"
+        df = df.withColumn(f"_{tag}_c{axis}", F.expr(steps))
+    return df
 
 
 def bbox_join(
@@ -77,16 +75,11 @@ def bbox_join(
         raise ValueError(f"rename these columns on one side first: {sorted(clash)}")
     a = _enter_cells(left, left_box, cell, _levels(right, right_box, cell), "a")
     b = _enter_cells(right, right_box, cell, _levels(left, left_box, cell), "b")
-    la, lb = F.col(left_box), F.col(right_box)
-    size = F.lit(cell) * F.pow(F.lit(float(RATIO)), F.col("_a_l"))
-    on = (
-        (F.col("_a_l") == F.col("_b_l"))
-        & (F.col("_a_cx") == F.col("_b_cx"))
-        & (F.col("_a_cy") == F.col("_b_cy"))
-        & (F.col("_a_l") == F.greatest(F.col("_a_native"), F.col("_b_native")))
-        & G.bbox_overlaps(la, lb)
-        & (F.floor(F.greatest(la["xmin"], lb["xmin"]) / size) == F.col("_a_cx"))
-        & (F.floor(F.greatest(la["ymin"], lb["ymin"]) / size) == F.col("_a_cy"))
+    la, lb, size = left_box, right_box, _size(cell, "_a_l")
+    on = F.expr(
+        "_a_l = _b_l AND _a_cx = _b_cx AND _a_cy = _b_cy AND _a_l = greatest(_a_native, _b_native) "
+        f"AND {la}.xmin <= {lb}.xmax AND {la}.xmax >= {lb}.xmin AND {la}.ymin <= {lb}.ymax AND {la}.ymax >= {lb}.ymin "
+        f"AND floor(greatest({la}.xmin, {lb}.xmin) / {size}) = _a_cx AND floor(greatest({la}.ymin, {lb}.ymin) / {size}) = _a_cy"
     )
     helper = [f"_{t}_{n}" for t in "ab" for n in ("l", "cx", "cy", "native")]
     return a.join(b, on, "inner").drop(*helper)
@@ -220,12 +213,14 @@ def nearest(
     lk, rk = F.col(left_key), F.col(right_key)
     # Copies of one geometry answer alike: the smallest key speaks for them (two, if
     # a row must not meet itself), so a stack of copies cannot blow up the candidates.
-    copies = Window.partitionBy(right_geom).orderBy(right_key)
+    # The hash comes first so that sorting rarely compares whole geometries.
+    copies = Window.partitionBy("_hash", right_geom).orderBy(right_key)
     right = (
         right.select(*{right_key: 0, right_geom: 0, right_box: 0})
+        .withColumn("_hash", F.xxhash64(right_geom))
         .withColumn("_copy", F.row_number().over(copies))
         .where(F.col("_copy") <= (2 if other_only else 1))
-        .drop("_copy")
+        .drop("_copy", "_hash")
     )
     right = cut_lineage(right)
     vert = G.first_vertex(right_geom)

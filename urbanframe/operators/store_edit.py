@@ -255,7 +255,7 @@ def delete_simple(store: Store, table: str, ids: DataFrame) -> tuple[Store, Data
 def delete_by_class(store: Store, classname: str) -> tuple[Store, DataFrame]:
     """Delete all features of one class."""
     oc = store["objectclass"].where(F.col("classname") == classname).select(F.col("id").alias("objectclass_id"))
-    ids = store["feature"].join(F.broadcast(oc), "objectclass_id", "left_semi").select("id")
+    ids = store["feature"].join(oc, "objectclass_id", "left_semi").select("id")
     return delete_features(store, ids)
 
 

@@ -25,7 +25,7 @@ def building_far_estimate(pieces: DataFrame) -> DataFrame:
         round_numeric(safe_ratio(floor_area, F.col("parcel_area_m2")), 3).alias("building_far_contribution"),
         F.lit(QUESTION_ESTIMATE).alias("question"), "geom",
     )
-    return dense_id(rows, ["parcel_id", "building_gid"], "id")
+    return dense_id(rows, ["parcel_id", "building_gid"], "id", settled=True)
 
 
 def parcel_far_agg(estimates: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def building_parcel_intersections(buildings: DataFrame, parcels: DataFrame) -> D
         round_numeric(safe_ratio(F.col("_area"), F.col("_parcel")) * 100, 2).alias("intersection_coverage_pct"),
         "parcel_rank", F.lit(QUESTION_PIECES).alias("question"), "geom",
     )
-    return dense_id(rows, ["gid", "parcel_id"], "id")
+    return dense_id(rows, ["gid", "parcel_id"], "id", settled=True)
 
 
 def building_parcel_coverage(pieces: DataFrame) -> DataFrame:
@@ -118,8 +118,8 @@ def parcel_fos(parcels: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def occupation_layers(base: DataFrame, parcels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clean parcels and overlay pieces, each written once for the layers built on them."""
-    clean = cut_lineage(buildings_clean(base))
+    """Clean parcels (written once, they feed several layers) and overlay pieces."""
+    clean = buildings_clean(base)
     near = cut_lineage(parcels_clean(parcels, clean))
     return near, building_parcel_intersections(clean, near)
 

@@ -10,6 +10,7 @@ from urbanframe.functions import kernels as K
 from urbanframe.functions.scalars import count_if, graded, round_numeric, safe_ratio
 from urbanframe.operators.ids import dense_id
 from urbanframe.operators.spatial_join import bbox_join
+from urbanframe.session import cut_lineage
 
 # Fixed scenario: sun in the south, six degrees high.
 SUN_AZIMUTH_DEG = 180.0
@@ -79,7 +80,7 @@ def shadow_on_green(base: DataFrame, greens_near: DataFrame) -> DataFrame:
     joined first and hulls are built only for buildings that reach a green.
     """
     v = shadow_vectors(base).withColumn("_sbox", _shadow_box())
-    g = greens_near.select(F.col("id").alias("green_id"), F.col("geom").alias("_ggeom"), F.col("bbox").alias("_gbox"))
+    g = cut_lineage(greens_near).select(F.col("id").alias("green_id"), F.col("geom").alias("_ggeom"), F.col("bbox").alias("_gbox"))
     pairs = (
         bbox_join(v, g, "_sbox", "_gbox", cell=64.0)
         .withColumn("_piece", K.st_intersection(_hull(), F.col("_ggeom")))

@@ -48,7 +48,7 @@ def _class_tree_counts(s, d):
     """Features per subclass of a root class."""
     sub = hierarchy.class_closure(city.dictionary(s, "objectclass"), 12, skip_abstract=True)
     f = city.feature(s, d)
-    return f.join(F.broadcast(sub.withColumnRenamed("id", "objectclass_id")), "objectclass_id").groupBy("objectclass_id").agg(F.count(F.lit(1)).alias("features"))
+    return f.join(sub.withColumnRenamed("id", "objectclass_id"), "objectclass_id").groupBy("objectclass_id").agg(F.count(F.lit(1)).alias("features"))
 
 
 SUBCLASSES = (

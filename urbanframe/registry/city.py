@@ -319,13 +319,8 @@ def _conform(df: DataFrame, name: str) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, name: str) -> DataFrame:
-    rows, cols = {
-        "objectclass": (CLASSES, CLASS_COLUMNS), "namespace": (NAMESPACES, ("id", "alias")),
-        "datatype": (DATATYPES, ("id", "typename")),
-    }[name]
-    kinds = {f.name: f.dataType.simpleString() for f in table_schema(name)}
-    ddl = ", ".join(f"{c} {kinds[c]}" for c in cols)
-    return _conform(spark.createDataFrame(rows, ddl), name)
+    """A literal table: Spark knows its size and broadcasts it by its own threshold."""
+    return _conform(spark.sql(DICTIONARIES[name]), name)
 
 
 def _feature(spark, sf) -> DataFrame:
@@ -413,7 +408,7 @@ def _class_geometries(spark, sf) -> DataFrame:
     f = relation(spark, sf, "features").where("xmin is not null")
     box = G.bbox_struct(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), F.col("zmin"), F.col("zmax"))
     oc = dictionary(spark, "objectclass").select(F.col("id").alias("objectclass_id"), "classname")
-    return f.join(F.broadcast(oc), "objectclass_id").select(
+    return f.join(oc, "objectclass_id").select(
         F.col("objectid").alias("id"), F.col("classname").alias("class"), G.slanted_envelope(box).alias("geom")
     )
 

@@ -39,7 +39,7 @@ def _published(s, d):
     """Write a layer as GeoJSON, read it back as a metric layer."""
     path = _folder(s)
     vector.write_geojson_layer(_placed_parcels(s, d), path)
-    return vector.read_feature_collection(s, path, "id bigint", srid=4326, target=3879)
+    return vector.read_feature_collection(s, path, "id bigint", srid=4326, target=3879, by_line=True)
 
 
 def _feature_collection(s, d):
@@ -47,10 +47,11 @@ def _feature_collection(s, d):
     path = _folder(s)
     p = _placed_parcels(s, d).select(F.col("id").alias("ID"), "geom")
     text = F.concat(
-        F.lit('{"type":"Feature","geometry":'), vector.to_geojson("geom"), F.lit(',"properties":{"ID":'), F.col("ID").cast("string"), F.lit(',"NAME":"p'), F.col("ID").cast("string"), F.lit('"}}')
+        F.when(F.col("_m").bitwiseAND((1 << 33) - 1) == 0, "").otherwise(","), F.lit('{"type":"Feature","geometry":'), vector.to_geojson("geom"),
+        F.lit(',"properties":{"ID":'), F.col("ID").cast("string"), F.lit(',"NAME":"p'), F.col("ID").cast("string"), F.lit('"}}'),
     )
-    doc = p.groupBy((F.col("ID") % 16).alias("f")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list(text), ","), F.lit("]}")).alias("value"))
-    doc.select("value").repartition(16).write.option("lineSep", " ").text(path)
+    lines = p.withColumn("_m", F.monotonically_increasing_id()).select(text.alias("value"))
+    vector.write_framed(lines, path, '{"type":"FeatureCollection","features":[', "]}")
     got = vector.read_feature_collection(s, path, "ID bigint, NAME string")
     return got.select("id", "name", G.srid_of("geom").alias("srid"), round_numeric(G.st_area(st_transform("geom", 3879)), 2).alias("area"))
 

@@ -55,24 +55,30 @@ def to_geojson(g) -> Column:
 
 
 def read_feature_collection(
-    spark: SparkSession, path: str, properties: str, srid: int = METRIC, target: int | None = WGS84, key: str = "id"
+    spark: SparkSession, path: str, properties: str, srid: int = METRIC, target: int | None = WGS84, key: str = "id",
+    by_line: bool = False,
 ) -> DataFrame:
     """A FeatureCollection as a layer: lower-case columns, key, geometry reprojected.
 
     ``properties`` is the DDL of the property columns; the schema is declared,
-    never inferred. Files are read whole, one document per file.
+    never inferred. By default each file is one document. With ``by_line``
+    every feature stands on its own line (as the layer writer puts them), and
+    files of any size are split among tasks.
     """
-    ddl = f"type string, features array<struct<type:string, id:string, properties:struct<{properties}>, geometry:string>>"
-    doc = spark.read.schema(ddl).option("multiLine", True).json(path)
-    f = doc.select(F.explode("features").alias("f"))
+    one = f"struct<type:string, properties:struct<{properties}>, geometry:string>"
+    if by_line:
+        text = F.regexp_replace("value", "^[, ]+|[, ]+$", "")
+        lines = spark.read.text(path).select(text.alias("value")).where(F.col("value").startswith('{"type":"Feature"') & F.col("value").endswith("}"))
+        f = lines.select(F.from_json("value", one).alias("f"))
+    else:
+        doc = spark.read.schema(f"type string, features array<{one}>").option("multiLine", True).json(path)
+        f = doc.select(F.explode("features").alias("f"))
     flat = f.select("f.properties.*", F.col("f.geometry").alias("_json"))
     flat = flat.toDF(*[c.lower() for c in flat.columns])
-    geom = geojson_geometry(F.col("_json"), srid)
-    flat = flat.withColumn("geom", geom).drop("_json")
-    flat = flat.withColumn("bbox", G.st_bbox("geom"))
+    flat = flat.withColumn("geom", geojson_geometry(F.col("_json"), srid)).drop("_json")
     if target and target != srid:
-        flat = flat.withColumn("geom", st_transform("geom", target)).withColumn("bbox", G.st_bbox("geom"))
-    return flat.where(F.col(key).isNotNull())
+        flat = flat.withColumn("geom", st_transform("geom", target))
+    return flat.withColumn("bbox", G.st_bbox("geom")).where(F.col(key).isNotNull())
 
 
 def feature_lines(df: DataFrame, geom: str = "geom") -> DataFrame:

@@ -95,7 +95,7 @@ def changelog_stream(changes: DataFrame, objectclass: DataFrame) -> DataFrame:
     changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     top = objectclass.where(F.col("is_toplevel") > 0).select(F.col("id").alias("objectclass_id"))
     return (
-        changes.join(F.broadcast(top), "objectclass_id", "left_semi")
+        changes.join(top, "objectclass_id", "left_semi")
         .groupBy("id")
         .transformWithStateInPandas(ChangeLogger(), outputStructType=LOG_DDL, outputMode="Append", timeMode="None")
     )
