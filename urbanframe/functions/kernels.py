@@ -195,40 +195,48 @@ def distance(a: Coords, b: Coords) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- overlay
-def _crossings(row, x1, y1, x2, y2, off):
-    """x of proper crossings between edges of the same row: (row, x)."""
-    n = np.diff(off)
-    out_r, out_x = [], []
-    for s, t in _row_blocks(n * n):
-        for qs, qe in _split(n[s:t], n[s:t]):
-            r, i, j = _ragged(qe - qs, n[s:t])
-            if not len(r):
-                continue
-            a, b = off[s:t][r] + qs[r] + i, off[s:t][r] + j
-            keep = (a < b) & (x1[a] < x2[b]) & (x1[b] < x2[a])
-            a, b, r = a[keep], b[keep], r[keep]
-            lo = np.maximum(x1[a], x1[b])
-            hi = np.minimum(x2[a], x2[b])
-            sa = (y2[a] - y1[a]) / (x2[a] - x1[a])
-            sb = (y2[b] - y1[b]) / (x2[b] - x1[b])
-            dl = (y1[a] + sa * (lo - x1[a])) - (y1[b] + sb * (lo - x1[b]))
-            dh = (y1[a] + sa * (hi - x1[a])) - (y1[b] + sb * (hi - x1[b]))
-            cut = dl * dh < 0
-            x = lo[cut] + (hi[cut] - lo[cut]) * (dl[cut] / (dl[cut] - dh[cut]))
-            out_r.append(s + r[cut])
-            out_x.append(x)
-    if not out_r:
-        return np.array([], int), np.array([], float)
-    return np.concatenate(out_r), np.concatenate(out_x)
-
-
-def _slab_intervals(sides, op, n):
-    """Covered intervals: (row, xl, xr, lower edge, upper edge) and the edges.
-
-    sides is a list of one or two Coords. op 'or' keeps what any side covers,
-    'and' what both cover, 'parity' what an odd number of rings covers.
-    """
-    rows, part, side, xs1, ys1, xs2, ys2 = [], [], [], [], [], [], []
+def _at(row, x):
+    """Sortable key of (row, x): complex numbers compare by real, then imaginary part."""
+    return row + 1j * x
+
+
+def _expand(first, count):
+    """Runs first[i], first[i] + 1, ... of length count[i]: (owner index, value)."""
+    owner = np.repeat(np.arange(len(count)), count)
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return owner, first[owner] + step
+
+
+def _crossings(row, x1, y1, x2, y2):
+    """Proper crossings of edges of the same row: (row, x). Edges are sorted by (row, x1)."""
+    none = np.array([], int), np.array([], float)
+    if not (y1 != y2).any():
+        return none  # horizontal edges never cross properly
+    # partners of an edge start right of its start and left of its end
+    stop = np.searchsorted(_at(row, x1), _at(row, x2), side="left")
+    count = np.maximum(stop - np.arange(len(row)) - 1, 0)
+    out = []
+    for s, t in _row_blocks(count):
+        a, b = _expand(np.arange(s, t) + 1, count[s:t])
+        a = a + s
+        keep = (np.maximum(y1[a], y2[a]) >= np.minimum(y1[b], y2[b])) & (np.maximum(y1[b], y2[b]) >= np.minimum(y1[a], y2[a]))
+        a, b = a[keep], b[keep]
+        lo, hi = x1[b], np.minimum(x2[a], x2[b])
+        sa = (y2[a] - y1[a]) / (x2[a] - x1[a])
+        sb = (y2[b] - y1[b]) / (x2[b] - x1[b])
+        dl = (y1[a] + sa * (lo - x1[a])) - (y1[b] + sb * (lo - x1[b]))
+        dh = (y1[a] + sa * (hi - x1[a])) - (y1[b] + sb * (hi - x1[b]))
+        cut = dl * dh < 0
+        x = lo[cut] + (hi[cut] - lo[cut]) * (dl[cut] / (dl[cut] - dh[cut]))
+        out.append((row[a[cut]], x))
+    if not out:
+        return none
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def _edge_table(sides, op):
+    """Non-vertical edges of all sides, left to right, sorted by (row, x1)."""
+    cols = []
     base = 0
     for k, c in enumerate(sides):
         r, p, x1, y1, x2, y2 = c.edges()
@@ -238,68 +246,67 @@ def _slab_intervals(sides, op, n):
         xa, ya = np.where(flip, x2, x1), np.where(flip, y2, y1)
         xb, yb = np.where(flip, x1, x2), np.where(flip, y1, y2)
         keep = xa < xb
-        rows.append(r[keep]); part.append(p[keep] + base); side.append(np.full(keep.sum(), k))
-        xs1.append(xa[keep]); ys1.append(ya[keep]); xs2.append(xb[keep]); ys2.append(yb[keep])
+        cols.append((r[keep], p[keep] + base, np.full(int(keep.sum()), k), xa[keep], ya[keep], xb[keep], yb[keep]))
         base += len(c.part_off) + c.n
-    row, part, side = np.concatenate(rows), np.concatenate(part), np.concatenate(side)
-    x1, y1, x2, y2 = (np.concatenate(v) for v in (xs1, ys1, xs2, ys2))
-    order = np.argsort(row, kind="stable")
-    row, part, side = row[order], part[order], side[order]
-    x1, y1, x2, y2 = x1[order], y1[order], x2[order], y2[order]
-    off = _offsets(row, n)
-    cr, cx = _crossings(row, x1, y1, x2, y2, off)
-    cut_r = np.concatenate([row, row, cr])
-    cut_x = np.concatenate([x1, x2, cx])
-    o = np.lexsort((cut_x, cut_r))
-    cut_r, cut_x = cut_r[o], cut_x[o]
-    if len(cut_r):
-        new = np.r_[True, (cut_r[1:] != cut_r[:-1]) | (cut_x[1:] != cut_x[:-1])]
-        cut_r, cut_x = cut_r[new], cut_x[new]
-    has = np.flatnonzero(cut_r[1:] == cut_r[:-1]) if len(cut_r) else np.array([], int)
-    slab_r, slab_l, slab_h = cut_r[has], cut_x[has], cut_x[has + 1]
-    s_off = _offsets(slab_r, n)
-    ns, ne = np.diff(s_off), np.diff(off)
+    row, part, side, x1, y1, x2, y2 = (np.concatenate(v) for v in zip(*cols))
+    o = np.lexsort((x1, row))
+    return row[o], part[o], side[o], x1[o], y1[o], x2[o], y2[o]
+
+
+def _slab_intervals(sides, op, n):
+    """Covered intervals per slab: row, slab, lower and upper edge, their mid heights.
+
+    Also returns the slabs (row, left, right) and the edges. op 'or' keeps what
+    any side covers, 'and' what both cover, 'parity' what an odd number of rings
+    covers.
+    """
+    row, part, side, x1, y1, x2, y2 = _edge_table(sides, op)
+    cr, cx = _crossings(row, x1, y1, x2, y2)
+    cuts = np.unique(_at(np.concatenate([row, row, cr]), np.concatenate([x1, x2, cx])))
+    cut_r, cut_x = cuts.real.astype(np.int64), cuts.imag
+    slabs = (cut_r[:-1], cut_x[:-1], cut_x[1:]) if len(cuts) else (cut_r, cut_x, cut_x)
+    edges = (x1, y1, x2, y2)
+    # an edge spans the slabs between the cuts at its two ends
+    lo_slab, hi_slab = np.searchsorted(cuts, _at(row, x1)), np.searchsorted(cuts, _at(row, x2))
+    load = np.zeros(len(cuts) + 1, np.int64)
+    np.add.at(load, lo_slab, 1)
+    np.add.at(load, hi_slab, -1)
+    load = np.cumsum(load)[: max(len(cuts) - 1, 0)]
     res = []
-    for s, t in _row_blocks(ns * ne):
-        for qs, qe in _split(ns[s:t], ne[s:t]):
-            r, i, j = _ragged(qe - qs, ne[s:t])
-            if not len(r):
-                continue
-            sl, ed = s_off[s:t][r] + qs[r] + i, off[s:t][r] + j
-            inside = (x1[ed] <= slab_l[sl]) & (x2[ed] >= slab_h[sl])
-            sl, ed = sl[inside], ed[inside]
-            xm = (slab_l[sl] + slab_h[sl]) / 2
-            ym = y1[ed] + (y2[ed] - y1[ed]) * ((xm - x1[ed]) / (x2[ed] - x1[ed]))
-            # enter / leave of each edge within its own part
-            o = np.lexsort((ym, part[ed], sl))
-            pk, sk = part[ed][o], sl[o]
-            fresh = np.r_[True, (pk[1:] != pk[:-1]) | (sk[1:] != sk[:-1])] if len(o) else np.array([], bool)
-            idx = np.arange(len(o))
-            rank = idx - np.maximum.accumulate(np.where(fresh, idx, 0)) if len(o) else idx
-            delta = np.empty(len(o), int)
-            delta[o] = np.where(rank % 2 == 0, 1, -1)
-            o = np.lexsort((-delta, ym, sl))
-            sl, ed, ym, delta = sl[o], ed[o], ym[o], delta[o]
-            if not len(sl):
-                continue
-            cover = np.ones(len(sl), dtype=bool) if op == "and" else np.zeros(len(sl), dtype=bool)
-            for k in range(len(sides)):
-                depth = np.cumsum(np.where(side[ed] == k, delta, 0)) > 0
-                cover = (cover & depth) if op == "and" else (cover | depth)
-            cover = cover[:-1] & (sl[1:] == sl[:-1]) & (ym[1:] > ym[:-1])
-            g = np.flatnonzero(cover)
+    for s, t in _row_blocks(load):
+        use = np.flatnonzero((lo_slab < t) & (hi_slab > s))
+        first = np.maximum(lo_slab[use], s)
+        ed, sl = _expand(first, np.minimum(hi_slab[use], t) - first)
+        ed = use[ed]
+        if not len(ed):
+            continue
+        xm = (slabs[1][sl] + slabs[2][sl]) / 2
+        ym = y1[ed] + (y2[ed] - y1[ed]) * ((xm - x1[ed]) / (x2[ed] - x1[ed]))
+        # enter / leave of each edge within its own part
+        o = np.lexsort((ym, part[ed], sl))
+        pk, sk = part[ed][o], sl[o]
+        fresh = np.r_[True, (pk[1:] != pk[:-1]) | (sk[1:] != sk[:-1])]
+        idx = np.arange(len(o))
+        rank = idx - np.maximum.accumulate(np.where(fresh, idx, 0))
+        delta = np.empty(len(o), int)
+        delta[o] = np.where(rank % 2 == 0, 1, -1)
+        o = np.lexsort((-delta, ym, sl))
+        sl, ed, ym, delta = sl[o], ed[o], ym[o], delta[o]
+        cover = np.full(len(sl), op == "and")
+        for k in range(len(sides)):
+            depth = np.cumsum(np.where(side[ed] == k, delta, 0)) > 0
+            cover = (cover & depth) if op == "and" else (cover | depth)
+        g = np.flatnonzero(cover[:-1] & (sl[1:] == sl[:-1]) & (ym[1:] > ym[:-1]))
+        if len(g):
             # join stacked intervals that share a border inside one slab
-            up = g + 1
-            if len(g):
-                first = np.r_[True, ~((sl[g][1:] == sl[g][:-1]) & (ym[g][1:] == ym[up][:-1]))]
-                last = np.r_[first[1:], True]
-                lo_i, up_i = g[first], up[last]
-                res.append((sl[lo_i], ed[lo_i], ed[up_i], ym[lo_i], ym[up_i]))
+            head = np.r_[True, ~((sl[g][1:] == sl[g][:-1]) & (ym[g][1:] == ym[g + 1][:-1]))]
+            low, up = g[head], g[np.r_[head[1:], True]] + 1
+            res.append((sl[low], ed[low], ed[up], ym[low], ym[up]))
     if not res:
         z = np.array([], int)
-        return z, z, z, z, np.array([]), np.array([]), (slab_r, slab_l, slab_h), (x1, y1, x2, y2)
-    sl, lo, up, ylo, yup = (np.concatenate(v) for v in zip(*res))
-    return slab_r[sl], sl, lo, up, ylo, yup, (slab_r, slab_l, slab_h), (x1, y1, x2, y2)
+        return z, z, z, z, np.array([]), np.array([]), slabs, edges
+    sl, low, up, ylo, yup = (np.concatenate(v) for v in zip(*res))
+    return slabs[0][sl], sl, low, up, ylo, yup, slabs, edges
 
 
 def overlay_area(sides, op, n) -> np.ndarray:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from urbanframe.functions import geometry as G
 from urbanframe.functions import kernels as K
-from urbanframe.session import largest_group
+from urbanframe.session import cut_lineage, largest_group
 
 FAN_IN = 512
 
@@ -83,7 +83,11 @@ def covered_area(
         hot = hot.withColumns({f"_{a}0": lo + F.col(t) * step, f"_{a}1": lo + (F.col(t) + 1) * step})
     window = G.st_rectangle(F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), srid=F.col("_g.srid"))
     clipped = hot.select(*keys, "_ix", "_iy", "_id", K.st_intersection(F.col("_g"), window).alias("_g"))
-    clipped = clipped.where(G.not_empty("_g"))
-    tiles = dissolve(clipped, [*keys, "_ix", "_iy"], "_g", "_id", fan_in)
-    warm = tiles.groupBy(*keys).agg(F.sum(G.st_area("_g")).alias("covered_area"))
+    clipped = cut_lineage(clipped.where(G.not_empty("_g")))
+    tile = [*keys, "_ix", "_iy"]
+    if largest_group(clipped, tile) <= fan_in:
+        parts = clipped.groupBy(*tile).agg(G.collect_parts("_g").alias("_g")).withColumn("_a", K.st_covered_area("_g"))
+    else:
+        parts = dissolve(clipped, tile, "_g", "_id", fan_in).withColumn("_a", G.st_area("_g"))
+    warm = parts.groupBy(*keys).agg(F.sum("_a").alias("covered_area"))
     return cold.unionByName(warm)

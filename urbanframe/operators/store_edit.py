@@ -178,14 +178,17 @@ def _cascade(store: Store, start: DataFrame, start_props: DataFrame | None) -> t
     owned_rule = F.col("val_feature_id").isNull() | (F.col("val_relation_type") == CONTAINS)
     dropped = None
     for step in range(MAX_ROUNDS):
-        own = among(prop, front, "feature_id").withColumn("owns", owned_rule)
-        referring = _ids(among(prop, front, "val_feature_id"), "id")
-        closure, _ = _property_closure(prop, referring)
-        pulled = among(prop, closure, "id").withColumn("owns", owned_rule)
-        # a row that pointed at a deleted feature has lost that value by now
-        pulled = pulled.join(referring.withColumn("_ref", F.lit(True)), "id", "left")
-        pulled = pulled.withColumn("owns", F.col("owns") | F.coalesce("_ref", F.lit(False))).drop("_ref")
-        new = own.unionByName(pulled)
+        new = among(prop, front, "feature_id").withColumn("owns", owned_rule)
+        # rows elsewhere that point at the deleted features
+        referring = without(_ids(among(prop, front, "val_feature_id"), "id"), new.select("id"))
+        referring = cut_lineage(referring if dropped is None else without(referring, dropped.select("id")))
+        if not referring.isEmpty():
+            closure, _ = _property_closure(prop, referring)
+            pulled = among(prop, closure, "id").withColumn("owns", owned_rule)
+            # a row that pointed at a deleted feature has lost that value by now
+            pulled = pulled.join(referring.withColumn("_ref", F.lit(True)), "id", "left")
+            pulled = pulled.withColumn("owns", F.col("owns") | F.coalesce("_ref", F.lit(False))).drop("_ref")
+            new = new.unionByName(pulled)
         if step == 0 and start_props is not None:
             new = new.unionByName(among(prop, start_props, "id").withColumn("owns", owned_rule))
         new = new.groupBy(*_EDGE).agg(F.max("owns").alias("owns"))
