@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from urbanframe.schema import GEOMETRY_DDL, PARTS_DDL, POINT_DDL
+from urbanframe.schema import GEOMETRY_DDL
 
 BLOCK = 2_000_000
 
@@ -234,14 +234,12 @@ def _crossings(row, x1, y1, x2, y2):
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
-def _edge_table(sides, op):
+def _edge_table(sides):
     """Non-vertical edges of all sides, left to right, sorted by (row, x1)."""
     cols = []
     base = 0
     for k, c in enumerate(sides):
         r, p, x1, y1, x2, y2 = c.edges()
-        if op == "parity":
-            p = r
         flip = x1 > x2
         xa, ya = np.where(flip, x2, x1), np.where(flip, y2, y1)
         xb, yb = np.where(flip, x1, x2), np.where(flip, y1, y2)
@@ -257,10 +255,9 @@ def _slab_intervals(sides, op, n):
     """Covered intervals per slab: row, slab, lower and upper edge, their mid heights.
 
     Also returns the slabs (row, left, right) and the edges. op 'or' keeps what
-    any side covers, 'and' what both cover, 'parity' what an odd number of rings
-    covers.
+    any side covers, 'and' what both cover.
     """
-    row, part, side, x1, y1, x2, y2 = _edge_table(sides, op)
+    row, part, side, x1, y1, x2, y2 = _edge_table(sides)
     cr, cx = _crossings(row, x1, y1, x2, y2)
     cuts = np.unique(_at(np.concatenate([row, row, cr]), np.concatenate([x1, x2, cx])))
     cut_r, cut_x = cuts.real.astype(np.int64), cuts.imag
@@ -363,6 +360,16 @@ def _parts_array(row, px, py, n, valid):
     return pa.ListArray.from_arrays(pa.array(off, pa.int32(), mask=mask), parts)
 
 
+def _geometry(source, kind, parts, valid):
+    """Geometry column with the srid of the source column."""
+    if isinstance(source, pa.ChunkedArray):
+        source = source.combine_chunks()
+    kinds = pa.array([kind] * len(parts), pa.string())
+    return pa.StructArray.from_arrays(
+        [source.field("srid"), kinds, parts], names=["srid", "kind", "parts"], mask=pa.array(~valid)
+    )
+
+
 # ---------------------------------------------------------------- convex hull
 def _hull(x, y):
     """Counter-clockwise hull (monotone chain) of one point set, closed."""
@@ -444,17 +451,13 @@ def _covered_area_batch(a: pa.Array) -> pa.Array:
 
 def _intersection_batch(a: pa.Array, b: pa.Array) -> pa.Array:
     ca, cb = Coords(a), Coords(b)
-    return _parts_array(*overlay_parts([ca, cb], "and", ca.n), ca.n, ca.valid & cb.valid)
+    ok = ca.valid & cb.valid
+    return _geometry(a, "MultiPolygon", _parts_array(*overlay_parts([ca, cb], "and", ca.n), ca.n, ok), ok)
 
 
 def _union_batch(a: pa.Array) -> pa.Array:
     c = Coords(a)
-    return _parts_array(*overlay_parts([c], "or", c.n), c.n, c.valid)
-
-
-def _makevalid_batch(a: pa.Array) -> pa.Array:
-    c = Coords(a)
-    return _parts_array(*overlay_parts([c], "or", c.n), c.n, c.valid)
+    return _geometry(a, "MultiPolygon", _parts_array(*overlay_parts([c], "or", c.n), c.n, c.valid), c.valid)
 
 
 def _hull_batch(a: pa.Array) -> pa.Array:
@@ -471,7 +474,8 @@ def _hull_batch(a: pa.Array) -> pa.Array:
     m = int(full.sum())
     part = pa.ListArray.from_arrays(pa.array(np.arange(m + 1), pa.int32()), ring)
     off = np.concatenate([[0], np.cumsum(full)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(off, pa.int32(), mask=np.r_[~c.valid, False]), part)
+    parts = pa.ListArray.from_arrays(pa.array(off, pa.int32(), mask=np.r_[~c.valid, False]), part)
+    return _geometry(a, "Polygon", parts, c.valid)
 
 
 def _interior_batch(a: pa.Array) -> pa.Array:
@@ -485,28 +489,25 @@ def _interior_batch(a: pa.Array) -> pa.Array:
     bare = np.flatnonzero(np.isnan(x) & (np.diff(_offsets(c.pt_row, c.n)) > 0))
     first = _offsets(c.pt_row, c.n)[bare]
     x[bare], y[bare] = c.x[first], c.y[first]
-    mask = np.isnan(x)
-    return pa.StructArray.from_arrays(
-        [pa.array(x), pa.array(y), pa.array(np.zeros(c.n))], names=["x", "y", "z"], mask=pa.array(mask)
-    )
+    found = ~np.isnan(x)
+    pts = pa.StructArray.from_arrays([pa.array(x[found]), pa.array(y[found]), pa.array(np.zeros(int(found.sum())))], names=["x", "y", "z"])
+    m = pa.array(np.arange(int(found.sum()) + 1), pa.int32())
+    off = np.concatenate([[0], np.cumsum(found)]).astype(np.int32)
+    parts = pa.ListArray.from_arrays(pa.array(off, pa.int32(), mask=np.r_[~found, False]), pa.ListArray.from_arrays(m, pa.ListArray.from_arrays(m, pts)))
+    return _geometry(a, "Point", parts, found)
 
 
 def _run(batch, ddl: str, *cols) -> Column:
     # Built per use: a function object is bound to the session that made it.
-    return F.arrow_udf(batch, ddl)(*cols)
+    # Marked so that Spark never copies the call into a filter it pushes down,
+    # which would run the kernel twice and before the rows are spread.
+    return F.arrow_udf(batch, ddl).asNondeterministic()(*cols)
 
 
 def _c(g):
     return F.col(g) if isinstance(g, str) else g
 
 
-def _wrap_parts(parts: Column, srid: Column) -> Column:
-    return F.when(
-        parts.isNotNull(),
-        F.struct(srid.alias("srid"), F.lit("MultiPolygon").alias("kind"), parts.alias("parts")).cast(GEOMETRY_DDL),
-    )
-
-
 def st_distance(a, b) -> Column:
     return _run(_distance_batch, "double", _c(a), _c(b))
 
@@ -529,34 +530,21 @@ def st_covered_area(g) -> Column:
 
 
 def st_intersection(a, b) -> Column:
-    a, b = _c(a), _c(b)
-    return _wrap_parts(_run(_intersection_batch, PARTS_DDL, a, b), a["srid"])
+    return _run(_intersection_batch, GEOMETRY_DDL, _c(a), _c(b))
 
 
 def st_unaryunion(g) -> Column:
-    g = _c(g)
-    return _wrap_parts(_run(_union_batch, PARTS_DDL, g), g["srid"])
+    return _run(_union_batch, GEOMETRY_DDL, _c(g))
 
 
 def st_makevalid(g) -> Column:
     """Non-overlapping polygons that cover the same area (even-odd inside a part)."""
-    g = _c(g)
-    return _wrap_parts(_run(_makevalid_batch, PARTS_DDL, g), g["srid"])
+    return _run(_union_batch, GEOMETRY_DDL, _c(g))
 
 
 def st_convexhull(g) -> Column:
-    g = _c(g)
-    parts = _run(_hull_batch, PARTS_DDL, g)
-    return F.when(
-        parts.isNotNull(),
-        F.struct(g["srid"].alias("srid"), F.lit("Polygon").alias("kind"), parts.alias("parts")).cast(GEOMETRY_DDL),
-    )
+    return _run(_hull_batch, GEOMETRY_DDL, _c(g))
 
 
 def st_pointonsurface(g) -> Column:
-    g = _c(g)
-    p = _run(_interior_batch, POINT_DDL, g)
-    return F.when(
-        p.isNotNull(),
-        F.struct(g["srid"].alias("srid"), F.lit("Point").alias("kind"), F.array(F.array(F.array(p))).alias("parts")).cast(GEOMETRY_DDL),
-    )
+    return _run(_interior_batch, GEOMETRY_DDL, _c(g))

@@ -69,25 +69,30 @@ def covered_area(
         .groupBy(*keys).agg(G.collect_parts("_g").alias("_g"))
         .select(*keys, K.st_covered_area("_g").alias("covered_area"))
     )
-    hot = rows.where(F.col("_n") > fan_in)
-    side = F.ceil(F.sqrt(F.col("_n") / F.lit(fan_in / 4))).cast("int")
-    hot = hot.withColumn("_side", side)
-    for a, t in (("x", "_ix"), ("y", "_iy")):
+    hot = rows.where(F.col("_n") > fan_in).withColumn("_side", F.ceil(F.sqrt(F.col("_n") / F.lit(fan_in / 4))).cast("int"))
+    # plain columns: origin and step of the tile grid, first and last tile of the piece
+    grid = {}
+    for a in "xy":
         lo, hi = F.col(f"_ext.{a}min"), F.col(f"_ext.{a}max")
         step = F.greatest((hi - lo) / F.col("_side"), F.lit(1e-9))
-
-        def tile(v):
-            return F.least(F.floor((v - lo) / step), F.col("_side") - 1)
-
-        hot = hot.withColumn(t, F.explode(F.sequence(tile(F.col(f"_b.{a}min")), tile(F.col(f"_b.{a}max")))))
-        hot = hot.withColumns({f"_{a}0": lo + F.col(t) * step, f"_{a}1": lo + (F.col(t) + 1) * step})
-    window = G.st_rectangle(F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), srid=F.col("_g.srid"))
-    clipped = hot.select(*keys, "_ix", "_iy", "_id", K.st_intersection(F.col("_g"), window).alias("_g"))
-    clipped = cut_lineage(clipped.where(G.not_empty("_g")))
+        grid[f"_{a}o"], grid[f"_{a}s"] = lo, step
+        for end, v in (("first", "min"), ("last", "max")):
+            grid[f"_{a}{end}"] = F.least(F.floor((F.col(f"_b.{a}{v}") - lo) / step), F.col("_side") - 1)
+    hot = hot.select(*keys, "_id", "_g", *[v.alias(c) for c, v in grid.items()])
+    for a in "xy":
+        hot = hot.withColumn(f"_i{a}", F.explode(F.sequence(F.col(f"_{a}first"), F.col(f"_{a}last"))))
+        hot = hot.withColumns({
+            f"_{a}0": F.col(f"_{a}o") + F.col(f"_i{a}") * F.col(f"_{a}s"),
+            f"_{a}1": F.col(f"_{a}o") + (F.col(f"_i{a}") + 1) * F.col(f"_{a}s"),
+        })
     tile = [*keys, "_ix", "_iy"]
-    if largest_group(clipped, tile) <= fan_in:
+    window = G.st_rectangle(F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), srid=F.col("_g.srid"))
+    # spread by tile before clipping: one shuffle serves the clip and the union
+    spread = hot.select(*tile, "_id", "_g", window.alias("_w")).repartition(*tile)
+    clipped = spread.select(*tile, "_id", K.st_intersection("_g", "_w").alias("_g")).where(G.not_empty("_g"))
+    if largest_group(hot, tile) <= fan_in:
         parts = clipped.groupBy(*tile).agg(G.collect_parts("_g").alias("_g")).withColumn("_a", K.st_covered_area("_g"))
     else:
-        parts = dissolve(clipped, tile, "_g", "_id", fan_in).withColumn("_a", G.st_area("_g"))
+        parts = dissolve(cut_lineage(clipped), tile, "_g", "_id", fan_in).withColumn("_a", G.st_area("_g"))
     warm = parts.groupBy(*keys).agg(F.sum("_a").alias("covered_area"))
     return cold.unionByName(warm)

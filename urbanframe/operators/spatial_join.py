@@ -51,14 +51,20 @@ def _size(cell: float, level: str) -> str:
     return f"({cell}D * power({RATIO}D, {level}))"
 
 
+_EDGES = (("x0", "xmin"), ("x1", "xmax"), ("y0", "ymin"), ("y1", "ymax"))
+
+
 def _enter_cells(df: DataFrame, box: str, cell: float, other_levels: Column, tag: str) -> DataFrame:
+    """One row per cell of every wanted level; box edges become plain columns."""
     native, level = f"_{tag}_native", f"_{tag}_l"
-    df = df.where(F.col(box).isNotNull()).withColumn(native, F.expr(_native_level(box, cell)))
+    df = df.where(F.col(box).isNotNull())
+    df = df.withColumns({f"_{tag}_{c}": F.col(f"{box}.{f}") for c, f in _EDGES})
+    df = df.withColumn(native, F.expr(_native_level(box, cell)))
     df = df.withColumn(level, F.explode(F.sequence(F.col(native), F.lit(TOP_LEVEL))))
     df = df.where((F.col(level) == F.col(native)) | F.array_contains(other_levels, F.col(level)))
     for axis in "xy":
         size = _size(cell, level)
-        steps = f"explode(sequence(floor({box}.{axis}min / {size}), floor({box}.{axis}max / {size})))"
+        steps = f"explode(sequence(floor(_{tag}_{axis}0 / {size}), floor(_{tag}_{axis}1 / {size})))"
         df = df.withColumn(f"_{tag}_c{axis}", F.expr(steps))
     return df
 
@@ -75,13 +81,13 @@ def bbox_join(
         raise ValueError(f"rename these columns on one side first: {sorted(clash)}")
     a = _enter_cells(left, left_box, cell, _levels(right, right_box, cell), "a")
     b = _enter_cells(right, right_box, cell, _levels(left, left_box, cell), "b")
-    la, lb, size = left_box, right_box, _size(cell, "_a_l")
+    size = _size(cell, "_a_l")
     on = F.expr(
         "_a_l = _b_l AND _a_cx = _b_cx AND _a_cy = _b_cy AND _a_l = greatest(_a_native, _b_native) "
-        f"AND {la}.xmin <= {lb}.xmax AND {la}.xmax >= {lb}.xmin AND {la}.ymin <= {lb}.ymax AND {la}.ymax >= {lb}.ymin "
-        f"AND floor(greatest({la}.xmin, {lb}.xmin) / {size}) = _a_cx AND floor(greatest({la}.ymin, {lb}.ymin) / {size}) = _a_cy"
+        "AND _a_x0 <= _b_x1 AND _a_x1 >= _b_x0 AND _a_y0 <= _b_y1 AND _a_y1 >= _b_y0 "
+        f"AND floor(greatest(_a_x0, _b_x0) / {size}) = _a_cx AND floor(greatest(_a_y0, _b_y0) / {size}) = _a_cy"
     )
-    helper = [f"_{t}_{n}" for t in "ab" for n in ("l", "cx", "cy", "native")]
+    helper = [f"_{t}_{n}" for t in "ab" for n in ("l", "cx", "cy", "native", "x0", "x1", "y0", "y1")]
     return a.join(b, on, "inner").drop(*helper)
 
 
