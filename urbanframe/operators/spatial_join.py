@@ -3,12 +3,12 @@
 A distance or overlap predicate has no equi key, so Spark would compare every
 pair. Here each bounding box is written once per grid cell it touches and the
 join runs on the cell. Cells come in levels whose sizes grow by eight: a box
-enters the finest level where it covers at most five cells a side, and every
-coarser level. Two boxes meet on the coarser of their two levels only, in the
-cell that holds the lower-left corner of their overlap, so each pair appears
-exactly once and no ``distinct`` is needed. Detailed data stays in small cells
-however large some other geometry is, which keeps dense places from turning
-into one hot cell.
+enters the finest level where it is at most two cells wide, and coarser levels.
+Two boxes meet on the coarser of their two levels only, in the cell that holds
+the lower-left corner of their overlap, so each pair appears exactly once and
+no ``distinct`` is needed. Because the cell follows the size of the boxes, a
+crowded place full of small boxes is cut into small cells: boxes that do not
+overlap can share a cell with a bounded number of their kind only.
 
 The levels really present on the other side are read by a scalar subquery, so
 rows are not written to levels nobody asks for.
@@ -24,9 +24,9 @@ from urbanframe.functions import kernels as K
 from urbanframe.session import cut_lineage
 
 RATIO = 8
-TOP_LEVEL = 6
-MAX_SPAN = 4
-CELL = 32.0
+TOP_LEVEL = 7
+MAX_SPAN = 2
+CELL = 0.5
 
 # Ladder used to bound nearest-neighbour searches.
 LADDER_CELL = 1.0
@@ -36,41 +36,43 @@ SALTED_LEVEL = 4
 SALTS = 32
 
 
-def _native_level(box: str, cell: float) -> str:
+def _native_level(box: str) -> str:
     """Finest level at which the box covers few cells, as SQL text."""
     side = f"greatest({box}.xmax - {box}.xmin, {box}.ymax - {box}.ymin)"
-    return " + ".join(f"int({side} > {MAX_SPAN * cell * RATIO**l}D)" for l in range(TOP_LEVEL))
+    return " + ".join(f"int({side} > {MAX_SPAN * CELL * RATIO**l}D)" for l in range(TOP_LEVEL))
 
 
-def _levels(df: DataFrame, box: str, cell: float) -> Column:
+def _levels(df: DataFrame, box: str) -> Column:
     """Set of native levels in a layer: at most TOP_LEVEL + 1 integers."""
-    return df.select(F.expr(f"collect_set({_native_level(box, cell)})")).scalar()
+    return df.select(F.expr(f"collect_set({_native_level(box)})")).scalar()
 
 
-def _size(cell: float, level: str) -> str:
-    return f"({cell}D * power({RATIO}D, {level}))"
+def _size(level: str) -> str:
+    return f"({CELL}D * power({RATIO}D, {level}))"
 
 
 _EDGES = (("x0", "xmin"), ("x1", "xmax"), ("y0", "ymin"), ("y1", "ymax"))
 
 
-def _enter_cells(df: DataFrame, box: str, cell: float, other_levels: Column, tag: str) -> DataFrame:
+def _enter_cells(df: DataFrame, box: str, other_levels: Column, tag: str) -> DataFrame:
     """One row per cell of every wanted level; box edges become plain columns."""
     native, level = f"_{tag}_native", f"_{tag}_l"
     df = df.where(F.col(box).isNotNull())
     df = df.withColumns({f"_{tag}_{c}": F.col(f"{box}.{f}") for c, f in _EDGES})
-    df = df.withColumn(native, F.expr(_native_level(box, cell)))
+    df = df.withColumn(native, F.expr(_native_level(box)))
     df = df.withColumn(level, F.explode(F.sequence(F.col(native), F.lit(TOP_LEVEL))))
-    df = df.where((F.col(level) == F.col(native)) | F.array_contains(other_levels, F.col(level)))
+    # own level: for partners as fine or finer; a coarser one: for partners of that level
+    df = df.withColumn("_other", other_levels)
+    df = df.where(F.expr(f"({level} = {native} AND array_min(_other) <= {level}) OR array_contains(_other, {level})")).drop("_other")
     for axis in "xy":
-        size = _size(cell, level)
+        size = _size(level)
         steps = f"explode(sequence(floor(_{tag}_{axis}0 / {size}), floor(_{tag}_{axis}1 / {size})))"
         df = df.withColumn(f"_{tag}_c{axis}", F.expr(steps))
     return df
 
 
 def bbox_join(
-    left: DataFrame, right: DataFrame, left_box: str, right_box: str, cell: float = CELL
+    left: DataFrame, right: DataFrame, left_box: str, right_box: str
 ) -> DataFrame:
     """All pairs whose 2D bounding boxes overlap or touch, each exactly once.
 
@@ -79,9 +81,9 @@ def bbox_join(
     clash = set(left.columns) & set(right.columns)
     if clash:
         raise ValueError(f"rename these columns on one side first: {sorted(clash)}")
-    a = _enter_cells(left, left_box, cell, _levels(right, right_box, cell), "a")
-    b = _enter_cells(right, right_box, cell, _levels(left, left_box, cell), "b")
-    size = _size(cell, "_a_l")
+    a = _enter_cells(left, left_box, _levels(right, right_box), "a")
+    b = _enter_cells(right, right_box, _levels(left, left_box), "b")
+    size = _size("_a_l")
     on = F.expr(
         "_a_l = _b_l AND _a_cx = _b_cx AND _a_cy = _b_cy AND _a_l = greatest(_a_native, _b_native) "
         "AND _a_x0 <= _b_x1 AND _a_x1 >= _b_x0 AND _a_y0 <= _b_y1 AND _a_y1 >= _b_y0 "
@@ -93,20 +95,20 @@ def bbox_join(
 
 def join_intersects(
     left: DataFrame, right: DataFrame, left_geom: str, right_geom: str,
-    left_box: str, right_box: str, cell: float = CELL,
+    left_box: str, right_box: str,
 ) -> DataFrame:
     """Pairs whose geometries share at least one point."""
-    pairs = bbox_join(left, right, left_box, right_box, cell)
+    pairs = bbox_join(left, right, left_box, right_box)
     return pairs.where(K.st_intersects(left_geom, right_geom))
 
 
 def join_dwithin(
     left: DataFrame, right: DataFrame, left_geom: str, right_geom: str,
-    left_box: str, right_box: str, radius: float, cell: float = CELL,
+    left_box: str, right_box: str, radius: float,
 ) -> DataFrame:
     """Pairs at most ``radius`` apart, with their exact ``distance_m``."""
     grown = left.withColumn("_grown", G.bbox_expand(F.col(left_box), radius))
-    pairs = bbox_join(grown, right, "_grown", right_box, cell)
+    pairs = bbox_join(grown, right, "_grown", right_box)
     near = G.bbox_distance(F.col(left_box), F.col(right_box)) <= radius
     return (
         pairs.where(near)
@@ -154,19 +156,23 @@ def semi_dwithin_points(
     )
     rows = df.select(F.col(key).alias("_key"), F.col(geom).alias("_geom"), F.col(box).alias("_box"))
     grown = rows.withColumn("_grown", G.bbox_expand(F.col("_box"), radius))
-    cand = bbox_join(grown, cells, "_grown", "_cbox", max(CELL, size)).drop("_grown")
+    cand = bbox_join(grown, cells, "_grown", "_cbox")
     cand = cand.where(G.bbox_distance(F.col("_box"), F.col("_cbox")) <= radius)
     rep = G.st_point(F.col("_rep._px"), F.col("_rep._py"), srid=F.col("_geom.srid"))
-    cand = cand.withColumn("_hit", K.st_distance(F.col("_geom"), rep) <= radius)
+    cand = cut_lineage(
+        cand.select("_key", "_pcx", "_pcy", "_cbox", (K.st_distance(F.col("_geom"), rep) <= radius).alias("_hit"))
+    )
     sure = cand.where("_hit").select("_key").distinct()
     corner = G.st_rectangle(
         F.col("_cbox.xmin"), F.col("_cbox.ymin"), F.col("_cbox.xmax"), F.col("_cbox.ymax"),
         srid=F.col("_geom.srid"),
     )
     # A cell of one point decides by itself; other misses need their points.
+    several = (F.col("_cbox.xmin") < F.col("_cbox.xmax")) | (F.col("_cbox.ymin") < F.col("_cbox.ymax"))
     open_cells = (
-        cand.where(~F.col("_hit") & ((F.col("_cbox.xmin") < F.col("_cbox.xmax")) | (F.col("_cbox.ymin") < F.col("_cbox.ymax"))))
+        cand.where(~F.col("_hit") & several)
         .join(sure, "_key", "left_anti")
+        .join(rows, "_key")
         .where(K.st_distance(F.col("_geom"), corner) <= radius)
         .select("_key", "_geom", "_box", "_pcx", "_pcy")
     )

@@ -21,74 +21,68 @@ GEOMETRIC_ERROR = 2000.0
 SUBTREE_LEVELS = 4
 
 
-def _split(df: DataFrame, keys: list[str], limit: Column, level: int) -> DataFrame:
+def _split(df: DataFrame, level: int) -> DataFrame:
     size = F.lit(float(2**level))
     last = F.lit(2**level - 1).cast("long")
 
     def cell(axis: str) -> Column:
         return F.least(F.floor((F.col(f"_c{axis}") - F.col(f"_{axis}0")) / F.col("_side") * size), last)
 
-    return df.withColumns({"level": F.lit(level), "x": cell("x"), "y": cell("y"), "_limit": limit})
+    return df.withColumns({"level": F.lit(level), "x": cell("x"), "y": cell("y")})
 
 
 def quadtree_tiles(
-    df: DataFrame, max_features: int | Column, key: str = "id", geom: str = "geom",
-    group: list[str] | None = None, max_level: int = MAX_LEVEL,
+    df: DataFrame, max_features: int | dict[str, int], key: str = "id", geom: str = "geom",
+    group: str | None = None, max_level: int = MAX_LEVEL,
 ) -> DataFrame:
     """(group, key, level, x, y): the tile of every feature.
 
-    ``group`` builds one tree per group (one tile set per class). Per level the
-    first N rows of a tile are picked by a ranked limit that Spark applies
-    before the shuffle, so a crowded tile never travels whole.
+    ``group`` builds one tree per group value, with a budget per value given as
+    a dict. Per level the first N rows of a tile are picked by a ranked limit
+    that Spark applies before the shuffle, so a crowded tile never travels whole.
     """
-    group = group or []
-    box = G.st_bbox(geom)
-    rows = df.where(box.isNotNull()).select(
-        *group, key, box.alias("_b"),
-    ).select(
-        *group, key, ((F.col("_b.xmin") + F.col("_b.xmax")) / 2).alias("_cx"), ((F.col("_b.ymin") + F.col("_b.ymax")) / 2).alias("_cy"),
+    groups = [group] if group else []
+    budgets = max_features if isinstance(max_features, dict) else None
+    bound = max(budgets.values()) if budgets else max_features
+    if budgets:
+        df = df.where(F.col(group).isin(list(budgets)))
+        limit = F.create_map(*[F.lit(v) for kv in budgets.items() for v in kv])[F.col(group)]
+    else:
+        limit = F.lit(bound)
+    rows = df.select(*groups, key, G.st_bbox(geom).alias("_b")).where(F.col("_b").isNotNull()).select(
+        *groups, key, ((F.col("_b.xmin") + F.col("_b.xmax")) / 2).alias("_cx"), ((F.col("_b.ymin") + F.col("_b.ymax")) / 2).alias("_cy"),
         G.bbox_area(F.col("_b")).alias("_area"),
     )
     rows = cut_lineage(rows)
-    ext = rows.groupBy(*group).agg(
+    ext = rows.groupBy(*groups).agg(
         F.min("_cx").alias("_x0"), F.min("_cy").alias("_y0"),
         F.greatest(F.max("_cx") - F.min("_cx"), F.max("_cy") - F.min("_cy"), F.lit(1e-9)).alias("_side"),
     )
-    if group:
-        rows = rows.join(ext, group)
+    if groups:
+        rows = rows.join(ext, groups)
     else:
         rows = rows.withColumn("_e", ext.select(F.struct("_x0", "_y0", "_side")).scalar()).select("*", "_e.*").drop("_e")
-    limit = max_features if isinstance(max_features, Column) else F.lit(max_features)
-    tile = [*group, "level", "x", "y"]
-    out = None
-    rest = rows
+    tile = [*groups, "level", "x", "y"]
+    out, rest = None, rows
     for level in range(max_level + 1):
-        here = _split(rest, [], limit, level)
+        here = _split(rest, level)
         if level < max_level:
             w = Window.partitionBy(*tile).orderBy(F.desc("_area"), F.asc(key))
-            ranked = here.withColumn("_rn", F.row_number().over(w))
             # the literal bound lets Spark cut each task's share before the shuffle
-            bound = max_features if isinstance(max_features, int) else None
-            kept = ranked.where(F.col("_rn") <= bound) if bound is not None else ranked.where(F.col("_rn") <= F.col("_limit"))
-        else:
-            kept = here
-        kept = cut_lineage(kept.select(*tile, key))
+            here = here.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= bound).where(F.col("_rn") <= limit)
+        kept = cut_lineage(here.select(*tile, key))
         out = kept if out is None else out.unionByName(kept)
         if level == max_level:
             break
         rest = cut_lineage(rest.join(kept.select(key), key, "left_anti"))
         if rest.isEmpty():
             break
-    return out.select(*group, key, "level", "x", "y")
+    return out.select(*groups, key, "level", "x", "y")
 
 
 def separate_tilesets(df: DataFrame, budgets: dict[str, int], key: str = "id", geom: str = "geom", column: str = "class") -> DataFrame:
-    """One tree per class, each with its own budget."""
-    out = None
-    for name, budget in sorted(budgets.items()):
-        part = quadtree_tiles(df.where(F.col(column) == name), budget, key, geom).withColumn(column, F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out.select(column, key, "level", "x", "y")
+    """One tree per class, each with its own budget, built together."""
+    return quadtree_tiles(df, budgets, key, geom, column)
 
 
 def morton(x: Column, y: Column, bits: int) -> Column:

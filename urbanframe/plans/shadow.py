@@ -82,7 +82,7 @@ def shadow_on_green(base: DataFrame, greens_near: DataFrame) -> DataFrame:
     v = shadow_vectors(base).withColumn("_sbox", _shadow_box())
     g = cut_lineage(greens_near).select(F.col("id").alias("green_id"), F.col("geom").alias("_ggeom"), F.col("bbox").alias("_gbox"))
     pairs = (
-        bbox_join(v, g, "_sbox", "_gbox", cell=64.0)
+        bbox_join(v, g, "_sbox", "_gbox")
         .withColumn("_piece", K.st_intersection(_hull(), F.col("_ggeom")))
         .withColumn("_shaded", G.st_area("_piece"))
         .where(F.col("_shaded") > 0)
