@@ -207,6 +207,34 @@ CHANGELOG_SQL = (
     "(o_totalprice >= 400000 OR o_totalprice <= 50000 OR o_orderstatus = 'P')"
 )
 
+def tiles_sql(cap, body):
+    """The tile rule level by level: keep the largest per tile, hand the rest down."""
+    ctes = [
+        "centres AS (SELECT objectid AS id, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy, (xmax - xmin) * (ymax - ymin) AS area FROM features WHERE xmin IS NOT NULL)",
+        "frame AS (SELECT min(cx) AS x0, min(cy) AS y0, greatest(max(cx) - min(cx), max(cy) - min(cy), 1e-9) AS side FROM centres)",
+        "rest0 AS (SELECT * FROM centres, frame)",
+    ]
+    for n in range(tiles.MAX_LEVEL + 1):
+        size = float(2**n)
+        ctes.append(
+            f"level{n} AS (SELECT *, CAST(least(floor((cx - x0) / side * {size}), {2**n - 1}) AS BIGINT) AS x, "
+            f"CAST(least(floor((cy - y0) / side * {size}), {2**n - 1}) AS BIGINT) AS y FROM rest{n})"
+        )
+        keep = f"rn <= {cap}" if n < tiles.MAX_LEVEL else "true"
+        ctes.append(f"ranked{n} AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY area DESC, id) AS rn FROM level{n})")
+        ctes.append(f"tile{n} AS (SELECT id, {n} AS level, x, y FROM ranked{n} WHERE {keep})")
+        ctes.append(f"rest{n + 1} AS (SELECT id, cx, cy, area, x0, y0, side FROM ranked{n} WHERE NOT ({keep}))")
+    whole = " UNION ALL ".join(f"SELECT * FROM tile{n}" for n in range(tiles.MAX_LEVEL + 1))
+    return oracle(f"WITH {', '.join(ctes)}, tiled AS ({whole}) {body}", "features")
+
+
+SUBTREE_SQL = (
+    "SELECT level - level % 4 AS root_level, x >> (level % 4) AS root_x, y >> (level % 4) AS root_y, level, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS available FROM ("
+    "SELECT DISTINCT level, x, y, " + " + ".join(
+        f"((((x - ((x >> (level % 4)) << (level % 4))) >> {b}) & 1) << {2 * b}) + ((((y - ((y >> (level % 4)) << (level % 4))) >> {b}) & 1) << {2 * b + 1})" for b in range(4)
+    ) + " AS m FROM tiled) GROUP BY 1, 2, 3, 4"
+)
+
 ENTRIES = {
     "material_by_class": (
         lambda s, d: materials.material_by_class(rules_per_brand(s, d)),
@@ -251,11 +279,11 @@ ENTRIES = {
         ),
         oracle("SELECT 10000 AS effective_cap, count(*) AS geometries_total FROM geometries", "geometries"),
     ),
-    "quadtree_tiles": (lambda s, d: _tiles(s, d), None),
+    "quadtree_tiles": (lambda s, d: _tiles(s, d), tiles_sql(400, "SELECT id, level, x, y FROM tiled")),
     "tileset_manifest": (lambda s, d: tiles.tileset_manifest(_store_tiles(s, d), _tiles(s, d)), None),
     "subtree_availability": (
         lambda s, d: tiles.subtree_availability(_tiles(s, d, 50)).withColumn("available", F.array_join(F.transform("available", lambda v: v.cast("string")), ",")),
-        None,
+        tiles_sql(50, SUBTREE_SQL),
     ),
     "separate_tilesets": (
         lambda s, d: tiles.separate_tilesets(_store_tiles(s, d), {"Building": 300, "GroundSurface": 100}).groupBy("class").agg(F.count(F.lit(1)).alias("features")),
