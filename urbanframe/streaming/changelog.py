@@ -8,9 +8,11 @@ known values, no feature id and no reason.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -85,6 +87,10 @@ class ChangeLogger(StatefulProcessor):
         pass
 
 
+# The state logic travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def changelog_stream(changes: DataFrame, objectclass: DataFrame) -> DataFrame:
     """Streaming log of a stream of changes.
 
