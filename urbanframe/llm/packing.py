@@ -204,7 +204,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, closing: int
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    numbered = found.join(first, ["task", "length"]).withColumn("number", F.col("nth") + F.col("first"))
+    numbered = found.join(first.hint("merge"), ["task", "length"]).withColumn("number", F.col("nth") + F.col("first"))
     return numbered.mapInArrow(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )

@@ -4,15 +4,27 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from urbanframe.llm import packing
+from urbanframe.llm import exact_dedup, packing, simhash
 from urbanframe.llm.common import read_table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(read_table(spark, sf_dir, "documents"), words=3, max_bits=3)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("p0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups_of(read_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 ENTRIES = {
+    "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
+    "op6_exact_dedup": (op6_exact_dedup, exact_dedup.ORACLE),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
 }
