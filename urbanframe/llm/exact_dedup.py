@@ -65,23 +65,21 @@ def directory(slots: DataFrame, capacity: int = CAPACITY, bits: int = BITS) -> D
 
 
 def groups_of(docs: DataFrame, capacity: int = CAPACITY, bits: int = BITS, hash_bits: int = 64) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 and the bucket (depth, prefix) of every document."""
+    """doc_id, keep_id, group_size, kept and text_sha256 of every document."""
     listed = entries(docs, hash_bits)
     index = shared(listed.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256")))
     slots = index.groupBy("h").agg(F.count(F.lit(1)).alias("chain"))
     slots = directory(shared(slots), capacity, bits)
     slots = shared(slots.repartitionByRange("prefix", "h").sortWithinPartitions("prefix", "h"))
-    chained = listed.join(slots.where("chain > 1").select("h", "depth", "prefix"), "h")
-    same = chained.groupBy("h", "norm").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"),
-        F.first("depth").alias("depth"), F.first("prefix").alias("prefix"),
+    chained = shared(slots.where("chain > 1").select("h"))  # small enough for Spark to broadcast, or else shuffled
+    same = listed.join(chained, "h").groupBy("h", "norm").agg(
+        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
     )
     same = same.groupBy("h", F.sha2("norm", 256).alias("text_sha256")).agg(
         F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"),
-        F.max("depth").alias("depth"), F.max("prefix").alias("prefix"),
         F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two texts share both digests"))).alias("clash"),
     )
-    groups = shared(same.drop("clash"))
+    groups = shared(same)
     return index.join(groups, ["h", "text_sha256"], "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
