@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanframe.llm import exact_dedup, packing, simhash
+from urbanframe.llm import exact_dedup, packing, quality, simhash, toxicity
 from urbanframe.llm.common import read_table
 
 
@@ -15,16 +15,26 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("p0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups_of(read_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 ENTRIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
+    "op3_toxicity": (op3_toxicity, None),
     "op6_exact_dedup": (op6_exact_dedup, exact_dedup.ORACLE),
+    "op7_quality_classifier": (op7_quality_classifier, None),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
 }
