@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanframe.llm import exact_dedup, packing, quality, simhash, toxicity
+from urbanframe.llm import exact_dedup, packing, quality, simhash, suffix_dedup, toxicity
 from urbanframe.llm.common import read_table
 
 
@@ -19,6 +19,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.measured(read_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups_of(read_table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
     "op3_toxicity": (op3_toxicity, None),
+    "op5_suffix_array_dedup": (op5_suffix_array_dedup, None),
     "op6_exact_dedup": (op6_exact_dedup, exact_dedup.ORACLE),
     "op7_quality_classifier": (op7_quality_classifier, None),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
