@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanframe.llm import exact_dedup, packing, quality, simhash, suffix_dedup, toxicity
+from urbanframe.llm import exact_dedup, license_scan, neighbours, packing, quality, simhash, suffix_dedup, toxicity
 from urbanframe.llm.common import read_table
 
 
@@ -15,6 +15,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("p0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -31,15 +35,21 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 ENTRIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
+    "op2_license_scans": (op2_license_scans, license_scan.oracle()),
     "op3_toxicity": (op3_toxicity, None),
     "op5_suffix_array_dedup": (op5_suffix_array_dedup, None),
     "op6_exact_dedup": (op6_exact_dedup, exact_dedup.ORACLE),
     "op7_quality_classifier": (op7_quality_classifier, None),
+    "op9_nearest_neighbours": (op9_nearest_neighbours, None),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
 }
