@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanframe.llm import exact_dedup, license_scan, neighbours, packing, quality, simhash, suffix_dedup, toxicity
+from urbanframe.llm import exact_dedup, license_scan, neighbours, packing, pieces, quality, simhash, suffix_dedup, token_counts, toxicity
 from urbanframe.llm.common import read_table
 
 
@@ -23,6 +23,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.measured(read_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.counted(read_table(spark, sf_dir, "documents"), path, token_counts.scrubbing)
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(read_table(spark, sf_dir, "embeddings"))
 
@@ -47,9 +56,11 @@ ENTRIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
     "op2_license_scans": (op2_license_scans, license_scan.oracle()),
     "op3_toxicity": (op3_toxicity, None),
+    "op4_sentencepiece": (op4_sentencepiece, None),
     "op5_suffix_array_dedup": (op5_suffix_array_dedup, None),
     "op6_exact_dedup": (op6_exact_dedup, exact_dedup.ORACLE),
     "op7_quality_classifier": (op7_quality_classifier, None),
+    "op8_token_counts": (op8_token_counts, None),
     "op9_nearest_neighbours": (op9_nearest_neighbours, None),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
 }
