@@ -46,6 +46,8 @@ GRAM = 20
 CROWDED = 4096
 #: Bytes of segments in one transform, and of text that is cut into segments at once.
 TRANSFORM_BYTES, BLOCK = 1 << 20, 1 << 20
+#: Contents whose earliest place a task remembers.
+SEEN = 200_000
 #: A longer document is cut into segments piece by piece.
 PIECE = 1 << 24
 
@@ -133,10 +135,39 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+class Seen:
+    """Earliest place a task has met of each content; a later place is known to be a copy before the shuffle.
+
+    So a content that a third of all documents share sends a few rows of each
+    task to its key, and the copies go anywhere.
+    """
+
+    def __init__(self):
+        self.first: dict[int, tuple[int, int]] = {}
+
+    def rows(self, key: np.ndarray, same: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        content = (key ^ ((same << np.uint64(1)) | (same >> np.uint64(63)))).tolist()
+        first, keep, copy = self.first, np.ones(len(key), bool), np.zeros(len(key), bool)
+        for i, (x, place) in enumerate(zip(content, zip(doc.tolist(), at.tolist(), strict=True), strict=True)):
+            before = first.get(x)
+            if before is None or place < before:
+                first[x] = place
+            elif place == before:
+                keep[i] = False
+            else:
+                copy[i] = True
+        if len(first) > SEEN:
+            first.clear()
+        key = np.where(copy, _mixed(doc.astype(np.uint64) ^ (at.astype(np.uint64) << np.uint64(20))), key)
+        columns = [pa.array(copy[keep]), *(pa.array(x[keep].view(np.int64)) for x in (key, same, doc, at))]
+        return pa.RecordBatch.from_arrays(columns, names=["copy", "key", "same", "doc_id", "at"])
+
+
 def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """key, same, doc_id, at of all segments of documents (doc_id, text, tag)."""
+    """copy, key, same, doc_id, at of all segments of documents (doc_id, text, tag)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
             for first, texts in blocks(batch.column("text"), BLOCK):
@@ -147,16 +178,13 @@ def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
                     key, same, start, windows = cut_segments(data[lo:hi], own, length, gram)
                     doc = np.searchsorted(bounds, start + lo, side="right") - 1
                     at = place(tags[first + doc], start + lo - bounds[doc], windows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(same.view(np.int64)), pa.array(ids[first + doc]), pa.array(at)],
-                        names=["key", "same", "doc_id", "at"],
-                    )
+                    yield seen.rows(key, same, ids[first + doc], at)
 
-    return docs.mapInArrow(cut, "key long, same long, doc_id long, at long")
+    return docs.mapInArrow(cut, "copy boolean, key long, same long, doc_id long, at long")
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, same, doc_id, at): the earliest of equal segments as an entry, the others as copies.
+    """Of rows sorted by (copy, key, same, doc_id, at): the earliest of equal segments as an entry, the others as copies.
 
     Entries of a key without any other row are dropped, and so is a place that
     comes twice. Only the last row is carried from batch to batch.
@@ -164,6 +192,12 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["key", "same", "doc_id", "at"]
     held, before = None, None
     for batch in batches:
+        known = batch.column("copy")
+        if pc.any(known).as_py():
+            yield batch.filter(known).select(["key", "doc_id", "at"]).add_column(0, "entry", pa.array([False] * known.true_count))
+            batch = batch.filter(pc.invert(known))
+            if not batch.num_rows:
+                continue
         new = [batch.column(c).to_numpy() for c in names]
         rows = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
         yield from _classes([x[:-1] for x in rows], before, [x[-1] for x in rows])
@@ -322,6 +356,7 @@ def _fetch(length: int):
     """Documents with their entries -> the entries' bytes, or for crowded anchors the digests of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             for first, texts in blocks(batch.column("text"), BLOCK):
                 data, bounds = _bytes(texts)
@@ -338,19 +373,17 @@ def _fetch(length: int):
                 cut = [held[a:b] for a, b in zip(start[plain].tolist(), ends[plain].tolist(), strict=True)]
                 n = len(plain)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[plain]), pa.nulls(n, pa.int64()), pa.array(ids[doc[plain]]), pa.array(at[plain]), pa.array(cut, pa.binary())],
-                    names=["key", "same", "doc_id", "at", "bytes"],
+                    [pa.nulls(n, pa.bool_()), pa.array(key[plain]), pa.nulls(n, pa.int64()), pa.array(ids[doc[plain]]), pa.array(at[plain]), pa.array(cut, pa.binary())],
+                    names=["copy", "key", "same", "doc_id", "at", "bytes"],
                 )
                 if n < len(key):
                     other = np.flatnonzero(crowded)
                     single = ranges(start[other], windows[other])
                     owner = np.repeat(other, windows[other])
-                    one, two = (_mixed(Digests(data, i).of(single, single + length)).view(np.int64) for i in range(2))
+                    one, two = (_mixed(Digests(data, i).of(single, single + length)) for i in range(2))
                     where = place(tag[owner], single - bounds[doc[owner]], np.int64(1))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(one), pa.array(two), pa.array(ids[doc[owner]]), pa.array(where), pa.nulls(len(one), pa.binary())],
-                        names=["key", "same", "doc_id", "at", "bytes"],
-                    )
+                    rows = seen.rows(one, two, ids[doc[owner]], where)
+                    yield rows.append_column("bytes", pa.nulls(rows.num_rows, pa.binary()))
 
     return run
 
@@ -358,7 +391,7 @@ def _fetch(length: int):
 def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:
     """doc_id, tag, places: for each document with repeats, the list of places (start, windows packed by ``place``)."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _tag().alias("tag"))
-    by_content = ["key", "same", "doc_id", "at"]
+    by_content = ["copy", "key", "same", "doc_id", "at"]
     rows = segments(texts, length, gram).repartition("key").sortWithinPartitions(*by_content)
     known = shared(rows.mapInArrow(_collapse, "entry boolean, key long, doc_id long, at long"))
     entries = known.where("entry").select("key", "doc_id", "at")
@@ -367,7 +400,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: i
     tag = lambda c: F.shiftright(c, 48)
     lists = entries.groupBy("doc_id", tag(F.col("e.at")).alias("tag")).agg(F.collect_list("e").alias("entries"))
     fetched = texts.join(lists, ["doc_id", "tag"]).select("doc_id", "text", "entries")
-    fetched = shared(fetched.mapInArrow(_fetch(length), "key long, same long, doc_id long, at long, bytes binary"))
+    fetched = shared(fetched.mapInArrow(_fetch(length), "copy boolean, key long, same long, doc_id long, at long, bytes binary"))
     plain = fetched.where("same is null").select("key", "doc_id", "at", "bytes").repartition("key").sortWithinPartitions("key")
     found = plain.mapInArrow(_transform(length), "doc_id long, at long")
     single = fetched.where("same is not null").select(*by_content).repartition("key").sortWithinPartitions(*by_content)
