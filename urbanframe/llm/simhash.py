@@ -146,20 +146,8 @@ def _differ(a: np.ndarray, b: np.ndarray, wild: np.ndarray) -> np.ndarray:
     return (wild < 0) | (((a[rows, p] ^ b[rows, p]) >> shift) & np.uint64(1)).astype(bool)
 
 
-def links_within(values: np.ndarray, wild: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked rows of one key as stars: (row, first row of its component); blocks bound the memory."""
-    n = len(values)
-    left, right = [], []
-    for i in range(0, n, 256):
-        near = _distance(values[i : i + 256, None], values[None]) <= max_bits
-        if wild >= 0:
-            bit = (values[:, wild // 64] >> np.uint64(wild % 64)) & np.uint64(1)
-            near &= bit[i : i + 256, None] != bit[None]
-        a, b = np.nonzero(near)
-        a += i
-        left.append(a[a < b])
-        right.append(b[a < b])
-    left, right = np.concatenate(left), np.concatenate(right)
+def _lowest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of n rows the first row of its component."""
     top = np.arange(n)
     while len(left):
         low = np.minimum(top[left], top[right])
@@ -169,8 +157,44 @@ def links_within(values: np.ndarray, wild: int, max_bits: int) -> tuple[np.ndarr
         top = top[top]
         if (before == top).all():
             break
-    rows = np.flatnonzero(top != np.arange(n))
-    return rows, top[rows]
+    return top
+
+
+def links_within(values: np.ndarray, wild: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the rows of one key; blocks bound the memory.
+
+    Under a full key every row gets a link to the first of its component. Under a
+    key with a bit left out, rows that agree in that bit meet under the full key
+    anyway, so only what joins their components is returned.
+    """
+    n = len(values)
+    left, right = [], []
+    for i in range(0, n, 256):
+        a, b = np.nonzero(_distance(values[i : i + 256, None], values[None]) <= max_bits)
+        a += i
+        left.append(a[a < b])
+        right.append(b[a < b])
+    left, right = np.concatenate(left), np.concatenate(right)
+    if wild < 0:
+        top = _lowest(n, left, right)
+        rows = np.flatnonzero(top != np.arange(n))
+        return rows, top[rows]
+    bit = (values[:, wild // 64] >> np.uint64(wild % 64)) & np.uint64(1)
+    across = bit[left] != bit[right]
+    top = _lowest(n, left[~across], right[~across])
+    left, right = left[across], right[across]
+    _, one = np.unique(np.minimum(top[left], top[right]) * n + np.maximum(top[left], top[right]), return_index=True)
+    above, kept = {}, []
+    for k in one.tolist():
+        ends = []
+        for x in (int(top[left[k]]), int(top[right[k]])):
+            while x in above:
+                x = above[x]
+            ends.append(x)
+        if ends[0] != ends[1]:
+            above[max(ends)] = min(ends)
+            kept.append(k)
+    return left[kept], right[kept]
 
 
 class _Matcher:
