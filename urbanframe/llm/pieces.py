@@ -35,7 +35,7 @@ from urbanframe.llm.common import text_blocks
 MARK = "▁"
 NO_PIECE = "\ue000"
 #: Stretches a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Characters that are read before the search looks for a common boundary again.
 LOOK = 16
 _MODELS: dict[str, Pieces] = {}
@@ -61,7 +61,9 @@ class Pieces:
         }
         self.score.pop(NO_PIECE, None)
         self.longest = max(map(len, self.score))
-        self.suffixes = {p[i:] for p in self.score for i in range(len(p))}
+        # what pieces can end with: (score, ids) of a piece, None of a mere ending
+        self.endings = dict.fromkeys(p[i:] for p in self.score for i in range(len(p)))
+        self.endings |= {p: (s, (i,)) for p, (s, i) in self.score.items()}
         self.splits = all(MARK not in p.lstrip(MARK) for p in self.score)
         self.fallback = min(s for s, _ in self.score.values()) - 10
         self.text = {i: p.replace(MARK, " ").encode() for p, (_, i) in self.score.items()} | {i: bytes([b]) for b, i in self.byte.items()}
@@ -138,26 +140,27 @@ class StreamingViterbi:
         return out
 
     def _read(self, text: str) -> None:
-        look, suffixes, fallback = self.pieces.score.get, self.pieces.suffixes, self.pieces.fallback
+        look, fallback = self.pieces.endings.get, self.pieces.fallback
         best, back, ids = self.best, self.back, self.ids
         begin = len(self.held)
         # a literal mark is no blank: it becomes a character that no piece has
         self.held = held = self.held + text.replace(MARK, NO_PIECE).replace(" ", MARK)
         for end in range(begin + 1, len(held) + 1):
-            start, top, origin, way = end - 1, -math.inf, 0, ()
-            part = held[start]
-            bare = part not in suffixes or look(part) is None
-            while part in suffixes:  # else no longer piece can end here either
-                found = look(part)
-                if found is not None and best[start] + found[0] >= top:
-                    top, origin, way = best[start] + found[0], start, (found[1],)
-                start -= 1
-                if start < 0:
+            start = last = end - 1
+            top, origin, way = -math.inf, last, None
+            found = look(held[last], 0)
+            bare = not found
+            while found != 0:  # 0: no piece ends like this, so no longer one does
+                if found is not None:
+                    value = best[start] + found[0]
+                    if value >= top:
+                        top, origin, way = value, start, found[1]
+                if not start:
                     break
-                part = held[start:end]
-            if bare and best[end - 1] + fallback > top:
-                top, origin = best[end - 1] + fallback, end - 1
-                way = tuple(self.pieces.bytes_of(text[end - 1 - begin]))
+                start -= 1
+                found = look(held[start:end], 0)
+            if bare and best[last] + fallback > top:
+                top, origin, way = best[last] + fallback, last, self.pieces.bytes_of(text[last - begin])
             best.append(top)
             back.append(origin)
             ids.append(way)
