@@ -68,6 +68,7 @@ class Pieces:
         self.fallback = min(s for s, _ in self.score.values()) - 10
         self.text = {i: p.replace(MARK, " ").encode() for p, (_, i) in self.score.items()} | {i: bytes([b]) for b, i in self.byte.items()}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -76,19 +77,23 @@ class Pieces:
         """The ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        known = self.known
         stretches = self.stretches(text)
         try:
-            return b"".join(map(known.__getitem__, stretches))
+            return b"".join(map(self.known.__getitem__, stretches))
         except KeyError:
-            pass
-        for x in stretches:
-            if x not in known:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                    return b"".join(self.search(y) for y in stretches)
-                known[x] = self.search(x)
-        return b"".join(map(known.__getitem__, stretches))
+            return b"".join(map(self._remembered, stretches))
+
+    def _remembered(self, stretch: str) -> bytes:
+        """Two generations: what is asked for again moves to the younger, and the older one is dropped when that is full."""
+        got = self.known.get(stretch)
+        if got is None:
+            got = self.older.get(stretch)
+            if got is None:
+                got = self.search(stretch)
+            if len(self.known) >= REMEMBERED // 2:
+                self.older, self.known = self.known, {}
+            self.known[stretch] = got
+        return got
 
     def stretches(self, text: str) -> list[str]:
         """The text cut at blanks; a blank belongs to what follows it (the mark is put by ``search``)."""
