@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from urbanframe.functions import geometry as G
@@ -17,17 +18,63 @@ from urbanframe.sources import tables, vector
 from conftest import SF
 
 
-def test_dense_id_both_ways(spark):
+def test_dense_id(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
-    for limit in (0, 10_000):
-        got = [tuple(r) for r in dense_id(df, ["v"], "gid", one_task_rows=limit).collect()]
-        assert sorted(got) == [(i + 1, i) for i in range(1000)]
+    got = [tuple(r) for r in dense_id(df, ["v"], "gid").collect()]
+    assert sorted(got) == [(i + 1, i) for i in range(1000)]
 
 
-def test_rank_in_group_both_ways(spark):
+def test_tiles_keep_rows_of_repeated_keys(spark):
+    rows = spark.range(10).select((F.col("id") % 3).alias("id"), G.st_rectangle(
+        F.col("id") * 1.0, F.lit(0.0), F.col("id") + 1.0, F.lit(1.0)).alias("geom"))
+    assert tiles.quadtree_tiles(rows, 2).count() == 10
+
+
+def test_lines_of_a_collection(spark, tmp_path):
+    path = str(tmp_path / "layer.json")
+    square = '{"type": "Polygon", "coordinates": [[[0,0],[1,0],[1,1],[0,0]]]}'
+    lines = [
+        '{"type":"FeatureCollection","features":[',
+        f'{{"type":"Feature","properties":{{"ID":1}},"geometry":{square}}}',
+        f',{{"geometry":{square},"type": "Feature","properties":{{"ID":2}}}}',
+        f',{{"properties":{{"ID":3}},"type" : "Feature","geometry":{square}}}', "]}",
+    ]
+    with open(path, "w") as f:
+        f.write("\n".join(lines))
+    got = vector.read_feature_collection(spark, path, "ID bigint", srid=3879, target=None, by_line=True)
+    assert sorted(r.id for r in got.select("id").collect()) == [1, 2, 3]
+
+
+def test_multi_kinds_stay_in_geojson(spark):
+    texts = [
+        '{"type":"MultiLineString","coordinates":[[[0.0,0.0],[1.0,1.0]],[[2.0,2.0],[3.0,3.0]]]}',
+        '{"type":"MultiPoint","coordinates":[[0.0,0.0],[1.0,1.0]]}',
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select("t", vector.to_geojson(vector.geojson_geometry(F.col("t"), 3879)).alias("back")).collect()
+    assert all(r.back == r.t for r in got)
+
+
+def test_holes_of_surfaces(spark, tmp_path):
+    ring = lambda a, b: f"{a} {a} 0 {b} {a} 0 {b} {b} 0 {a} {b} 0 {a} {a} 0"
+    xml = (
+        '<m><bldg:Building gml:id="B1"><bldg:boundedBy><bldg:GroundSurface gml:id="G1"><bldg:lod2MultiSurface><gml:MultiSurface>'
+        '<gml:surfaceMember><gml:Polygon gml:id="p"><gml:exterior><gml:LinearRing><gml:posList>' + ring(0, 10) + "</gml:posList>"
+        "</gml:LinearRing></gml:exterior><gml:interior><gml:LinearRing><gml:posList>" + ring(2, 8) + "</gml:posList></gml:LinearRing>"
+        "</gml:interior></gml:Polygon></gml:surfaceMember></gml:MultiSurface></bldg:lod2MultiSurface></bldg:GroundSurface>"
+        "</bldg:boundedBy></bldg:Building></m>"
+    )
+    path = tmp_path / "city.xml"
+    path.write_text(xml)
+    got = vector.read_citygml(spark, str(path))["geometry_data"]
+    assert got.select(G.st_area("geometry")).first()[0] == 64.0
+
+
+def test_rank_in_group(spark):
     df = spark.range(900).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 50).alias("g"), F.col("id").alias("v"))
-    a = {tuple(r) for r in rank_in_group(df, "g", [F.desc("v")], "r", one_task_rows=0).select("g", "v", "r").collect()}
-    b = {tuple(r) for r in rank_in_group(df, "g", [F.desc("v")], "r").select("g", "v", "r").collect()}
+    a = {tuple(r) for r in rank_in_group(df, "g", [F.desc("v")], "r").select("g", "v", "r").collect()}
+    own = Window.partitionBy("g").orderBy(F.desc("v"))
+    b = {tuple(r) for r in df.withColumn("r", F.row_number().over(own)).select("g", "v", "r").collect()}
     assert a == b and len(a) == 900
 
 

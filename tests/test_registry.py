@@ -20,7 +20,8 @@ SAMPLE = [
 def duck():
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
-    for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+    tables = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+    for n in tables.split():
         con.execute(f"create view {n} as select * from '{SF}/{n}.parquet'")
     return con
 

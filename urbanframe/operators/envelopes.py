@@ -11,7 +11,6 @@ from urbanframe.session import cut_lineage
 
 IDENTITY = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
 MATRIX_SIZE = 12
-MAX_ROUNDS = 1000
 
 
 def geometry_envelope(geom) -> Column:
@@ -83,7 +82,7 @@ def feature_envelopes(
     roots = feature.select("id") if ids is None else feature.select("id").join(ids.select("id"), "id", "left_semi")
     reach = cut_lineage(roots.select(F.col("id").alias("root"), "id"))
     front = reach
-    for _ in range(MAX_ROUNDS):
+    while True:  # ends with the pairs: those reached are not followed again
         step = front.join(edges, "id").select("root", F.col("child").alias("id")).distinct().join(reach, ["root", "id"], "left_anti")
         front = cut_lineage(step)
         if front.isEmpty():

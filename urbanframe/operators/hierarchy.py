@@ -27,7 +27,7 @@ def class_closure(objectclass: DataFrame, root: int, skip_abstract: bool = False
     )
 
 
-def descend(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def descend(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """All ids reachable from the roots (roots included) over edges (parent, child).
 
     Each round follows the newest ids only and drops those seen before, so
@@ -36,7 +36,7 @@ def descend(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataF
     """
     seen = cut_lineage(roots.select("id").where("id is not null").distinct())
     frontier = seen
-    for _ in range(max_rounds):
+    while True:
         step = (
             edges.join(frontier.select(F.col("id").alias("parent")), "parent")
             .select(F.col("child").alias("id")).where("id is not null").distinct()
@@ -46,7 +46,6 @@ def descend(edges: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataF
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)
-    raise RuntimeError("hierarchy deeper than the round limit")
 
 
 def property_subtree(prop: DataFrame, ids: DataFrame) -> DataFrame:
@@ -65,26 +64,3 @@ def containment(prop: DataFrame) -> DataFrame:
 def feature_subtree(prop: DataFrame, roots: DataFrame) -> DataFrame:
     """Features contained in the roots at any depth, the roots included."""
     return descend(containment(prop), roots)
-
-
-def feature_ancestry(prop: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(root, id) for every feature of a containment tree and all it contains.
-
-    Pairs of one root spread over the shuffle by both ids; nothing is collected
-    per root.
-    """
-    edges = containment(prop).distinct()
-    nodes = edges.select(F.col("parent").alias("root")).union(edges.select(F.col("child").alias("root"))).distinct()
-    seen = cut_lineage(nodes.select("root", F.col("root").alias("id")))
-    frontier = seen
-    for _ in range(max_rounds):
-        step = (
-            frontier.join(edges, frontier["id"] == edges["parent"])
-            .select("root", F.col("child").alias("id")).distinct()
-            .join(seen, ["root", "id"], "left_anti")
-        )
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier)
-    raise RuntimeError("hierarchy deeper than the round limit")

@@ -5,30 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urbanframe.session import cut_lineage, largest_group
+from urbanframe.session import cut_lineage
 
 _SHIFT = 33  # bits below the partition number in monotonically_increasing_id
-# A sort of at most this many rows may run in one task; beyond it the work is spread.
-ONE_TASK_ROWS = 200_000
 
 
 def dense_id(
     df: DataFrame, order: list[str | Column], name: str = "gid", start: int = 1,
-    settled: bool = False, one_task_rows: int = ONE_TASK_ROWS,
+    settled: bool = False,
 ) -> DataFrame:
     """``row_number() OVER (ORDER BY ...)`` over the whole frame; the order should be unique.
 
-    The input is written once (unless ``settled``: cheap to read again) and
-    counted. A small frame is numbered in one task. A larger one is
+    The input is written once (unless ``settled``: cheap to read again),
     range-partitioned by the order, numbered inside each partition and shifted
     by the rows before it; it is written with its partition numbers, so both
     passes agree even when tasks are repeated.
     """
     columns = df.columns
     df = df if settled else cut_lineage(df)
-    if df.limit(one_task_rows + 1).count() <= one_task_rows:
-        number = F.row_number().over(Window.orderBy(*order)) + (start - 1)
-        return df.select(number.cast("long").alias(name), *columns)
     marked = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -50,21 +44,17 @@ def dense_id(
 
 
 def rank_in_group(
-    df: DataFrame, group: str, order: list[Column], name: str = "rank", one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, group: str, order: list[Column], name: str = "rank"
 ) -> DataFrame:
     """``row_number() OVER (PARTITION BY group ORDER BY ...)`` for groups of any size.
 
-    With bounded groups this is one window. If any group is larger, the frame is
-    sorted globally by group and order, and the rank is the position minus the
-    first position of the group.
+    The frame is sorted globally by group and order, and the rank is the position
+    minus the first position of the group, so no group has to fit into a task.
     """
-    df = cut_lineage(df)
-    if largest_group(df, [group]) <= one_task_rows:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
-    rows = dense_id(df, [F.col(group), *order], "_pos", settled=True, one_task_rows=0)
+    rows = dense_id(df, [F.col(group), *order], "_pos")
     first = rows.groupBy(group).agg(F.min("_pos").alias("_first"))
     return (
-        rows.join(first, group)
+        rows.join(first, rows[group].eqNullSafe(first[group])).drop(first[group])
         .withColumn(name, F.col("_pos") - F.col("_first") + 1)
         .select(*df.columns, name)
     )

@@ -14,7 +14,6 @@ from urbanframe.schema import data_tables
 from urbanframe.session import cut_lineage
 
 Store = dict[str, DataFrame]
-MAX_ROUNDS = 1000
 
 
 def without(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
@@ -155,7 +154,7 @@ def _property_closure(prop: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataF
     """Property ids removed with the given ones, and the ids pulled in by a same-named parent."""
     start = cut_lineage(_ids(ids, "id"))
     cascaded, reached, front = None, start, start
-    for _ in range(MAX_ROUNDS):
+    while True:  # ends with the ids: reached ones are not followed again
         up = cut_lineage(same_named_parents(prop, front))
         if cascaded is None:
             cascaded = _ids(up, "id")
@@ -177,7 +176,7 @@ def _cascade(store: Store, start: DataFrame, start_props: DataFrame | None) -> t
     front = features
     owned_rule = F.col("val_feature_id").isNull() | (F.col("val_relation_type") == CONTAINS)
     dropped = None
-    for step in range(MAX_ROUNDS):
+    while True:
         new = among(prop, front, "feature_id").withColumn("owns", owned_rule)
         # rows elsewhere that point at the deleted features
         referring = without(_ids(among(prop, front, "val_feature_id"), "id"), new.select("id"))
@@ -189,22 +188,22 @@ def _cascade(store: Store, start: DataFrame, start_props: DataFrame | None) -> t
             pulled = pulled.join(referring.withColumn("_ref", F.lit(True)), "id", "left")
             pulled = pulled.withColumn("owns", F.col("owns") | F.coalesce("_ref", F.lit(False))).drop("_ref")
             new = new.unionByName(pulled)
-        if step == 0 and start_props is not None:
+        if dropped is None and start_props is not None:
             new = new.unionByName(among(prop, start_props, "id").withColumn("owns", owned_rule))
         new = new.groupBy(*_EDGE).agg(F.max("owns").alias("owns"))
         dropped = cut_lineage(new if dropped is None else dropped.unionByName(new).groupBy(*_EDGE).agg(F.max("owns").alias("owns")))
         inside = dropped.where((F.col("val_relation_type") == CONTAINS) & F.col("owns"))
         candidates = without(_ids(inside, "val_feature_id"), features)
-        held = without(prop, dropped.select("id")).select(
+        rest = among(prop.where("val_feature_id is not null"), candidates, "val_feature_id")
+        held = without(rest, dropped.select("id")).select(
             F.col("val_feature_id").alias("id"), (F.coalesce("val_relation_type", F.lit(0)) == 0).alias("_loose")
         )
-        held = held.where("id is not null").groupBy("id").agg(F.max("_loose").alias("_loose"))
+        held = held.groupBy("id").agg(F.max("_loose").alias("_loose"))
         free = candidates.join(held, "id", "left").where(F.coalesce("_loose", F.lit(True))).select("id")
         front = cut_lineage(free)
         if front.isEmpty():
             return features, dropped
         features = cut_lineage(features.union(front).distinct())
-    raise RuntimeError("cascade deeper than the round limit")
 
 
 # ---------------------------------------------------------------- operators
