@@ -53,7 +53,7 @@ def quadtree_tiles(
         *groups, key, ((F.col("_b.xmin") + F.col("_b.xmax")) / 2).alias("_cx"), ((F.col("_b.ymin") + F.col("_b.ymax")) / 2).alias("_cy"),
         G.bbox_area(F.col("_b")).alias("_area"),
     )
-    rows = cut_lineage(rows)
+    rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))  # keys may repeat
     ext = rows.groupBy(*groups).agg(
         F.min("_cx").alias("_x0"), F.min("_cy").alias("_y0"),
         F.greatest(F.max("_cx") - F.min("_cx"), F.max("_cy") - F.min("_cy"), F.lit(1e-9)).alias("_side"),
@@ -67,14 +67,14 @@ def quadtree_tiles(
     for level in range(max_level + 1):
         here = _split(rest, level)
         if level < max_level:
-            w = Window.partitionBy(*tile).orderBy(F.desc("_area"), F.asc(key))
+            w = Window.partitionBy(*tile).orderBy(F.desc("_area"), F.asc(key), F.asc("_row"))
             # the literal bound lets Spark cut each task's share before the shuffle
             here = here.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= bound).where(F.col("_rn") <= limit)
-        kept = cut_lineage(here.select(*tile, key))
+        kept = cut_lineage(here.select(*tile, key, "_row"))
         out = kept if out is None else out.unionByName(kept)
         if level == max_level:
             break
-        rest = cut_lineage(rest.join(kept.select(key), key, "left_anti"))
+        rest = cut_lineage(rest.join(kept.select("_row"), "_row", "left_anti"))
         if rest.isEmpty():
             break
     return out.select(*groups, key, "level", "x", "y")

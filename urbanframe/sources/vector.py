@@ -44,14 +44,19 @@ def geojson_geometry(text: Column, srid: int) -> Column:
 
 
 def to_geojson(g) -> Column:
-    """GeoJSON text of a geometry; polygons become MultiPolygon."""
+    """GeoJSON text of a geometry; polygons become MultiPolygon, other kinds keep theirs."""
     g = F.col(g) if isinstance(g, str) else g
     xy = F.transform(g["parts"], lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
     kind = g["kind"]
     point = F.to_json(F.struct(F.lit("Point").alias("type"), xy[0][0][0].alias("coordinates")))
     line = F.to_json(F.struct(F.lit("LineString").alias("type"), xy[0][0].alias("coordinates")))
     many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), xy.alias("coordinates")))
-    return F.when(kind == "Point", point).when(kind == "LineString", line).otherwise(many)
+    points = F.to_json(F.struct(F.lit("MultiPoint").alias("type"), F.transform(xy, lambda p: p[0][0]).alias("coordinates")))
+    lines = F.to_json(F.struct(F.lit("MultiLineString").alias("type"), F.transform(xy, lambda p: p[0]).alias("coordinates")))
+    return (
+        F.when(kind == "Point", point).when(kind == "LineString", line)
+        .when(kind == "MultiPoint", points).when(kind == "MultiLineString", lines).otherwise(many)
+    )
 
 
 def read_feature_collection(
@@ -68,8 +73,13 @@ def read_feature_collection(
     one = f"struct<type:string, properties:struct<{properties}>, geometry:string>"
     if by_line:
         text = F.regexp_replace("value", "^[, ]+|[, ]+$", "")
-        lines = spark.read.text(path).select(text.alias("value")).where(F.col("value").startswith('{"type":"Feature"') & F.col("value").endswith("}"))
-        f = lines.select(F.from_json("value", one).alias("f"))
+        lines = spark.read.text(path).select(text.alias("value")).where(F.col("value").startswith("{"))
+        # the line that opens the collection ends inside it; every other object must be a feature
+        opening = F.col("value").rlike(r'"FeatureCollection"') & ~F.col("value").endswith("}")
+        f = lines.where(~opening).select(F.from_json("value", one).alias("f"))
+        # a line that cannot be parsed has no type either
+        wrong = F.raise_error(F.lit("by_line: a line is no feature")).cast("boolean")
+        f = f.where(F.when(F.col("f.type") == "Feature", True).otherwise(wrong))
     else:
         doc = spark.read.schema(f"type string, features array<{one}>").option("multiLine", True).json(path)
         f = doc.select(F.explode("features").alias("f"))
@@ -119,7 +129,8 @@ def write_geojson_layer(df: DataFrame, path: str, geom: str = "geom") -> None:
 _SURFACE_TAGS = ("GroundSurface", "RoofSurface", "WallSurface")
 _POLY = (
     "struct<`gml:surfaceMember`:array<struct<`gml:Polygon`:struct<`_gml:id`:string,"
-    "`gml:exterior`:struct<`gml:LinearRing`:struct<`gml:posList`:string>>>>>>"
+    "`gml:exterior`:struct<`gml:LinearRing`:struct<`gml:posList`:string>>,"
+    "`gml:interior`:array<struct<`gml:LinearRing`:struct<`gml:posList`:string>>>>>>>"
 )
 _SURFACE = f"struct<`_gml:id`:string,`bldg:lod2MultiSurface`:struct<`gml:MultiSurface`:{_POLY}>>"
 CITYGML_BUILDING_DDL = (
@@ -151,7 +162,11 @@ def read_citygml(spark: SparkSession, path: str, srid: int = METRIC, row_tag: st
         each = part if each is None else each.unionByName(part)
     each = each.withColumn("objectid", F.coalesce("objectid", F.concat_ws("_", F.col("owner").cast("string"), "classname", F.col("n").cast("string"))))
     each = each.withColumn("id", F.xxhash64("objectid"))
-    ring = F.transform("members", lambda m: F.array(pos_list(m["gml:Polygon"]["gml:exterior"]["gml:LinearRing"]["gml:posList"])))
+    outer = lambda p: pos_list(p["gml:exterior"]["gml:LinearRing"]["gml:posList"])
+    holes = lambda p: F.coalesce(p["gml:interior"], F.array())
+    ring = F.transform("members", lambda m: F.concat(
+        F.array(outer(m["gml:Polygon"])), F.transform(holes(m["gml:Polygon"]), lambda h: pos_list(h["gml:LinearRing"]["gml:posList"]))
+    ))
     geometry = each.select("id", G.geometry("MultiPolygon", ring, srid).alias("geometry"), F.col("id").alias("feature_id"))
     boxes = each.select("owner", G.st_bbox(G.geometry("MultiPolygon", ring, srid)).alias("_b")).groupBy("owner").agg(G.extent_agg(F.col("_b")).alias("_b"))
     features = b.join(boxes, b["id"] == boxes["owner"], "left").select(
