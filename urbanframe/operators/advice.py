@@ -74,8 +74,11 @@ def class_property_keys(store: dict[str, DataFrame]) -> DataFrame:
     parent = store["property"].select(
         F.col("id").alias("parent_id"), F.col("namespace_id").alias("_n2"), F.col("name").alias("_p2")
     )
+    own = f.join(p, "feature_id", "left")
     ids = (
-        f.join(p, "feature_id", "left").join(parent, "parent_id", "left")
+        # most properties have no parent: only those that do look for its name
+        own.where("parent_id is not null").join(parent, "parent_id", "left")
+        .unionByName(own.where("parent_id is null"), allowMissingColumns=True)
         .select("objectclass_id", "_n1", "_p1", "_n2", "_p2").distinct()
     )
     oc = store["objectclass"].select(F.col("id").alias("objectclass_id"), "classname")

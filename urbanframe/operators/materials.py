@@ -112,7 +112,11 @@ def surface_materials(geometry_data: DataFrame, mapping: DataFrame, surface_data
         F.col("id").alias("surface_data_id"), "x3d_diffuse_color", "x3d_shininess", "x3d_ambient_intensity",
         "x3d_emissive_color", "x3d_specular_color",
     )
-    rows = geometry_surfaces(geometry_data).join(mapped_surfaces(mapping), "surface", "left").join(sd, "surface_data_id", "left")
+    rows = geometry_surfaces(geometry_data).join(mapped_surfaces(mapping), "surface", "left")
+    # most surfaces have no material: only those that do are looked up
+    rows = rows.where("surface_data_id is not null").join(sd, "surface_data_id", "left").unionByName(
+        rows.where("surface_data_id is null"), allowMissingColumns=True
+    )
     return rows.where(
         F.col("texture_mapping").isNull() & F.col("world_to_texture_mapping").isNull()
         & F.col("georeferenced_texture_mapping").isNull()
@@ -121,14 +125,10 @@ def surface_materials(geometry_data: DataFrame, mapping: DataFrame, surface_data
 
 def roughness_colour() -> Column:
     shine, ambient = F.col("x3d_shininess"), F.col("x3d_ambient_intensity")
-    has = F.col("x3d_diffuse_color").isNotNull()
-    # Channel texts are not padded, as published.
-    return (
-        F.when(has & shine.isNotNull() & ambient.isNotNull(), F.concat(F.lit("#"), hex_byte(shine), hex_byte(ambient), F.lit("00")))
-        .when(has & shine.isNotNull(), F.concat(F.lit("#"), hex_byte(shine), F.lit("0000")))
-        .when(has & ambient.isNotNull(), F.concat(F.lit("#00"), hex_byte(ambient), F.lit("00")))
-        .otherwise(DEFAULT_ROUGHNESS)
-    )
+    # Two channels, of which one may be missing; channel texts are not padded.
+    known = F.col("x3d_diffuse_color").isNotNull() & F.coalesce(shine, ambient).isNotNull()
+    red, green = (F.coalesce(hex_byte(c), F.lit("00")) for c in (shine, ambient))
+    return F.when(known, F.concat(F.lit("#"), red, green, F.lit("00"))).otherwise(DEFAULT_ROUGHNESS)
 
 
 def _values(col: Column) -> Column:

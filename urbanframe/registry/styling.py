@@ -87,10 +87,8 @@ def _hex(v):
 
 
 ROUGH = (
-    "CASE WHEN x3d_diffuse_color IS NOT NULL AND x3d_shininess IS NOT NULL AND x3d_ambient_intensity IS NOT NULL "
-    f"THEN '#' || {_hex('x3d_shininess')} || {_hex('x3d_ambient_intensity')} || '00' "
-    f"WHEN x3d_diffuse_color IS NOT NULL AND x3d_shininess IS NOT NULL THEN '#' || {_hex('x3d_shininess')} || '0000' "
-    f"WHEN x3d_diffuse_color IS NOT NULL AND x3d_ambient_intensity IS NOT NULL THEN '#00' || {_hex('x3d_ambient_intensity')} || '00' ELSE '#000000' END"
+    "CASE WHEN x3d_diffuse_color IS NULL OR coalesce(x3d_shininess, x3d_ambient_intensity) IS NULL THEN '#000000' "
+    f"ELSE '#' || coalesce({_hex('x3d_shininess')}, '00') || coalesce({_hex('x3d_ambient_intensity')}, '00') || '00' END"
 )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +9,14 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only in local mode."""
+    """The cluster's shared checkpoint folder; where none is set in local mode, one in the warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="urbanframe-")
+            shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
         sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 
