@@ -225,15 +225,20 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_ids, ids, and the length and digest of the text that ``decoded`` gives back from the ids alone."""
-    tokens = encoded(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = model(path).decode
-        for batch in batches:
-            texts = [decode(x.values.to_pylist()) if x.is_valid else "" for x in batch.column("ids")]
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
-
-    both = tokens.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+        own = model(path)
+        for batch, texts in text_blocks(batches):
+            ids = [np.frombuffer(own.encode(x), "<i4") for x in texts]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+            flat = pa.array(np.concatenate(ids))
+            back = [own.decode(x.tolist()) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array(back, pa.string())],
+                names=["doc_id", "ids", "decoded"],
+            )
+
+    both = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
         F.char_length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from urbanframe.llm.common import text_blocks
 
 #: Pre-tokens of a leaf when the tree is built; a leaf of more than four times as many is split.
-LEAF = 32
+LEAF = 16
 #: Pre-tokens a worker remembers.
 REMEMBERED = 250_000
 #: Characters after its end that can decide about a pre-token.
