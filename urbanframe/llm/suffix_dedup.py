@@ -44,8 +44,8 @@ LENGTH = 100
 GRAM = 20
 #: Entries of an anchor; more are cut into single windows.
 CROWDED = 4096
-#: Bytes of segments in one transform, and of text that is cut into segments at once.
-TRANSFORM_BYTES, BLOCK = 1 << 20, 1 << 20
+#: Bytes of segments in one transform (a larger anchor is one by itself), and of text that is cut into segments at once.
+TRANSFORM_BYTES, BLOCK = 1 << 19, 1 << 19
 #: Contents whose earliest place a task remembers.
 SEEN = 200_000
 #: A longer document is cut into segments piece by piece.

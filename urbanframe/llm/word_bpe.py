@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Bytes of text that are encoded together inside a task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: A word with more bytes goes to the library.
 LONGEST = 48
 _NONE = np.int32(2**31 - 1)
