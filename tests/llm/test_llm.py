@@ -105,6 +105,35 @@ def test_crowded_keys_are_cut_again(spark, monkeypatch):
     assert [got.get(i, i) for i in range(len(values))] == root
 
 
+@pytest.mark.parametrize(("rows", "centres"), [(50, 5), (700, 30), (2500, 1), (2500, 300)])
+def test_whole_buckets_lose_no_link(rows, centres):
+    rng = np.random.default_rng(rows + centres)
+    values = rng.integers(0, 1 << 63, (centres, 3)).astype(np.uint64)[rng.integers(0, centres, rows)]
+    for _ in range(14):
+        values[np.arange(rows), rng.integers(0, 3, rows)] ^= np.uint64(1) << rng.integers(0, 64, rows).astype(np.uint64)
+    values = rng.permutation(np.unique(values, axis=0))
+    n, bit = len(values), (values[:, 1] >> np.uint64(7)) & np.uint64(1)
+    near = np.concatenate([simhash._distance(values[i : i + 64, None], values[None]) <= 20 for i in range(0, n, 64)])
+    want = simhash._lowest(n, *np.nonzero(near)).tolist()
+    assert simhash._lowest(n, *simhash.links_within(values, -1, 20)).tolist() == want
+    links = [simhash.links_within(values, 64 + 7, 20)]  # across the bit left out; the rest meets under the full key
+    assert (bit[links[0][0]] != bit[links[0][1]]).all()
+    for side in (0, 1):
+        own = np.flatnonzero(bit == side)
+        links.append([own[x] for x in simhash.links_within(values[own], -1, 20)])
+    assert simhash._lowest(n, *(np.concatenate(x) for x in zip(*links, strict=True))).tolist() == want
+
+
+def test_crowded_bands_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LIMIT", 8)
+    monkeypatch.setattr(simhash.Bands, "limit", staticmethod(lambda level: 8))
+    values = [[5 << 40, 7, i] for i in range(300)]  # differ in the last 16 bits only
+    nodes = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "node long, p0 long, p1 long, p2 long")
+    edges = simhash.links(nodes, simhash.Bands(3), 1)
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == dict.fromkeys(range(300), 0)
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(60)]
     star = [(100, i) for i in range(101, 180)]

@@ -91,6 +91,10 @@ class Halves:
 
     prints, levels, wildcards = 1, 3, True
 
+    @staticmethod
+    def limit(level: int) -> int:
+        return LIMIT
+
     @staticmethod
     def segments(path: tuple[int, ...]) -> list[list[tuple[int, int, int]]]:
         """For each choice at this level the (print, shift, bits) it fixes."""
@@ -103,12 +107,23 @@ class Halves:
 
 
 class Bands:
-    """For similarity estimates from several fingerprints: 16-bit segments, then the next two segments as they are."""
+    """For similarity estimates from several fingerprints: 16-bit segments, then the next two segments as they are.
+
+    The last level fixes all segments but one, so its buckets hold 2 ** 17
+    fingerprints at most (16 bits and the one left out). From the third level on
+    a key is compared whole up to that size.
+    """
 
-    wildcards, levels = True, 3
+    wildcards = True
 
     def __init__(self, prints: int):
-        self.prints, self.count = prints, 4 * prints
+        if not 1 <= prints <= 3:
+            raise ValueError("one to three fingerprints")  # _packed holds six choices
+        self.prints, self.count, self.levels = prints, 4 * prints, 2 * prints
+
+    @staticmethod
+    def limit(level: int) -> int:
+        return LIMIT if level < 2 else 1 << 17
 
     def segments(self, path: tuple[int, ...]) -> list[list[tuple[int, int, int]]]:
         one = lambda i: (i % self.count // 4, 16 * (i % 4), 16)
@@ -160,6 +175,56 @@ def _lowest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return top
 
 
+def _join(values: np.ndarray, top: np.ndarray, side: np.ndarray, across: bool, max_bits: int):
+    """Joins the components ``top`` wherever near rows of one side (``across``: of two sides) lie in two of them.
+
+    Returns the new components and the links that joined them. Rows of the
+    largest component need not be compared with each other, so a large group of
+    near copies costs little more than one comparison a row; everything else is
+    compared with all rows, in blocks.
+    """
+    n = len(values)
+    step = max(1, (1 << 19) // n)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def compare(own: np.ndarray, top: np.ndarray) -> np.ndarray:
+        near = _distance(values[own, None], values[None]) <= max_bits
+        near &= ((side[own, None] != side) == across) & (top[own, None] != top)
+        a, b = np.nonzero(near)
+        if not len(a):
+            return top
+        a = own[a]
+        low, high = np.minimum(top[a], top[b]), np.maximum(top[a], top[b])
+        _, one = np.unique(low * n + high, return_index=True)
+        above, kept = {}, []
+        for k in one.tolist():
+            ends = []
+            for x in (int(low[k]), int(high[k])):
+                while x in above:
+                    x = above[x]
+                ends.append(x)
+            if ends[0] != ends[1]:
+                above[max(ends)] = min(ends)
+                kept.append(k)
+        left.append(a[kept])
+        right.append(b[kept])
+        return _lowest(n, low[kept], high[kept])[top]
+
+    rest, tries = np.arange(n), 8 if n > step else 0
+    for _ in range(tries):  # a row of a large group finds most of it
+        top = compare(rest[:1], top)
+        rest = np.flatnonzero(top != np.bincount(top).argmax())
+        if not len(rest):
+            break
+    largest = np.bincount(top).argmax() if tries else -1
+    for i in range(0, len(rest), step):
+        own = rest[i : i + step]
+        own = own[top[own] != top[largest]] if tries else own
+        if len(own):
+            top = compare(own, top)
+    return top, np.concatenate(left), np.concatenate(right)
+
+
 def links_within(values: np.ndarray, wild: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect the rows of one key; blocks bound the memory.
 
@@ -168,33 +233,12 @@ def links_within(values: np.ndarray, wild: int, max_bits: int) -> tuple[np.ndarr
     anyway, so only what joins their components is returned.
     """
     n = len(values)
-    left, right = [], []
-    for i in range(0, n, 256):
-        a, b = np.nonzero(_distance(values[i : i + 256, None], values[None]) <= max_bits)
-        a += i
-        left.append(a[a < b])
-        right.append(b[a < b])
-    left, right = np.concatenate(left), np.concatenate(right)
+    side = np.zeros(n, np.uint64) if wild < 0 else (values[:, wild // 64] >> np.uint64(wild % 64)) & np.uint64(1)
+    top, _, _ = _join(values, np.arange(n), side, False, max_bits)
     if wild < 0:
-        top = _lowest(n, left, right)
         rows = np.flatnonzero(top != np.arange(n))
         return rows, top[rows]
-    bit = (values[:, wild // 64] >> np.uint64(wild % 64)) & np.uint64(1)
-    across = bit[left] != bit[right]
-    top = _lowest(n, left[~across], right[~across])
-    left, right = left[across], right[across]
-    _, one = np.unique(np.minimum(top[left], top[right]) * n + np.maximum(top[left], top[right]), return_index=True)
-    above, kept = {}, []
-    for k in one.tolist():
-        ends = []
-        for x in (int(top[left[k]]), int(top[right[k]])):
-            while x in above:
-                x = above[x]
-            ends.append(x)
-        if ends[0] != ends[1]:
-            above[max(ends)] = min(ends)
-            kept.append(k)
-    return left[kept], right[kept]
+    return _join(values, top, side, True, max_bits)[1:]
 
 
 class _Matcher:
@@ -202,7 +246,7 @@ class _Matcher:
 
     def __init__(self, scheme, level: int, max_bits: int):
         self.scheme, self.level, self.max_bits = scheme, level, max_bits
-        self.last = level + 1 == scheme.levels
+        self.last, self.limit = level + 1 == scheme.levels, scheme.limit(level)
         self.hot: int | None = None
 
     def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,13 +258,10 @@ class _Matcher:
             cut = int(np.searchsorted(held[0], held[0][-1], side="left"))
             yield from self.groups([x[:cut] for x in held])
             held = [x[cut:] for x in held]
-            if not self.last and (len(held[0]) > LIMIT or held[0][0] == self.hot):
+            if not self.last and (len(held[0]) > self.limit or held[0][0] == self.hot):
                 self.hot = held[0][0]
                 yield from self.cut(held)
                 held = [x[:0] for x in held] if len(held[0]) > 0 else held
-            elif self.last and len(held[0]) > 2 * LIMIT:  # only for schemes without a bound: go on with representatives
-                keep = yield from self.chunk(held)
-                held = [x[keep] for x in held]
         if held is not None:
             yield from self.groups(held)
 
@@ -246,7 +287,7 @@ class _Matcher:
             b.append(node[at[near] + j])
         for i, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
             own = [x[i : i + n] for x in held]
-            if not self.last and (n > LIMIT or key[i] == self.hot):
+            if not self.last and (n > self.limit or key[i] == self.hot):
                 yield from self.cut(own)
             else:
                 rows, top = links_within(values[i : i + n], int(wild[i]), self.max_bits)
@@ -255,15 +296,6 @@ class _Matcher:
         if a and sum(map(len, a)):
             yield self.out(a=np.concatenate(a), b=np.concatenate(b))
 
-    def chunk(self, held: list[np.ndarray]):
-        values = np.stack(held[4:], 1).view(np.uint64)
-        rows, top = links_within(values, int(held[2][0]), self.max_bits)
-        if len(rows):
-            yield self.out(a=held[1][rows], b=held[1][top])
-        alone = np.ones(len(values), bool)
-        alone[rows] = False
-        return np.flatnonzero(alone)[:LIMIT]
-
     def cut(self, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, node, _, path, *prints = held
         values, parent = np.stack(prints, 1).view(np.uint64), key.view(np.uint64)
@@ -288,11 +320,11 @@ class _Matcher:
 
 
 def _packed(path: tuple[int, ...]) -> int:
-    return sum((c + 1) << (8 * i) for i, c in enumerate(path))
+    return sum((c + 1) << (5 * i) for i, c in enumerate(path))
 
 
 def _unpacked(path: int) -> tuple[int, ...]:
-    return tuple((path >> (8 * i) & 255) - 1 for i in range(4) if path >> (8 * i) & 255)
+    return tuple((path >> (5 * i) & 31) - 1 for i in range(6) if path >> (5 * i) & 31)
 
 
 def links(nodes: DataFrame, scheme, max_bits: int) -> DataFrame:
