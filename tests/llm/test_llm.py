@@ -134,6 +134,27 @@ def test_crowded_bands_are_cut_again(spark, monkeypatch):
     assert got == dict.fromkeys(range(300), 0)
 
 
+@pytest.mark.parametrize("template", [True, False])
+def test_crowded_bands_lose_no_pair(spark, monkeypatch, template):
+    monkeypatch.setattr(simhash, "LIMIT", 8)
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 1 << 63, (120, 3)).astype(np.uint64)
+    values = np.concatenate((values, values))
+    # both of a pair agree in their first segment, which all rows share, and differ in every other one by two bits
+    values[:, 0] = (values[:, 0] & np.uint64(0xFFFFFFFFFFFF0000)) | np.uint64(77)
+    for segment in range(1, 12):
+        values[120:, segment // 4] ^= np.uint64(3) << np.uint64(16 * (segment % 4) + 3)
+    if template:  # a group of near copies that crowds the key as well
+        near = np.repeat(values[:1], 60, axis=0)
+        near[np.arange(60), rng.integers(1, 3, 60)] ^= np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)
+        values = np.concatenate((values, np.unique(near, axis=0)))
+    n = len(values)
+    nodes = spark.createDataFrame([(i, *v) for i, v in enumerate(values.view(np.int64).tolist())], "node long, p0 long, p1 long, p2 long")
+    got = {r.node: r.component for r in components(simhash.links(nodes, simhash.Bands(3), 22)).collect()}
+    want = simhash._lowest(n, *np.nonzero(simhash._distance(values[:, None], values[None]) <= 22))
+    assert [got.get(i, i) for i in range(n)] == want.tolist() and want[120:240].tolist() == list(range(120))
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(60)]
     star = [(100, i) for i in range(101, 180)]

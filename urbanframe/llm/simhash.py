@@ -7,9 +7,11 @@ finds every such pair; the whole fingerprints are then compared. Equal
 fingerprints are one node before that, so copies travel once.
 
 A key with many fingerprints (a large group of near copies) is never compared
-as a whole: its members differ only in the rest of their bits, which are cut
-again the same way, up to three levels deep. A bucket of the last level fixes
-all but 11 bits and so holds 2048 fingerprints at most.
+in one task. Under ``Halves`` its members differ only in the rest of their bits,
+which are cut again the same way, up to three levels deep; a bucket of the last
+level fixes all but 11 bits and so holds 2048 fingerprints at most. Under
+``Bands`` a few rows link most of it, and what they leave meets all other rows
+in pairs of blocks.
 
 A document without words has fingerprint zero and is linked like any other;
 null text counts as empty. Rows without ``doc_id`` take part with their
@@ -89,7 +91,7 @@ def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1) -> DataFrame:
 class Halves:
     """Exact for up to three differing bits of one fingerprint: halves of what is left, level by level."""
 
-    prints, levels, wildcards = 1, 3, True
+    prints, levels, wildcards, whole = 1, 3, True, False
 
     @staticmethod
     def limit(level: int) -> int:
@@ -107,30 +109,25 @@ class Halves:
 
 
 class Bands:
-    """For similarity estimates from several fingerprints: 16-bit segments, then the next two segments as they are.
+    """For similarity estimates from several fingerprints: 16-bit segments, each up to one bit.
 
-    The last level fixes all segments but one, so its buckets hold 2 ** 17
-    fingerprints at most (16 bits and the one left out). From the third level on
-    a key is compared whole up to that size.
+    A key is compared whole whatever its size: an overfull one in pairs of blocks
+    of ``limit`` rows, which are the keys of the second level.
     """
 
-    wildcards = True
+    wildcards, whole, levels = True, True, 2
 
     def __init__(self, prints: int):
         if not 1 <= prints <= 3:
-            raise ValueError("one to three fingerprints")  # _packed holds six choices
-        self.prints, self.count, self.levels = prints, 4 * prints, 2 * prints
+            raise ValueError("one to three fingerprints")
+        self.prints, self.count = prints, 4 * prints
 
     @staticmethod
     def limit(level: int) -> int:
-        return LIMIT if level < 2 else 1 << 17
+        return LIMIT
 
     def segments(self, path: tuple[int, ...]) -> list[list[tuple[int, int, int]]]:
-        one = lambda i: (i % self.count // 4, 16 * (i % 4), 16)
-        if not path:
-            return [[one(i)] for i in range(self.count)]
-        at = path[0] + 2 * len(path) - 1
-        return [[one(at), one(at + 1)]]
+        return [[(i // 4, 16 * (i % 4), 16)] for i in range(self.count)]
 
 
 def _variants(scheme, path: tuple[int, ...], parent: np.ndarray, values: np.ndarray):
@@ -175,13 +172,14 @@ def _lowest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return top
 
 
-def _join(values: np.ndarray, top: np.ndarray, side: np.ndarray, across: bool, max_bits: int):
+def _join(values: np.ndarray, top: np.ndarray, side: np.ndarray, across: bool, max_bits: int, all_rows: bool = True):
     """Joins the components ``top`` wherever near rows of one side (``across``: of two sides) lie in two of them.
 
     Returns the new components and the links that joined them. Rows of the
     largest component need not be compared with each other, so a large group of
     near copies costs little more than one comparison a row; everything else is
-    compared with all rows, in blocks.
+    compared with all rows, in blocks. Without ``all_rows`` only the first few
+    rows are compared, and rows outside the largest component are left to do.
     """
     n = len(values)
     step = max(1, (1 << 19) // n)
@@ -210,14 +208,14 @@ def _join(values: np.ndarray, top: np.ndarray, side: np.ndarray, across: bool, m
         right.append(b[kept])
         return _lowest(n, low[kept], high[kept])[top]
 
-    rest, tries = np.arange(n), 8 if n > step else 0
+    rest, tries = np.arange(n), 8 if n > step or not all_rows else 0
     for _ in range(tries):  # a row of a large group finds most of it
         top = compare(rest[:1], top)
         rest = np.flatnonzero(top != np.bincount(top).argmax())
         if not len(rest):
             break
     largest = np.bincount(top).argmax() if tries else -1
-    for i in range(0, len(rest), step):
+    for i in range(0, len(rest) if all_rows else 0, step):
         own = rest[i : i + step]
         own = own[top[own] != top[largest]] if tries else own
         if len(own):
@@ -225,6 +223,11 @@ def _join(values: np.ndarray, top: np.ndarray, side: np.ndarray, across: bool, m
     return top, np.concatenate(left), np.concatenate(right)
 
 
+def _side(values: np.ndarray, wild: int) -> np.ndarray:
+    """The bit that a key leaves out, 0 under a full key."""
+    return np.zeros(len(values), np.uint64) if wild < 0 else (values[:, wild // 64] >> np.uint64(wild % 64)) & np.uint64(1)
+
+
 def links_within(values: np.ndarray, wild: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect the rows of one key; blocks bound the memory.
 
@@ -233,7 +236,7 @@ def links_within(values: np.ndarray, wild: int, max_bits: int) -> tuple[np.ndarr
     anyway, so only what joins their components is returned.
     """
     n = len(values)
-    side = np.zeros(n, np.uint64) if wild < 0 else (values[:, wild // 64] >> np.uint64(wild % 64)) & np.uint64(1)
+    side = _side(values, wild)
     top, _, _ = _join(values, np.arange(n), side, False, max_bits)
     if wild < 0:
         rows = np.flatnonzero(top != np.arange(n))
@@ -241,8 +244,36 @@ def links_within(values: np.ndarray, wild: int, max_bits: int) -> tuple[np.ndarr
     return _join(values, top, side, True, max_bits)[1:]
 
 
+def links_of_few(values: np.ndarray, wild: int, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a large key by a few rows, and the rows that are still to be compared with all others.
+
+    The rows left out are one component with each other.
+    """
+    side = _side(values, wild)
+    top, a, b = _join(values, np.arange(len(values)), side, False, max_bits, all_rows=False)
+    if wild >= 0:  # links of one side come from the full key
+        top, a, b = _join(values, top, side, True, max_bits, all_rows=False)
+    return a, b, np.flatnonzero(top != np.bincount(top).argmax())
+
+
+def block_pairs(n: int, rest: np.ndarray, block: int) -> Iterator[np.ndarray]:
+    """Rows of 0..n-1 in sets of two blocks at most, such that each of ``rest`` meets every row."""
+    others = np.setdiff1d(np.arange(n), rest)
+    cut = lambda x: [x[i : i + block] for i in range(0, len(x), block)]
+    left, right = cut(rest), cut(others)
+    for i, x in enumerate(left):
+        if len(left) + len(right) == 1:
+            yield x
+        for y in left[i + 1 :] + right:
+            yield np.concatenate((x, y))
+
+
 class _Matcher:
-    """Reads rows sorted by key and returns links, or the rows of an overfull key under their next keys."""
+    """Reads rows sorted by key and returns links, or the rows of an overfull key under their next keys.
+
+    A scheme whose keys stay whole needs an overfull key's fingerprints in one
+    task for the first links; the comparisons go to many.
+    """
 
     def __init__(self, scheme, level: int, max_bits: int):
         self.scheme, self.level, self.max_bits = scheme, level, max_bits
@@ -258,7 +289,7 @@ class _Matcher:
             cut = int(np.searchsorted(held[0], held[0][-1], side="left"))
             yield from self.groups([x[:cut] for x in held])
             held = [x[cut:] for x in held]
-            if not self.last and (len(held[0]) > self.limit or held[0][0] == self.hot):
+            if not self.last and not self.scheme.whole and (len(held[0]) > self.limit or held[0][0] == self.hot):
                 self.hot = held[0][0]
                 yield from self.cut(held)
                 held = [x[:0] for x in held] if len(held[0]) > 0 else held
@@ -288,7 +319,7 @@ class _Matcher:
         for i, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
             own = [x[i : i + n] for x in held]
             if not self.last and (n > self.limit or key[i] == self.hot):
-                yield from self.cut(own)
+                yield from self.dealt(own) if self.scheme.whole else self.cut(own)
             else:
                 rows, top = links_within(values[i : i + n], int(wild[i]), self.max_bits)
                 a.append(node[i + rows])
@@ -303,6 +334,17 @@ class _Matcher:
             at = path == own
             yield from self.indexed(_unpacked(int(own)), parent[at], node[at], values[at])
 
+    def dealt(self, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The links that a few rows give, and the other rows in pairs of blocks with all rows of the key."""
+        key, node, wild, path, *prints = held
+        values = np.stack(prints, 1).view(np.uint64)
+        a, b, rest = links_of_few(values, int(wild[0]), self.max_bits)
+        if len(a):
+            yield self.out(a=node[a], b=node[b])
+        for i, own in enumerate(block_pairs(len(key), rest, self.limit)):
+            pair = mixed(key[own].view(np.uint64) ^ mixed(np.full(len(own), i + 1, np.uint64)))
+            yield self.out(key=pair.view(np.int64), node=node[own], wild=wild[0], path=path[0], values=values[own].view(np.int64))
+
     def indexed(self, path, parent, node, values) -> Iterator[pa.RecordBatch]:
         for choice, wild, key in _variants(self.scheme, path, parent, values):
             yield self.out(key=key.view(np.int64), node=node, wild=wild, path=_packed((*path, choice)), values=values.view(np.int64))
