@@ -232,6 +232,23 @@ def test_passages_of_repeated_rows_and_whole_characters(spark):
     assert [t for i, t, _ in rows if i == 2] == ["ab"] and [t for i, t, _ in rows if i is None] == [text]
 
 
+@pytest.mark.parametrize("crowded", [4096, 0])
+def test_repeated_rows_keep_the_first_occurrence(spark, crowded):
+    rnd = random.Random(9)
+    make = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = make(250)
+    texts = [make(200) + passage + make(150), make(180) + passage + make(160), make(500)]
+    docs = documents(spark, texts)
+    for again in (0, 0, 1, 2):
+        docs = docs.union(docs.where(f"doc_id = {again}").limit(1))
+    want = dict(enumerate(plain_passages(texts, 100)))
+    rows = suffix_dedup.measured(docs, crowded=crowded).collect()
+    assert len(rows) == 7 and want[0][1] == 0 and want[1][1] >= 250
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == [want[r.doc_id] for r in rows]
+    kept = suffix_dedup.keep_first(docs, crowded=crowded).collect()
+    assert all(r.text == texts[r.doc_id] for r in kept if r.doc_id != 1) and len({r.text for r in kept if r.doc_id == 1}) == 1
+
+
 def test_interval_expansion_finds_common_prefixes():
     rng = np.random.default_rng(4)
     symbols = np.append(rng.integers(1, 4, 400), 0).astype(np.uint16)

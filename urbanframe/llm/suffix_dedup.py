@@ -338,9 +338,14 @@ def _transform(length: int):
         table = pa.Table.from_batches(held).combine_chunks()
         doc, at = table["doc_id"].to_numpy(), table["at"].to_numpy()
         order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
+        doc, at, texts = doc[order], at[order], table["bytes"].take(pa.array(order)).to_pylist()
+        again = np.append(False, (doc[1:] == doc[:-1]) & (at[1:] == at[:-1]))
+        for i in np.flatnonzero(again).tolist():
+            again[i] = texts[i] == texts[i - 1]
+        if again.any():  # a repeated row brings its segments once more; they are the same place
+            doc, at, texts = doc[~again], at[~again], [x for x, drop in zip(texts, again.tolist(), strict=True) if not drop]
         tag, start, windows = unplace(at)
-        segment, window = repeats(table["bytes"].take(pa.array(order)).to_pylist(), windows, length)
+        segment, window = repeats(texts, windows, length)
         if not len(segment):
             return
         first = np.flatnonzero(np.concatenate(([True], (segment[1:] != segment[:-1]) | (window[1:] != window[:-1] + 1))))
