@@ -178,6 +178,59 @@ def test_near_copies_leave_one(spark):
     assert kept.columns == documents(spark, []).columns
 
 
+def plain_shingles(text, words):
+    parts = "".join(c.lower() if c.isascii() else c for c in text or "").split()
+    n = min(words, len(parts))
+    return {tuple(parts[i : i + n]) for i in range(len(parts) - n + 1)} if parts else set()
+
+
+def plain_near(a, b):
+    return len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+
+def edited(rnd, base, places):
+    own = list(base)
+    for i in places:
+        own[i] = f"x{rnd.randrange(10**9)}"
+    return own
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_near_copies_are_decided_by_shingles(spark, block):
+    rnd = random.Random(12)
+    texts = []
+    for group in range(14):
+        base = [f"g{group}w{rnd.randrange(10**6)}" for _ in range(300)]
+        # each edit alone takes five shingles: Jaccard 0.87 with 4 and 0.69, 0.66, 0.62 with 11, 12, 14
+        texts += [" ".join(edited(rnd, base, range(4, 4 + 20 * k, 20))) for k in (0, 4, 11, 12, 14)]
+    texts += [" ".join(edited(rnd, base, rnd.sample(range(300), rnd.choice([2, 5, 9])))) for _ in range(30)]
+    texts += ["one line said again and again\n" * 60 + " ".join(f"t{i}u{rnd.randrange(10**6)}" for _ in range(30)) for i in range(6)]
+    sets = [plain_shingles(t, 5) for t in texts]
+    want = plain_components(sets, plain_near)
+    kept = {r.doc_id for r in simhash.keep_one(documents(spark, texts), block=block).collect()}
+    assert kept == {i for i, c in enumerate(want) if i == c}
+
+
+@pytest.mark.parametrize("done", [0, 1, 30])
+def test_similar_rows_lose_no_link(done):
+    rng = np.random.default_rng(done)
+    for _ in range(3):
+        chain = [np.arange(k, k + 40, dtype=np.uint64) for k in np.cumsum(rng.choice([0, 2, 4, 9], 90)).tolist()]
+        sets = [chain[i] for i in rng.permutation(90)]
+        met = np.array([[len(np.intersect1d(a, b, True)) for b in sets] for a in sets])
+        near = simhash.similar(met, 40, 40, 0.8)
+        quiet = rng.permutation(90)[:done]
+        known = (np.repeat(quiet[:1], done), quiet)
+        asking = np.setdiff1d(np.arange(90), quiet)
+        own = near.copy()
+        own[np.ix_(quiet, quiet)] = False
+        want = simhash._lowest(90, *(np.concatenate(x) for x in zip(np.nonzero(own), known, strict=True)))
+        a, b = simhash.similar_rows(sets, rng.permutation(asking), 0.8)
+        assert near[a, b].all()
+        got = simhash._lowest(90, *(np.concatenate(x).astype(int) for x in zip((a, b), known, strict=True)))
+        assert got.tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("options", [{}, {"capacity": 2, "bits": 2}, {"hash_bits": 2}])
 def test_exact_groups(spark, options):
     texts = odd_texts()

@@ -21,7 +21,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanframe.llm.common import components, shared, text_blocks
+from urbanframe.llm.word_bpe import ranges
 
 SEED = 42
 #: Fingerprints of one key that are compared with each other; more are cut again.
@@ -37,6 +38,8 @@ LIMIT = 2048
 #: Groups up to this size are compared row against shifted row.
 SHIFTED = 32
 SHINGLES_AT_ONCE = 1 << 16
+#: Texts of a block that are compared by their shingles, and those that a larger component is first compared with.
+BLOCK, PIVOTS = 256, 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -73,19 +76,19 @@ def fingerprint(text: str, words: int, prints: int = 1) -> list[int]:
     return np.packbits(2 * held > n, axis=1).view(">i8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1) -> DataFrame:
-    """doc_id and the fingerprints p0, p1, ... (long) of every document."""
+def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, ``carried`` (long) and the fingerprints p0, p1, ... (long) of every document."""
     names = [f"p{i}" for i in range(prints)]
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_blocks(batches):
             found = np.array([fingerprint(x, words, prints) for x in texts], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *(pa.array(found[:, i]) for i in range(prints))],
-                names=["doc_id", *names],
+                [*(batch.column(c).cast(pa.int64()) for c in ("doc_id", *carried)), *(pa.array(found[:, i]) for i in range(prints))],
+                names=["doc_id", *carried, *names],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(take, "doc_id long, " + ", ".join(f"{p} long" for p in names))
+    return docs.select("doc_id", *carried, "text").mapInArrow(take, ", ".join(f"{c} long" for c in ("doc_id", *carried, *names)))
 
 
 class Halves:
@@ -397,24 +400,183 @@ def links(nodes: DataFrame, scheme, max_bits: int) -> DataFrame:
     return found
 
 
+def _candidates(found: DataFrame, scheme, max_bits: int) -> DataFrame:
+    """The fingerprints p0, ... of ``found`` (doc_id, p0, ...) with their smallest id ``first``, and ``top``, one of each component."""
+    names = [f"p{i}" for i in range(scheme.prints)]
+    nodes = found.groupBy(*names).agg(F.min("doc_id").alias("first"))
+    nodes = shared(nodes.withColumn("node", F.monotonically_increasing_id()))
+    groups = components(links(nodes.where("first is not null").select("node", *names), scheme, max_bits))
+    return nodes.join(groups, "node", "left").select(*names, "first", F.coalesce("component", "node").alias("top"))
+
+
 def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 3, scheme=None) -> DataFrame:
     """doc_id, the fingerprints p0, ..., and component_id (smallest linked doc_id, its own included)."""
     scheme = scheme or Halves()
     names = [f"p{i}" for i in range(scheme.prints)]
     found = shared(fingerprints(docs, words, scheme.prints))
-    nodes = shared(found.groupBy(*names).agg(F.min("doc_id").alias("node")))
-    groups = components(links(nodes.where("node is not null"), scheme, max_bits))
-    nodes = shared(nodes.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id")))
+    nodes = shared(_candidates(found, scheme, max_bits))
+    lowest = nodes.groupBy("top").agg(F.min("first").alias("component_id"))
+    nodes = shared(nodes.join(lowest, "top").select(*names, "component_id"))
     return found.join(nodes, names).select("doc_id", *names, "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, prints: int = 3, similarity: float = 0.8) -> DataFrame:
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingle hashes."""
+    found = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def similar(shared_shingles, a, b, similarity: float):
+    """Whether sets of sizes ``a`` and ``b`` have at least that Jaccard similarity; empty sets are equal."""
+    return shared_shingles >= similarity * (a + b - shared_shingles) - 1e-9
+
+
+def similar_rows(sets: list[np.ndarray], asking: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links that connect each row of ``asking`` with all rows of at least this similarity.
+
+    Rows that do not ask are known to be connected. A row that has joined them (or,
+    where all ask, the component most of the first rows are in) need not ask.
+    """
+    n, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(n), size)
+    _, kind = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True)
+    by_kind = np.argsort(kind, kind="stable")
+    count = np.bincount(kind) if len(kind) else np.zeros(0, np.int64)
+    begin, at, holders = np.cumsum(count) - count, np.cumsum(size) - size, owner[by_kind]
+    top, links_ = np.arange(n), ([], [])
+    quiet = np.setdiff1d(top, asking)
+    top[quiet] = quiet[:1].sum()
+    main = int(quiet[0]) if len(quiet) else None
+    for turn, i in enumerate(asking.tolist()):
+        if turn == 8 and main is None:
+            main = int(np.bincount(top).argmax())
+        if main is not None and top[i] == top[main]:
+            continue
+        own = kind[at[i] : at[i] + size[i]]
+        met = np.bincount(holders[ranges(begin[own], count[own])], minlength=n)
+        near = np.flatnonzero(similar(met, size[i], size, similarity) & (top != top[i]))
+        if len(near):
+            tops, one = np.unique(top[near], return_index=True)
+            links_[0].extend([i] * len(one))
+            links_[1].extend(near[one].tolist())
+            top[np.isin(top, tops)] = top[i]
+    return links_
+
+
+def _similar_to(words: int, similarity: float):
+    """Rows (node, text, pivot, pivot_text) -> those that are similar, as links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def of(node: int, text: pa.Scalar) -> np.ndarray:
+            if node not in held:
+                if len(held) >= 8 * PIVOTS:
+                    held.clear()
+                held[node] = shingle_set(text.as_py(), words)
+            return held[node]
+
+        for batch in batches:
+            nodes, pivots, near = batch.column("node").to_numpy(), batch.column("pivot").to_numpy(), []
+            columns = (batch.column("node").to_pylist(), batch.column("text"), batch.column("pivot").to_pylist(), batch.column("pivot_text"))
+            for node, text, pivot, other in zip(*columns, strict=True):
+                a, b = of(node, text), of(pivot, other)
+                near.append(bool(similar(len(np.intersect1d(a, b, True)), len(a), len(b), similarity)))
+            near = np.array(near, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[near]), pa.array(pivots[near])], names=["a", "b"])
+
+    return run
+
+
+def _similar_within(words: int, similarity: float):
+    """Rows (component, x, y, node, asks, text) sorted by the first three -> links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            nodes = np.array([x[0] for x in held], np.int64)
+            asking = np.flatnonzero(np.array([x[1] for x in held], bool))
+            a, b = similar_rows([x[2] for x in held], asking, similarity)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("component", "x", "y")), strict=True)
+            rows = zip(keys, batch.column("node").to_pylist(), batch.column("asks").to_pylist(), batch.column("text"), strict=True)
+            for own, node, asks, text in rows:
+                if own != key and held:
+                    yield from found()
+                    held = []
+                key = own
+                held.append((node, asks, shingle_set(text.as_py(), words)))
+        if held:
+            yield from found()
+
+    return run
+
+
+def similar_links(members: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect all texts of a component (node, component, text) with that similarity of shingle sets.
+
+    A component of one block is compared in one task. In a larger one all texts
+    are first compared with some picked by hash; those similar to the one that has
+    most are connected, and all others meet every text in pairs of blocks.
+    """
+    schema, turn = "a long, b long", lambda m: F.pmod(F.xxhash64("node"), F.greatest(m, F.lit(1))).cast("int")
+    sizes = shared(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    zero = F.lit(0).cast("int")
+    pairs = members.join(sizes.where(F.col("n") <= block), "component")
+    pairs = pairs.select("component", zero.alias("x"), zero.alias("y"), "node", F.lit(True).alias("asks"), "text")
+    large, first = sizes.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), None
+    if not large.isEmpty():
+        rows = members.join(large, "component").withColumn("block", turn(F.col("blocks")))
+        picked = rows.select("component", "blocks", "node", F.xxhash64("node", F.lit(1)).alias("h"), "n").where(F.pmod("h", "n") < 4 * PIVOTS)
+        picked = picked.groupBy("component", "blocks").agg(F.sort_array(F.collect_list(F.struct("h", "node"))).alias("few"))
+        picked = picked.select("component", "blocks", F.explode(F.slice("few", 1, PIVOTS)).alias("p")).select("component", "blocks", F.col("p.node").alias("pivot"))
+        picked = shared(picked.join(members.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot"))
+        each = picked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        met = rows.select("component", "block", "node", "text").join(each, ["component", "block"])
+        first = shared(met.select("node", "text", "pivot", "pivot_text").mapInArrow(_similar_to(words, similarity), schema))
+        most = first.groupBy("b").agg(F.count(F.lit(1)).alias("hits")).join(picked.select("component", F.col("pivot").alias("b")), "b")
+        most = most.groupBy("component").agg(F.max(F.struct("hits", "b")).alias("top")).select(F.col("top.b").alias("b"))
+        done = first.join(most, "b").select(F.col("a").alias("node"), F.lit(True).alias("done"))
+        asks = shared(rows.select("component", "node").join(done, "node", "left").select("component", "node", F.col("done").isNull().alias("asks")))
+        sums = asks.groupBy("component").agg(F.count_if("asks").alias("asking"), F.count_if(~F.col("asks")).alias("others"))
+        up = lambda c: F.ceil(F.col(c) / block).cast("int").alias(c)
+        dealt = asks.join(shared(sums.where("asking > 0").select("component", up("asking"), up("others"))), "component")
+        own = F.when(F.col("asks"), turn(F.col("asking"))).otherwise(F.col("asking") + turn(F.col("others")))
+        stop = F.col("asking") + F.when(F.col("asks"), F.col("others")).otherwise(0)
+        dealt = dealt.select("component", "node", "asks", own.alias("own"), F.explode(F.sequence(F.lit(0), stop - 1)).alias("other"))
+        dealt = dealt.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "asks")
+        pairs = pairs.union(dealt.join(members.select("node", "text"), "node").select("component", "x", "y", "node", "asks", "text"))
+    spread = pairs.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
+    found = spread.mapInArrow(_similar_within(words, similarity), schema)
+    return found if first is None else first.union(found)
+
+
+def keep_one(docs: DataFrame, words: int = 5, prints: int = 3, similarity: float = 0.8, **x) -> DataFrame:
     """The smallest doc_id of each near-duplicate group, with the columns as they came.
 
-    Two texts are near when their fingerprints estimate a cosine of at least
-    ``similarity`` between their shingle counts: that share of bits may differ.
+    Two texts are near when the Jaccard similarity of their sets of shingles is at
+    least ``similarity``. Candidates are the components of texts whose fingerprints
+    estimate a cosine of that size or more; inside one, every text is decided by
+    its real shingles.
     """
-    max_bits = int(64 * prints * np.arccos(similarity) / np.pi)
-    groups = near_groups(docs, words, max_bits, Bands(prints))
-    gone = shared(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    max_bits, scheme = int(64 * prints * np.arccos(similarity) / np.pi), Bands(prints)
+    names = [f"p{i}" for i in range(prints)]
+    docs_ = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs_ = docs_.withColumn("h", F.xxhash64("text"))
+    found = shared(fingerprints(docs_, words, prints, ["h"]))
+    texts = found.join(_candidates(found, scheme, max_bits), names).groupBy("top", "h")
+    texts = shared(texts.agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+    sums = texts.groupBy("top").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows")).where("rows > 1")
+    texts = shared(texts.select("top", "h", "first").join(sums, "top").withColumn("node", F.monotonically_increasing_id()))
+    several = texts.where("texts > 1").select("h", "node", F.col("top").alias("component"))
+    members = shared(docs_.select("h", "text").join(several, "h").select("node", "component", "text").dropDuplicates(["node"]))
+    groups = components(similar_links(members, words, similarity, **x))
+    texts = shared(texts.join(groups, "node", "left").select("h", "first", F.coalesce("component", "node").alias("group")))
+    lowest = texts.groupBy("group").agg(F.min("first").alias("keep"))
+    kept = texts.join(lowest, "group").select("h", "keep")
+    gone = shared(found.select("doc_id", "h").join(kept, "h").where("doc_id <> keep").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
