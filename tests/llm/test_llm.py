@@ -231,6 +231,27 @@ def test_similar_rows_lose_no_link(done):
         assert got.tolist() == want.tolist()
 
 
+def test_near_copies_of_rows_without_id(spark):
+    docs = documents(spark, [" ".join(f"w{i}" for i in range(200))] * 3 + ["a b c"])
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") != 0, F.col("doc_id")))
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect()) == ["1", "3", "None"]
+    rnd = random.Random(0)
+    base, other = [f"v{rnd.randrange(10**6)}" for _ in range(3000)], None
+    prints = [plain_fingerprint(" ".join(base), 3)]
+    while other is None or not 0 < (plain_fingerprint(other, 3) ^ prints[0]).bit_count() <= 3:
+        other = " ".join(edited(rnd, base, [rnd.randrange(3000)]))
+    docs = documents(spark, [" ".join(base), other]).withColumn("doc_id", F.when(F.col("doc_id") != 0, F.col("doc_id")))
+    assert [r.component_id for r in simhash.near_groups(docs).collect()] == [1, 1]
+
+
+def test_pipeline_near_copies_against_all_pairs(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(400).collect()
+    sets = [plain_shingles(r.text, 5) for r in rows]
+    want = plain_components(sets, plain_near)
+    kept = simhash.keep_one(spark.createDataFrame(rows), words=5, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == [rows[i].doc_id for i, c in enumerate(want) if i == c]
+
+
 @pytest.mark.parametrize("options", [{}, {"capacity": 2, "bits": 2}, {"hash_bits": 2}])
 def test_exact_groups(spark, options):
     texts = odd_texts()

@@ -405,7 +405,7 @@ def _candidates(found: DataFrame, scheme, max_bits: int) -> DataFrame:
     names = [f"p{i}" for i in range(scheme.prints)]
     nodes = found.groupBy(*names).agg(F.min("doc_id").alias("first"))
     nodes = shared(nodes.withColumn("node", F.monotonically_increasing_id()))
-    groups = components(links(nodes.where("first is not null").select("node", *names), scheme, max_bits))
+    groups = components(links(nodes.select("node", *names), scheme, max_bits))
     return nodes.join(groups, "node", "left").select(*names, "first", F.coalesce("component", "node").alias("top"))
 
 
