@@ -520,6 +520,14 @@ def test_recall_and_odd_vectors(spark):
     assert len(got) == 300 and hit >= 0.9 * 300
 
 
+def test_longer_odd_vectors_do_not_set_the_dimension(spark):
+    rows = [(i, [float(i), 1.0, 2.0]) for i in range(20)]
+    odd = [(100, [1.0] * 4 + [None]), (200, [float("nan")] * 6), (300, [0.0] * 7), (400, [1.0] * 5)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
+    got = neighbours.nearest(df, k=2, every=10).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(0, 1, 1), (0, 2, 2), (10, 1, 9), (10, 2, 11)]
+
+
 # ---------------------------------------------------------------- all together
 def test_empty_tables(spark):
     docs = documents(spark, [])

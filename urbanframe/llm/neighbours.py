@@ -13,7 +13,7 @@ distance; the same chi-square test then tells which other cells it must visit.
 A cell is a number of blocks of bounded size, and queries go in bounded chunks.
 
 A vector takes part if its components are all finite, not all zero, and as many
-as the longest vector has; null ids take no part, and a row that repeats an id
+as most such vectors have (of equally common sizes, the larger); null ids take no part, and a row that repeats an id
 and its vector counts once. Equal vectors are searched once; of more copies than
 could be returned only the smallest ids are candidates, which loses nothing.
 Ties go to the smaller id; with fewer candidates than k all are returned. An
@@ -152,7 +152,8 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each row of (vec_id, embedding) whose id is divisible by ``every``."""
     known = rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    size = int(known.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0])
+    sizes = known.where(usable(F.col("embedding"), F.size("embedding"))).groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    size = int(sizes.agg(F.coalesce(F.max(F.struct("n", "size"))["size"], F.lit(0))).first()[0])
     known = shared(known.where(usable(F.col("embedding"), size)).distinct())
     same = Window.partitionBy("embedding").orderBy("vec_id")
     points = shared(known.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth"))
