@@ -4,8 +4,8 @@
    shared folder; a hash is one slot of the index, copies chain behind it.
 2. The directory: slots are counted by their next leading bits; a bucket with
    more slots than ``capacity`` doubles its part of the directory until it is
-   small enough. Slots are stored by bucket, so each owner task has one range
-   of keys.
+   small enough. Slots are stored by bucket. The result does not use the
+   buckets: what follows is dealt by the hash itself.
 3. Collisions: only slots with a chain of two or more documents are read again;
    their texts are compared byte by byte (the text itself is the grouping key,
    combined before the shuffle, so a hot text travels once for each task).
