@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanframe.llm import exact_dedup, license_scan, neighbours, packing, pieces, quality, simhash, suffix_dedup, token_counts, toxicity
+from urbanframe.llm import (
+    exact_dedup, lexical_search, license_scan, neighbours, packing, pieces, quality, sharding, simhash, spelling, suffix_dedup,
+    token_counts, toxicity,
+)
 from urbanframe.llm.common import read_table
 
 
@@ -52,6 +55,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(read_table(spark, sf_dir, "documents"), least=5, shortest=6, damage=199))
+
+
+def op12_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(read_table(spark, sf_dir, "documents"), shards=8).drop("stratum")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
 ENTRIES = {
     "op1_simhash_near_dedup": (op1_simhash_near_dedup, None),
     "op2_license_scans": (op2_license_scans, license_scan.oracle()),
@@ -63,4 +78,7 @@ ENTRIES = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_nearest_neighbours": (op9_nearest_neighbours, None),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
+    "op11_spelling_variants": (op11_spelling_variants, spelling.ORACLE),
+    "op12_stratified_shards": (op12_stratified_shards, sharding.ORACLE),
+    "op13_lexical_search": (op13_lexical_search, lexical_search.ORACLE),
 }
