@@ -1,15 +1,18 @@
 """Ids, ranks, dissolving, hierarchies, edits, materials, projection, sources."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from urbanframe.functions import geometry as G
+from urbanframe.functions import kernels as K
 from urbanframe.functions import projection as P
 from urbanframe.functions.scalars import estimated_floors, hex_byte, number_text, round_numeric
 from urbanframe.operators import advice, envelopes, features, hierarchy, materials, store_edit, tiles
+from urbanframe.operators import dissolve as D
 from urbanframe.operators.dissolve import covered_area, dissolve
 from urbanframe.operators.ids import dense_id, rank_in_group
 from urbanframe.registry import city, styling
@@ -81,20 +84,75 @@ def test_rank_in_group(spark):
 def _squares(spark, n=400):
     df = spark.range(n).withColumn("k", F.when(F.col("id") < n * 3 / 4, 0).otherwise(1))
     x, y = (F.col("id") * 37 % 30).cast("double"), (F.col("id") * 11 % 20).cast("double")
-    return df.select("k", "id", G.st_rectangle(x, y, x + 3, y + 2).alias("geom"), G.bbox_struct(x, y, x + 3, y + 2).alias("bbox"))
+    return df.select("k", "id", G.st_rectangle(x, y, x + 3, y + 2).alias("geom"))
 
 
-def test_hot_groups_dissolve_to_the_same_area(spark):
+def _kernel_area(df):
+    """Independent way: the whole group in one numpy overlay."""
+    return {r[0]: r[1] for r in df.groupBy("k").agg(G.collect_parts("geom").alias("g")).select("k", K.st_covered_area("g")).collect()}
+
+
+@pytest.mark.parametrize("crowd", [2, 8, 1000])
+def test_hot_groups_dissolve_to_the_same_area(spark, crowd):
     df = _squares(spark)
-    plain = {r[0]: r[1] for r in covered_area(df, ["k"], "geom", "bbox", "id").collect()}
-    for fan_in in (16, 64):
-        split = {r[0]: r[1] for r in covered_area(df, ["k"], "geom", "bbox", "id", fan_in).collect()}
-        assert all(math.isclose(plain[k], split[k]) for k in plain)
-        merged = {r[0]: r[1] for r in dissolve(df, ["k"], "geom", "id", fan_in).select("k", G.st_area("geom")).collect()}
-        assert all(math.isclose(plain[k], merged[k]) for k in plain)
-    # copies of one shape in one place
-    stack = df.withColumn("geom", G.st_rectangle(0, 0, 2, 5)).withColumn("bbox", G.bbox_struct(0, 0, 2, 5))
-    assert all(math.isclose(r[1], 10.0) for r in covered_area(stack, ["k"], "geom", "bbox", "id", 16).collect())
+    plain = _kernel_area(df)
+    swept = {r[0]: r[1] for r in covered_area(df, ["k"], "geom", crowd).collect()}
+    assert plain.keys() == swept.keys() and all(math.isclose(plain[k], swept[k]) for k in plain)
+    merged = {r[0]: r[1] for r in dissolve(df, ["k"], "geom", "id", crowd).select("k", G.st_area("geom")).collect()}
+    assert all(math.isclose(plain[k], merged[k]) for k in plain)
+
+
+def _shapes(spark, n, seed):
+    """Triangles, stars with a hole and sheared boxes that cross each other; a third of all in one group."""
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x, y, s = rnd.uniform(0, 40), rnd.uniform(0, 40), rnd.choice([1, 3, 12])
+        turn = lambda a, r: (x + r * math.cos(a), y + r * math.sin(a), 0.0)  # noqa: E731, B023
+        corners = rnd.choice([3, 4, 7])
+        shell = [turn(2 * math.pi * j / corners + i, s * (0.5 + rnd.random())) for j in range(corners)]
+        rings = [shell + shell[:1]]
+        if corners == 7:
+            hole = [turn(2 * math.pi * j / 3, s * 0.2) for j in range(3)]
+            rings.append(hole + hole[:1])
+        rows.append((0 if i % 3 else i % 5, i, [rings]))
+    parts = "array<array<array<struct<x: double, y: double, z: double>>>>"
+    df = spark.createDataFrame(rows, f"k int, id int, parts {parts}")
+    return df.select("k", "id", G.geometry("Polygon", F.col("parts"), 3879).alias("geom"))
+
+
+@pytest.mark.parametrize("crowd", [3, 20])
+def test_swept_area_of_crossing_shapes(spark, crowd):
+    df = _shapes(spark, 150, 5)
+    plain = _kernel_area(df)
+    swept = {r[0]: r[1] for r in covered_area(df, ["k"], "geom", crowd).collect()}
+    assert plain.keys() == swept.keys()
+    for k in plain:
+        assert math.isclose(plain[k], swept[k], rel_tol=1e-9), k
+
+
+def test_swept_area_of_odd_groups(spark):
+    df = _squares(spark, 40)
+    # copies of one shape in one place, a null group, groups without area
+    stack = df.select(F.when(F.col("k") == 0, F.lit(7)).alias("k"), "id", G.st_rectangle(0, 0, 2, 5).alias("geom"))
+    empty = df.select(F.lit(9).alias("k"), "id", F.lit(None).cast(df.schema["geom"].dataType).alias("geom"))
+    lines = df.select(F.lit(10).alias("k"), "id", G.st_makeline(F.array(G.make_point(0, 0), G.make_point(4, 4))).alias("geom"))
+    got = {r[0]: r[1] for r in covered_area(stack.union(empty).union(lines), ["k"], "geom", 4).collect()}
+    assert got == {7: 10.0, None: 10.0, 9: 0.0, 10: 0.0}
+
+
+def test_a_hot_group_spreads_over_cells(spark):
+    n = 20_000
+    df = spark.range(n).select(
+        F.lit(1).alias("k"), "id", G.st_rectangle(F.rand(1) * 500, F.rand(2) * 500, F.lit(0.0), F.lit(0.0)).alias("geom")
+    )
+    x, y = F.pmod(F.xxhash64("id"), F.lit(50_000)) / 100, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(50_000)) / 100
+    df = df.select("k", "id", G.st_rectangle(x, y, x + 2, y + 2).alias("geom"))
+    _, rest = D._settled(D._pieces(df, ["k"], "geom"), D.CROWD)
+    sizes = [r["count"] for r in rest.groupBy(*D._PLACE).count().collect()]
+    assert max(sizes) <= D.CROWD and len(sizes) > 500
+    swept = covered_area(df, ["k"], "geom").first()["covered_area"]
+    assert math.isclose(swept, _kernel_area(df)[1], rel_tol=1e-9)
 
 
 def test_hierarchy_survives_cycles(spark):

@@ -340,3 +340,26 @@ def contains_point(g, x, y) -> Column:
         return (total % 2 == 1) | F.exists(part, touches)
 
     return F.exists(g["parts"], inside)
+
+
+def covers_box(g, x0, y0, x1, y1) -> Column:
+    """True if the polygon parts cover the whole box: a corner lies inside one part and no edge of any part enters the box."""
+    g = _c(g)
+    x0, y0, x1, y1 = (_num(v) for v in (x0, y0, x1, y1))
+
+    def enters(p: Column, q: Column) -> Column:
+        apart = (F.greatest(p["x"], q["x"]) < x0) | (F.least(p["x"], q["x"]) > x1) | (F.greatest(p["y"], q["y"]) < y0) | (F.least(p["y"], q["y"]) > y1)
+
+        def side(x, y):  # of the line through the edge
+            return F.signum((q["x"] - p["x"]) * (y - p["y"]) - (q["y"] - p["y"]) * (x - p["x"]))
+
+        corners = side(x0, y0) + side(x1, y0) + side(x1, y1) + side(x0, y1)
+        return ~apart & (F.abs(corners) < 4)
+
+    def entered(ring: Column) -> Column:
+        n = F.size(ring)
+        head, tail = F.slice(ring, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(ring, F.lit(2), F.greatest(n - 1, F.lit(0)))
+        return F.exists(F.zip_with(head, tail, enters), lambda v: v)
+
+    whole = F.exists(g["parts"], lambda part: F.exists(part, entered))
+    return F.coalesce(g["kind"].isin(*POLYGON_KINDS, "GeometryCollection") & ~whole & contains_point(g, x0, y0), F.lit(False))

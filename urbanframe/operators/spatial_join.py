@@ -2,16 +2,21 @@
 
 A distance or overlap predicate has no equi key, so Spark would compare every
 pair. Here each bounding box is written once per grid cell it touches and the
-join runs on the cell. Cells come in levels whose sizes grow by eight: a box
-enters the finest level where it is at most two cells wide, and coarser levels.
-Two boxes meet on the coarser of their two levels only, in the cell that holds
-the lower-left corner of their overlap, so each pair appears exactly once and
-no ``distinct`` is needed. Because the cell follows the size of the boxes, a
-crowded place full of small boxes is cut into small cells: boxes that do not
-overlap can share a cell with a bounded number of their kind only.
-
-The levels really present on the other side are read by a scalar subquery, so
-rows are not written to levels nobody asks for.
+join runs on the cell. Cells come in levels whose sizes grow by eight; a box
+enters the finest level where it is at most two cells wide. Levels go as high as
+the largest box asks for.
+
+Boxes of one level meet in their cells. A larger box walks down to the levels of
+smaller boxes through the cells these occupy: a cell of the covering is joined
+with the occupied cells one level below it, so no small box is ever written to a
+coarse cell, and a very large box yields as many cells as it has neighbours. Two
+boxes meet on the finer of their two levels, in the cell that holds the lower-left
+corner of their overlap, so each pair appears exactly once and no ``distinct`` is
+needed. Because cells follow the size of the boxes, boxes that do not overlap can
+share a cell with a bounded number of their kind only.
+
+On the way down a cell that a polygon covers with room to spare is an inner cell:
+all it holds lies in the polygon, and no exact test follows.
 """
 
 from __future__ import annotations
@@ -21,85 +26,140 @@ from pyspark.sql import functions as F
 
 from urbanframe.functions import geometry as G
 from urbanframe.functions import kernels as K
+from urbanframe.operators import box_tree
 from urbanframe.session import cut_lineage
 
 RATIO = 8
-TOP_LEVEL = 7
 MAX_SPAN = 2
 CELL = 0.5
 
-# Ladder used to bound nearest-neighbour searches.
-LADDER_CELL = 1.0
-LADDER_RATIO = 4
-LADDER_LEVELS = 8
-SALTED_LEVEL = 4
-SALTS = 32
+_EDGES = (("x0", "xmin"), ("x1", "xmax"), ("y0", "ymin"), ("y1", "ymax"))
 
 
 def _native_level(box: str) -> str:
-    """Finest level at which the box covers few cells, as SQL text."""
+    """Finest level at which the box is at most ``MAX_SPAN`` cells wide, as SQL text."""
     side = f"greatest({box}.xmax - {box}.xmin, {box}.ymax - {box}.ymin)"
-    return " + ".join(f"int({side} > {MAX_SPAN * CELL * RATIO**l}D)" for l in range(TOP_LEVEL))
+    return f"int(greatest(0D, ceil(ln(greatest({side}, {CELL}D) / {MAX_SPAN * CELL}D) / ln({RATIO}D) - 1e-9D)))"
 
 
-def _levels(df: DataFrame, box: str) -> Column:
-    """Set of native levels in a layer: at most TOP_LEVEL + 1 integers."""
-    return df.select(F.expr(f"collect_set({_native_level(box)})")).scalar()
+def _present(df: DataFrame, box: str) -> list[int]:
+    """Levels of a layer's boxes, a handful of numbers."""
+    rows = df.where(F.col(box).isNotNull()).select(F.expr(_native_level(box)).alias("l")).distinct().collect()
+    return sorted(r.l for r in rows)
 
 
-def _size(level: str) -> str:
+def _size(level: str | int) -> str:
     return f"({CELL}D * power({RATIO}D, {level}))"
 
 
-_EDGES = (("x0", "xmin"), ("x1", "xmax"), ("y0", "ymin"), ("y1", "ymax"))
-
-
-def _enter_cells(df: DataFrame, box: str, other_levels: Column, tag: str) -> DataFrame:
-    """One row per cell of every wanted level; box edges become plain columns."""
-    native, level = f"_{tag}_native", f"_{tag}_l"
+def _edged(df: DataFrame, box: str, tag: str) -> DataFrame:
+    """Rows with a box, its edges as plain columns and its level; ``_t_inner``: inside a covering polygon."""
     df = df.where(F.col(box).isNotNull())
     df = df.withColumns({f"_{tag}_{c}": F.col(f"{box}.{f}") for c, f in _EDGES})
-    df = df.withColumn(native, F.expr(_native_level(box)))
-    df = df.withColumn(level, F.explode(F.sequence(F.col(native), F.lit(TOP_LEVEL))))
-    # own level: for partners as fine or finer; a coarser one: for partners of that level
-    df = df.withColumn("_other", other_levels)
-    df = df.where(F.expr(f"({level} = {native} AND array_min(_other) <= {level}) OR array_contains(_other, {level})")).drop("_other")
+    return df.withColumns({f"_{tag}_native": F.expr(_native_level(box)), f"_{tag}_inner": F.lit(False)})
+
+
+def _span(tag: str, axis: str, level: str | int) -> tuple[Column, Column]:
+    """First and last cell of the box on one axis."""
+    size = _size(level)
+    return F.expr(f"floor(_{tag}_{axis}0 / {size})"), F.expr(f"floor(_{tag}_{axis}1 / {size})")
+
+
+def _own_cells(df: DataFrame, tag: str) -> DataFrame:
+    """One row per cell a box touches on its own level."""
+    df = df.withColumn(f"_{tag}_l", F.col(f"_{tag}_native"))
     for axis in "xy":
-        size = _size(level)
-        steps = f"explode(sequence(floor(_{tag}_{axis}0 / {size}), floor(_{tag}_{axis}1 / {size})))"
-        df = df.withColumn(f"_{tag}_c{axis}", F.expr(steps))
+        df = df.withColumn(f"_{tag}_c{axis}", F.explode(F.sequence(*_span(tag, axis, f"_{tag}_native"))))
     return df
 
 
+def _occupied(own: DataFrame, tag: str, levels: list[int], top: int) -> dict[int, DataFrame]:
+    """Cells (_cx, _cy) of each level up to ``top`` that hold boxes of that level or of a finer one."""
+    out: dict[int, DataFrame] = {}
+    for level in range(levels[0], top + 1):
+        cells = None
+        if level in levels:
+            cells = own.where(F.col(f"_{tag}_l") == level).select(F.col(f"_{tag}_cx").alias("_cx"), F.col(f"_{tag}_cy").alias("_cy"))
+        if level - 1 in out:
+            below = out[level - 1].select(F.expr(f"floor(_cx / {RATIO}D)").alias("_cx"), F.expr(f"floor(_cy / {RATIO}D)").alias("_cy"))
+            cells = below if cells is None else cells.union(below)
+        out[level] = cells.distinct()
+    return out
+
+
+def _walk_down(own: DataFrame, tag: str, levels: list[int], other: dict[int, DataFrame], other_levels: list[int], geom: str | None) -> list[DataFrame]:
+    """Cells of larger boxes on the finer levels of the other side, one frame a level."""
+    out, above = [], None
+    for level in range(levels[-1], other_levels[0], -1):
+        here = own.where(F.col(f"_{tag}_l") == level) if level in levels else None
+        here = above if here is None else here if above is None else here.union(above)
+        if here is None or level - 1 not in other:
+            continue
+        if geom is not None:
+            here = here.withColumn(f"_{tag}_inner", F.col(f"_{tag}_inner") | _covered(geom, tag, level))
+        cells = other[level - 1].withColumns({"_px": F.expr(f"floor(_cx / {RATIO}D)"), "_py": F.expr(f"floor(_cy / {RATIO}D)")})
+        met = here.join(cells, (F.col(f"_{tag}_cx") == F.col("_px")) & (F.col(f"_{tag}_cy") == F.col("_py")))
+        for axis in "xy":
+            met = met.where(F.col(f"_c{axis}").between(*_span(tag, axis, level - 1)))
+        above = met.withColumns({f"_{tag}_l": F.lit(level - 1), f"_{tag}_cx": F.col("_cx"), f"_{tag}_cy": F.col("_cy")}).select(own.columns)
+        if level - 1 in other_levels:
+            out.append(above)
+    return out
+
+
+def _covered(geom: str, tag: str, level: int) -> Column:
+    """Does the polygon cover the cell and a quarter more on its upper sides, as far as boxes of finer levels reach?"""
+    size = _size(level)
+    x, y = F.expr(f"_{tag}_cx * {size}"), F.expr(f"_{tag}_cy * {size}")
+    reach = F.expr(f"{size} * {1 + MAX_SPAN / RATIO}D")
+    # a cell that leaves the box is not covered, whatever the polygon looks like
+    fits = (x >= F.col(f"_{tag}_x0")) & (y >= F.col(f"_{tag}_y0")) & (x + reach <= F.col(f"_{tag}_x1")) & (y + reach <= F.col(f"_{tag}_y1"))
+    return F.when(fits, G.covers_box(geom, x, y, x + reach, y + reach)).otherwise(False)
+
+
 def bbox_join(
-    left: DataFrame, right: DataFrame, left_box: str, right_box: str
+    left: DataFrame, right: DataFrame, left_box: str, right_box: str, left_geom: str | None = None, right_geom: str | None = None
 ) -> DataFrame:
     """All pairs whose 2D bounding boxes overlap or touch, each exactly once.
 
-    Column names of the two sides must be disjoint; null boxes never match.
+    Column names of the two sides must be disjoint; null boxes never match. With
+    the names of polygon columns, ``_inner`` tells pairs whose smaller box lies in
+    an inner cell of the larger polygon.
     """
     clash = set(left.columns) & set(right.columns)
     if clash:
         raise ValueError(f"rename these columns on one side first: {sorted(clash)}")
-    a = _enter_cells(left, left_box, _levels(right, right_box), "a")
-    b = _enter_cells(right, right_box, _levels(left, left_box), "b")
+    a, b = _own_cells(_edged(left, left_box, "a"), "a"), _own_cells(_edged(right, right_box, "b"), "b")
+    present = _present(left, left_box), _present(right, right_box)
+    if all(present):
+        top = max(present[0][-1], present[1][-1]) - 1
+        more_a = _walk_down(a, "a", present[0], _occupied(b, "b", present[1], top), present[1], left_geom)
+        more_b = _walk_down(b, "b", present[1], _occupied(a, "a", present[0], top), present[0], right_geom)
+        for more in more_a:
+            a = a.union(more)
+        for more in more_b:
+            b = b.union(more)
     size = _size("_a_l")
     on = F.expr(
-        "_a_l = _b_l AND _a_cx = _b_cx AND _a_cy = _b_cy AND _a_l = greatest(_a_native, _b_native) "
+        "_a_l = _b_l AND _a_cx = _b_cx AND _a_cy = _b_cy AND _a_l = least(_a_native, _b_native) "
         "AND _a_x0 <= _b_x1 AND _a_x1 >= _b_x0 AND _a_y0 <= _b_y1 AND _a_y1 >= _b_y0 "
         f"AND floor(greatest(_a_x0, _b_x0) / {size}) = _a_cx AND floor(greatest(_a_y0, _b_y0) / {size}) = _a_cy"
     )
-    helper = [f"_{t}_{n}" for t in "ab" for n in ("l", "cx", "cy", "native", "x0", "x1", "y0", "y1")]
-    return a.join(b, on, "inner").drop(*helper)
+    helper = [f"_{t}_{n}" for t in "ab" for n in ("l", "cx", "cy", "native", "inner", "x0", "x1", "y0", "y1")]
+    pairs = a.join(b, on, "inner")
+    if left_geom or right_geom:
+        pairs = pairs.withColumn("_inner", F.expr("_a_inner OR _b_inner"))
+    return pairs.drop(*helper)
 
 
 def join_intersects(
     left: DataFrame, right: DataFrame, left_geom: str, right_geom: str,
     left_box: str, right_box: str,
 ) -> DataFrame:
-    """Pairs whose geometries share at least one point."""
-    pairs = bbox_join(left, right, left_box, right_box)
-    return pairs.where(K.st_intersects(left_geom, right_geom))
+    """Pairs whose geometries share at least one point; inner cells answer without an exact test."""
+    pairs = bbox_join(left, right, left_box, right_box, left_geom, right_geom)
+    tested = K.st_intersects(F.when(~F.col("_inner"), F.col(left_geom)), right_geom)
+    return pairs.where(F.col("_inner") | tested).drop("_inner")
 
 
 def join_dwithin(
@@ -187,26 +247,29 @@ def semi_dwithin_points(
     return df.join(keep.withColumnRenamed("_key", key), key, "left_semi")
 
 
-def _ladder(df: DataFrame, x: Column, y: Column, salt: Column | None) -> DataFrame:
-    """One row per ladder level and grid (plain and shifted by half a cell)."""
-    steps = F.array(
-        *[
-            F.struct(
-                F.lit(2 * l + g).alias("step"),
-                F.floor(x / c + g * 0.5).alias("cx"),
-                F.floor(y / c + g * 0.5).alias("cy"),
-            )
-            for l in range(LADDER_LEVELS)
-            for c in [LADDER_CELL * LADDER_RATIO**l]
-            for g in (0, 1)
-        ]
-    )
-    df = df.withColumn("_s", F.explode(steps))
-    df = df.withColumns({"_step": F.col("_s.step"), "_cx": F.col("_s.cx"), "_cy": F.col("_s.cy")}).drop("_s")
-    hot = F.col("_step") >= 2 * SALTED_LEVEL
-    if salt is not None:
-        return df.withColumn("_salt", F.when(hot, F.pmod(salt, F.lit(SALTS))).otherwise(0))
-    return df.withColumn("_hot", hot)
+def nearest_candidates(left: DataFrame, right: DataFrame, other_only: bool = False) -> DataFrame:
+    """Pairs (lk, rk) among which each left row's nearest right row is, from (id, x0, y0, x1, y1, ax, ay) on both sides.
+
+    Two cell pyramids are walked down together; what remains of a cell is carried
+    on with the best bound so far. In the leaves every row gets its own bound from
+    the anchors and box sides it meets, and only boxes that near stay.
+    """
+    frame = box_tree.frame_of(left, right)
+    if frame is None:
+        return left.join(right.select(F.col("id").alias("rk")), F.col("id") == F.col("rk")).select(F.col("id").alias("lk"), "rk")
+    trees = box_tree.pyramid(left, frame), box_tree.pyramid(right, frame)
+    pairs = box_tree.descend(*trees, other_only)
+    rows = [t.rows.select([F.col(c).alias(f"{side}_{c}") for c in t.rows.columns]) for t, side in zip(trees, "ab")]
+    met = pairs.join(rows[0], F.col("a") == F.col("a_cell")).join(rows[1], F.col("b") == F.col("b_cell"))
+    gap = box_tree.gap2(box_tree.box("a"), box_tree.box("b"))
+    met = met.withColumn("gap", gap).where(box_tree.within(F.col("gap"), F.col("bound")))
+    if other_only:
+        met = met.where(F.col("a_id") != F.col("b_id"))
+    anchors = F.pow(F.col("a_ax") - F.col("b_ax"), 2) + F.pow(F.col("a_ay") - F.col("b_ay"), 2)
+    apart = F.least(anchors, box_tree.facing2(box_tree.box("a"), box_tree.box("b")))
+    met = met.select(F.col("a_id").alias("lk"), F.col("b_id").alias("rk"), "gap", apart.alias("apart"))
+    best = F.min("apart").over(Window.partitionBy("lk"))
+    return met.withColumn("bound", best).where(box_tree.within(F.col("gap"), F.col("bound"))).select("lk", "rk")
 
 
 def nearest(
@@ -215,69 +278,35 @@ def nearest(
 ) -> DataFrame:
     """Nearest right row per left row: (left_key, right_key, distance_m).
 
-    First an upper bound per left row: cells of growing size hold one or two
-    representative vertices of the right layer, and the distance to a
-    representative sharing a cell bounds the true distance. Then one bbox join
-    with the box grown by that bound gives the few candidates for the exact
-    distance. Ties go to the smallest right key. ``other_only`` skips rows with
-    equal keys (nearest other row of the same layer).
+    Cell pyramids leave a few candidates per row (``nearest_candidates``), which get
+    exact distances. Ties go to the smallest right key. ``other_only`` skips rows
+    with equal keys (nearest other row of the same layer).
     """
-    lk, rk = F.col(left_key), F.col(right_key)
     # Copies of one geometry answer alike: the smallest key speaks for them (two, if
     # a row must not meet itself), so a stack of copies cannot blow up the candidates.
     # The hash comes first so that sorting rarely compares whole geometries.
-    copies = Window.partitionBy("_hash", right_geom).orderBy(right_key)
+    copies = Window.partitionBy("_hash", "_geom").orderBy("_key")
     right = (
-        right.select(*{right_key: 0, right_geom: 0, right_box: 0})
-        .withColumn("_hash", F.xxhash64(right_geom))
+        right.select(F.col(right_key).alias("_key"), F.col(right_geom).alias("_geom"), F.col(right_box).alias("_box"))
+        .withColumn("_hash", F.xxhash64("_geom"))
         .withColumn("_copy", F.row_number().over(copies))
         .where(F.col("_copy") <= (2 if other_only else 1))
         .drop("_copy", "_hash")
     )
-    right = cut_lineage(right)
-    vert = G.first_vertex(right_geom)
-    reps = right.where(vert.isNotNull()).select(rk.alias("_rk"), vert["x"].alias("_x"), vert["y"].alias("_y"))
-    rep = F.struct("_rk", "_x", "_y")
-    stairs = (
-        _ladder(reps, F.col("_x"), F.col("_y"), None)
-        .groupBy("_step", "_cx", "_cy", "_hot")
-        .agg(F.min(rep).alias("_lo"), F.max(rep).alias("_hi"))
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
-    anywhere = reps.select(F.struct(F.min(rep).alias("lo"), F.max(rep).alias("hi")))
-    lv = G.first_vertex(left_geom)
-    probe = left.where(lv.isNotNull()).select(lk.alias("_lk"), lv["x"].alias("_px"), lv["y"].alias("_py"))
-
-    def far(side: Column) -> Column:
-        d = F.sqrt(F.pow(side["_x"] - F.col("_px"), 2) + F.pow(side["_y"] - F.col("_py"), 2))
-        return F.when(side["_rk"] != F.col("_lk"), d) if other_only else d
-
-    found = (
-        _ladder(probe, F.col("_px"), F.col("_py"), F.xxhash64("_lk"))
-        .join(stairs, ["_step", "_cx", "_cy", "_salt"], "left")
-        .withColumn("_d", F.least(far(F.col("_lo")), far(F.col("_hi"))))
-        .groupBy("_lk")
-        .agg(F.min("_d").alias("_d"), F.first("_px").alias("_px"), F.first("_py").alias("_py"))
-        .withColumn("_any", anywhere.scalar())
-        .withColumn("_bound", F.coalesce("_d", F.least(far(F.col("_any.lo")), far(F.col("_any.hi")))))
-        .where(F.col("_bound").isNotNull())
-        .select("_lk", "_bound")
-    )
-    l = left.select(lk.alias("_k"), F.col(left_geom).alias("_lg"), F.col(left_box).alias("_lb"))
-    r = right.select(rk.alias("_rk"), F.col(right_geom).alias("_rg"), F.col(right_box).alias("_rb"))
-    # the tiny margin keeps the bounding representative itself inside the box
-    reach = F.col("_bound") * (1 + 1e-12) + 1e-9
-    l = l.join(found, l["_k"] == found["_lk"]).drop("_lk").withColumn("_reach", G.bbox_expand(F.col("_lb"), reach))
-    l = cut_lineage(l)
-    pairs = bbox_join(l, r, "_reach", "_rb")
-    if other_only:
-        pairs = pairs.where(F.col("_k") != F.col("_rk"))
-    pairs = pairs.where(G.bbox_distance(F.col("_lb"), F.col("_rb")) <= reach)
+    left = left.select(F.col(left_key).alias("_key"), F.col(left_geom).alias("_geom"), F.col(left_box).alias("_box"))
+    sides = [cut_lineage(s.withColumn("_v", G.first_vertex("_geom")).where("_v IS NOT NULL")) for s in (left, right)]
+    flat = [
+        s.select(F.col("_key").alias("id"), *[F.col(f"_box.{f}").alias(c) for c, f in _EDGES], F.col("_v.x").alias("ax"), F.col("_v.y").alias("ay"))
+        for s in sides
+    ]
+    pairs = nearest_candidates(*flat, other_only)
+    l = sides[0].select(F.col("_key").alias("lk"), F.col("_geom").alias("_lg"))
+    r = sides[1].select(F.col("_key").alias("rk"), F.col("_geom").alias("_rg"))
     out_right = f"nearest_{right_key}" if right_key == left_key else right_key
     return (
-        pairs.withColumn("_d", K.st_distance("_lg", "_rg"))
-        .groupBy(F.col("_k").alias(left_key))
-        .agg(F.min(F.struct("_d", "_rk")).alias("_m"))
-        .select(left_key, F.col("_m._rk").alias(out_right), F.col("_m._d").alias("distance_m"))
+        pairs.join(l, "lk").join(r, "rk")
+        .withColumn("_d", K.st_distance("_lg", "_rg"))
+        .groupBy(F.col("lk").alias(left_key))
+        .agg(F.min(F.struct("_d", "rk")).alias("_m"))
+        .select(left_key, F.col("_m.rk").alias(out_right), F.col("_m._d").alias("distance_m"))
     )

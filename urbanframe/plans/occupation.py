@@ -96,8 +96,7 @@ def parcel_fos(parcels: DataFrame, pieces: DataFrame) -> DataFrame:
         F.countDistinct("building_gml_id").alias("_n"), F.max("parcel_area_m2").alias("_cap"),
         F.max("height_m").alias("_max_h"), F.avg("height_m").alias("_avg_h"),
     )
-    boxed = pieces.select("parcel_id", "gid", "geom", G.st_bbox("geom").alias("bbox"))
-    union = covered_area(boxed, ["parcel_id"], "geom", "bbox", "gid")
+    union = covered_area(pieces, ["parcel_id"], "geom")
     cover = measures.join(union, "parcel_id").withColumn("_occ", F.least("_cap", "covered_area"))
     area = F.col("_area")
     occ = F.coalesce(F.col("_occ"), F.lit(0.0))

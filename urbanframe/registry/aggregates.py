@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from urbanframe.functions import geometry as G
 from urbanframe.functions.scalars import round_numeric
-from urbanframe.operators import advice, hierarchy, store_edit
+from urbanframe.operators import advice, dissolve, hierarchy, store_edit
 from urbanframe.operators import filters as fl
-from urbanframe.operators.dissolve import covered_area
 from urbanframe.operators.ids import dense_id, rank_in_group
 from urbanframe.plans import density, occupation
 from urbanframe.registry import city, layers, styling
@@ -22,7 +21,7 @@ def _surfaces(s, d):
     return r.select("sid", "k", G.st_rectangle(x0, y0, x1, y1).alias("geom"), G.bbox_struct(x0, y0, x1, y1).alias("bbox"))
 
 
-def _blocks(s, d, fan_in=512):
+def _blocks(s, d, crowd=dissolve.CROWD):
     """Overlapping order squares per nation block: the union counts overlaps once."""
     o = table(s, d, "orders")
     x, y = (F.col("o_orderkey") % 40).cast("double"), (F.col("o_custkey") % 40).cast("double")
@@ -30,7 +29,7 @@ def _blocks(s, d, fan_in=512):
     o = o.select(
         (F.col("o_custkey") % 25).alias("block"), "o_orderkey", G.st_rectangle(x, y, x + side, y + side).alias("geom"), G.bbox_struct(x, y, x + side, y + side).alias("bbox")
     )
-    return covered_area(o, ["block"], "geom", "bbox", "o_orderkey", fan_in)
+    return dissolve.covered_area(o, ["block"], "geom", crowd)
 
 
 UNION_SQL = (
@@ -83,7 +82,7 @@ ENTRIES = {
         oracle("SELECT k, CAST(count(*) AS INTEGER) AS parts, CAST(sum((x1 - x0) * (y1 - y0)) AS DOUBLE) AS area, CAST(count(*) * 5 AS INTEGER) AS points FROM surfaces GROUP BY k", "surfaces"),
     ),
     "union_area_agg": (_blocks, UNION_SQL),
-    "union_area_hot_groups": (lambda s, d: _blocks(s, d, 32).withColumn("covered_area", round_numeric("covered_area", 4)), UNION_SQL),
+    "union_area_hot_groups": (lambda s, d: _blocks(s, d, 4).withColumn("covered_area", round_numeric("covered_area", 4)), UNION_SQL),
     "extent_agg": (
         lambda s, d: _surfaces(s, d).groupBy("k").agg(G.extent_agg(F.col("bbox")).alias("e")).select("k", "e.xmin", "e.ymin", "e.xmax", "e.ymax"),
         oracle("SELECT k, CAST(min(x0) AS DOUBLE) AS xmin, CAST(min(y0) AS DOUBLE) AS ymin, CAST(max(x1) AS DOUBLE) AS xmax, CAST(max(y1) AS DOUBLE) AS ymax FROM surfaces GROUP BY k", "surfaces"),
