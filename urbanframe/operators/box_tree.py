@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from urbanframe.session import cut_lineage
 
-LEAF = 16
+LEAF = 32
 BITS = 3  # bits of each axis that a level adds
 LEVELS = 10
 _BOX = ("x0", "y0", "x1", "y1")
@@ -58,16 +58,19 @@ def frame_of(*sides: DataFrame) -> tuple[float, float, float] | None:
 
 
 def pyramid(rows: DataFrame, frame: tuple[float, float, float], leaf: int = LEAF) -> Pyramid:
-    """Pyramid of ``rows`` (id, x0, y0, x1, y1, ax, ay), a written table."""
+    """Pyramid of ``rows`` (id, x0, y0, x1, y1, ax, ay), a written table.
+
+    Each level groups the rows of the crowded cells above it; a row finds its leaf
+    by its cell number at that level.
+    """
     ox, oy, size = frame
     at = lambda c, o: F.floor((F.col(c) - o) / size * ((1 << BITS * LEVELS) - 1)).cast("long")
-    rest = rows.withColumns({"ix": at("ax", ox), "iy": at("ay", oy)})
-    levels, done = [], []
+    placed = rows.withColumns({"ix": at("ax", ox), "iy": at("ay", oy)})
+    rest, levels, done = placed, [], []
     for level in range(1, LEVELS + 1):
-        rest = rest.withColumn("cell", _key(level))
         parent = F.min(_key(level - 1)) if level > 1 else F.lit(0).cast("long")
         anchor = F.struct("id", "ax", "ay")
-        cells = rest.groupBy("cell").agg(
+        cells = rest.groupBy(_key(level).alias("cell")).agg(
             parent.alias("parent"), F.count(F.lit(1)).alias("n"),
             *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")],
             F.min("ax").alias("ax0"), F.min("ay").alias("ay0"), F.max("ax").alias("ax1"), F.max("ay").alias("ay1"),
@@ -76,19 +79,16 @@ def pyramid(rows: DataFrame, frame: tuple[float, float, float], leaf: int = LEAF
         full = F.lit(False) if level == LEVELS else F.col("n") > leaf
         cells = cut_lineage(cells.withColumn("leaf", ~full))
         levels.append(cells)
+        keyed = placed.withColumn("cell", _key(level))
+        done.append(keyed.join(cells.where("leaf").select("cell"), "cell", "left_semi"))
         crowded = cells.where("NOT leaf").select("cell")
         if crowded.isEmpty():
-            done.append(rest)
             break
-        placed = rest.join(cells.select("cell", "leaf"), "cell")
-        placed = cut_lineage(placed.select(*rows.columns, "ix", "iy", "cell", "leaf"))
-        done.append(placed.where("leaf"))
-        rest = placed.where("NOT leaf").drop("cell", "leaf")
-    columns = [*rows.columns, "cell"]
-    out = done[0].select(columns)
+        rest = keyed.join(crowded, "cell", "left_semi").drop("cell")
+    out = done[0]
     for more in done[1:]:
-        out = out.union(more.select(columns))
-    return Pyramid(levels, out)
+        out = out.union(more)
+    return Pyramid(levels, out.select(*rows.columns, "cell"))
 
 
 def gap2(a: dict[str, Column], b: dict[str, Column]) -> Column:

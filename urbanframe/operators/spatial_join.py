@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from urbanframe.functions import geometry as G
 from urbanframe.functions import kernels as K
 from urbanframe.operators import box_tree
-from urbanframe.session import cut_lineage
+from urbanframe.session import cut_lineage, side_by_side
 
 RATIO = 8
 MAX_SPAN = 2
@@ -257,7 +257,7 @@ def nearest_candidates(left: DataFrame, right: DataFrame, other_only: bool = Fal
     frame = box_tree.frame_of(left, right)
     if frame is None:
         return left.join(right.select(F.col("id").alias("rk")), F.col("id") == F.col("rk")).select(F.col("id").alias("lk"), "rk")
-    trees = box_tree.pyramid(left, frame), box_tree.pyramid(right, frame)
+    trees = side_by_side(lambda: box_tree.pyramid(left, frame), lambda: box_tree.pyramid(right, frame))
     pairs = box_tree.descend(*trees, other_only)
     rows = [t.rows.select([F.col(c).alias(f"{side}_{c}") for c in t.rows.columns]) for t, side in zip(trees, "ab")]
     met = pairs.join(rows[0], F.col("a") == F.col("a_cell")).join(rows[1], F.col("b") == F.col("b_cell"))
@@ -294,7 +294,8 @@ def nearest(
         .drop("_copy", "_hash")
     )
     left = left.select(F.col(left_key).alias("_key"), F.col(left_geom).alias("_geom"), F.col(left_box).alias("_box"))
-    sides = [cut_lineage(s.withColumn("_v", G.first_vertex("_geom")).where("_v IS NOT NULL")) for s in (left, right)]
+    written = [s.withColumn("_v", G.first_vertex("_geom")).where("_v IS NOT NULL") for s in (left, right)]
+    sides = side_by_side(*[lambda s=s: cut_lineage(s) for s in written])
     flat = [
         s.select(F.col("_key").alias("id"), *[F.col(f"_box.{f}").alias(c) for c, f in _EDGES], F.col("_v.x").alias("ax"), F.col("_v.y").alias("ay"))
         for s in sides
