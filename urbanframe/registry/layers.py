@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
 from urbanframe.functions import geometry as G
 from urbanframe.functions.scalars import round_numeric
 from urbanframe.plans import base as base_plan
 from urbanframe.plans import density, green, occupation, rule_report, rules, shadow
 from urbanframe.registry import city
 from urbanframe.registry.city import oracle
+from urbanframe.sources.catalogue import Catalogue
 
 
 def _plain(df):
@@ -15,56 +18,89 @@ def _plain(df):
     return df.drop("geom", "bbox", "footprint_3d", "footprint_2d", "building_geom", "shadow_geom", "bounding_box")
 
 
+_CATALOGUES: dict[tuple, Catalogue] = {}
+
+
+def catalogue(spark, sf) -> Catalogue:
+    """The analysis layers over one derived city, in build order."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CATALOGUES:
+        c = _CATALOGUES[key] = Catalogue(spark, f"analysis_{zlib.crc32(sf.encode()):08x}")
+        store = lambda: (
+            city.feature(spark, sf), city.property_rows(spark, sf), city.dictionary(spark, "objectclass"), city.geometry_data(spark, sf)
+        )
+        c.define("urban_building_base", lambda: base_plan.building_base(*store()))
+        c.define("urban_building_base_extended", lambda: base_plan.building_base(*store(), True))
+        c.define("building_footprints", lambda: rule_report.building_footprints(*store()))
+        c.define("building_height_points", lambda: green.building_height_points(city.class_geometries(spark, sf)))
+        c.define("green_areas_near_model", lambda pts: green.green_near_model(city.greens(spark, sf), pts), ["building_height_points"])
+        c.define("buildings_near_green", green.buildings_near_green, ["building_height_points", "green_areas_near_model"])
+        c.define("high_buildings_near_green", green.tall_near_green, ["buildings_near_green"], view=True)
+        c.define("buildings_clean", occupation.buildings_clean, ["urban_building_base"])
+        c.define("parcels_clean", lambda clean: occupation.parcels_clean(city.parcels(spark, sf), clean), ["buildings_clean"])
+        c.define("building_parcel_intersections", occupation.building_parcel_intersections, ["buildings_clean", "parcels_clean"])
+        c.define("building_parcel_coverage", occupation.building_parcel_coverage, ["building_parcel_intersections"], view=True)
+        c.define("parcel_fos", occupation.parcel_fos, ["parcels_clean", "building_parcel_intersections"])
+        c.define("building_far_estimate", density.building_far_estimate, ["building_parcel_intersections"])
+        c.define("parcel_far", density.parcel_far, ["parcels_clean", "building_far_estimate"])
+        c.define("shadow_risk_green", shadow.shadow_on_green, ["urban_building_base", "green_areas_near_model"])
+        c.define("high_shadow_risk_green", shadow.high_shadow, ["shadow_risk_green"], view=True)
+        c.define("combined_rules", rules.combined_rules, ["urban_building_base_extended"])
+    return _CATALOGUES[key]
+
+
+def saved(spark, sf, name):
+    """A layer as saved, for queries that build on it."""
+    return catalogue(spark, sf).table(name)
+
+
+def fresh(spark, sf, name):
+    """A layer computed from its saved inputs, for the query of the layer itself."""
+    return catalogue(spark, sf).fresh(name)
+
+
 def base_layer(spark, sf, extended=False):
-    return base_plan.building_base(
-        city.feature(spark, sf), city.property_rows(spark, sf), city.dictionary(spark, "objectclass"),
-        city.geometry_data(spark, sf), extended,
-    )
+    return saved(spark, sf, "urban_building_base_extended" if extended else "urban_building_base")
 
 
 def footprints(spark, sf):
-    return rule_report.building_footprints(
-        city.feature(spark, sf), city.property_rows(spark, sf), city.dictionary(spark, "objectclass"),
-        city.geometry_data(spark, sf),
-    )
+    return saved(spark, sf, "building_footprints")
 
 
 def points_layer(spark, sf):
-    return green.building_height_points(city.class_geometries(spark, sf))
+    return saved(spark, sf, "building_height_points")
 
 
 def near_green_layer(spark, sf):
-    pts = points_layer(spark, sf)
-    return green.buildings_near_green(pts, green.green_near_model(city.greens(spark, sf), pts))
+    return saved(spark, sf, "buildings_near_green")
 
 
 def greens_near(spark, sf):
-    return green.green_near_model(city.greens(spark, sf), points_layer(spark, sf))
+    return saved(spark, sf, "green_areas_near_model")
 
 
 def occupation_inputs(spark, sf):
-    return occupation.occupation_layers(base_layer(spark, sf), city.parcels(spark, sf))
+    return saved(spark, sf, "parcels_clean"), saved(spark, sf, "building_parcel_intersections")
 
 
 def fos_layer(spark, sf):
-    return occupation.parcel_fos(*occupation_inputs(spark, sf))
+    return saved(spark, sf, "parcel_fos")
 
 
 def estimates_layer(spark, sf):
-    return density.building_far_estimate(occupation_inputs(spark, sf)[1])
+    return saved(spark, sf, "building_far_estimate")
 
 
 def far_layer(spark, sf):
-    parcels, pieces = occupation_inputs(spark, sf)
-    return density.parcel_far(parcels, density.building_far_estimate(pieces))
+    return saved(spark, sf, "parcel_far")
 
 
 def shadow_layer(spark, sf):
-    return shadow.shadow_on_green(base_layer(spark, sf), greens_near(spark, sf))
+    return saved(spark, sf, "shadow_risk_green")
 
 
 def combined_layer(spark, sf):
-    return rules.combined_rules(base_layer(spark, sf, True))
+    return saved(spark, sf, "combined_rules")
 
 
 # ---------------------------------------------------------------- oracle pieces
@@ -300,22 +336,22 @@ def _rule_entry(number, fn, cols, status):
 
 
 ENTRIES = {
-    "building_base": (lambda s, d: _plain(base_layer(s, d)), _b(f"SELECT {BASE_COLS} FROM base")),
+    "building_base": (lambda s, d: _plain(fresh(s, d, "urban_building_base")), _b(f"SELECT {BASE_COLS} FROM base")),
     "building_base_extended": (
-        lambda s, d: _plain(base_layer(s, d, True)),
+        lambda s, d: _plain(fresh(s, d, "urban_building_base_extended")),
         _b(f"SELECT {BASE_COLS}, bbox_area_m2, min_face_width_m FROM base"),
     ),
     "building_height_points": (
-        lambda s, d: points_layer(s, d).selectExpr("gid", "source_id", "object_class", "height_m", "height_category", "bbox.xmin AS px", "bbox.ymin AS py"),
+        lambda s, d: fresh(s, d, "building_height_points").selectExpr("gid", "source_id", "object_class", "height_m", "height_category", "bbox.xmin AS px", "bbox.ymin AS py"),
         _g("SELECT gid, source_id, object_class, height_m, height_category, px, py FROM pts"),
     ),
     "green_near_model": (
-        lambda s, d: greens_near(s, d).selectExpr("id", "bbox.xmin AS x0", "bbox.ymax AS y1"),
+        lambda s, d: fresh(s, d, "green_areas_near_model").selectExpr("id", "bbox.xmin AS x0", "bbox.ymax AS y1"),
         _g("SELECT id, CAST(x0 AS DOUBLE) AS x0, CAST(y1 AS DOUBLE) AS y1 FROM near_greens"),
     ),
-    "buildings_near_green": (lambda s, d: _plain(near_green_layer(s, d)), _g("SELECT * FROM near_pts")),
+    "buildings_near_green": (lambda s, d: _plain(fresh(s, d, "buildings_near_green")), _g("SELECT * FROM near_pts")),
     "high_buildings_near_green": (
-        lambda s, d: _plain(green.tall_near_green(near_green_layer(s, d))),
+        lambda s, d: _plain(green.tall_near_green(fresh(s, d, "buildings_near_green"))),
         _g("SELECT * FROM near_pts WHERE height_m >= 25 AND distance_to_green_m <= 100"),
     ),
     "tall_green_summary": (
@@ -336,15 +372,15 @@ ENTRIES = {
         ),
     ),
     "buildings_clean": (
-        lambda s, d: _plain(occupation.buildings_clean(base_layer(s, d))),
+        lambda s, d: _plain(fresh(s, d, "buildings_clean")),
         _b("SELECT gid, building_id, building_gml_id, height_m, height_category, footprint_area_m2 FROM base"),
     ),
     "parcels_clean": (
-        lambda s, d: occupation_inputs(s, d)[0].selectExpr("parcel_id", "bbox.xmin AS x0", "bbox.ymin AS y0"),
+        lambda s, d: fresh(s, d, "parcels_clean").selectExpr("parcel_id", "bbox.xmin AS x0", "bbox.ymin AS y0"),
         _p("SELECT parcel_id, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0 FROM clean_parcels"),
     ),
     "building_parcel_intersections": (
-        lambda s, d: _plain(occupation_inputs(s, d)[1]),
+        lambda s, d: _plain(fresh(s, d, "building_parcel_intersections")),
         _p(f"SELECT *, '{occupation.QUESTION_PIECES}' AS question FROM pieces"),
     ),
     "building_parcel_coverage": (
@@ -357,7 +393,7 @@ ENTRIES = {
         ),
     ),
     "parcel_fos": (
-        lambda s, d: _plain(fos_layer(s, d)), _p(f"SELECT *, '{occupation.QUESTION_FOS}' AS question FROM fos", FOS_CTES),
+        lambda s, d: _plain(fresh(s, d, "parcel_fos")), _p(f"SELECT *, '{occupation.QUESTION_FOS}' AS question FROM fos", FOS_CTES),
     ),
     "fos_summary": (
         lambda s, d: occupation.fos_summary(fos_layer(s, d)),
@@ -374,10 +410,10 @@ ENTRIES = {
         _p("SELECT parcel_id, parcel_area_m2, occupied_area_m2, fos_pct, buildings_count FROM fos WHERE fos_pct > 100", FOS_CTES),
     ),
     "building_far_estimate": (
-        lambda s, d: _plain(estimates_layer(s, d)),
+        lambda s, d: _plain(fresh(s, d, "building_far_estimate")),
         _p(f"SELECT *, '{density.QUESTION_ESTIMATE}' AS question FROM estimates", FAR_CTES),
     ),
-    "parcel_far": (lambda s, d: _plain(far_layer(s, d)), _p(f"SELECT *, '{density.QUESTION_FAR}' AS question FROM far", FAR_CTES)),
+    "parcel_far": (lambda s, d: _plain(fresh(s, d, "parcel_far")), _p(f"SELECT *, '{density.QUESTION_FAR}' AS question FROM far", FAR_CTES)),
     "far_summary": (
         lambda s, d: density.far_summary(far_layer(s, d)),
         _p(
@@ -409,7 +445,7 @@ ENTRIES = {
             "buildings",
         ),
     ),
-    "shadow_on_green": (lambda s, d: _plain(shadow_layer(s, d)), _s("SELECT * FROM shadows")),
+    "shadow_on_green": (lambda s, d: _plain(fresh(s, d, "shadow_risk_green")), _s("SELECT * FROM shadows")),
     "shadow_summary": (
         lambda s, d: shadow.shadow_summary(shadow_layer(s, d)),
         _s(
@@ -450,7 +486,7 @@ ENTRIES = {
         status_sql(RATIO6, rules.FLOOR_AREA),
     ),
     "combined_rules": (
-        lambda s, d: _plain(combined_layer(s, d)), _b(f"SELECT *, '{rules.QUESTION[7]}' AS question FROM combined", COMBINED_CTES),
+        lambda s, d: _plain(fresh(s, d, "combined_rules")), _b(f"SELECT *, '{rules.QUESTION[7]}' AS question FROM combined", COMBINED_CTES),
     ),
     "rules_summary": (
         lambda s, d: rules.rules_summary(combined_layer(s, d)),
@@ -462,7 +498,7 @@ ENTRIES = {
         ),
     ),
     "building_footprints": (
-        lambda s, d: _plain(footprints(s, d)).withColumnRenamed("geometry_id", "sid"),
+        lambda s, d: _plain(fresh(s, d, "building_footprints")).withColumnRenamed("geometry_id", "sid"),
         _f(f"WITH {FP} SELECT sid, building_id, building_gml_id, ground_elevation, roof_elevation, building_height, footprint_area FROM fp"),
     ),
     "dataset_overview": (

@@ -12,11 +12,11 @@ from urbanframe.functions.scalars import round_numeric
 from urbanframe.operators import advice
 from urbanframe.operators.filters import duplicate_keys
 from urbanframe.operators.ids import assign_ids
-from urbanframe.plans import green, occupation, shadow
 from urbanframe.registry import city, layers
 from urbanframe.registry.city import oracle, table
 from urbanframe.session import checkpoint_dir
 from urbanframe.sources import tables, vector
+from urbanframe.sources.catalogue import Catalogue
 
 
 def _folder(s):
@@ -107,23 +107,31 @@ def _rules_csv(s, d):
 
 
 def _saved(s, d):
+    """A layer written twice: the second version takes the place of the first."""
     name = f"layer_{uuid.uuid4().hex[:8]}"
-    df = table(s, d, "customer").select("c_custkey", "c_mktsegment").write
-    df.mode("overwrite").option("path", _folder(s)).saveAsTable(name)
-    return s.table(name)
+    df = table(s, d, "customer").select("c_custkey", "c_mktsegment")
+    tables.save_layer(df.where("c_custkey % 2 = 0"), name)
+    return tables.save_layer(df, name)
+
+
+def _replaced(s, d):
+    """Layers on customers; replacing the base rebuilds what was built on it."""
+    c = Catalogue(s, f"replaced_{uuid.uuid4().hex[:8]}")
+    rows = table(s, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    c.define("customers", lambda: rows)
+    c.define("segments", lambda base: base.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"), F.max("c_acctbal").alias("top")), ["customers"])
+    c.define("rich_segments", lambda seg: seg.where("top > 9000"), ["segments"], view=True)
+    c.define("shares", lambda seg: seg.select("c_mktsegment", "customers", (F.col("customers") * 2).alias("doubled")), ["segments"])
+    c.build()
+    c.replace("customers", rows.where("c_acctbal > 0"))
+    return c.table("shares").join(c.table("rich_segments").select("c_mktsegment", "top"), "c_mktsegment", "left")
 
 
 def _layer_counts(s, d):
-    base = layers.base_layer(s, d)
-    near, pieces = occupation.occupation_layers(base, city.parcels(s, d))
-    cover = occupation.building_parcel_coverage(pieces)
-    pts = layers.points_layer(s, d)
-    greens = green.green_near_model(city.greens(s, d), pts)
-    shades = shadow.shadow_on_green(base, greens)
-    return tables.layer_row_counts({
-        "urban_building_base": base, "parcels_clean": near, "building_parcel_intersections": pieces, "building_parcel_coverage": cover,
-        "building_height_points": pts, "green_areas_near_model": greens, "shadow_risk_green": shades, "high_shadow_risk_green": shadow.high_shadow(shades),
-    })
+    return layers.catalogue(s, d).row_counts([
+        "urban_building_base", "parcels_clean", "building_parcel_intersections", "building_parcel_coverage",
+        "building_height_points", "green_areas_near_model", "shadow_risk_green", "high_shadow_risk_green",
+    ])
 
 
 def _advice(s, d):
@@ -175,6 +183,11 @@ ENTRIES = {
         "SELECT row_number() OVER (ORDER BY p_brand, p_type) AS id, p_brand AS classname, p_type AS property_value, true AS no_colour FROM (SELECT DISTINCT p_brand, p_type FROM part)",
     ),
     "save_layer": (_saved, "SELECT c_custkey, c_mktsegment FROM customer"),
+    "replace_layer": (
+        _replaced,
+        "SELECT c_mktsegment, count(*) AS customers, count(*) * 2 AS doubled, CASE WHEN max(c_acctbal) > 9000 THEN max(c_acctbal) END AS top "
+        "FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment",
+    ),
     "define_view": (
         lambda s, d: tables.define_view(table(s, d, "customer").where("c_acctbal > 9000").select("c_custkey", "c_acctbal"), "rich_customers"),
         "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 9000",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from urbanframe.functions import geometry as G
 from urbanframe.schema import table_names, table_schema
+from urbanframe.sources.catalogue import save_layer  # noqa: F401  (part of this module's interface)
 
 
 def read_city_tables(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
@@ -34,13 +35,6 @@ def read_city_tables_jdbc(
     return out
 
 
-def save_layer(df: DataFrame, name: str) -> DataFrame:
-    """Replace a materialised layer."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").saveAsTable(name)
-    return spark.table(name)
-
-
 def define_view(df: DataFrame, name: str) -> DataFrame:
     """A layer that is computed when read."""
     df.createOrReplaceTempView(name)
