@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanframe.functions import geometry as G
-from urbanframe.operators.hierarchy import CONTAINS
+from urbanframe.operators.hierarchy import containment, descend
+from urbanframe.schema import BBOX_DDL
 from urbanframe.session import cut_lineage
 
 IDENTITY = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0]
@@ -53,15 +54,53 @@ def implicit_envelopes(prop: DataFrame, implicit_geometry: DataFrame, geometry_d
     )
 
 
+def _wider(a: str, b: str) -> Column:
+    """Union of two boxes, either of which may be null."""
+    ends = [F.least(F.col(f"{a}.{c}min"), F.col(f"{b}.{c}min")).alias(f"{c}min") for c in "xyz"]
+    ends += [F.greatest(F.col(f"{a}.{c}max"), F.col(f"{b}.{c}max")).alias(f"{c}max") for c in "xyz"]
+    both = F.struct(*ends).cast(BBOX_DDL)
+    return F.when(F.col(a).isNotNull() | F.col(b).isNotNull(), both)
+
+
+def boxes_upwards(boxes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, box) of every node: the union of its own box and those of all nodes below it.
+
+    ``boxes`` has (id, box), ``edges`` (id, child), both written tables. In a round
+    every node sends its box to its parents, and to one shortcut further up: a node
+    with a single parent points at an ancestor, twice as far away each round, so
+    a chain of ten thousand takes some fifteen rounds. There is one row for each
+    node; a union of boxes may repeat, so cycles and several ways up do no harm, and
+    it ends when no box grows.
+    """
+    nodes = edges.select("id").union(edges.select(F.col("child").alias("id"))).distinct()
+    single = edges.groupBy(F.col("child").alias("id")).agg(F.min("id").alias("up"), F.count(F.lit(1)).alias("_n"))
+    state = nodes.join(boxes, "id", "left").join(single.where("_n = 1").drop("_n"), "id", "left")
+    state = cut_lineage(state.select("id", "box", "up"))
+    while True:
+        sent = edges.join(state.where("box IS NOT NULL").select(F.col("id").alias("child"), "box"), "child").select("id", "box")
+        sent = sent.union(state.where("box IS NOT NULL AND up IS NOT NULL").select(F.col("up").alias("id"), "box"))
+        grown = sent.groupBy("id").agg(G.extent_agg(F.col("box")).alias("_more"))
+        further = state.where("up IS NOT NULL").select(F.col("id").alias("up"), F.col("up").alias("_up"))
+        rows = state.join(grown, "id", "left").join(further, "up", "left")
+        rows = rows.withColumn("_box", _wider("box", "_more"))
+        state = cut_lineage(rows.select(
+            "id", F.col("_box").alias("box"), F.coalesce("_up", "up").alias("up"), (~F.col("_box").eqNullSafe(F.col("box"))).alias("_grew")
+        ))
+        if state.where("_grew").isEmpty():
+            break
+        state = state.drop("_grew")
+    inner = state.select("id", "box")
+    return inner.union(boxes.select("id", "box").join(nodes, "id", "left_anti"))
+
+
 def feature_envelopes(
     store: dict[str, DataFrame], ids: DataFrame | None = None, compute: bool = False, srid: int = 3879
 ) -> DataFrame:
     """Envelope per feature: (id, envelope).
 
     A stored envelope answers for its feature unless ``compute`` is set.
-    Otherwise own geometries, template uses and contained features add up. Each
-    round pushes the open features one level down; only boxes move, and boxes of
-    one root combine before the shuffle.
+    Otherwise own geometries, template uses and contained features add up; boxes
+    travel upwards. With ``ids`` only what those contain is looked at.
     """
     feature, prop = store["feature"], store["property"]
     stored = feature.select("id", G.st_bbox("envelope").alias("_stored"))
@@ -73,23 +112,16 @@ def feature_envelopes(
     used = implicit_envelopes(prop, store["implicit_geometry"], store["geometry_data"])
     used = used.select(F.col("feature_id").alias("id"), G.st_bbox("envelope").alias("_b"))
     direct = own.unionByName(used).where("_b is not null").groupBy("id").agg(G.extent_agg(F.col("_b")).alias("_own"))
-    base = cut_lineage(stored.join(direct, "id", "left").select("id", "_stored", F.coalesce("_stored", "_own").alias("_b")))
-    edges = cut_lineage(
-        prop.where((F.col("val_relation_type") == CONTAINS) & F.col("val_feature_id").isNotNull())
-        .select(F.col("feature_id").alias("id"), F.col("val_feature_id").alias("child")).distinct()
-        .join(base.where("_stored is null").select("id"), "id", "left_semi")
-    )
-    roots = feature.select("id") if ids is None else feature.select("id").join(ids.select("id"), "id", "left_semi")
-    reach = cut_lineage(roots.select(F.col("id").alias("root"), "id"))
-    front = reach
-    while True:  # ends with the pairs: those reached are not followed again
-        step = front.join(edges, "id").select("root", F.col("child").alias("id")).distinct().join(reach, ["root", "id"], "left_anti")
-        front = cut_lineage(step)
-        if front.isEmpty():
-            break
-        reach = reach.union(front)
-    boxes = reach.join(base.select("id", "_b").where("_b is not null"), "id")
-    total = boxes.groupBy(F.col("root").alias("id")).agg(G.extent_agg(F.col("_b")).alias("_all"))
+    base = stored.join(direct, "id", "left").select("id", F.col("_stored").isNull().alias("open"), F.coalesce("_stored", "_own").alias("box"))
+    base = cut_lineage(base)
+    edges = containment(prop).select(F.col("parent").alias("id"), "child").distinct()
+    edges = cut_lineage(edges.join(base.where("open").select("id"), "id", "left_semi"))
+    roots = feature.select("id")
+    if ids is not None:
+        roots = roots.join(ids.select("id"), "id", "left_semi")
+        below = descend(edges.select(F.col("id").alias("parent"), "child"), roots)
+        edges = cut_lineage(edges.join(below, "id", "left_semi"))
+    total = boxes_upwards(base.select("id", "box"), edges).select("id", F.col("box").alias("_all"))
     kept = feature.select("id", F.col("envelope").alias("_env"))
     out = roots.join(total, "id", "left").join(kept, "id")
     fresh = G.slanted_envelope(F.col("_all"), srid)

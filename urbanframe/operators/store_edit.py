@@ -39,10 +39,11 @@ def _none_of(store: Store) -> DataFrame:
 
 
 def _nulled(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
-    """Set the column to null where it points at a deleted row."""
+    """Set the column to null where it points at a deleted row. Rows without a value stay out of the join."""
     marked = gone.select(F.col("id").alias(column), F.lit(True).alias("_gone"))
     kept = F.when(F.col("_gone").isNull(), F.col(column))
-    return df.join(marked, column, "left").withColumn(column, kept).select(*df.columns)
+    pointing = df.where(F.col(column).isNotNull()).join(marked, column, "left").withColumn(column, kept).select(*df.columns)
+    return pointing.unionByName(df.where(F.col(column).isNull()))
 
 
 def apply_deletions(store: Store, gone: dict[str, DataFrame]) -> Store:
@@ -165,22 +166,31 @@ def _property_closure(prop: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataF
     return property_subtree(prop, reached.distinct()), cascaded
 
 
+def _references(rows: DataFrame, sign: int) -> DataFrame:
+    """(id, refs, loose): how many of the rows point at a feature, and how many of those by another than a containment."""
+    loose = (F.coalesce("val_relation_type", F.lit(0)) == 0).cast("int")
+    counted = rows.where("val_feature_id is not null").groupBy(F.col("val_feature_id").alias("id"))
+    return counted.agg((F.count(F.lit(1)) * sign).alias("refs"), (F.sum(loose) * sign).alias("loose"))
+
+
 def _cascade(store: Store, start: DataFrame, start_props: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Grow deleted features and property rows to a fixpoint.
+    """Grow deleted features and property rows until nothing is new.
 
     A contained feature goes if nothing refers to it any more, or if a reference
-    other than containment remains.
+    other than containment remains. References are kept as a ledger: when a
+    feature is first touched, all that points at it; then what each round takes
+    away. A round reads the rows of its own features and the ledger of the
+    features these point at, nothing else.
     """
     prop = store["property"].select(*_EDGE)
-    features = cut_lineage(_ids(start, "id"))
-    front = features
     owned_rule = F.col("val_feature_id").isNull() | (F.col("val_relation_type") == CONTAINS)
-    dropped = None
+    features = front = cut_lineage(_ids(start, "id"))
+    dropped, ledger, known = None, None, None
     while True:
         new = among(prop, front, "feature_id").withColumn("owns", owned_rule)
         # rows elsewhere that point at the deleted features
         referring = without(_ids(among(prop, front, "val_feature_id"), "id"), new.select("id"))
-        referring = cut_lineage(referring if dropped is None else without(referring, dropped.select("id")))
+        referring = cut_lineage(referring if dropped is None else without(referring, dropped))
         if not referring.isEmpty():
             closure, _ = _property_closure(prop, referring)
             pulled = among(prop, closure, "id").withColumn("owns", owned_rule)
@@ -190,20 +200,25 @@ def _cascade(store: Store, start: DataFrame, start_props: DataFrame | None) -> t
             new = new.unionByName(pulled)
         if dropped is None and start_props is not None:
             new = new.unionByName(among(prop, start_props, "id").withColumn("owns", owned_rule))
-        new = new.groupBy(*_EDGE).agg(F.max("owns").alias("owns"))
-        dropped = cut_lineage(new if dropped is None else dropped.unionByName(new).groupBy(*_EDGE).agg(F.max("owns").alias("owns")))
-        inside = dropped.where((F.col("val_relation_type") == CONTAINS) & F.col("owns"))
-        candidates = without(_ids(inside, "val_feature_id"), features)
-        rest = among(prop.where("val_feature_id is not null"), candidates, "val_feature_id")
-        held = without(rest, dropped.select("id")).select(
-            F.col("val_feature_id").alias("id"), (F.coalesce("val_relation_type", F.lit(0)) == 0).alias("_loose")
-        )
-        held = held.groupBy("id").agg(F.max("_loose").alias("_loose"))
-        free = candidates.join(held, "id", "left").where(F.coalesce("_loose", F.lit(True))).select("id")
-        front = cut_lineage(free)
+        new = cut_lineage(new.groupBy(*_EDGE).agg(F.max("owns").alias("owns")))
+        fresh, gained = new, new.where("owns")
+        if dropped is not None:
+            fresh, gained = without(new, dropped), without(gained, dropped.where("owns"))
+        inside = gained.where((F.col("val_relation_type") == CONTAINS) & F.col("val_feature_id").isNotNull())
+        inside = inside.select(F.col("val_feature_id").alias("id")).distinct().withColumn("inside", F.lit(True))
+        taken = cut_lineage(_references(fresh, -1).join(inside, "id", "full"))
+        touched = taken.select("id")
+        first = touched if known is None else without(touched, known)
+        entries = cut_lineage(_references(among(prop, first, "val_feature_id"), 1).withColumn("inside", F.lit(None).cast("boolean")).unionByName(taken))
+        dropped = new if dropped is None else dropped.unionByName(new)
+        ledger = entries if ledger is None else ledger.unionByName(entries)
+        known = touched if known is None else known.union(touched)
+        left = among(ledger, touched, "id").groupBy("id").agg(F.sum("refs").alias("refs"), F.sum("loose").alias("loose"), F.max("inside").alias("inside"))
+        free = left.where("inside AND (refs = 0 OR loose > 0)").select("id")
+        front = cut_lineage(without(free, features))
         if front.isEmpty():
-            return features, dropped
-        features = cut_lineage(features.union(front).distinct())
+            return features, cut_lineage(dropped.groupBy(*_EDGE).agg(F.max("owns").alias("owns")))
+        features = features.union(front)
 
 
 # ---------------------------------------------------------------- operators
@@ -231,11 +246,10 @@ def delete_properties(store: Store, ids: DataFrame) -> tuple[Store, DataFrame]:
 def _cascade_from_properties(store: Store, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = cut_lineage(rows)
     prop = store["property"]
-    left = without(prop, rows)
-    inside = among(prop, rows, "id").where(F.col("val_relation_type") == CONTAINS)
-    held = left.select(F.col("val_feature_id").alias("id"), (F.coalesce("val_relation_type", F.lit(0)) == 0).alias("_loose"))
-    held = held.where("id is not null").groupBy("id").agg(F.max("_loose").alias("_loose"))
-    first = _ids(inside, "val_feature_id").join(held, "id", "left").where(F.coalesce("_loose", F.lit(True))).select("id")
+    inside = cut_lineage(_ids(among(prop, rows, "id").where(F.col("val_relation_type") == CONTAINS), "val_feature_id"))
+    # only what points at features these rows contain
+    held = _references(without(among(prop, inside, "val_feature_id"), rows), 1)
+    first = inside.join(held, "id", "left").where("refs IS NULL OR loose > 0").select("id")
     return _cascade(store, first, rows)
 
 
@@ -269,10 +283,12 @@ def cleanup_store(store: Store) -> Store:
 
 # ---------------------------------------------------------------- termination
 def without_active_parent(candidates: DataFrame, prop: DataFrame, feature: DataFrame) -> DataFrame:
-    """Ids that no active feature contains."""
-    active = feature.where(F.col("termination_date").isNull()).select(F.col("id").alias("feature_id"))
-    held = prop.where(F.col("val_relation_type") == CONTAINS).join(active, "feature_id", "left_semi")
-    return without(candidates, held.select(F.col("val_feature_id").alias("id")).where("id is not null"))
+    """Ids that no active feature contains. Only containments of the candidates and their parents are looked at."""
+    contained = prop.where(F.col("val_relation_type") == CONTAINS).select("feature_id", "val_feature_id")
+    held = among(contained, candidates, "val_feature_id")
+    parents = among(feature, held.select(F.col("feature_id").alias("id")).where("id is not null").distinct(), "id")
+    active = parents.where(F.col("termination_date").isNull()).select("id")
+    return without(candidates, _ids(among(held, active, "feature_id"), "val_feature_id"))
 
 
 def metadata_timestamp(metadata: dict, key: str, now: Column) -> Column:
@@ -292,8 +308,13 @@ def terminate_features(
     done, front = asked, asked
     while cascade:
         children = _ids(among(prop, front, "feature_id").where(F.col("val_relation_type") == CONTAINS), "val_feature_id")
-        alive = without(feature.where(F.col("termination_date").isNull()).select("id", "termination_date"), done)
-        free = without_active_parent(without(children, done), prop, alive)
+        children = cut_lineage(without(children, done))
+        if children.isEmpty():
+            break
+        contained = prop.where(F.col("val_relation_type") == CONTAINS).select("feature_id", "val_feature_id")
+        # parents ended in this edit hold nothing
+        others = without(among(contained, children, "val_feature_id"), done, "feature_id").withColumn("val_relation_type", F.lit(CONTAINS))
+        free = without_active_parent(children, others, feature)
         front = cut_lineage(among(free, feature.select("id"), "id"))
         if front.isEmpty():
             break
