@@ -3,6 +3,7 @@
 import math
 import random
 import time
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import Window
@@ -76,6 +77,131 @@ def test_holes_of_surfaces(spark, tmp_path):
     assert got.select(G.st_area("geometry")).first()[0] == 64.0
 
 
+def _gml(*members):
+    names = 'xmlns:core="c" xmlns:bldg="b" xmlns:gml="g" xmlns:dem="d" xmlns:veg="v" xmlns:xlink="x"'
+    return f"<core:CityModel {names}>" + "".join(f"<core:cityObjectMember>{m}</core:cityObjectMember>" for m in members) + "</core:CityModel>"
+
+
+def _square(x, size, z=0, holes=()):
+    ring = lambda a, b: f"<gml:LinearRing><gml:posList>{a} {a} {z} {b} {a} {z} {b} {b} {z} {a} {b} {z} {a} {a} {z}</gml:posList></gml:LinearRing>"
+    inner = "".join(f"<gml:interior>{ring(a, b)}</gml:interior>" for a, b in holes)
+    return f"<gml:surfaceMember><gml:Polygon><gml:exterior>{ring(x, x + size)}</gml:exterior>{inner}</gml:Polygon></gml:surfaceMember>"
+
+
+def _shell(lod, *squares):
+    return f"<bldg:lod{lod}MultiSurface><gml:MultiSurface>{''.join(squares)}</gml:MultiSurface></bldg:lod{lod}MultiSurface>"
+
+
+def _solid(lod, *squares):
+    inner = f"<gml:CompositeSurface>{''.join(squares)}</gml:CompositeSurface>"
+    return f"<bldg:lod{lod}Solid><gml:Solid><gml:exterior>{inner}</gml:exterior></gml:Solid></bldg:lod{lod}Solid>"
+
+
+def _city_text():
+    bound = lambda tag, key, body: f'<bldg:boundedBy><bldg:{tag} gml:id="{key}">{body}</bldg:{tag}></bldg:boundedBy>'
+    tile = '<gml:surfaceMember xlink:href="#elsewhere"/>'
+    part = f'<bldg:consistsOfBuildingPart><bldg:BuildingPart gml:id="P2">{bound("RoofSurface", "R2", _shell(3, _square(30, 3, 9)))}</bldg:BuildingPart></bldg:consistsOfBuildingPart>'
+    house = (
+        f'<bldg:Building gml:id="B1"><bldg:measuredHeight>12.5</bldg:measuredHeight>{_solid(1, _square(0, 10), _square(0, 10, 12))}{_solid(2, tile)}'
+        + bound("GroundSurface", "G1", _shell(2, _square(0, 10, 0, [(2, 4), (6, 7)])))
+        + bound("OuterCeilingSurface", "", _shell(4, _square(1, 2))).replace(' gml:id=""', "")
+        + f'<bldg:consistsOfBuildingPart><bldg:BuildingPart gml:id="P1">{_solid(2, _square(20, 5, 1))}{part}</bldg:BuildingPart></bldg:consistsOfBuildingPart></bldg:Building>'
+    )
+    triangle = lambda x: f"<gml:Triangle><gml:exterior><gml:LinearRing><gml:posList>{x} 0 1 {x + 2} 0 1 {x} 2 1 {x} 0 1</gml:posList></gml:LinearRing></gml:exterior></gml:Triangle>"
+    patches = "<gml:TriangulatedSurface><gml:trianglePatches>" + "".join(map(triangle, range(0, 40, 2))) + "</gml:trianglePatches></gml:TriangulatedSurface>"
+    relief = (
+        '<dem:ReliefFeature gml:id="T1"><dem:lod>1</dem:lod><dem:reliefComponent><dem:TINRelief gml:id="T2"><dem:lod>1</dem:lod>'
+        f"<dem:tin>{patches}</dem:tin></dem:TINRelief></dem:reliefComponent></dem:ReliefFeature>"
+    )
+    return house, relief
+
+
+def test_members_of_all_kinds(spark, tmp_path):
+    path = tmp_path / "city.gml"
+    path.write_text(_gml(*_city_text(), '<bldg:Building gml:id="B2"/>'))
+    got = vector.read_citygml(spark, str(path))
+    features = {r.objectid: r for r in got["feature"].withColumn("box", G.st_bbox("envelope")).collect()}
+    assert {k: r.classname for k, r in features.items()} == {
+        "B1": "Building", "B2": "Building", "P1": "BuildingPart", "P2": "BuildingPart", "G1": "GroundSurface", "R2": "RoofSurface",
+        "B1_OuterCeilingSurface_1": "OuterCeilingSurface", "T1": "ReliefFeature", "T2": "TINRelief",
+    }
+    box = features["B1"].box  # with its parts' parts
+    assert (box.xmin, box.xmax, box.zmax) == (0.0, 33.0, 12.0) and features["B2"].box is None and features["T1"].box.xmax == 40.0
+    names = {r.id: k for k, r in features.items()}
+    shapes = got["geometry_data"].select("id", "feature_id", G.st_area("geometry").alias("area"), "geometry.kind").collect()
+    drawn = got["property"].where("val_geometry_id IS NOT NULL").collect()
+    by_id = {r.id: r for r in shapes}
+    assert len(by_id) == len(shapes) == len(drawn)
+    held = sorted((names[r.feature_id], r["name"], r.val_lod, by_id[r.val_geometry_id].area) for r in drawn if r["name"] != "tin")
+    assert held == [
+        ("B1", "lod1Solid", "1", 200.0), ("B1_OuterCeilingSurface_1", "lod4MultiSurface", "4", 4.0), ("G1", "lod2MultiSurface", "2", 95.0),
+        ("P1", "lod2Solid", "2", 25.0), ("R2", "lod3MultiSurface", "3", 9.0),
+    ]
+    tin = [by_id[r.val_geometry_id] for r in drawn if r["name"] == "tin"]
+    assert len(tin) == 20 and {(names[r.feature_id], r.kind, r.area) for r in tin} == {("T2", "Triangle", 2.0)}
+    links = {(names[r.feature_id], r["name"], names[r.val_feature_id]) for r in got["property"].where("val_feature_id IS NOT NULL").collect()}
+    assert links == {
+        ("B1", "boundary", "G1"), ("B1", "boundary", "B1_OuterCeilingSurface_1"), ("B1", "buildingPart", "P1"), ("P1", "buildingPart", "P2"),
+        ("P2", "boundary", "R2"), ("T1", "reliefComponent", "T2"),
+    }
+    assert [(names[r.feature_id], r.val_double) for r in got["property"].where("name = 'height'").collect()] == [("B1", 12.5)]
+
+
+def test_unknown_members_fail_or_are_listed(spark, tmp_path):
+    path = tmp_path / "city.gml"
+    path.write_text(_gml(_city_text()[0], '<veg:PlantCover gml:id="V1"><veg:height>3</veg:height></veg:PlantCover>'))
+    with pytest.raises(Exception, match="not read"):
+        vector.read_citygml(spark, str(path))["feature"].collect()
+    got = vector.read_citygml(spark, str(path), unknown="list")
+    assert got["feature"].where("classname = 'Building'").count() == 1
+    assert ["<veg:height>3" in r.element for r in got["unread"].collect()] == [True]
+
+
+def test_feature_lines_with_any_white_space(spark, tmp_path):
+    square = '{"type": "Polygon", "coordinates": [[[0,0],[1,0],[1,1],[0,0]]]}'
+    feature = lambda i: f'{{"type": "Feature", "properties": {{"ID": {i}}}, "geometry": {square}}}'
+
+    def read(name, *lines):
+        path = tmp_path / f"{name}.json"
+        path.write_text("\n".join(lines))
+        return sorted(r.id for r in vector.read_feature_collection(spark, str(path), "ID bigint", srid=3879, target=None, by_line=True).select("id").collect())
+
+    head = ["{", '"type": "FeatureCollection",', '"name": "x",', '"crs": { "type": "name" },', '"features": [']
+    assert read("tabs", *head, "\t" + feature(1) + ",", "\r\t " + feature(2) + " \t,", feature(3), "]", "}") == [1, 2, 3]
+    assert read("head", '{"type":"FeatureCollection","features":[', feature(4) + ",", feature(5), "]}") == [4, 5]
+    for name, bad in (("cut", '{"type": "Feature", "properties": {"ID": 7'), ("prose", "not a feature"), ("pretty", '"type": "Feature",'), ("both", '{"type":"FeatureCollection","features":[' + feature(1))):
+        with pytest.raises(Exception, match="no feature"):
+            read(name, *head, feature(1) + ",", bad, "]", "}")
+
+
+def test_collections_both_ways(spark):
+    point, line = '{"type":"Point","coordinates":[1.0,2.0]}', '{"type":"LineString","coordinates":[[0.0,0.0],[3.0,4.0]]}'
+    poly = '{"type":"Polygon","coordinates":[[[0.0,0.0],[2.0,0.0],[2.0,2.0],[0.0,0.0]]]}'
+    nested = f'{{"type":"GeometryCollection","geometries":[{point},{{"type":"GeometryCollection","geometries":[{line},{poly}]}}]}}'
+    texts = [(1, f'{{"type":"GeometryCollection","geometries":[{point},{point}]}}'), (2, nested), (3, None), (4, f'{{"type":"GeometryCollection","geometries":[{poly},{poly}]}}'), (5, "null")]
+    df = spark.createDataFrame(texts, "id long, t string").select("id", vector.geojson_geometry(F.col("t"), 4326).alias("g"))
+    got = {r.id: r for r in df.select("id", G.st_npoints("g").alias("n"), "g.kind", vector.to_geojson("g").alias("t")).collect()}
+    assert (got[1].n, got[1].kind, got[1].t) == (2, "GeometryCollection", texts[0][1])
+    assert got[2].n == 7 and got[2].t == f'{{"type":"GeometryCollection","geometries":[{point},{line},{poly}]}}'
+    assert got[3].kind is None and got[5].kind is None and '"MultiPolygon"' in got[4].t
+    with pytest.raises(Exception, match="no geometry"):
+        spark.createDataFrame([('{"type":"Circle"}',)], "t string").select(vector.geojson_geometry(F.col("t"), 4326).alias("g")).collect()
+
+
+def test_lines_have_no_area(spark):
+    ring = F.array(*[G.make_point(x, y) for x, y in ((0, 0), (1, 0), (1, 1), (0, 0))])
+    df = spark.range(1).select(G.st_makeline(ring).alias("l"), G.st_makepolygon(ring).alias("p"))
+    assert tuple(df.select(G.st_area("l"), G.st_area("p"), F.size(G.polygons_only("l")["parts"]), F.size(G.polygons_only("p")["parts"])).first()) == (0.0, 0.5, 0, 1)
+
+
+def test_one_rounding(spark):
+    values = [0.4999996, 0.5, -0.5, 2.675, 1.005, -1.005, 1e14 + 0.5, 123456789012345.67, 1e-9]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [tuple(r) for r in df.select(round_numeric("v", 0), round_numeric("v", 2)).collect()]
+    exact = lambda v, n: float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-n), ROUND_HALF_UP))
+    assert got == [(exact(v, 0), exact(v, 2)) for v in values]
+
+
 def test_rank_in_group(spark):
     df = spark.range(900).select(F.when(F.col("id") < 300, 0).otherwise(F.col("id") % 50).alias("g"), F.col("id").alias("v"))
     a = {tuple(r) for r in rank_in_group(df, "g", [F.desc("v")], "r").select("g", "v", "r").collect()}
@@ -304,13 +430,70 @@ def test_tiles_respect_the_cap_and_lose_nothing(spark):
     layer = city.class_geometries(spark, SF)
     t = tiles.quadtree_tiles(layer, 20)
     assert t.count() == layer.count() == t.select("id").distinct().count()
-    assert t.where(f"level < {tiles.MAX_LEVEL}").groupBy("level", "x", "y").count().agg(F.max("count")).first()[0] <= 20
+    assert t.groupBy("level", "x", "y").count().agg(F.max("count")).first()[0] <= 20
     deep = tiles.quadtree_tiles(layer, 3, max_level=2)
     assert deep.count() == layer.count() and deep.agg(F.max("level")).first()[0] == 2
     doc = tiles.tileset_manifest(layer.withColumn("geom", G.st_translate("geom", 25490000.0, 6670000.0)), t).first()[0]
     assert '"subdivisionScheme":"QUADTREE"' in doc and '"subtreeLevels":4' in doc
 
 
+def _dots(spark, rows):
+    df = spark.createDataFrame(rows, "id long, x double, y double, s double, class string")
+    return df.select("id", "class", G.st_rectangle(F.col("x"), F.col("y"), F.col("x") + F.col("s"), F.col("y") + F.col("s")).alias("geom"))
+
+
+def test_tiles_go_as_deep_as_it_takes(spark):
+    """A crowded spot far below level 10 and features of one centre beyond the cap."""
+    rnd = random.Random(3)
+    rows = [(i, rnd.random() * 1e5, rnd.random() * 1e5, 1.0, "a") for i in range(60)]
+    rows += [(100 + i, 5e4 + rnd.random(), 5e4 + rnd.random(), 1.0, "a") for i in range(60)]
+    rows += [(200 + i, 7e4, 7e4, 1.0, "a") for i in range(30)]
+    got = tiles.quadtree_tiles(_dots(spark, rows), 4).collect()
+    assert sorted(r.id for r in got) == sorted(r[0] for r in rows) and max(r.level for r in got) > 10
+    held = {}
+    for r in got:
+        held.setdefault((r.level, r.x, r.y), []).append(r.id)
+    over = [ids for ids in held.values() if len(ids) > 4]
+    assert len(over) == 1 and all(i >= 200 for i in over[0])
+
+
+def test_cut_values_pick_the_largest(spark):
+    """Against a plain level-by-level ranking, with many equal areas."""
+    rnd = random.Random(4)
+    rows = [(i, float(rnd.randrange(100_000)), float(rnd.randrange(100_000)), float(rnd.choice([1, 1, 1, 2, 3])), "a") for i in range(500)]
+    got = {(r.id, r.level, r.x, r.y) for r in tiles.quadtree_tiles(_dots(spark, rows), 7).collect()}
+    centre = {i: (x + s / 2, y + s / 2, -s * s) for i, x, y, s, _ in rows}
+    x0, y0 = min(c[0] for c in centre.values()), min(c[1] for c in centre.values())
+    side = max(max(c[0] for c in centre.values()) - x0, max(c[1] for c in centre.values()) - y0)
+    want, rest, level = set(), set(centre), 0
+    while rest:
+        tiles_ = {}
+        for i in rest:
+            x, y, area = centre[i]
+            at = tuple(min(int((v - o) / side * 2**level), 2**level - 1) for v, o in ((x, x0), (y, y0)))
+            tiles_.setdefault(at, []).append((round(area, 9), i))
+        for at, own in tiles_.items():
+            for _, i in sorted(own)[:7]:
+                want.add((i, level, *at))
+                rest.discard(i)
+        level += 1
+    assert got == want
+
+
+def test_one_class_of_the_content_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "content")
+    layer = _dots(spark, [(i % 40, float(i), float(i % 7), 1.0, "ab"[i % 2]) for i in range(120)])
+    tiles.write_tile_content(tiles.tile_content(layer, {"a": 3, "b": 5}), path)
+    before = tiles.read_tile_content(spark, path, ["b"]).select("id", "level", "x", "y").collect()
+    assert tiles.read_tile_content(spark, path).count() == 120 and len(before) == 60
+    deep = tiles.read_tile_content(spark, path, ["a"]).agg(F.max("level")).first()[0]
+    tiles.write_tile_content(tiles.tile_content(layer.where("id < 10"), {"a": 50}), path)
+    after = tiles.read_tile_content(spark, path, ["a"])
+    assert deep > 0 and after.agg(F.max("level")).first()[0] == 0 and after.count() == layer.where("class = 'a' AND id < 10").count()
+    assert sorted(before) == sorted(tiles.read_tile_content(spark, path, ["b"]).select("id", "level", "x", "y").collect())
+    assert tiles.read_tile_content(spark, path, ["a"], level=0).count() == after.count()
+
+
 def test_rounding_and_text(spark):
     df = spark.createDataFrame([(2.5, 1.005, 8.0)], "a double, b double, h double")
     r = df.select(round_numeric("a", 0), round_numeric("b", 2), estimated_floors(F.col("h")), number_text(F.col("a")), number_text(F.col("h")), hex_byte(F.lit(1.0)), hex_byte(F.lit(0.01))).first()

@@ -199,7 +199,7 @@ def _ring_area(ring: Column) -> Column:
 
 
 def st_area(g) -> Column:
-    """Planar area: shells minus holes, summed over the parts."""
+    """Planar area: shells minus holes, summed over the parts; lines and points, closed or not, have none."""
     g = _c(g)
 
     def part_area(part: Column) -> Column:
@@ -207,7 +207,8 @@ def st_area(g) -> Column:
         total = F.aggregate(areas, F.lit(0.0), lambda s, a: s + a)
         return F.when(F.size(part) > 0, 2 * areas[0] - total).otherwise(F.lit(0.0))
 
-    return F.aggregate(F.transform(g["parts"], part_area), F.lit(0.0), lambda s, a: s + a)
+    flat = g["kind"].isin(*FLAT_KINDS) & g["parts"].isNotNull()
+    return F.when(flat, F.lit(0.0)).otherwise(F.aggregate(F.transform(g["parts"], part_area), F.lit(0.0), lambda s, a: s + a))
 
 
 def map_points(g, fn) -> Column:
@@ -240,11 +241,12 @@ def st_affine(g, m: list[Column]) -> Column:
     )
 
 
+FLAT_KINDS = ("Point", "MultiPoint", "LineString", "MultiLineString", "CircularString", "CompoundCurve", "MultiCurve")
 POLYGON_KINDS = ("Polygon", "MultiPolygon", "PolyhedralSurface", "Triangle", "Tin")
 
 
 def polygons_only(g) -> Column:
-    """Polygon parts of a geometry: rings of at least four closed vertices."""
+    """Polygon parts of a geometry: rings of at least four closed vertices; none of lines and points."""
     g = _c(g)
     kept = F.filter(
         g["parts"],
@@ -252,6 +254,7 @@ def polygons_only(g) -> Column:
         & (part[0][0]["x"] == F.element_at(part[0], -1)["x"])
         & (part[0][0]["y"] == F.element_at(part[0], -1)["y"]),
     )
+    kept = F.when(g["kind"].isin(*FLAT_KINDS), F.slice(kept, 1, 0)).otherwise(kept)
     return F.when(g.isNotNull(), geometry("MultiPolygon", kept, g["srid"]))
 
 

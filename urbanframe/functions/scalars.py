@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def round_numeric(v, digits: int) -> Column:
-    """Round half away from zero on a decimal, back to double."""
+    """Round half away from zero, once, on the decimal digits of the double."""
     v = F.col(v) if isinstance(v, str) else v
-    return F.round(v.cast("decimal(20,6)"), digits).cast("double")
+    return F.round(v.cast("double"), digits)
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
@@ -45,7 +45,7 @@ STOREY_HEIGHT_M = 3.2
 
 def estimated_floors(height: Column) -> Column:
     """At least one floor, one per 3.2 m (half rounds up)."""
-    return F.greatest(F.lit(1), F.round((height / STOREY_HEIGHT_M).cast("decimal(20,6)")).cast("int"))
+    return F.greatest(F.lit(1), F.round((height / STOREY_HEIGHT_M).cast("double")).cast("int"))
 
 
 def count_if(cond: Column) -> Column:
@@ -65,7 +65,7 @@ def number_text(v: Column) -> Column:
 
 def hex_byte(v: Column) -> Column:
     """Scaled channel as lower-case hex, not padded (1.0 gives ``100``)."""
-    return F.lower(F.hex(F.round((v * 256).cast("decimal(20,6)")).cast("int")))
+    return F.lower(F.hex(F.round((v * 256).cast("double")).cast("int")))
 
 
 def one_or_null(v: Column) -> Column:

@@ -42,7 +42,7 @@ def vertex_stats(geometry_data: DataFrame, feature: DataFrame, objectclass: Data
 
 def max_features_per_tile(stats: DataFrame) -> DataFrame:
     """Budget over the average that is already rounded to two digits."""
-    rec = F.round((F.lit(float(VERTEX_BUDGET)) / F.col("avg_vertices")).cast("decimal(20,6)")).cast("int")
+    rec = F.round(F.lit(float(VERTEX_BUDGET)) / F.col("avg_vertices")).cast("int")
     return stats.withColumn("max_features_per_tile", rec)
 
 
@@ -53,7 +53,7 @@ def max_features_unrounded(geometry_data: DataFrame, feature: DataFrame | None =
         top = toplevel_only(feature, objectclass).select(F.col("id").alias("feature_id"))
         rows = rows.join(top, "feature_id", "left_semi")
     s = rows.select(G.st_npoints("geometry").alias("_n")).agg(F.avg("_n").alias("avg_vertice_number"), F.min("_n").alias("min_vertice_number"), F.max("_n").alias("max_vertice_number"))
-    rec = F.round((F.lit(float(VERTEX_BUDGET)) / F.col("avg_vertice_number")).cast("decimal(20,6)")).cast("int")
+    rec = F.round(F.lit(float(VERTEX_BUDGET)) / F.col("avg_vertice_number")).cast("int")
     return s.withColumn("max_features_per_tile", rec)
 
 

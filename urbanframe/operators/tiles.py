@@ -1,88 +1,139 @@
-"""Quadtree tiles with additive refinement.
+"""Quadtree tiles with additive refinement, and their content.
 
 Rule: the root is a square around the extent of all envelope centres. Each tile
 keeps its N largest features (by box area, then id); the others go down to the
-child that holds their centre. What is left at the deepest level stays there.
+child that holds their centre, as deep as it takes for every tile to meet its N.
+Centres are told apart to a 2^-30 part of the root; what has one centre cannot be
+divided, so its tile keeps all of it.
+
+No tile travels as a whole. All features get their place in the order of size
+once, by a range sort. Per level each task counts its features by tile and bucket
+of places; the running counts give the bucket that holds a tile's N-th feature,
+and only that bucket's features (the square root of all, at most) are ranked.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanframe.functions import geometry as G
 from urbanframe.functions.projection import st_transform
+from urbanframe.operators.ids import dense_id
 from urbanframe.schema import WGS84
 from urbanframe.session import cut_lineage
 
-MAX_LEVEL = 10
+#: Bits of a centre on each axis, and so the deepest level there can be.
+BITS = 30
 # Fixed manifest values: refinement, root error, levels per subtree file.
 GEOMETRIC_ERROR = 2000.0
 SUBTREE_LEVELS = 4
 
 
-def _split(df: DataFrame, level: int) -> DataFrame:
-    size = F.lit(float(2**level))
-    last = F.lit(2**level - 1).cast("long")
-
-    def cell(axis: str) -> Column:
-        return F.least(F.floor((F.col(f"_c{axis}") - F.col(f"_{axis}0")) / F.col("_side") * size), last)
-
-    return df.withColumns({"level": F.lit(level), "x": cell("x"), "y": cell("y")})
+def _placed(df: DataFrame, groups: list[str], key: str, geom: str, carried: list[str]) -> DataFrame:
+    """The rows with a box: place in the order of size ``_pos``, and the bits of their centre inside the root of their group."""
+    mid = lambda a: ((F.col(f"_b.{a}min") + F.col(f"_b.{a}max")) / 2).alias(f"_c{a}")
+    rows = df.select(*groups, key, *carried, G.st_bbox(geom).alias("_b")).where(F.col("_b").isNotNull())
+    rows = rows.select(*groups, key, *carried, mid("x"), mid("y"), G.bbox_area(F.col("_b")).alias("_area"))
+    rows = dense_id(rows, [F.desc("_area"), F.asc(key), "_cx", "_cy"], "_pos", start=0)
+    rows = cut_lineage(rows.drop("_area"))
+    frame = rows.groupBy(*groups).agg(
+        F.min("_cx").alias("_x0"), F.min("_cy").alias("_y0"),
+        F.greatest(F.max("_cx") - F.min("_cx"), F.max("_cy") - F.min("_cy"), F.lit(1e-9)).alias("_side"),
+    )
+    if groups:
+        rows = rows.join(frame, groups)
+    else:
+        rows = rows.withColumn("_e", frame.select(F.struct("_x0", "_y0", "_side")).scalar()).select("*", "_e.*").drop("_e")
+    last = F.lit((1 << BITS) - 1).cast("long")
+    bits = lambda a: F.least(F.floor((F.col(f"_c{a}") - F.col(f"_{a}0")) / F.col("_side") * float(1 << BITS)), last).alias(f"_{a}")
+    return rows.select(*groups, key, *carried, "_pos", bits("x"), bits("y"))
 
 
 def quadtree_tiles(
     df: DataFrame, max_features: int | dict[str, int], key: str = "id", geom: str = "geom",
-    group: str | None = None, max_level: int = MAX_LEVEL,
+    group: str | None = None, max_level: int = BITS, carried: list[str] | None = None,
 ) -> DataFrame:
-    """(group, key, level, x, y): the tile of every feature.
+    """(group, key, carried, level, x, y): the tile of every feature.
 
     ``group`` builds one tree per group value, with a budget per value given as
-    a dict. Per level the first N rows of a tile are picked by a ranked limit
-    that Spark applies before the shuffle, so a crowded tile never travels whole.
+    a dict. At ``max_level``, if given, tiles keep all that is left.
     """
-    groups = [group] if group else []
-    budgets = max_features if isinstance(max_features, dict) else None
-    bound = max(budgets.values()) if budgets else max_features
-    if budgets:
-        df = df.where(F.col(group).isin(list(budgets)))
-        limit = F.create_map(*[F.lit(v) for kv in budgets.items() for v in kv])[F.col(group)]
-    else:
-        limit = F.lit(bound)
-    rows = df.select(*groups, key, G.st_bbox(geom).alias("_b")).where(F.col("_b").isNotNull()).select(
-        *groups, key, ((F.col("_b.xmin") + F.col("_b.xmax")) / 2).alias("_cx"), ((F.col("_b.ymin") + F.col("_b.ymax")) / 2).alias("_cy"),
-        G.bbox_area(F.col("_b")).alias("_area"),
-    )
-    rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))  # keys may repeat
-    ext = rows.groupBy(*groups).agg(
-        F.min("_cx").alias("_x0"), F.min("_cy").alias("_y0"),
-        F.greatest(F.max("_cx") - F.min("_cx"), F.max("_cy") - F.min("_cy"), F.lit(1e-9)).alias("_side"),
-    )
-    if groups:
-        rows = rows.join(ext, groups)
+    groups, carried = [group] if group else [], carried or []
+    if isinstance(max_features, dict):
+        df = df.where(F.col(group).isin(list(max_features)))
+        limit = F.create_map(*[F.lit(v) for kv in max_features.items() for v in kv])[F.col(group)]
     else:
-        rows = rows.withColumn("_e", ext.select(F.struct("_x0", "_y0", "_side")).scalar()).select("*", "_e.*").drop("_e")
-    tile = [*groups, "level", "x", "y"]
-    out, rest = None, rows
+        limit = F.lit(max_features)
+    rest = cut_lineage(_placed(df, groups, key, geom, carried))
+    width = max(1, math.isqrt(rest.count()))
+    rest = rest.withColumn("_bucket", F.expr(f"_pos div {width}"))
+    tile, out = [*groups, "level", "x", "y"], None
     for level in range(max_level + 1):
-        here = _split(rest, level)
-        if level < max_level:
-            w = Window.partitionBy(*tile).orderBy(F.desc("_area"), F.asc(key), F.asc("_row"))
-            # the literal bound lets Spark cut each task's share before the shuffle
-            here = here.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= bound).where(F.col("_rn") <= limit)
-        kept = cut_lineage(here.select(*tile, key, "_row"))
-        out = kept if out is None else out.unionByName(kept)
+        here = rest.withColumns({"level": F.lit(level), "x": F.shiftright("_x", BITS - level), "y": F.shiftright("_y", BITS - level)})
         if level == max_level:
+            out = _also(out, here)
             break
-        rest = cut_lineage(rest.join(kept.select("_row"), "_row", "left_anti"))
-        if rest.isEmpty():
+        sums = here.groupBy(*tile, "_bucket").agg(
+            F.count(F.lit(1)).alias("_n"), *[fn(c).alias(f"{c}{e}") for c in ("_x", "_y") for fn, e in ((F.min, "0"), (F.max, "1"))]
+        )
+        whole = Window.partitionBy(*tile)
+        ahead = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        one = (F.min("_x0").over(whole) == F.max("_x1").over(whole)) & (F.min("_y0").over(whole) == F.max("_y1").over(whole))
+        sums = sums.withColumns({"_ahead": F.coalesce(F.sum("_n").over(ahead), F.lit(0)), "_all": F.sum("_n").over(whole), "_one": one, "_cap": limit})
+        cut = sums.where("NOT _one AND _all > _cap AND _ahead < _cap AND _ahead + _n >= _cap")
+        cut = cut_lineage(cut.select(*tile, "_bucket", (F.col("_cap") - F.col("_ahead")).alias("_need")))
+        if cut.isEmpty():
+            out = _also(out, here)
             break
-    return out.select(*groups, key, "level", "x", "y")
+        rank = F.row_number().over(Window.partitionBy(*tile).orderBy("_pos"))
+        ranked = here.select(*tile, "_bucket", "_pos").join(cut, [*tile, "_bucket"]).withColumn("_rank", rank)
+        last = cut_lineage(ranked.where("_rank = _need").select(*tile, F.col("_pos").alias("_last")))
+        stays = F.col("_last").isNull() | (F.col("_pos") <= F.col("_last"))
+        marked = cut_lineage(here.join(last, tile, "left").withColumn("_stays", stays).drop("_last"))
+        out = _also(out, marked.where("_stays").drop("_stays"))
+        rest = marked.where("NOT _stays").drop("_stays", "level", "x", "y")
+    return out.select(*groups, key, *carried, "level", "x", "y")
 
 
-def separate_tilesets(df: DataFrame, budgets: dict[str, int], key: str = "id", geom: str = "geom", column: str = "class") -> DataFrame:
+def _also(out: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if out is None else out.unionByName(more)
+
+
+def separate_tilesets(
+    df: DataFrame, budgets: dict[str, int], key: str = "id", geom: str = "geom", column: str = "class", carried: list[str] | None = None
+) -> DataFrame:
     """One tree per class, each with its own budget, built together."""
-    return quadtree_tiles(df, budgets, key, geom, column)
+    return quadtree_tiles(df, budgets, key, geom, column, carried=carried)
+
+
+def tile_content(df: DataFrame, budgets: dict[str, int], key: str = "id", geom: str = "geom", column: str = "class") -> DataFrame:
+    """Every feature with all its columns and its tile (level, x, y) in the tree of its class.
+
+    The layer is written once with a number for each row, so repeated keys keep
+    their own tiles and only keys and centres go through the rounds.
+    """
+    rows = cut_lineage(df.where(F.col(column).isin(list(budgets))).withColumn("_row", F.monotonically_increasing_id()))
+    placed = separate_tilesets(rows, budgets, key, geom, column, ["_row"]).select("_row", "level", "x", "y")
+    return rows.join(placed, "_row").drop("_row")
+
+
+def write_tile_content(content: DataFrame, path: str, column: str = "class") -> None:
+    """Write content partitioned by class; the classes in it replace their former content, all others stay.
+
+    A class is one partition, so no level of a former tree is left behind; inside
+    it rows are sorted by level and tile, and a reader of one level skips the rest.
+    """
+    rows = content.repartitionByRange(column, "level", "x", "y").sortWithinPartitions(column, "level", "x", "y")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def read_tile_content(spark, path: str, classes: list[str] | None = None, level: int | None = None, column: str = "class") -> DataFrame:
+    df = spark.read.parquet(path)
+    df = df.where(F.col(column).isin(classes)) if classes is not None else df
+    return df.where(F.col("level") == level) if level is not None else df
 
 
 def morton(x: Column, y: Column, bits: int) -> Column:

@@ -105,7 +105,8 @@ def combined_layer(spark, sf):
 
 # ---------------------------------------------------------------- oracle pieces
 def R(expr: str, n: int) -> str:
-    return f"CAST(ROUND(CAST({expr} AS DECIMAL(20,6)), {n}) AS DOUBLE)"
+    """One rounding, half away from zero, on the digits the double is written with."""
+    return f"CAST(ROUND(CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), {n}) AS DOUBLE)"
 
 
 CATEGORY = (
@@ -189,7 +190,7 @@ fos AS (
   FROM clean_parcels p LEFT JOIN occupied o USING (parcel_id) LEFT JOIN measures m USING (parcel_id))"""
 FOS_CTES = f"{PIECE_CTES}, {FOS}"
 
-FLOORS = "greatest(1, CAST(ROUND(CAST(height_m / 3.2 AS DECIMAL(20,6)), 0) AS INTEGER))"
+FLOORS = "greatest(1, CAST(ROUND(CAST(CAST(CAST(height_m / 3.2 AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), 0) AS INTEGER))"
 FAR = f"""estimates AS (
   SELECT row_number() OVER (ORDER BY parcel_id, gid) AS id, gid AS building_gid, building_id, building_gml_id, parcel_id,
          height_m, height_category, footprint_area_m2, parcel_area_m2, intersection_area_m2,

@@ -182,8 +182,31 @@ UNION ALL SELECT 'materialMappings', '', count(*), 0 FROM surface_mappings
 UNION ALL SELECT 'textureMappings', '', count(*), 0 FROM surface_mappings WHERE texture_mapping IS NOT NULL
 UNION ALL SELECT 'georeferencedMappings', '', 0, 0
 UNION ALL SELECT 'genericAttributes', p.name || '/' || t.typename, count(*), 0 FROM properties p JOIN datatype t ON t.id = p.datatype_id WHERE p.namespace_id = 3 GROUP BY 2
+UNION ALL SELECT 'topLevelFeatures', n.alias || ':' || o.classname, count(*), 0
+  FROM features f JOIN objectclass o ON o.id = f.objectclass_id JOIN namespace n ON n.id = o.namespace_id WHERE o.is_toplevel = 1 AND f.termination_date IS NULL GROUP BY 2
+UNION ALL SELECT 'lods', p.val_lod, count(*), 0 FROM properties p JOIN features f ON f.id = p.feature_id WHERE f.termination_date IS NULL AND p.val_lod IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'themes', theme, count(*), 0 FROM appearances WHERE theme IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'modules', n.alias || '=urn:' || n.alias, count(*), 0
+  FROM features f JOIN objectclass o ON o.id = f.objectclass_id JOIN namespace n ON n.id = o.namespace_id WHERE f.termination_date IS NULL GROUP BY 2
+UNION ALL SELECT 'codeLists', c.kind || '=codes/' || c.n_nationkey, coalesce(e.n, 0), 0
+  FROM (SELECT *, CASE n_regionkey % 2 WHEN 0 THEN 'bldg:class' ELSE 'bldg:roofType' END AS kind FROM nation) c
+  LEFT JOIN (SELECT p_size % 25 AS id, count(*) AS n FROM part GROUP BY 1) e ON e.id = c.n_nationkey
 """
 
+
+def _report_store(s, d):
+    """The store with addresses of its modules, code lists by nation and their entries by part."""
+    kind = F.when(F.col("n_regionkey") % 2 == 0, "bldg:class").otherwise("bldg:roofType")
+    lists = city.table(s, d, "nation").select(
+        F.col("n_nationkey").cast("long").alias("id"), kind.alias("codelist_type"), F.concat(F.lit("codes/"), F.col("n_nationkey").cast("string")).alias("url")
+    )
+    entries = city.table(s, d, "part").select(
+        F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") % 25).cast("long").alias("codelist_id"), F.col("p_type").alias("code")
+    )
+    store = city.store(s, d)
+    modules = store["namespace"].withColumn("namespace", F.concat(F.lit("urn:"), "alias"))
+    return {**store, "namespace": modules, "codelist": lists, "codelist_entry": entries}
+
 ENTRIES = {
     "geometry_envelope": (
         lambda s, d: city.class_geometries(s, d).select("id", *_z(envelopes.geometry_envelope("geom"))),
@@ -293,11 +316,11 @@ ENTRIES = {
         "SELECT 'codelist' AS tab, CAST(n_nationkey AS BIGINT) AS id FROM nation",
     ),
     "city_report": (
-        lambda s, d: report.city_report(city.store(s, d)),
+        lambda s, d: report.city_report(_report_store(s, d)),
         oracle(
             "WITH live_geometries AS (SELECT g.id FROM geometries g JOIN features f ON f.id = g.feature_id WHERE f.termination_date IS NULL AND g.gx0 IS NOT NULL) " + REPORT_SQL,
             *ALL, "objectclass", "namespace", "datatype",
         ),
     ),
-    "city_report_json": (lambda s, d: report.city_report_json(city.store(s, d)), None),
+    "city_report_json": (lambda s, d: report.city_report_json(_report_store(s, d)), None),
 }

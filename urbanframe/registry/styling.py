@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from urbanframe.functions import geometry as G
 from urbanframe.functions.scalars import round_numeric
 from urbanframe.operators import advice, materials, tiles
 from urbanframe.registry import city
@@ -156,19 +158,25 @@ def _tiles(s, d, cap=400):
 
 
 def _snapshots(s, d):
+    """The derived changes with their number per feature and the other columns of the log."""
+    x = (F.col("event_id") % 100).cast("double")
     return city.relation(s, d, "snapshots").withColumns({
         "seq": F.col("event_id"), "last_modification_date": F.date_trunc("hour", "ts"),
+        "version": F.row_number().over(Window.partitionBy("id").orderBy("event_id")), "identifier": F.concat(F.lit("urn:"), "objectid"),
+        "identifier_codespace": F.lit("urn"), "envelope": G.st_rectangle(x, F.lit(0.0), x + 1, F.lit(2.0)),
+        "db_user": F.concat(F.lit("user"), (F.col("event_id") % 3).cast("string")),
     })
 
 
 def _stream_log(s, d):
-    """Write the derived changes as files, stream them through the log, read the result."""
+    """Write the derived changes as files in no order, stream them through the log a few at a time, read the result."""
     base = f"{checkpoint_dir(s)}/stream-{uuid.uuid4().hex}"
     rows = _snapshots(s, d).drop("event_id")
-    rows.write.parquet(f"{base}/in")
-    source = s.readStream.schema(rows.schema).parquet(f"{base}/in")
+    rows.repartition(6, F.xxhash64("seq")).write.parquet(f"{base}/in")
+    source = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     changelog.run_to_table(changelog.changelog_stream(source, city.dictionary(s, "objectclass")), f"{base}/out", f"{base}/state")
-    return s.read.schema(changelog.LOG_DDL).parquet(f"{base}/out")
+    log = s.read.schema(changelog.LOG_DDL).parquet(f"{base}/out").where("NOT late")
+    return log.withColumns({"xmin": G.st_bbox("envelope")["xmin"], "ymax": G.st_bbox("envelope")["ymax"]}).drop("envelope", "late")
 
 
 ALIVE = """steps AS (
@@ -195,35 +203,74 @@ def _batch_log(s, d):
         "last_modification_date": F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("timestamp")).otherwise(F.col("last_modification_date")),
         "termination_date": F.when(F.col("o_totalprice") > 350000, F.lit("2024-01-01").cast("timestamp")),
     })
-    return changelog.changelog_from_snapshots(old, new, city.dictionary(s, "objectclass"))
+    named = {"identifier": F.concat(F.lit("urn:"), "objectid"), "identifier_codespace": F.lit("urn")}
+    x = F.col("o_totalprice").cast("double")
+    old, new = (
+        df.withColumns({**named, "envelope": G.st_rectangle(x + move, F.lit(0.0), x + move + 1, F.lit(1.0))}) for df, move in ((old, 0.0), (new, 5.0))
+    )
+    log = changelog.changelog_from_snapshots(
+        old, new, city.dictionary(s, "objectclass"), ["identifier", "identifier_codespace", "envelope"],
+        F.lit("2024-02-03 04:05:06").cast("timestamp"), "clerk", 1000,
+    )
+    return log.withColumn("xmin", G.st_bbox("envelope")["xmin"]).drop("envelope")
 
 
 CHANGELOG_SQL = (
-    "SELECT CASE WHEN o_totalprice < 400000 THEN o_orderkey END AS feature_id, 901 AS objectclass_id, 'O' || o_orderkey AS objectid, "
+    "SELECT 1000 + row_number() OVER (ORDER BY o_orderkey) AS id, 'urn:O' || o_orderkey AS identifier, 'urn' AS identifier_codespace, "
+    "TIMESTAMP '2024-02-03 04:05:06' AS transaction_date, 'clerk' AS db_user, "
+    "CAST(o_totalprice AS DOUBLE) + CASE WHEN o_totalprice < 400000 THEN 5 ELSE 0 END AS xmin, CASE WHEN o_totalprice < 400000 THEN o_orderkey END AS feature_id, 901 AS objectclass_id, 'O' || o_orderkey AS objectid, "
     "CASE WHEN o_totalprice >= 400000 THEN 'DELETE' WHEN o_totalprice > 350000 THEN 'TERMINATE' WHEN o_totalprice <= 50000 THEN 'INSERT' ELSE 'UPDATE' END AS transaction_type, "
     "CASE WHEN o_totalprice < 400000 THEN o_orderpriority END AS reason_for_update FROM orders WHERE o_custkey % 3 <> 0 AND "
     "(o_totalprice >= 400000 OR o_totalprice <= 50000 OR o_orderstatus = 'P')"
 )
 
-def tiles_sql(cap, body):
+#: Levels the tile rule is spelled out for in SQL; the data need fewer.
+SQL_LEVELS = 10
+
+
+def tree_ctes(cap, name="", source="features WHERE xmin IS NOT NULL"):
     """The tile rule level by level: keep the largest per tile, hand the rest down."""
     ctes = [
-        "centres AS (SELECT objectid AS id, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy, (xmax - xmin) * (ymax - ymin) AS area FROM features WHERE xmin IS NOT NULL)",
-        "frame AS (SELECT min(cx) AS x0, min(cy) AS y0, greatest(max(cx) - min(cx), max(cy) - min(cy), 1e-9) AS side FROM centres)",
-        "rest0 AS (SELECT * FROM centres, frame)",
+        f"{name}centres AS (SELECT objectid AS id, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy, (xmax - xmin) * (ymax - ymin) AS area FROM {source})",
+        f"{name}frame AS (SELECT min(cx) AS x0, min(cy) AS y0, greatest(max(cx) - min(cx), max(cy) - min(cy), 1e-9) AS side FROM {name}centres)",
+        f"{name}rest0 AS (SELECT * FROM {name}centres, {name}frame)",
     ]
-    for n in range(tiles.MAX_LEVEL + 1):
+    for n in range(SQL_LEVELS + 1):
         size = float(2**n)
         ctes.append(
-            f"level{n} AS (SELECT *, CAST(least(floor((cx - x0) / side * {size}), {2**n - 1}) AS BIGINT) AS x, "
-            f"CAST(least(floor((cy - y0) / side * {size}), {2**n - 1}) AS BIGINT) AS y FROM rest{n})"
+            f"{name}level{n} AS (SELECT *, CAST(least(floor((cx - x0) / side * {size}), {2**n - 1}) AS BIGINT) AS x, "
+            f"CAST(least(floor((cy - y0) / side * {size}), {2**n - 1}) AS BIGINT) AS y FROM {name}rest{n})"
         )
-        keep = f"rn <= {cap}" if n < tiles.MAX_LEVEL else "true"
-        ctes.append(f"ranked{n} AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY area DESC, id) AS rn FROM level{n})")
-        ctes.append(f"tile{n} AS (SELECT id, {n} AS level, x, y FROM ranked{n} WHERE {keep})")
-        ctes.append(f"rest{n + 1} AS (SELECT id, cx, cy, area, x0, y0, side FROM ranked{n} WHERE NOT ({keep}))")
-    whole = " UNION ALL ".join(f"SELECT * FROM tile{n}" for n in range(tiles.MAX_LEVEL + 1))
-    return oracle(f"WITH {', '.join(ctes)}, tiled AS ({whole}) {body}", "features")
+        keep = f"rn <= {cap}" if n < SQL_LEVELS else "true"
+        ctes.append(f"{name}ranked{n} AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY area DESC, id) AS rn FROM {name}level{n})")
+        ctes.append(f"{name}tile{n} AS (SELECT id, {n} AS level, x, y FROM {name}ranked{n} WHERE {keep})")
+        ctes.append(f"{name}rest{n + 1} AS (SELECT id, cx, cy, area, x0, y0, side FROM {name}ranked{n} WHERE NOT ({keep}))")
+    whole = " UNION ALL ".join(f"SELECT * FROM {name}tile{n}" for n in range(SQL_LEVELS + 1))
+    return [*ctes, f"{name}tiled AS ({whole})"]
+
+
+def tiles_sql(cap, body):
+    return oracle(f"WITH {', '.join(tree_ctes(cap))} {body}", "features")
+
+
+def _content(s, d):
+    """Content of two classes written, then one of them replaced under another budget."""
+    path = f"{checkpoint_dir(s)}/tiles-{uuid.uuid4().hex}"
+    layer = _store_tiles(s, d)
+    tiles.write_tile_content(tiles.tile_content(layer, {"Building": 50, "GroundSurface": 100}), path)
+    tiles.write_tile_content(tiles.tile_content(layer, {"Building": 300}), path)
+    got = tiles.read_tile_content(s, path, ["Building", "GroundSurface"])
+    box = G.st_bbox("geom")
+    return got.select("class", "id", "level", "x", "y", box["xmin"].alias("xmin"), box["ymax"].alias("ymax"))
+
+
+def content_sql(budgets):
+    ctes, parts = [], []
+    for i, (name, cap) in enumerate(budgets.items()):
+        source = f"features f JOIN objectclass o ON o.id = f.objectclass_id AND o.classname = '{name}' WHERE f.xmin IS NOT NULL"
+        ctes += [c.replace("objectid AS id", "f.objectid AS id") for c in tree_ctes(cap, f"c{i}_", source)]
+        parts.append(f"SELECT '{name}' AS class, t.id, t.level, t.x, t.y, f.xmin, f.ymax FROM c{i}_tiled t JOIN features f ON f.objectid = t.id")
+    return oracle(f"WITH {', '.join(ctes)} {' UNION ALL '.join(parts)}", "features", "objectclass")
 
 
 SUBTREE_SQL = (
@@ -290,12 +337,16 @@ ENTRIES = {
             "features", "objectclass",
         ),
     ),
+    "tile_content": (_content, content_sql({"Building": 300, "GroundSurface": 100})),
     "feature_changelog": (
         _stream_log,
         oracle(
-            f"WITH {ALIVE} SELECT CASE WHEN op <> 'DELETE' THEN id END AS feature_id, CAST(objectclass_id AS INTEGER) AS objectclass_id, objectid, "
+            f"WITH {ALIVE} SELECT event_id AS id, 'urn:' || objectid AS identifier, 'urn' AS identifier_codespace, 'user' || (event_id % 3) AS db_user, "
+            "CAST(CASE WHEN op = 'DELETE' THEN place ELSE event_id % 100 END AS DOUBLE) AS xmin, CAST(2 AS DOUBLE) AS ymax, "
+            "CASE WHEN op <> 'DELETE' THEN id END AS feature_id, CAST(objectclass_id AS INTEGER) AS objectclass_id, objectid, "
             "CASE WHEN op = 'DELETE' THEN op WHEN termination_date IS NOT NULL THEN 'TERMINATE' ELSE op END AS transaction_type, ts AS transaction_date, "
-            "CASE WHEN op <> 'DELETE' THEN reason_for_update END AS reason_for_update FROM steps "
+            "CASE WHEN op <> 'DELETE' THEN reason_for_update END AS reason_for_update FROM (SELECT *, last_value(CASE WHEN op = 'INSERT' OR (op = 'UPDATE' AND life = 'INSERT') "
+            "THEN event_id % 100 END IGNORE NULLS) OVER (PARTITION BY id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS place FROM steps) "
             "WHERE op = 'INSERT' OR (life = 'INSERT' AND (op = 'DELETE' OR modified <> before))", "snapshots",
         ),
     ),

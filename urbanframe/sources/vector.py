@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urbanframe.functions import geometry as G
 from urbanframe.functions.projection import st_transform
+from urbanframe.operators.envelopes import boxes_upwards
 from urbanframe.operators.materials import RULE_COLUMNS
-from urbanframe.schema import METRIC, WGS84
+from urbanframe.schema import GEOMETRY_DDL, METRIC, WGS84
+from urbanframe.session import cut_lineage
 
 _PAIR = "array<double>"
 
@@ -18,8 +23,8 @@ def _vertex(p: Column) -> Column:
     return G.make_point(p[0], p[1], F.coalesce(F.try_element_at(p, F.lit(3)), F.lit(0.0)))
 
 
-def geojson_geometry(text: Column, srid: int) -> Column:
-    """Geometry from GeoJSON text: points, lines, polygons and their multi kinds."""
+def _geojson_parts(text: Column, depth: int) -> Column:
+    """Parts of any GeoJSON geometry; collections are opened ``depth`` times."""
     kind = F.get_json_object(text, "$.type")
     coords = F.get_json_object(text, "$.coordinates")
 
@@ -40,25 +45,54 @@ def geojson_geometry(text: Column, srid: int) -> Column:
         .when(kind == "Polygon", F.array(F.transform(parsed(2), ring)))
         .when(kind == "MultiPolygon", F.transform(parsed(3), lambda poly: F.transform(poly, ring)))
     )
-    return F.when(parts.isNotNull(), G.geometry(kind, parts, srid))
+    if depth:
+        members = F.from_json(F.get_json_object(text, "$.geometries"), "array<string>")
+        parts = parts.when(kind == "GeometryCollection", F.flatten(F.transform(members, lambda m: _geojson_parts(m, depth - 1))))
+    return parts
+
+
+def geojson_geometry(text: Column, srid: int) -> Column:
+    """Geometry from GeoJSON text: points, lines, polygons, their multi kinds, and collections of them (also nested once)."""
+    parts = _geojson_parts(text, 2)
+    wrong = F.raise_error(F.concat(F.lit("no geometry that can be read: "), F.substring(text, 1, 200))).cast(GEOMETRY_DDL)
+    given = text.isNotNull() & (F.trim(text) != "null")
+    return F.when(parts.isNotNull(), G.geometry(F.get_json_object(text, "$.type"), parts, srid)).when(given, wrong)
 
 
 def to_geojson(g) -> Column:
-    """GeoJSON text of a geometry; polygons become MultiPolygon, other kinds keep theirs."""
+    """GeoJSON text of a geometry; polygons become MultiPolygon, other kinds keep theirs.
+
+    A collection of polygons is a MultiPolygon as well; one that holds points or
+    lines stays a collection of its parts.
+    """
     g = F.col(g) if isinstance(g, str) else g
     xy = F.transform(g["parts"], lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
     kind = g["kind"]
-    point = F.to_json(F.struct(F.lit("Point").alias("type"), xy[0][0][0].alias("coordinates")))
-    line = F.to_json(F.struct(F.lit("LineString").alias("type"), xy[0][0].alias("coordinates")))
-    many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), xy.alias("coordinates")))
-    points = F.to_json(F.struct(F.lit("MultiPoint").alias("type"), F.transform(xy, lambda p: p[0][0]).alias("coordinates")))
-    lines = F.to_json(F.struct(F.lit("MultiLineString").alias("type"), F.transform(xy, lambda p: p[0]).alias("coordinates")))
+
+    def text(name: str, coordinates: Column) -> Column:
+        return F.to_json(F.struct(F.lit(name).alias("type"), coordinates.alias("coordinates")))
+
+    def is_polygon(part: Column) -> Column:
+        ring = part[0]
+        return (F.size(ring) >= 4) & (ring[0] == F.element_at(ring, -1))
+
+    def single(part: Column) -> Column:
+        return F.when(is_polygon(part), text("Polygon", part)).when(F.size(part[0]) == 1, text("Point", part[0][0])).otherwise(text("LineString", part[0]))
+
+    mixed = (kind == "GeometryCollection") & F.exists(xy, lambda p: ~is_polygon(p))
+    members = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(F.transform(xy, single), ","), F.lit("]}"))
     return (
-        F.when(kind == "Point", point).when(kind == "LineString", line)
-        .when(kind == "MultiPoint", points).when(kind == "MultiLineString", lines).otherwise(many)
+        F.when(kind == "Point", text("Point", xy[0][0][0])).when(kind == "LineString", text("LineString", xy[0][0]))
+        .when(kind == "MultiPoint", text("MultiPoint", F.transform(xy, lambda p: p[0][0])))
+        .when(kind == "MultiLineString", text("MultiLineString", F.transform(xy, lambda p: p[0])))
+        .when(mixed, members).otherwise(text("MultiPolygon", xy))
     )
 
 
+# What a line of a collection may hold besides a feature: brackets, and the members writers put in its head.
+_FRAME = r'^[{}\[\]]*$|^\{?\s*"(type"\s*:\s*"FeatureCollection"|(name|description|crs|bbox|features|xy_coordinate_resolution|totalFeatures|numberMatched|numberReturned|timeStamp)"\s*:)'
+
+
 def read_feature_collection(
     spark: SparkSession, path: str, properties: str, srid: int = METRIC, target: int | None = WGS84, key: str = "id",
     by_line: bool = False,
@@ -72,13 +106,13 @@ def read_feature_collection(
     """
     one = f"struct<type:string, properties:struct<{properties}>, geometry:string>"
     if by_line:
-        text = F.regexp_replace("value", "^[, ]+|[, ]+$", "")
-        lines = spark.read.text(path).select(text.alias("value")).where(F.col("value").startswith("{"))
-        # the line that opens the collection ends inside it; every other object must be a feature
-        opening = F.col("value").rlike(r'"FeatureCollection"') & ~F.col("value").endswith("}")
-        f = lines.where(~opening).select(F.from_json("value", one).alias("f"))
+        text = F.regexp_replace("value", r"^[,\s\ufeff]+|[,\s]+$", "")
+        lines = spark.read.text(path).select(text.alias("value"))
+        # an opening line ends inside the collection; whatever is no frame must be a feature
+        frame = F.col("value").rlike(_FRAME) & ~(F.col("value").contains('"Feature"') & F.col("value").startswith("{"))
+        f = lines.where(~frame).select(F.from_json("value", one).alias("f"), "value")
         # a line that cannot be parsed has no type either
-        wrong = F.raise_error(F.lit("by_line: a line is no feature")).cast("boolean")
+        wrong = F.raise_error(F.concat(F.lit("by_line: a line is no feature: "), F.substring("value", 1, 200))).cast("boolean")
         f = f.where(F.when(F.col("f.type") == "Feature", True).otherwise(wrong))
     else:
         doc = spark.read.schema(f"type string, features array<{one}>").option("multiLine", True).json(path)
@@ -126,17 +160,41 @@ def write_geojson_layer(df: DataFrame, path: str, geom: str = "geom") -> None:
 
 
 # ---------------------------------------------------------------- CityGML
-_SURFACE_TAGS = ("GroundSurface", "RoofSurface", "WallSurface")
-_POLY = (
-    "struct<`gml:surfaceMember`:array<struct<`gml:Polygon`:struct<`_gml:id`:string,"
-    "`gml:exterior`:struct<`gml:LinearRing`:struct<`gml:posList`:string>>,"
-    "`gml:interior`:array<struct<`gml:LinearRing`:struct<`gml:posList`:string>>>>>>>"
-)
-_SURFACE = f"struct<`_gml:id`:string,`bldg:lod2MultiSurface`:struct<`gml:MultiSurface`:{_POLY}>>"
-CITYGML_BUILDING_DDL = (
-    "`_gml:id` string, `bldg:measuredHeight` string, `bldg:boundedBy` array<struct<"
-    + ",".join(f"`bldg:{t}`:{_SURFACE}" for t in _SURFACE_TAGS) + ">>"
+# Fixed names: thematic surfaces, levels of detail, levels of building parts that are followed.
+SURFACE_TAGS = (
+    "GroundSurface", "RoofSurface", "WallSurface", "ClosureSurface", "FloorSurface", "InteriorWallSurface", "CeilingSurface",
+    "OuterCeilingSurface", "OuterFloorSurface",
 )
+LODS = (1, 2, 3, 4)
+PART_LEVELS = 3
+_OTHER = "xs_any"  # elements the schema does not name
+_RING = "struct<`gml:LinearRing`:struct<`gml:posList`:string>>"
+_POLYGON = f"struct<`_gml:id`:string,`gml:exterior`:{_RING},`gml:interior`:array<{_RING}>>"
+_MEMBERS = f"struct<`gml:surfaceMember`:array<struct<`gml:Polygon`:{_POLYGON},`_xlink:href`:string>>>"
+_SOLID = f"struct<`gml:Solid`:struct<`gml:exterior`:struct<`gml:CompositeSurface`:{_MEMBERS}>>>"
+_SHELL = f"struct<`gml:MultiSurface`:{_MEMBERS}>"
+_TRIANGLES = f"struct<`gml:trianglePatches`:struct<`gml:Triangle`:array<struct<`gml:exterior`:{_RING}>>>>"
+
+
+def _shapes_ddl() -> str:
+    return ",".join(f"`bldg:lod{n}MultiSurface`:{_SHELL},`bldg:lod{n}Solid`:{_SOLID}" for n in LODS)
+
+
+_SURFACE = f"struct<`_gml:id`:string,{_shapes_ddl()}>"
+
+
+def _building_ddl(levels: int) -> str:
+    bounds = ",".join(f"`bldg:{t}`:{_SURFACE}" for t in SURFACE_TAGS)
+    ddl = (
+        f"`_gml:id`:string,`bldg:measuredHeight`:string,{_shapes_ddl()},`bldg:boundedBy`:array<struct<{bounds},`{_OTHER}`:array<string>>>"
+    )
+    part = f"struct<`bldg:BuildingPart`:{_building_ddl(levels - 1)}>" if levels else "string"
+    return f"struct<{ddl},`bldg:consistsOfBuildingPart`:array<{part}>>"
+
+
+_TIN = f"struct<`_gml:id`:string,`dem:lod`:string,`dem:tin`:struct<`gml:TriangulatedSurface`:{_TRIANGLES},`gml:Tin`:{_TRIANGLES}>>"
+_RELIEF = f"struct<`_gml:id`:string,`dem:lod`:string,`dem:reliefComponent`:array<struct<`dem:TINRelief`:{_TIN},`{_OTHER}`:array<string>>>>"
+CITYGML_MEMBER_DDL = f"`bldg:Building` {_building_ddl(PART_LEVELS)}, `dem:ReliefFeature` {_RELIEF}, `{_OTHER}` array<string>"
 
 
 def pos_list(text: Column) -> Column:
@@ -146,42 +204,119 @@ def pos_list(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: G.make_point(v[3 * i], v[3 * i + 1], v[3 * i + 2]))
 
 
-def read_citygml(spark: SparkSession, path: str, srid: int = METRIC, row_tag: str = "bldg:Building") -> dict[str, DataFrame]:
-    """Building members as feature, property and geometry rows (ids from the member ids)."""
-    doc = spark.read.format("xml").option("rowTag", row_tag).schema(CITYGML_BUILDING_DDL).load(path)
-    b = doc.select(F.col("_gml:id").alias("objectid"), F.col("`bldg:measuredHeight`").cast("double").alias("height"), F.col("`bldg:boundedBy`").alias("bounds"))
-    b = b.withColumn("id", F.xxhash64("objectid"))
-    surf = b.select("id", F.posexplode("bounds").alias("n", "s"))
-    each = None
-    for tag in _SURFACE_TAGS:
-        s = F.col("s")[f"bldg:{tag}"]
-        part = surf.where(s.isNotNull()).select(
-            F.col("id").alias("owner"), F.lit(tag).alias("classname"), s["_gml:id"].alias("objectid"),
-            s["bldg:lod2MultiSurface"]["gml:MultiSurface"]["gml:surfaceMember"].alias("members"), "n",
-        )
-        each = part if each is None else each.unionByName(part)
-    each = each.withColumn("objectid", F.coalesce("objectid", F.concat_ws("_", F.col("owner").cast("string"), "classname", F.col("n").cast("string"))))
-    each = each.withColumn("id", F.xxhash64("objectid"))
-    outer = lambda p: pos_list(p["gml:exterior"]["gml:LinearRing"]["gml:posList"])
-    holes = lambda p: F.coalesce(p["gml:interior"], F.array())
-    ring = F.transform("members", lambda m: F.concat(
-        F.array(outer(m["gml:Polygon"])), F.transform(holes(m["gml:Polygon"]), lambda h: pos_list(h["gml:LinearRing"]["gml:posList"]))
+def _ring(r: Column) -> Column:
+    return pos_list(r["gml:LinearRing"]["gml:posList"])
+
+
+def _polygons(members: Column) -> Column:
+    """Parts of the polygons of surface members; members that only refer to others have none."""
+    own = F.filter(members, lambda m: m["gml:Polygon"]["gml:exterior"].isNotNull())
+    holes = lambda p: F.transform(F.coalesce(p["gml:interior"], F.array()), _ring)
+    return F.transform(own, lambda m: F.concat(F.array(_ring(m["gml:Polygon"]["gml:exterior"])), holes(m["gml:Polygon"])))
+
+
+def _shapes(df: DataFrame, thing: Column, srid: int) -> DataFrame:
+    """(id, objectid, name, lod, geometry): one row for each shape an element has."""
+    found = []
+    for n in LODS:
+        for kind, column in (("MultiSurface", "gml:MultiSurface"), ("Solid", "gml:Solid")):
+            shape = thing[f"bldg:lod{n}{kind}"][column]
+            members = (shape if kind == "MultiSurface" else shape["gml:exterior"]["gml:CompositeSurface"])["gml:surfaceMember"]
+            parts = _polygons(members)
+            geometry = F.when(F.size(parts) > 0, G.geometry("MultiPolygon" if kind == "MultiSurface" else "Solid", parts, srid))
+            found.append(F.struct(F.lit(f"lod{n}{kind}").alias("name"), F.lit(str(n)).alias("lod"), geometry.alias("geometry")))
+    rows = df.select("id", "objectid", F.explode(F.array(*found)).alias("s"))
+    return rows.select("id", "objectid", "s.*").where("geometry IS NOT NULL")
+
+
+def _things(df: DataFrame, classname: Column, thing: Column, owner: Column, fallback: Column) -> DataFrame:
+    """Elements with class, owner and id; one without a gml:id is named after its owner and place."""
+    rows = df.select(owner.alias("owner"), classname.alias("classname"), F.coalesce(thing["_gml:id"], fallback).alias("objectid"), thing.alias("thing"))
+    return rows.where("thing IS NOT NULL").withColumn("id", F.xxhash64("objectid"))
+
+
+def _read_all(df: DataFrame, others: Column, what: str) -> DataFrame:
+    """The rows; fails at the first element of a kind the schema does not name."""
+    wrong = F.raise_error(F.concat(F.lit(f"{what} of a kind that is not read: "), F.substring(others[0], 1, 200))).cast("boolean")
+    return df.where(F.when(F.coalesce(F.size(others), F.lit(0)) > 0, wrong).otherwise(True))
+
+
+def _placed_name(tag: Column) -> Column:
+    return F.concat_ws("_", "objectid", tag, F.col("n").cast("string"))
+
+
+def read_citygml(
+    spark: SparkSession, path: str, srid: int = METRIC, member_tag: str = "core:cityObjectMember", unknown: str = "fail"
+) -> dict[str, DataFrame]:
+    """City object members as feature, property and geometry rows (ids from the member ids), parsed in one scan.
+
+    Read are buildings with their parts, thematic surfaces, multi surfaces and solids
+    of LoD 1 to 4, and terrain, whose triangles are geometry rows of their own.
+    Members of other kinds fail, or with ``unknown="list"`` are rows of the result's
+    ``unread`` (the element as text). A file without members may hold bare buildings. Polygons a solid only refers to belong to the
+    surface that holds them. Envelopes cover all a feature contains.
+    """
+    schema = T.StructType.fromDDL(CITYGML_MEMBER_DDL)
+    source = spark.read.format("xml").option("wildcardColName", _OTHER)
+    doc = cut_lineage(source.option("rowTag", member_tag).schema(schema).load(path))
+    if doc.isEmpty():  # a fragment of bare buildings
+        bare = source.option("rowTag", "bldg:Building").schema(schema["bldg:Building"].dataType).load(path)
+        rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[1:]]
+        doc = cut_lineage(bare.select(F.struct(*[F.col(f"`{c}`") for c in bare.columns]).alias("bldg:Building"), *rest))
+    if unknown == "fail":
+        doc = _read_all(doc, F.col(_OTHER), "member")
+    none = F.lit(None).cast("long")
+    level = _things(doc, F.lit("Building"), F.col("`bldg:Building`"), none, F.lit("Building"))
+    things, shapes = [], []
+    for depth in range(PART_LEVELS + 1):
+        parts = F.col("thing")["bldg:consistsOfBuildingPart"]
+        if depth == PART_LEVELS:
+            level = _read_all(level, parts, f"building part below level {PART_LEVELS}")
+        things.append(level)
+        bounds = _read_all(level.select("id", "objectid", F.posexplode(F.col("thing")["bldg:boundedBy"]).alias("n", "s")), F.col("s")[_OTHER], "surface")
+        each = F.array(*[F.struct(F.lit(t).alias("tag"), F.col("s")[f"bldg:{t}"].alias("thing")) for t in SURFACE_TAGS])
+        bounds = bounds.select("id", "objectid", "n", F.explode(each).alias("e"))
+        things.append(_things(bounds, F.col("e.tag"), F.col("e.thing"), F.col("id"), _placed_name(F.col("e.tag"))))
+        if depth < PART_LEVELS:
+            below = level.select("id", "objectid", F.posexplode(parts).alias("n", "p"))
+            level = _things(below, F.lit("BuildingPart"), F.col("p")["bldg:BuildingPart"], F.col("id"), _placed_name(F.lit("BuildingPart")))
+    shapes = [_shapes(t, F.col("thing"), srid) for t in things]
+    heights = [t.select("id", F.col("thing")["bldg:measuredHeight"].cast("double").alias("height")) for t in things[::2]]
+    relief = _things(doc, F.lit("ReliefFeature"), F.col("`dem:ReliefFeature`"), none, F.lit("ReliefFeature"))
+    pieces = relief.select("id", "objectid", F.posexplode(F.col("thing")["dem:reliefComponent"]).alias("n", "c"))
+    pieces = _read_all(pieces, F.col("c")[_OTHER], "terrain")
+    tins = _things(pieces, F.lit("TINRelief"), F.col("c")["dem:TINRelief"], F.col("id"), _placed_name(F.lit("TINRelief")))
+    tin = F.col("thing")["dem:tin"]
+    patches = F.coalesce(tin["gml:TriangulatedSurface"], tin["gml:Tin"])["gml:trianglePatches"]["gml:Triangle"]
+    triangles = tins.select("id", "objectid", F.coalesce(F.col("thing")["dem:lod"], F.lit("0")).alias("lod"), F.posexplode(patches).alias("n", "t"))
+    shapes.append(triangles.select(
+        "id", F.concat_ws("_", "objectid", F.col("n").cast("string")).alias("objectid"), F.lit("tin").alias("name"), "lod",
+        G.geometry("Triangle", F.array(F.array(_ring(F.col("t")["gml:exterior"]))), srid).alias("geometry"),
     ))
-    geometry = each.select("id", G.geometry("MultiPolygon", ring, srid).alias("geometry"), F.col("id").alias("feature_id"))
-    boxes = each.select("owner", G.st_bbox(G.geometry("MultiPolygon", ring, srid)).alias("_b")).groupBy("owner").agg(G.extent_agg(F.col("_b")).alias("_b"))
-    features = b.join(boxes, b["id"] == boxes["owner"], "left").select(
-        "id", F.lit("Building").alias("classname"), "objectid", G.slanted_envelope(F.col("_b"), srid).alias("envelope")
-    ).unionByName(each.select("id", "classname", "objectid", F.lit(None).cast(geometry.schema["geometry"].dataType).alias("envelope")))
-    none = F.lit(None)
-    props = (
-        each.select(F.col("owner").alias("feature_id"), F.lit("boundary").alias("name"), F.col("id").alias("val_feature_id"),
-                    F.lit(1).alias("val_relation_type"), none.cast("long").alias("val_geometry_id"), none.cast("double").alias("val_double"))
-        .unionByName(each.select(F.col("id").alias("feature_id"), F.lit("lod2MultiSurface").alias("name"), none.cast("long").alias("val_feature_id"),
-                                 none.cast("int").alias("val_relation_type"), F.col("id").alias("val_geometry_id"), none.cast("double").alias("val_double")))
-        .unionByName(b.where("height is not null").select(F.col("id").alias("feature_id"), F.lit("height").alias("name"), none.cast("long").alias("val_feature_id"),
-                                                          none.cast("int").alias("val_relation_type"), none.cast("long").alias("val_geometry_id"), F.col("height").alias("val_double")))
-    )
-    return {"feature": features, "property": props, "geometry_data": geometry}
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    found = cut_lineage(union([t.select("id", "owner", "classname", "objectid") for t in (*things, relief, tins)]))
+    # the LoD 2 surface of a feature has the feature's id, every other shape its own
+    own = F.when(F.col("name") == "lod2MultiSurface", F.col("id")).otherwise(F.xxhash64("objectid", "name"))
+    drawn = cut_lineage(union(shapes).withColumn("gid", own))
+    held = drawn.select("id", G.st_bbox("geometry").alias("_b")).groupBy("id").agg(G.extent_agg(F.col("_b")).alias("box"))
+    edges = cut_lineage(found.where("owner IS NOT NULL").select(F.col("owner").alias("id"), F.col("id").alias("child")).distinct())
+    boxes = boxes_upwards(cut_lineage(found.select("id").distinct().join(held, "id", "left")), edges)
+    features = found.join(boxes, "id").select("id", "classname", "objectid", G.slanted_envelope(F.col("box"), srid).alias("envelope"))
+    values = {"val_feature_id": "long", "val_relation_type": "int", "val_geometry_id": "long", "val_lod": "string", "val_double": "double"}
+
+    def rows(df: DataFrame, owner: str, name: Column, **given: Column) -> DataFrame:
+        rest = [given.get(c, F.lit(None)).cast(t).alias(c) for c, t in values.items()]
+        return df.select(F.col(owner).alias("feature_id"), name.alias("name"), *rest)
+
+    linked = found.where("owner IS NOT NULL")
+    role = F.when(F.col("classname") == "BuildingPart", "buildingPart").when(F.col("classname") == "TINRelief", "reliefComponent").otherwise("boundary")
+    props = union([
+        rows(linked, "owner", role, val_feature_id=F.col("id"), val_relation_type=F.lit(1)),
+        rows(drawn, "id", F.col("name"), val_geometry_id=F.col("gid"), val_lod=F.col("lod")),
+        rows(union(heights).where("height IS NOT NULL"), "id", F.lit("height"), val_double=F.col("height")),
+    ])
+    out = {"feature": features, "property": props, "geometry_data": drawn.select(F.col("gid").alias("id"), "geometry", F.col("id").alias("feature_id"))}
+    return out if unknown == "fail" else {**out, "unread": doc.select(F.explode(_OTHER).alias("element"))}
 
 
 # ---------------------------------------------------------------- rules and advice

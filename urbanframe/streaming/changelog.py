@@ -4,32 +4,58 @@ Rules: inserts, updates and deletes of top-level features are logged. An update
 that leaves the modification date as it was is dropped. A termination date
 turns any logged insert or update into TERMINATE. A delete carries the last
 known values, no feature id and no reason.
+
+The stream keeps, for each feature, the last known values and the number of its
+last change. Where changes are numbered per feature (``version`` 1, 2, 3, ...), one
+that comes early waits in the state until those before it are there, so files in any
+order give the log of the right order; one that comes again, or after its place was
+passed, is set apart (``late``). Without versions a micro-batch is ordered by ``seq``,
+and what lies behind the last ``seq`` of its feature is late.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from urbanframe.operators.filters import toplevel_only
+from urbanframe.operators.ids import dense_id
+from urbanframe.schema import FEATURE_CHANGELOG_DDL, GEOMETRY_DDL
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-LOG_COLUMNS = ["feature_id", "objectclass_id", "objectid", "transaction_type", "transaction_date", "reason_for_update"]
-LOG_DDL = (
-    "feature_id long, objectclass_id int, objectid string, transaction_type string, "
-    "transaction_date timestamp, reason_for_update string"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+LOG_DDL = f"id long, {FEATURE_CHANGELOG_DDL}, late boolean"
+# Values of a feature that a delete still knows, and what else a change brings; dates as microseconds.
+_KNOWN = ["objectclass_id", "objectid", "identifier", "identifier_codespace", "envelope"]
+_CHANGE_DDL = (
+    "id long, seq long, version long, op string, at long, modified long, terminated long, objectclass_id int, "
+    "objectid string, identifier string, identifier_codespace string, envelope string, db_user string, reason_for_update string"
 )
+_OUT = ["id", "feature_id", *_KNOWN, "transaction_type", "at", "db_user", "reason_for_update", "late"]
+_OUT_DDL = (
+    "id long, feature_id long, objectclass_id int, objectid string, identifier string, identifier_codespace string, "
+    "envelope string, transaction_type string, at long, db_user string, reason_for_update string, late boolean"
+)
+
 
+def changelog_from_snapshots(
+    old: DataFrame, new: DataFrame, objectclass: DataFrame, extra: list[str] | None = None,
+    at: Column | None = None, user: str | None = None, after: int | None = None,
+) -> DataFrame:
+    """Log rows between two snapshots of the feature table.
 
-def changelog_from_snapshots(old: DataFrame, new: DataFrame, objectclass: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Log rows between two snapshots of the feature table."""
+    With ``extra`` = identifier, identifier_codespace and envelope, the date ``at``, the
+    ``user`` and the last id in use ``after``, rows have all columns of the log.
+    """
     extra = extra or []
     carried = ["objectclass_id", "objectid", *extra]
     cols = ["id", "last_modification_date", "termination_date", "reason_for_update", *carried]
@@ -46,42 +72,103 @@ def changelog_from_snapshots(old: DataFrame, new: DataFrame, objectclass: DataFr
         F.when(~deleted, F.col("n_id")).alias("feature_id"),
         *[F.when(deleted, F.col(f"o_{c}")).otherwise(F.col(f"n_{c}")).alias(c) for c in carried],
         op.alias("transaction_type"), F.when(~deleted, F.col("n_reason_for_update")).alias("reason_for_update"),
+        *([F.coalesce("n_id", "o_id").alias("_id")] if after is not None else []),
     )
-    return toplevel_only(rows, objectclass)
+    rows = toplevel_only(rows, objectclass)
+    if at is not None:
+        rows = rows.withColumn("transaction_date", at)
+    if user is not None:
+        rows = rows.withColumn("db_user", F.lit(user))
+    return rows if after is None else dense_id(rows, ["_id"], "id", after + 1).drop("_id")
+
+
+def transitions(rows: pd.DataFrame, last: dict | None) -> tuple[pd.DataFrame, dict]:
+    """Log rows of one feature's changes in their order, and its state after them.
+
+    Column by column: which changes meet a living feature follows from the last
+    insert or delete before each, the values before it from the last change that
+    counted.
+    """
+    n = len(rows)
+    last = last or {"alive": False, "modified": None, **dict.fromkeys(_KNOWN)}
+    op = rows["op"].reset_index(drop=True)
+    after = op.map({"INSERT": 1.0, "DELETE": 0.0}).astype(float).ffill().fillna(float(last["alive"]))
+    before = after.shift(1, fill_value=float(last["alive"])).astype(bool)
+    known = (op == "INSERT") | ((op == "UPDATE") & before)
+    place = pd.Series(np.where(known, np.arange(n), np.nan)).ffill()
+    prior = place.shift(1).fillna(-1).astype(int).to_numpy()
+
+    def earlier(column: str) -> np.ndarray:
+        return np.array([last[column], *rows[column].astype(object).where(rows[column].notna(), None)], object)[prior + 1]
+
+    own = rows["modified"].astype(object).where(rows["modified"].notna(), None).to_numpy()
+    same = (op == "UPDATE").to_numpy() & np.array([a == b for a, b in zip(own, earlier("modified"))], bool)
+    gone = ((op == "DELETE") & before).to_numpy()
+    logged = (known.to_numpy() & ~same) | gone
+    out = pd.DataFrame({
+        "id": rows["seq"].to_numpy(), "feature_id": rows["id"].astype(object).where(~gone, None).to_numpy(),
+        **{c: np.where(gone, earlier(c), rows[c].astype(object).where(rows[c].notna(), None)) for c in _KNOWN},
+        "transaction_type": np.where(gone, "DELETE", np.where(rows["terminated"].notna(), "TERMINATE", op)),
+        "at": rows["at"].to_numpy(), "db_user": rows["db_user"].to_numpy(),
+        "reason_for_update": rows["reason_for_update"].astype(object).where(~gone, None).to_numpy(),
+    })[logged]
+    end = int(place.iloc[-1]) if n and not np.isnan(place.iloc[-1]) else -1
+    values = {c: last[c] if end < 0 else _plain(rows[c].iloc[end]) for c in ("modified", *_KNOWN)}
+    return out, {"alive": bool(after.iloc[-1]) if n else last["alive"], **values}
+
+
+def _plain(v):
+    if v is None or v != v:
+        return None
+    return int(v) if isinstance(v, (int, float, np.number)) else v
 
 
 class ChangeLogger(StatefulProcessor):
-    """State per feature: last modification date, class and object id; empty when absent."""
+    """State per feature: last known values with the number of its last change, and the changes that came early."""
+
+    def __init__(self, numbered: bool):
+        self.numbered = numbered
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "modified timestamp, objectclass_id int, objectid string")
+        self.last = handle.getValueState("last", "number long, state string")
+        self.early = handle.getListState("early", "change string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.last.get() if self.last.exists() else None
-        out = []
-        # one feature's changes of one micro-batch, in change order
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            if r.op == "DELETE":
-                if state is not None:
-                    out.append((None, state[1], state[2], "DELETE", r.ts, None))
-                state = None
-                continue
-            if r.op == "UPDATE":
-                if state is None:
-                    continue
-                same = (pd.isna(state[0]) and pd.isna(r.last_modification_date)) or state[0] == r.last_modification_date
-            else:
-                same = False
-            state = (r.last_modification_date, int(r.objectclass_id), r.objectid)
-            if not same:
-                kind = r.op if pd.isna(r.termination_date) else "TERMINATE"
-                out.append((r.id, state[1], state[2], kind, r.ts, r.reason_for_update))
-        if state is None:
-            self.last.clear()
-        else:
-            self.last.update(state)
-        frame = pd.DataFrame(out, columns=LOG_COLUMNS)
-        yield frame.astype({"feature_id": "Int64"})
+        number, state = (0 if self.numbered else None), None
+        if self.last.exists():
+            number, text = self.last.get()
+            state = json.loads(text)
+        new = pd.concat(list(rows))
+        order = "version" if self.numbered else "seq"
+        waiting = [json.loads(r[0]) for r in self.early.get()] if self.early.exists() else []
+        if waiting:
+            new = pd.concat([pd.DataFrame(waiting, columns=new.columns), new])
+        new = new.sort_values([order, "seq"]).reset_index(drop=True)
+        late = new.duplicated(order)
+        if number is not None:
+            late |= new[order] <= number
+        behind, new = new[late], new[~late].reset_index(drop=True)
+        if self.numbered:
+            ready = (new[order].to_numpy() == number + 1 + np.arange(len(new))).cumprod().astype(bool)
+            waits, new = new[~ready], new[ready]
+            if len(waits):
+                self.early.put([(json.dumps({c: _plain(v) for c, v in r.items()}),) for r in waits.to_dict("records")])
+            elif waiting:
+                self.early.clear()
+        if len(new):
+            log, state = transitions(new, state)
+            self.last.update((int(new[order].iloc[-1]), json.dumps(state)))
+            yield self._typed(log.assign(late=False))
+        if len(behind):
+            passed = behind.rename(columns={"id": "feature_id", "seq": "id", "op": "transaction_type"}).assign(late=True)
+            yield self._typed(passed)
+
+    @staticmethod
+    def _typed(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame[_OUT].reset_index(drop=True)
+        whole = {c: "Int64" for c in ("id", "feature_id", "at")} | {"objectclass_id": "Int32"}
+        texts = {c: frame[c].astype(object).where(frame[c].notna(), None) for c in _OUT if c not in whole and c != "late"}
+        return frame.assign(**texts).astype(whole)
 
     def close(self) -> None:
         pass
@@ -92,25 +179,47 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def changelog_stream(changes: DataFrame, objectclass: DataFrame) -> DataFrame:
-    """Streaming log of a stream of changes.
-
-    Input columns: id, seq (change order), ts, op, last_modification_date,
-    termination_date, objectclass_id, objectid, reason_for_update. Only features
-    of top-level classes enter the state. Needs the RocksDB state store.
+    """Streaming log of a stream of changes, with all columns of the log and ``late``.
+
+    Input columns: id, seq (number of the change, becomes the id of its log row), ts,
+    op, last_modification_date, termination_date, objectclass_id, objectid,
+    reason_for_update, and if there are any: version (number of the change of its
+    feature, from 1), identifier, identifier_codespace, envelope (geometry), db_user.
+    Only features of top-level classes enter the state. Run it with ``run_to_table``,
+    or set the RocksDB state store.
     """
-    changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     top = objectclass.where(F.col("is_toplevel") > 0).select(F.col("id").alias("objectclass_id"))
-    return (
-        changes.join(top, "objectclass_id", "left_semi")
-        .groupBy("id")
-        .transformWithStateInPandas(ChangeLogger(), outputStructType=LOG_DDL, outputMode="Append", timeMode="None")
+    have, numbered = set(changes.columns), "version" in changes.columns
+    text = lambda c: (F.col(c) if c in have else F.lit(None)).cast("string").alias(c)
+    envelope = F.to_json("envelope") if "envelope" in have else F.lit(None).cast("string")
+    rows = changes.join(top, "objectclass_id", "left_semi").select(
+        "id", "seq", (F.col("version") if numbered else F.col("seq")).cast("long").alias("version"), "op",
+        F.unix_micros("ts").alias("at"), F.unix_micros("last_modification_date").alias("modified"),
+        F.unix_micros("termination_date").alias("terminated"), F.col("objectclass_id").cast("int").alias("objectclass_id"), "objectid",
+        text("identifier"), text("identifier_codespace"), envelope.alias("envelope"), text("db_user"), "reason_for_update",
+    )
+    log = rows.groupBy("id").transformWithStateInPandas(
+        ChangeLogger(numbered), outputStructType=_OUT_DDL, outputMode="Append", timeMode="None"
+    )
+    return log.select(
+        "id", "feature_id", "objectclass_id", "objectid", "identifier", "identifier_codespace", F.from_json("envelope", GEOMETRY_DDL).alias("envelope"),
+        "transaction_type", F.timestamp_micros("at").alias("transaction_date"), "db_user", "reason_for_update", "late",
     )
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process all available input into a Parquet folder, then stop."""
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    """Process all available input into a Parquet folder (late changes in a partition of their own), then stop."""
+    conf = stream.sparkSession.conf
+    before = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, ROCKSDB)  # a query keeps the settings it was started with
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").option("path", path).partitionBy("late")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        if before is None:
+            conf.unset(_PROVIDER)
+        else:
+            conf.set(_PROVIDER, before)
