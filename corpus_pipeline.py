@@ -3,6 +3,13 @@
 Toxic documents go, then exact copies, then near copies, then repeated passages;
 what is left is packed into token sequences. Every stage's result is written as
 Parquet and read again as the next one's documents.
+
+Rows are told apart by id and text: a repeated or missing id never takes another
+text with it, and rows that repeat as a whole stay or go together. Null texts count
+as empty; an empty document stays one of the sequences' documents, and of equal
+empty ones one is kept. Of equal texts the largest id stays, of near ones the
+smallest. Further columns are carried along unread, whatever their names. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,8 +32,8 @@ def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-equal texts (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    return simhash.keep_one(docs, words=5, similarity=0.8)
+    """Of texts whose fingerprints of three-word shingles differ by three bits or fewer the smallest doc_id stays."""
+    return simhash.keep_one(docs, words=3, max_bits=3)
 
 
 def passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Characters of text handled at once inside a task; a longer text is a block by itself.
 BLOCK_CHARS = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,14 +28,25 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def shared(df: DataFrame) -> DataFrame:
+def shared(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Write the frame as a table in the shared folder and read it from there.
 
-    Work above it is never repeated, and a lost executor costs nothing of it.
+    Work above it is never repeated, and a lost executor costs nothing of it. With
+    ``tidy`` the shuffle files of the write go when it is done; use it where nothing
+    reads them again and they are large.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if tidy:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if tidy and before is None:
+            spark.conf.unset(_CLEANUP)
+        elif tidy:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,6 +58,18 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, digest: Column) -> DataFrame:
+    """The documents without the rows of ``gone`` (_id, _text): an id, which may be missing, and the digest of a text.
+
+    Rows are told apart by both, so another text under a repeated id stays.
+    """
+    names, known = docs.columns, F.col("doc_id").cast("long")
+    marked = docs.withColumns({"_own_text": digest, "_own_id": F.coalesce(known, F.lit(0)), "_own_none": known.isNull()})
+    gone_id = F.col("_id").cast("long")
+    keys = gone.select(F.coalesce(gone_id, F.lit(0)).alias("_own_id"), gone_id.isNull().alias("_own_none"), F.col("_text").alias("_own_text"))
+    return marked.join(keys, ["_own_id", "_own_none", "_own_text"], "left_anti").select(*names)
+
+
 def text_blocks(
     batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = BLOCK_CHARS
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

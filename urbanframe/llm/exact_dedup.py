@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanframe.llm.common import ascii_lower, shared
+from urbanframe.llm.common import ascii_lower, shared, without_rows
 
 #: Slots of a bucket before it splits, and directory bits that are added at a time.
 CAPACITY, BITS = 4096, 12
@@ -90,9 +90,13 @@ def groups_of(docs: DataFrame, capacity: int = CAPACITY, bits: int = BITS, hash_
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns as they came."""
-    gone = shared(groups_of(docs).where(~F.col("kept")).select("doc_id"))
-    return docs.join(gone.where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that stay, with their columns as they came.
+
+    Rows are told apart by id and normalised text: another text under the id of a
+    row that goes stays, and so does a row without id whose text no row with an id has.
+    """
+    gone = groups_of(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"))
+    return without_rows(docs, shared(gone.distinct()), F.sha2(ascii_lower(F.col("text")), 256))
 
 
 ORACLE = """

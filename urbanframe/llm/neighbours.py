@@ -152,6 +152,7 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each row of (vec_id, embedding) whose id is divisible by ``every``."""
     known = rows.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    kind = known.schema["embedding"].dataType.simpleString()  # vectors travel as they came, distances are in doubles
     sizes = known.where(usable(F.col("embedding"), F.size("embedding"))).groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     size = int(sizes.agg(F.coalesce(F.max(F.struct("n", "size"))["size"], F.lit(0))).first()[0])
     known = shared(known.where(usable(F.col("embedding"), size)).distinct())
@@ -176,7 +177,7 @@ def nearest(
         for batch in batches:
             yield batch.append_column("cell", pa.array(tree.of(_matrix(batch, "embedding", size) @ plane)))
 
-    placed = shared(points.mapInArrow(cells_of, "vec_id long, embedding array<float>, cell long"))
+    placed = shared(points.mapInArrow(cells_of, f"vec_id long, embedding {kind}, cell long"))
     counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     counts = shared(counts)
     turn = lambda c, m: F.pmod(F.xxhash64(c), m).cast("int")
@@ -208,7 +209,7 @@ def nearest(
             cell = tree.of(_matrix(batch, "embedding", size) @ plane)
             yield batch.append_column("cell", pa.array(cell)).append_column("bound", pa.array(np.full(len(cell), np.inf)))
 
-    schema = "embedding array<float>, query long, cell long, bound double"
+    schema = f"embedding {kind}, query long, cell long, bound double"
     home = asked.mapInArrow(at_home, schema).join(F.broadcast(counts), "cell")
     home = home.withColumn("block", turn("query", F.col("blocks"))).withColumn("chunk", turn("query", F.lit(chunks))).drop("blocks")
     first = shared(searched(home))

@@ -7,11 +7,9 @@ finds every such pair; the whole fingerprints are then compared. Equal
 fingerprints are one node before that, so copies travel once.
 
 A key with many fingerprints (a large group of near copies) is never compared
-in one task. Under ``Halves`` its members differ only in the rest of their bits,
-which are cut again the same way, up to three levels deep; a bucket of the last
-level fixes all but 11 bits and so holds 2048 fingerprints at most. Under
-``Bands`` a few rows link most of it, and what they leave meets all other rows
-in pairs of blocks.
+in one task. Its members differ only in the rest of their bits, which are cut
+again the same way, up to three levels deep; a bucket of the last level fixes all
+but 11 bits and so holds 2048 fingerprints at most.
 
 A document without words has fingerprint zero and is linked like any other;
 null text counts as empty. Rows without ``doc_id`` take part with their
@@ -29,8 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanframe.llm.common import components, shared, text_blocks
-from urbanframe.llm.word_bpe import ranges
+from urbanframe.llm.common import components, shared, text_blocks, without_rows
 
 SEED = 42
 #: Fingerprints of one key that are compared with each other; more are cut again.
@@ -38,8 +35,6 @@ LIMIT = 2048
 #: Groups up to this size are compared row against shifted row.
 SHIFTED = 32
 SHINGLES_AT_ONCE = 1 << 16
-#: Texts of a block that are compared by their shingles, and those that a larger component is first compared with.
-BLOCK, PIVOTS = 256, 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -94,7 +89,7 @@ def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1, carried: Sequ
 class Halves:
     """Exact for up to three differing bits of one fingerprint: halves of what is left, level by level."""
 
-    prints, levels, wildcards, whole = 1, 3, True, False
+    prints, levels, wildcards = 1, 3, True
 
     @staticmethod
     def limit(level: int) -> int:
@@ -111,28 +106,6 @@ class Halves:
         return [[(0, low + bits, bits)], [(0, low, bits)]]
 
 
-class Bands:
-    """For similarity estimates from several fingerprints: 16-bit segments, each up to one bit.
-
-    A key is compared whole whatever its size: an overfull one in pairs of blocks
-    of ``limit`` rows, which are the keys of the second level.
-    """
-
-    wildcards, whole, levels = True, True, 2
-
-    def __init__(self, prints: int):
-        if not 1 <= prints <= 3:
-            raise ValueError("one to three fingerprints")
-        self.prints, self.count = prints, 4 * prints
-
-    @staticmethod
-    def limit(level: int) -> int:
-        return LIMIT
-
-    def segments(self, path: tuple[int, ...]) -> list[list[tuple[int, int, int]]]:
-        return [[(i // 4, 16 * (i % 4), 16)] for i in range(self.count)]
-
-
 def _variants(scheme, path: tuple[int, ...], parent: np.ndarray, values: np.ndarray):
     """Rows (key, bit left out or -1, choice) for each way to index the fingerprints ``values`` (n, prints)."""
     for choice, parts in enumerate(scheme.segments(path)):
@@ -175,14 +148,13 @@ def _lowest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return top
 
 
-def _join(values: np.ndarray, top: np.ndarray, side: np.ndarray, across: bool, max_bits: int, all_rows: bool = True):
+def _join(values: np.ndarray, top: np.ndarray, side: np.ndarray, across: bool, max_bits: int):
     """Joins the components ``top`` wherever near rows of one side (``across``: of two sides) lie in two of them.
 
     Returns the new components and the links that joined them. Rows of the
     largest component need not be compared with each other, so a large group of
     near copies costs little more than one comparison a row; everything else is
-    compared with all rows, in blocks. Without ``all_rows`` only the first few
-    rows are compared, and rows outside the largest component are left to do.
+    compared with all rows, in blocks.
     """
     n = len(values)
     step = max(1, (1 << 19) // n)
@@ -211,14 +183,14 @@ def _join(values: np.ndarray, top: np.ndarray, side: np.ndarray, across: bool, m
         right.append(b[kept])
         return _lowest(n, low[kept], high[kept])[top]
 
-    rest, tries = np.arange(n), 8 if n > step or not all_rows else 0
+    rest, tries = np.arange(n), 8 if n > step else 0
     for _ in range(tries):  # a row of a large group finds most of it
         top = compare(rest[:1], top)
         rest = np.flatnonzero(top != np.bincount(top).argmax())
         if not len(rest):
             break
     largest = np.bincount(top).argmax() if tries else -1
-    for i in range(0, len(rest) if all_rows else 0, step):
+    for i in range(0, len(rest), step):
         own = rest[i : i + step]
         own = own[top[own] != top[largest]] if tries else own
         if len(own):
@@ -247,36 +219,8 @@ def links_within(values: np.ndarray, wild: int, max_bits: int) -> tuple[np.ndarr
     return _join(values, top, side, True, max_bits)[1:]
 
 
-def links_of_few(values: np.ndarray, wild: int, max_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of a large key by a few rows, and the rows that are still to be compared with all others.
-
-    The rows left out are one component with each other.
-    """
-    side = _side(values, wild)
-    top, a, b = _join(values, np.arange(len(values)), side, False, max_bits, all_rows=False)
-    if wild >= 0:  # links of one side come from the full key
-        top, a, b = _join(values, top, side, True, max_bits, all_rows=False)
-    return a, b, np.flatnonzero(top != np.bincount(top).argmax())
-
-
-def block_pairs(n: int, rest: np.ndarray, block: int) -> Iterator[np.ndarray]:
-    """Rows of 0..n-1 in sets of two blocks at most, such that each of ``rest`` meets every row."""
-    others = np.setdiff1d(np.arange(n), rest)
-    cut = lambda x: [x[i : i + block] for i in range(0, len(x), block)]
-    left, right = cut(rest), cut(others)
-    for i, x in enumerate(left):
-        if len(left) + len(right) == 1:
-            yield x
-        for y in left[i + 1 :] + right:
-            yield np.concatenate((x, y))
-
-
 class _Matcher:
-    """Reads rows sorted by key and returns links, or the rows of an overfull key under their next keys.
-
-    A scheme whose keys stay whole needs an overfull key's fingerprints in one
-    task for the first links; the comparisons go to many.
-    """
+    """Reads rows sorted by key and returns links, or the rows of an overfull key under their next keys."""
 
     def __init__(self, scheme, level: int, max_bits: int):
         self.scheme, self.level, self.max_bits = scheme, level, max_bits
@@ -292,7 +236,7 @@ class _Matcher:
             cut = int(np.searchsorted(held[0], held[0][-1], side="left"))
             yield from self.groups([x[:cut] for x in held])
             held = [x[cut:] for x in held]
-            if not self.last and not self.scheme.whole and (len(held[0]) > self.limit or held[0][0] == self.hot):
+            if not self.last and (len(held[0]) > self.limit or held[0][0] == self.hot):
                 self.hot = held[0][0]
                 yield from self.cut(held)
                 held = [x[:0] for x in held] if len(held[0]) > 0 else held
@@ -322,7 +266,7 @@ class _Matcher:
         for i, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
             own = [x[i : i + n] for x in held]
             if not self.last and (n > self.limit or key[i] == self.hot):
-                yield from self.dealt(own) if self.scheme.whole else self.cut(own)
+                yield from self.cut(own)
             else:
                 rows, top = links_within(values[i : i + n], int(wild[i]), self.max_bits)
                 a.append(node[i + rows])
@@ -337,17 +281,6 @@ class _Matcher:
             at = path == own
             yield from self.indexed(_unpacked(int(own)), parent[at], node[at], values[at])
 
-    def dealt(self, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """The links that a few rows give, and the other rows in pairs of blocks with all rows of the key."""
-        key, node, wild, path, *prints = held
-        values = np.stack(prints, 1).view(np.uint64)
-        a, b, rest = links_of_few(values, int(wild[0]), self.max_bits)
-        if len(a):
-            yield self.out(a=node[a], b=node[b])
-        for i, own in enumerate(block_pairs(len(key), rest, self.limit)):
-            pair = mixed(key[own].view(np.uint64) ^ mixed(np.full(len(own), i + 1, np.uint64)))
-            yield self.out(key=pair.view(np.int64), node=node[own], wild=wild[0], path=path[0], values=values[own].view(np.int64))
-
     def indexed(self, path, parent, node, values) -> Iterator[pa.RecordBatch]:
         for choice, wild, key in _variants(self.scheme, path, parent, values):
             yield self.out(key=key.view(np.int64), node=node, wild=wild, path=_packed((*path, choice)), values=values.view(np.int64))
@@ -420,163 +353,20 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 3, scheme=None)
     return found.join(nodes, names).select("doc_id", *names, "component_id")
 
 
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """The distinct shingle hashes."""
-    found = list(shingle_hashes(text, words))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
-
-def similar(shared_shingles, a, b, similarity: float):
-    """Whether sets of sizes ``a`` and ``b`` have at least that Jaccard similarity; empty sets are equal."""
-    return shared_shingles >= similarity * (a + b - shared_shingles) - 1e-9
+def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
+    """One document of each group of linked fingerprints, with the columns as they came.
 
-
-def similar_rows(sets: list[np.ndarray], asking: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
-    """Links that connect each row of ``asking`` with all rows of at least this similarity.
-
-    Rows that do not ask are known to be connected. A row that has joined them (or,
-    where all ask, the component most of the first rows are in) need not ask.
+    The smallest doc_id stays, rows without one only where a group has none; of
+    several texts under that id the one of smallest digest stays. Rows are told apart
+    by id and text: a repeated row stays with its like, another text under the id of
+    a row that goes is judged by its own group.
     """
-    n, size = len(sets), np.array([len(x) for x in sets], np.int64)
-    owner = np.repeat(np.arange(n), size)
-    _, kind = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True)
-    by_kind = np.argsort(kind, kind="stable")
-    count = np.bincount(kind) if len(kind) else np.zeros(0, np.int64)
-    begin, at, holders = np.cumsum(count) - count, np.cumsum(size) - size, owner[by_kind]
-    top, links_ = np.arange(n), ([], [])
-    quiet = np.setdiff1d(top, asking)
-    top[quiet] = quiet[:1].sum()
-    main = int(quiet[0]) if len(quiet) else None
-    for turn, i in enumerate(asking.tolist()):
-        if turn == 8 and main is None:
-            main = int(np.bincount(top).argmax())
-        if main is not None and top[i] == top[main]:
-            continue
-        own = kind[at[i] : at[i] + size[i]]
-        met = np.bincount(holders[ranges(begin[own], count[own])], minlength=n)
-        near = np.flatnonzero(similar(met, size[i], size, similarity) & (top != top[i]))
-        if len(near):
-            tops, one = np.unique(top[near], return_index=True)
-            links_[0].extend([i] * len(one))
-            links_[1].extend(near[one].tolist())
-            top[np.isin(top, tops)] = top[i]
-    return links_
-
-
-def _similar_to(words: int, similarity: float):
-    """Rows (node, text, pivot, pivot_text) -> those that are similar, as links."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-
-        def of(node: int, text: pa.Scalar) -> np.ndarray:
-            if node not in held:
-                if len(held) >= 8 * PIVOTS:
-                    held.clear()
-                held[node] = shingle_set(text.as_py(), words)
-            return held[node]
-
-        for batch in batches:
-            nodes, pivots, near = batch.column("node").to_numpy(), batch.column("pivot").to_numpy(), []
-            columns = (batch.column("node").to_pylist(), batch.column("text"), batch.column("pivot").to_pylist(), batch.column("pivot_text"))
-            for node, text, pivot, other in zip(*columns, strict=True):
-                a, b = of(node, text), of(pivot, other)
-                near.append(bool(similar(len(np.intersect1d(a, b, True)), len(a), len(b), similarity)))
-            near = np.array(near, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[near]), pa.array(pivots[near])], names=["a", "b"])
-
-    return run
-
-
-def _similar_within(words: int, similarity: float):
-    """Rows (component, x, y, node, asks, text) sorted by the first three -> links."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def found() -> Iterator[pa.RecordBatch]:
-            nodes = np.array([x[0] for x in held], np.int64)
-            asking = np.flatnonzero(np.array([x[1] for x in held], bool))
-            a, b = similar_rows([x[2] for x in held], asking, similarity)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
-
-        for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("component", "x", "y")), strict=True)
-            rows = zip(keys, batch.column("node").to_pylist(), batch.column("asks").to_pylist(), batch.column("text"), strict=True)
-            for own, node, asks, text in rows:
-                if own != key and held:
-                    yield from found()
-                    held = []
-                key = own
-                held.append((node, asks, shingle_set(text.as_py(), words)))
-        if held:
-            yield from found()
-
-    return run
-
-
-def similar_links(members: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect all texts of a component (node, component, text) with that similarity of shingle sets.
-
-    A component of one block is compared in one task. In a larger one all texts
-    are first compared with some picked by hash; those similar to the one that has
-    most are connected, and all others meet every text in pairs of blocks.
-    """
-    schema, turn = "a long, b long", lambda m: F.pmod(F.xxhash64("node"), F.greatest(m, F.lit(1))).cast("int")
-    sizes = shared(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    zero = F.lit(0).cast("int")
-    pairs = members.join(sizes.where(F.col("n") <= block), "component")
-    pairs = pairs.select("component", zero.alias("x"), zero.alias("y"), "node", F.lit(True).alias("asks"), "text")
-    large, first = sizes.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), None
-    if not large.isEmpty():
-        rows = members.join(large, "component").withColumn("block", turn(F.col("blocks")))
-        picked = rows.select("component", "blocks", "node", F.xxhash64("node", F.lit(1)).alias("h"), "n").where(F.pmod("h", "n") < 4 * PIVOTS)
-        picked = picked.groupBy("component", "blocks").agg(F.sort_array(F.collect_list(F.struct("h", "node"))).alias("few"))
-        picked = picked.select("component", "blocks", F.explode(F.slice("few", 1, PIVOTS)).alias("p")).select("component", "blocks", F.col("p.node").alias("pivot"))
-        picked = shared(picked.join(members.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), "pivot"))
-        each = picked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        met = rows.select("component", "block", "node", "text").join(each, ["component", "block"])
-        first = shared(met.select("node", "text", "pivot", "pivot_text").mapInArrow(_similar_to(words, similarity), schema))
-        most = first.groupBy("b").agg(F.count(F.lit(1)).alias("hits")).join(picked.select("component", F.col("pivot").alias("b")), "b")
-        most = most.groupBy("component").agg(F.max(F.struct("hits", "b")).alias("top")).select(F.col("top.b").alias("b"))
-        done = first.join(most, "b").select(F.col("a").alias("node"), F.lit(True).alias("done"))
-        asks = shared(rows.select("component", "node").join(done, "node", "left").select("component", "node", F.col("done").isNull().alias("asks")))
-        sums = asks.groupBy("component").agg(F.count_if("asks").alias("asking"), F.count_if(~F.col("asks")).alias("others"))
-        up = lambda c: F.ceil(F.col(c) / block).cast("int").alias(c)
-        dealt = asks.join(shared(sums.where("asking > 0").select("component", up("asking"), up("others"))), "component")
-        own = F.when(F.col("asks"), turn(F.col("asking"))).otherwise(F.col("asking") + turn(F.col("others")))
-        stop = F.col("asking") + F.when(F.col("asks"), F.col("others")).otherwise(0)
-        dealt = dealt.select("component", "node", "asks", own.alias("own"), F.explode(F.sequence(F.lit(0), stop - 1)).alias("other"))
-        dealt = dealt.select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "asks")
-        pairs = pairs.union(dealt.join(members.select("node", "text"), "node").select("component", "x", "y", "node", "asks", "text"))
-    spread = pairs.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y")
-    found = spread.mapInArrow(_similar_within(words, similarity), schema)
-    return found if first is None else first.union(found)
-
-
-def keep_one(docs: DataFrame, words: int = 5, prints: int = 3, similarity: float = 0.8, **x) -> DataFrame:
-    """The smallest doc_id of each near-duplicate group, with the columns as they came.
-
-    Two texts are near when the Jaccard similarity of their sets of shingles is at
-    least ``similarity``. Candidates are the components of texts whose fingerprints
-    estimate a cosine of that size or more; inside one, every text is decided by
-    its real shingles.
-    """
-    max_bits, scheme = int(64 * prints * np.arccos(similarity) / np.pi), Bands(prints)
-    names = [f"p{i}" for i in range(prints)]
-    docs_ = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs_ = docs_.withColumn("h", F.xxhash64("text"))
-    found = shared(fingerprints(docs_, words, prints, ["h"]))
-    texts = found.join(_candidates(found, scheme, max_bits), names).groupBy("top", "h")
-    texts = shared(texts.agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    sums = texts.groupBy("top").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows")).where("rows > 1")
-    texts = shared(texts.select("top", "h", "first").join(sums, "top").withColumn("node", F.monotonically_increasing_id()))
-    several = texts.where("texts > 1").select("h", "node", F.col("top").alias("component"))
-    members = shared(docs_.select("h", "text").join(several, "h").select("node", "component", "text").dropDuplicates(["node"]))
-    groups = components(similar_links(members, words, similarity, **x))
-    texts = shared(texts.join(groups, "node", "left").select("h", "first", F.coalesce("component", "node").alias("group")))
-    lowest = texts.groupBy("group").agg(F.min("first").alias("keep"))
-    kept = texts.join(lowest, "group").select("h", "keep")
-    gone = shared(found.select("doc_id", "h").join(kept, "h").where("doc_id <> keep").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = shared(fingerprints(docs.select("doc_id", "text").withColumn("h", digest), words, 1, ["h"]))
+    tops = shared(_candidates(found, Halves(), max_bits).select("p0", "top"))
+    rows = shared(found.join(tops, "p0").select("top", "doc_id", "h").distinct())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "h"))
+    kept = rows.groupBy("top").agg(first.alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("h") == F.col("keep.h"))
+    gone = shared(rows.join(kept, "top").where(~stays).select(F.col("doc_id").alias("_id"), F.col("h").alias("_text")))
+    return without_rows(docs, gone, digest)

@@ -398,20 +398,20 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: i
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _tag().alias("tag"))
     by_content = ["copy", "key", "same", "doc_id", "at"]
     rows = segments(texts, length, gram).repartition("key").sortWithinPartitions(*by_content)
-    known = shared(rows.mapInArrow(_collapse, "entry boolean, key long, doc_id long, at long"))
+    known = shared(rows.mapInArrow(_collapse, "entry boolean, key long, doc_id long, at long"), tidy=True)
     entries = known.where("entry").select("key", "doc_id", "at")
-    many = shared(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key", F.lit(True).alias("crowded")))
+    many = shared(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key", F.lit(True).alias("crowded")), tidy=True)
     entries = entries.join(many, "key", "left").select("doc_id", F.struct("at", "key", F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("e"))
     tag = lambda c: F.shiftright(c, 48)
     lists = entries.groupBy("doc_id", tag(F.col("e.at")).alias("tag")).agg(F.collect_list("e").alias("entries"))
     fetched = texts.join(lists, ["doc_id", "tag"]).select("doc_id", "text", "entries")
-    fetched = shared(fetched.mapInArrow(_fetch(length), "copy boolean, key long, same long, doc_id long, at long, bytes binary"))
+    fetched = shared(fetched.mapInArrow(_fetch(length), "copy boolean, key long, same long, doc_id long, at long, bytes binary"), tidy=True)
     plain = fetched.where("same is null").select("key", "doc_id", "at", "bytes").repartition("key").sortWithinPartitions("key")
     found = plain.mapInArrow(_transform(length), "doc_id long, at long")
     single = fetched.where("same is not null").select(*by_content).repartition("key").sortWithinPartitions(*by_content)
     single = single.mapInArrow(_collapse, "entry boolean, key long, doc_id long, at long").where("not entry")
     places = known.where("not entry").select("doc_id", "at").union(found).union(single.select("doc_id", "at"))
-    return shared(places.groupBy("doc_id", tag(F.col("at")).alias("tag")).agg(F.collect_list("at").alias("places")))
+    return shared(places.groupBy("doc_id", tag(F.col("at")).alias("tag")).agg(F.collect_list("at").alias("places")), tidy=True)
 
 
 def covered(places: list[int] | np.ndarray | None, length: int) -> tuple[np.ndarray, np.ndarray]:

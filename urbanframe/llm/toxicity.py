@@ -16,14 +16,14 @@ ranked.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanframe.llm.common import shared, text_blocks
+from urbanframe.llm.common import shared, text_blocks, without_rows
 from urbanframe.llm.labelled import Lookup, associated, hashed, remainder, sample
 
 #: At most so many labelled documents are fitted, with so many features.
@@ -152,17 +152,18 @@ def train(rows: DataFrame) -> Model:
     return fit(features, own, y, [(a, b) for a, swaps in zip(own, other, strict=True) for b in swaps])
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every document."""
+def scores(docs: DataFrame, model: Model, carried: Sequence[str] = ()) -> DataFrame:
+    """doc_id, ``carried`` (long) and score of every document."""
+    names = ["doc_id", *carried]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch, texts in text_blocks(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([score(x) for x in texts], pa.float64())], names=["doc_id", "score"]
+                [*(batch.column(c).cast(pa.int64()) for c in names), pa.array([score(x) for x in texts], pa.float64())], names=[*names, "score"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rate, "doc_id long, score double")
+    return docs.select(*names, "text").mapInArrow(rate, ", ".join(f"{c} long" for c in names) + ", score double")
 
 
 def rated(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
@@ -174,6 +175,12 @@ def rated(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """The documents that are not predicted toxic, with their columns as they came."""
-    gone = shared(rated(docs, labels, bound).where("predicted = 1").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that are not predicted toxic, with their columns as they came.
+
+    Rows are judged by their own text, also where an id repeats or is missing.
+    """
+    model = train(sample(docs, labels, "toxic", remainder(4) != 2, bound))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = scores(docs.select("doc_id", "text").withColumn("h", digest), model, ["h"])
+    gone = rows.where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("_id"), F.col("h").alias("_text"))
+    return without_rows(docs, shared(gone.distinct()), digest)
