@@ -195,10 +195,10 @@ def test_lines_have_no_area(spark):
 
 
 def test_one_rounding(spark):
-    values = [0.4999996, 0.5, -0.5, 2.675, 1.005, -1.005, 1e14 + 0.5, 123456789012345.67, 1e-9]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
+    values = [0.4999996, 0.5, -0.5, 2.675, 1.005, -1.005, 37.724999999999994, 1e14, 123456789012345.67, 1e-9, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
     got = [tuple(r) for r in df.select(round_numeric("v", 0), round_numeric("v", 2)).collect()]
-    exact = lambda v, n: float(Decimal(repr(v)).quantize(Decimal(1).scaleb(-n), ROUND_HALF_UP))
+    exact = lambda v, n: None if v is None else float(Decimal(f"{v:.14e}").quantize(Decimal(1).scaleb(-n), ROUND_HALF_UP))
     assert got == [(exact(v, 0), exact(v, 2)) for v in values]
 
 

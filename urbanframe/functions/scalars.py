@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def round_numeric(v, digits: int) -> Column:
-    """Round half away from zero, once, on the decimal digits of the double."""
+    """Round half away from zero on the fifteen decimal digits a double is sure of, as a cast to numeric takes them."""
     v = F.col(v) if isinstance(v, str) else v
-    return F.round(v.cast("double"), digits)
+    # a null or NaN has no such digits and stays null
+    return F.round(F.format_string("%.14e", v.cast("double")).try_cast("decimal(38,18)"), digits).cast("double")
 
 
 def safe_ratio(a: Column, b: Column) -> Column:

@@ -105,8 +105,8 @@ def combined_layer(spark, sf):
 
 # ---------------------------------------------------------------- oracle pieces
 def R(expr: str, n: int) -> str:
-    """One rounding, half away from zero, on the digits the double is written with."""
-    return f"CAST(ROUND(CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), {n}) AS DOUBLE)"
+    """Rounding half away from zero on fifteen decimal digits of the double."""
+    return f"CAST(ROUND(CAST(printf('%.14e', CAST({expr} AS DOUBLE)) AS DECIMAL(38,18)), {n}) AS DOUBLE)"
 
 
 CATEGORY = (

@@ -30,6 +30,46 @@ def _city_tables(s, d):
     return tables.layer_row_counts({n: got[n] for n in ("feature", "property", "geometry_data", "appearance", "tex_image", "objectclass")})
 
 
+def _all_tables(s, d):
+    """The derived store with the remaining tables: extensions by region, code lists and systems by nation, codes by part."""
+    n, p, r = table(s, d, "nation"), table(s, d, "part"), table(s, d, "region")
+    more = {
+        "ade": r.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.lit("1.0").alias("version")),
+        "codelist": n.select(F.col("n_nationkey").alias("id"), F.concat(F.lit("type"), F.col("n_regionkey").cast("string")).alias("codelist_type"), F.col("n_name").alias("url")),
+        "codelist_entry": p.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 25).alias("codelist_id"), F.col("p_type").alias("code"), F.col("p_name").alias("definition")),
+        "database_srs": n.select((F.col("n_nationkey") + 3000).alias("srid"), F.col("n_name").alias("srs_name")),
+    }
+    return {**city.store(s, d), **{name: city._conform(df, name) for name, df in more.items()}}
+
+
+# Key and one value of every table of the store.
+_VALUES = {
+    "address": ("id", "street"), "ade": ("id", "name"), "appear_to_surface_data": ("appearance_id", "surface_data_id"), "appearance": ("id", "theme"),
+    "codelist": ("id", "url"), "codelist_entry": ("id", "code"), "database_srs": ("srid", "srs_name"), "datatype": ("id", "typename"),
+    "feature": ("id", "objectid"), "geometry_data": ("id", "feature_id"), "implicit_geometry": ("id", "relative_geometry_id"), "namespace": ("id", "alias"),
+    "objectclass": ("id", "classname"), "property": ("id", "name"), "surface_data": ("id", "x3d_diffuse_color"),
+    "surface_data_mapping": ("surface_data_id", "geometry_data_id"), "tex_image": ("id", "image_uri"),
+}
+_VALUE_SOURCES = {
+    "address": "addresses", "ade": "(SELECT r_regionkey AS id, r_name AS name FROM region)", "appear_to_surface_data": "appearance_links", "appearance": "appearances",
+    "codelist": "(SELECT n_nationkey AS id, n_name AS url FROM nation)", "codelist_entry": "(SELECT p_partkey AS id, p_type AS code FROM part)",
+    "database_srs": "(SELECT n_nationkey + 3000 AS srid, n_name AS srs_name FROM nation)", "datatype": "datatype", "feature": "features", "geometry_data": "geometries",
+    "implicit_geometry": "templates", "namespace": "namespace", "objectclass": "objectclass", "property": "properties", "surface_data": "surface_datas",
+    "surface_data_mapping": "surface_mappings", "tex_image": "textures",
+}
+
+
+def _table_values(s, d):
+    """All seventeen tables written and read back, with a value of every row."""
+    path = _folder(s)
+    tables.write_city_tables(_all_tables(s, d), path)
+    got, out = tables.read_city_tables(s, path), None
+    for name, (key, value) in _VALUES.items():
+        part = got[name].select(F.lit(name).alias("tab"), F.col(key).cast("long").alias("k"), F.col(value).cast("string").alias("v"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _placed_parcels(s, d):
     """Parcels moved to the projection's valid area."""
     return city.parcels(s, d).select("id", G.st_translate("geom", 25490000.0, 6670000.0).alias("geom"))
@@ -167,6 +207,15 @@ ENTRIES = {
             "features", "properties", "geometries", "appearances", "textures", "objectclass",
         ),
     ),
+    "read_city_table_values": (
+        _table_values,
+        oracle(
+            " UNION ALL ".join(
+                f"SELECT '{n}' AS tab, CAST({k} AS BIGINT) AS k, CAST({v} AS VARCHAR) AS v FROM {_VALUE_SOURCES[n]}" for n, (k, v) in _VALUES.items()
+            ),
+            *[x for x in _VALUE_SOURCES.values() if not x.startswith("(")],
+        ),
+    ),
     "read_citygml": (
         _gml,
         oracle(

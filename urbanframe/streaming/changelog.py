@@ -191,11 +191,12 @@ def changelog_stream(changes: DataFrame, objectclass: DataFrame) -> DataFrame:
     top = objectclass.where(F.col("is_toplevel") > 0).select(F.col("id").alias("objectclass_id"))
     have, numbered = set(changes.columns), "version" in changes.columns
     text = lambda c: (F.col(c) if c in have else F.lit(None)).cast("string").alias(c)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     envelope = F.to_json("envelope") if "envelope" in have else F.lit(None).cast("string")
     rows = changes.join(top, "objectclass_id", "left_semi").select(
         "id", "seq", (F.col("version") if numbered else F.col("seq")).cast("long").alias("version"), "op",
-        F.unix_micros("ts").alias("at"), F.unix_micros("last_modification_date").alias("modified"),
-        F.unix_micros("termination_date").alias("terminated"), F.col("objectclass_id").cast("int").alias("objectclass_id"), "objectid",
+        micros("ts").alias("at"), micros("last_modification_date").alias("modified"),
+        micros("termination_date").alias("terminated"), F.col("objectclass_id").cast("int").alias("objectclass_id"), "objectid",
         text("identifier"), text("identifier_codespace"), envelope.alias("envelope"), text("db_user"), "reason_for_update",
     )
     log = rows.groupBy("id").transformWithStateInPandas(
