@@ -545,3 +545,40 @@ def test_recommendation_variants(spark):
     assert all_.max_features_per_tile == 2000
     top = advice.max_features_unrounded(st["geometry_data"], st["feature"], st["objectclass"]).first()
     assert top.avg_vertice_number is None  # no top-level feature owns a geometry here
+
+
+def _joins(df):
+    """The plan as Spark would run it, as text."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _nested_properties(spark):
+    """Properties in a wide written table: every third row hangs on the one before, with the same name."""
+    return cut_lineage(city._conform(spark.range(0, 3000).selectExpr(
+        "id", "CASE WHEN id % 3 = 1 THEN id - 1 END AS parent_id", "concat('n', id div 3) AS name", "1 AS namespace_id"
+    ), "property"))
+
+
+def test_property_joins_broadcast_nothing(spark):
+    prop = _nested_properties(spark)
+    every = prop.select("id")
+    parents = store_edit.same_named_parents(prop, every)
+    assert "Broadcast" not in _joins(parents)
+    assert sorted(map(tuple, parents.collect())) == [(i, i - 1) for i in range(1, 3000, 3)]
+    below = hierarchy.property_subtree(prop, prop.where("id % 3 = 0").select("id"))
+    assert sorted(r.id for r in below.collect()) == [i for i in range(3000) if i % 3 != 2]
+    assert "Broadcast" not in _joins(store_edit.without(prop, every)) + _joins(store_edit.among(prop, every, "id"))
+
+
+def test_deleted_and_asked_ids_broadcast_nothing(spark):
+    ids = spark.createDataFrame([(1,), (2,), (2,), (None,)], "id long")
+    other = spark.createDataFrame([(2,), (None,), (7,)], "id long")
+    got = store_edit.intersect_then_union(ids, other, spark.createDataFrame([(9,), (2,)], "id long"))
+    assert "Broadcast" not in _joins(got)
+    assert sorted((r.id for r in got.collect()), key=str) == [2, 9, None]
+    prop = _nested_properties(spark)
+    store = {n: spark.createDataFrame([], tables.table_schema(n)) for n in city.STORE_TABLES}
+    left, back = store_edit.delete_properties({**store, "property": prop}, prop.where("id % 3 = 1").select("id"))
+    assert "Broadcast" not in _joins(back) + _joins(left["property"])
+    assert sorted(r.id for r in left["property"].select("id").collect()) == list(range(2, 3000, 3))
+    assert sorted(r.id for r in back.collect()) == list(range(1, 3000, 3))

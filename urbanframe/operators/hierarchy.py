@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanframe.session import cut_lineage
+from urbanframe.session import any_size, cut_lineage
 
 CONTAINS = 1  # relation type of containment
 
@@ -38,9 +38,9 @@ def descend(edges: DataFrame, roots: DataFrame) -> DataFrame:
     frontier = seen
     while True:
         step = (
-            edges.join(frontier.select(F.col("id").alias("parent")), "parent")
+            edges.join(any_size(frontier.select(F.col("id").alias("parent"))), "parent")
             .select(F.col("child").alias("id")).where("id is not null").distinct()
-            .join(seen, "id", "left_anti")
+            .join(any_size(seen), "id", "left_anti")
         )
         frontier = cut_lineage(step)
         if frontier.isEmpty():
@@ -51,7 +51,7 @@ def descend(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def property_subtree(prop: DataFrame, ids: DataFrame) -> DataFrame:
     """Property ids nested below the given ids, the ids included."""
     edges = prop.where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("parent"), F.col("id").alias("child"))
-    known = ids.select("id").join(prop.select("id"), "id", "left_semi")
+    known = ids.select("id").join(any_size(prop.select("id")), "id", "left_semi")
     return descend(edges, known)
 
 

@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 
 from urbanframe.operators.hierarchy import CONTAINS, property_subtree
 from urbanframe.schema import data_tables
-from urbanframe.session import cut_lineage
+from urbanframe.session import any_size, cut_lineage
 
 Store = dict[str, DataFrame]
 
 
 def without(df: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
     """Rows whose column is not among the ids."""
-    return df.join(ids.select(F.col("id").alias(column)), column, "left_anti").select(*df.columns)
+    return df.join(any_size(ids.select(F.col("id").alias(column))), column, "left_anti").select(*df.columns)
 
 
 def among(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    return df.join(ids.select(F.col("id").alias(column)), column, "left_semi").select(*df.columns)
+    return df.join(any_size(ids.select(F.col("id").alias(column))), column, "left_semi").select(*df.columns)
 
 
 def orphans(candidates: DataFrame, referrers: DataFrame, column: str) -> DataFrame:
@@ -42,7 +42,7 @@ def _nulled(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     """Set the column to null where it points at a deleted row. Rows without a value stay out of the join."""
     marked = gone.select(F.col("id").alias(column), F.lit(True).alias("_gone"))
     kept = F.when(F.col("_gone").isNull(), F.col(column))
-    pointing = df.where(F.col(column).isNotNull()).join(marked, column, "left").withColumn(column, kept).select(*df.columns)
+    pointing = df.where(F.col(column).isNotNull()).join(any_size(marked), column, "left").withColumn(column, kept).select(*df.columns)
     return pointing.unionByName(df.where(F.col(column).isNull()))
 
 
@@ -148,7 +148,7 @@ def same_named_parents(prop: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, parent_id) of properties whose parent has the same name and namespace."""
     c = among(prop.select("id", "parent_id", "name", "namespace_id"), ids, "id")
     p = prop.select(F.col("id").alias("parent_id"), "name", "namespace_id")
-    return c.join(p, ["parent_id", "name", "namespace_id"]).select("id", "parent_id")
+    return c.join(any_size(p), ["parent_id", "name", "namespace_id"]).select("id", "parent_id")
 
 
 def _property_closure(prop: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -195,7 +195,7 @@ def _cascade(store: Store, start: DataFrame, start_props: DataFrame | None) -> t
             closure, _ = _property_closure(prop, referring)
             pulled = among(prop, closure, "id").withColumn("owns", owned_rule)
             # a row that pointed at a deleted feature has lost that value by now
-            pulled = pulled.join(referring.withColumn("_ref", F.lit(True)), "id", "left")
+            pulled = pulled.join(any_size(referring.withColumn("_ref", F.lit(True))), "id", "left")
             pulled = pulled.withColumn("owns", F.col("owns") | F.coalesce("_ref", F.lit(False))).drop("_ref")
             new = new.unionByName(pulled)
         if dropped is None and start_props is not None:
@@ -249,12 +249,14 @@ def _cascade_from_properties(store: Store, rows: DataFrame) -> tuple[DataFrame,
     inside = cut_lineage(_ids(among(prop, rows, "id").where(F.col("val_relation_type") == CONTAINS), "val_feature_id"))
     # only what points at features these rows contain
     held = _references(without(among(prop, inside, "val_feature_id"), rows), 1)
-    first = inside.join(held, "id", "left").where("refs IS NULL OR loose > 0").select("id")
+    first = inside.join(any_size(held), "id", "left").where("refs IS NULL OR loose > 0").select("id")
     return _cascade(store, first, rows)
 
 
 def intersect_then_union(deleted: DataFrame, asked: DataFrame, cascaded: DataFrame) -> DataFrame:
-    return deleted.select("id").intersect(asked.select("id")).union(cascaded.select("id")).distinct()
+    asked = any_size(asked.select("id").alias("asked"))
+    both = deleted.select("id").alias("deleted").join(asked, F.col("deleted.id").eqNullSafe(F.col("asked.id")), "left_semi")
+    return both.union(cascaded.select("id")).distinct()
 
 
 def delete_simple(store: Store, table: str, ids: DataFrame) -> tuple[Store, DataFrame]:
@@ -331,6 +333,6 @@ def terminate_features(
         "updating_person": text("updating_person", F.lit(user)),
         "lineage": text("lineage", F.col("lineage")),
     }
-    marked = feature.join(done.withColumn("_hit", F.lit(True)), "id", "left")
+    marked = feature.join(any_size(done.withColumn("_hit", F.lit(True))), "id", "left")
     new = marked.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in changes.items()})
     return {**store, "feature": new.select(*feature.columns)}, asked
