@@ -582,3 +582,28 @@ def test_deleted_and_asked_ids_broadcast_nothing(spark):
     assert "Broadcast" not in _joins(back) + _joins(left["property"])
     assert sorted(r.id for r in left["property"].select("id").collect()) == list(range(2, 3000, 3))
     assert sorted(r.id for r in back.collect()) == list(range(1, 3000, 3))
+
+
+def test_documents_are_read_by_line_where_they_can(spark, tmp_path):
+    one = '{"type":"Feature","geometry":{"type":"Point","coordinates":[%d, 2.5]},"properties":{"ID":%d,"NAME":"a ] } , %d"}}'
+    rows = [one % (i, i, i) for i in range(5)]
+    texts = {
+        "framed": '{"type":"FeatureCollection","features":[\n' + "\n,".join(rows) + "\n]}\n",
+        "apart": '{\n"type": "FeatureCollection",\n"name": "x",\n"features": [\n' + ",\n".join(rows) + "\n]\n}\n",
+        "one line": '{"type":"FeatureCollection","features":[' + ",".join(rows) + "]}",
+        "two a line": '{"type":"FeatureCollection","features":[\n' + ",".join(rows[:2]) + ",\n" + ",\n".join(rows[2:]) + "\n]}",
+        "other array": '{"type":"FeatureCollection","old":[\n' + rows[0] + '\n],"features":[\n' + ",\n".join(rows) + "\n]}",
+        "other inside": '{"type":"FeatureCollection","features":[\n' + ",\n".join(rows) + '],"old":[' + rows[0] + "\n]}",
+        "pretty": '{"type":"FeatureCollection",\n"features":[\n' + ",\n".join(rows).replace('"properties"', '\n"properties"') + "\n]}",
+    }
+    split = []
+    for name, text in texts.items():
+        path = tmp_path / name.replace(" ", "_")
+        path.write_text(text)
+        got = vector.read_feature_collection(spark, str(path), "ID bigint, NAME string", srid=3879, target=None)
+        assert sorted((r.id, r.name, r.x) for r in got.select("id", "name", F.col("bbox.xmin").alias("x")).collect()) == [
+            (i, f"a ] }} , {i}", float(i)) for i in range(5)
+        ], name
+        if "Scan json" not in _joins(got) and "FileScan json" not in _joins(got):
+            split.append(name)
+    assert split == ["framed", "apart"]

@@ -93,6 +93,22 @@ def to_geojson(g) -> Column:
 _FRAME = r'^[{}\[\]]*$|^\{?\s*"(type"\s*:\s*"FeatureCollection"|(name|description|crs|bbox|features|xy_coordinate_resolution|totalFeatures|numberMatched|numberReturned|timeStamp)"\s*:)'
 
 
+# Lines of a document with one feature a line, beside these: nothing else may be opened or closed there.
+_STRICT_FRAME = (
+    r'^$|^[{}\]]$|^\]\s*\}$|^\{?\s*"type"\s*:\s*"FeatureCollection"(\s*,\s*"features"\s*:\s*\[)?$|^"features"\s*:\s*\[$'
+    r'|^"(name|description)"\s*:\s*"[^"\\]*"$|^"crs"\s*:\s*\{[^\[\]]*\}$'
+)
+
+
+def _feature_a_line(lines: DataFrame, one: str) -> bool:
+    """Is every line of the documents frame or exactly one whole feature?"""
+    v = F.col("value")
+    # as array element and as member: only one whole value is both
+    whole = F.try_parse_json(F.concat(F.lit("["), v, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"f":'), v, F.lit("}"))).isNotNull()
+    feature = v.startswith("{") & (F.from_json(v, one)["type"] == "Feature") & whole
+    return lines.agg(F.count_if(~F.coalesce(v.rlike(_STRICT_FRAME) | feature, F.lit(False)))).first()[0] == 0
+
+
 def read_feature_collection(
     spark: SparkSession, path: str, properties: str, srid: int = METRIC, target: int | None = WGS84, key: str = "id",
     by_line: bool = False,
@@ -100,20 +116,23 @@ def read_feature_collection(
     """A FeatureCollection as a layer: lower-case columns, key, geometry reprojected.
 
     ``properties`` is the DDL of the property columns; the schema is declared,
-    never inferred. By default each file is one document. With ``by_line``
-    every feature stands on its own line (as the layer writer puts them), and
-    files of any size are split among tasks.
+    never inferred. By default each file is one document; where all of them have
+    one feature a line (as the layer writer and most others put them), files of any
+    size are split among tasks, other layouts are read by one task a file. With
+    ``by_line`` features must stand on their own lines.
     """
     one = f"struct<type:string, properties:struct<{properties}>, geometry:string>"
+    text = F.regexp_replace("value", r"^[,\s\ufeff]+|[,\s]+$", "")
+    lines = spark.read.text(path).select(text.alias("value"))
     if by_line:
-        text = F.regexp_replace("value", r"^[,\s\ufeff]+|[,\s]+$", "")
-        lines = spark.read.text(path).select(text.alias("value"))
         # an opening line ends inside the collection; whatever is no frame must be a feature
         frame = F.col("value").rlike(_FRAME) & ~(F.col("value").contains('"Feature"') & F.col("value").startswith("{"))
         f = lines.where(~frame).select(F.from_json("value", one).alias("f"), "value")
         # a line that cannot be parsed has no type either
         wrong = F.raise_error(F.concat(F.lit("by_line: a line is no feature: "), F.substring("value", 1, 200))).cast("boolean")
         f = f.where(F.when(F.col("f.type") == "Feature", True).otherwise(wrong))
+    elif _feature_a_line(lines, one):
+        f = lines.where(~F.col("value").rlike(_STRICT_FRAME)).select(F.from_json("value", one).alias("f"))
     else:
         doc = spark.read.schema(f"type string, features array<{one}>").option("multiLine", True).json(path)
         f = doc.select(F.explode("features").alias("f"))
