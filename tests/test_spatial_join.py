@@ -210,3 +210,41 @@ def test_candidates_in_proportion_to_rows(spark, place):
     for i, x, y in rnd.sample(a, 50):
         gap = lambda j: max(abs(right[j][0] - x) - 5, 0) ** 2 + max(abs(right[j][1] - y) - 5, 0) ** 2  # noqa: B023, E731
         assert math.isclose(min(map(gap, pairs[i])), min(map(gap, range(len(right)))), rel_tol=1e-9, abs_tol=1e-6)
+
+
+def _planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_layers_meet_without_broadcast(spark):
+    from urbanframe.operators.footprints import footprint_chain
+    from urbanframe.registry import city
+    from urbanframe.session import cut_lineage
+
+    from conftest import SF
+
+    x = F.col("id").cast("double")
+    rows = cut_lineage(spark.range(300).select("id", G.bbox_struct(x, x, x + 1.5, x + 1.5).alias("bbox"), F.lit("w" * 50).alias("wide")))
+    pairs = S.bbox_join(rows.select("id", "bbox"), rows.select(F.col("id").alias("other"), F.col("bbox").alias("obox")), "bbox", "obox")
+    assert "Broadcast" not in _planned(pairs)
+    assert sorted((p.id, p.other) for p in pairs.collect()) == [(a, b) for a in range(300) for b in (a - 1, a, a + 1) if 0 <= b < 300]
+    store = city.store(spark, SF)
+    chain = footprint_chain(store["feature"], store["property"], store["objectclass"], store["geometry_data"])
+    # the dictionary of classes may be broadcast, rows of the store are not
+    assert not [j for j in _planned(chain).split("\n") if "BroadcastHashJoin" in j and "Inner" in j]
+
+
+def test_candidate_pairs_of_nearest_rows_are_not_shuffled(spark):
+    from urbanframe.session import cut_lineage
+
+    n = 2000
+    at = spark.range(n).select("id", ((F.col("id") * 7919) % 1009).cast("double").alias("ax"), ((F.col("id") * 104729) % 997).cast("double").alias("ay"))
+    rows = cut_lineage(at.select("id", F.col("ax").alias("x0"), F.col("ay").alias("y0"), F.col("ax").alias("x1"), F.col("ay").alias("y1"), "ax", "ay"))
+    got = S.nearest_candidates(rows, rows, True)
+    assert "Window" not in _planned(got)
+    found = {(p.lk, p.rk) for p in got.collect()}
+    pts = {r.id: (r.ax, r.ay) for r in rows.collect()}
+    for a in range(0, n, 50):
+        far = {b: math.dist(pts[a], pts[b]) for b in pts if b != a}
+        assert {(a, b) for b, d in far.items() if d == min(far.values())} <= found
+    assert len(found) < 8 * n
