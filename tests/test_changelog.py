@@ -1,6 +1,7 @@
 """The streamed log across several runs keeps its state."""
 
 import random
+import time
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -114,3 +115,14 @@ def test_a_change_behind_the_last_one_is_set_apart(spark, tmp_path):
         changelog.run_to_table(changelog.changelog_stream(spark.readStream.schema(DDL).parquet(src), oc), out, state)
     got = sorted((r.id, r.transaction_type, r.late) for r in spark.read.schema(changelog.LOG_DDL).parquet(out).collect())
     assert got == [(3, "UPDATE", True), (5, "INSERT", False), (6, "UPDATE", False)]
+
+
+def test_features_with_many_short_histories_take_little_time():
+    change = {"op": "INSERT", "at": 5, "modified": 7, "terminated": None, "db_user": "u", "reason_for_update": "why", **dict.fromkeys(changelog._KNOWN, "x")}
+    start, state = time.process_time(), None
+    for i in range(20_000):
+        rows = [{**change, "id": i, "seq": 2 * i}, {**change, "id": i, "seq": 2 * i + 1, "op": "DELETE"}, {**change, "id": i, "seq": 2 * i + 2, "op": "UPDATE"}]
+        log, state = changelog.transitions(rows, None)
+        assert [r["transaction_type"] for r in log] == ["INSERT", "DELETE"] and log[1]["feature_id"] is None and log[1]["objectid"] == "x"
+    assert not state["alive"] and state["modified"] == 7
+    assert time.process_time() - start < 10
