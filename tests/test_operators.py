@@ -147,6 +147,30 @@ def test_members_of_all_kinds(spark, tmp_path):
     assert [(names[r.feature_id], r.val_double) for r in got["property"].where("name = 'height'").collect()] == [("B1", 12.5)]
 
 
+def test_one_large_member_file_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "city.gml"
+    house = lambda i: f'<bldg:Building gml:id="B{i}"><bldg:measuredHeight>{i}</bldg:measuredHeight>{_shell(2, _square(i, 2))}</bldg:Building>\n<!-- {i} -->'
+    path.write_text("<!-- head -->\n" + _gml(*map(house, range(400))))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        doc = vector._tagged(spark, str(path), "core:cityObjectMember", vector.T.StructType.fromDDL(vector.CITYGML_MEMBER_DDL))
+        assert doc.rdd.getNumPartitions() > 4
+        ids = doc.select(F.col("`bldg:Building`")["_gml:id"].alias("i")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.i for r in ids) == sorted(f"B{i}" for i in range(400))
+
+
+@pytest.mark.parametrize("odd", [
+    "<!-- <core:cityObjectMember><bldg:Building gml:id='X'/></core:cityObjectMember> -->", "<![CDATA[<core:cityObjectMember>]]>", '<core:cityObjectMember xlink:href="#B1"/>',
+])
+def test_tags_that_do_not_open_a_member(spark, tmp_path, odd):
+    path = tmp_path / "city.gml"
+    path.write_text(_gml('<bldg:Building gml:id="B1"/>', '<bldg:Building gml:id="B2"/>').replace("</core:CityModel>", f"{odd}</core:CityModel>"))
+    got = vector.read_citygml(spark, str(path))
+    assert sorted(r.objectid for r in got["feature"].collect()) == ["B1", "B2"]
+
+
 def test_unknown_members_fail_or_are_listed(spark, tmp_path):
     path = tmp_path / "city.gml"
     path.write_text(_gml(_city_text()[0], '<veg:PlantCover gml:id="V1"><veg:height>3</veg:height></veg:PlantCover>'))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,7 @@ from urbanframe.functions.projection import st_transform
 from urbanframe.operators.envelopes import boxes_upwards
 from urbanframe.operators.materials import RULE_COLUMNS
 from urbanframe.schema import GEOMETRY_DDL, METRIC, WGS84
-from urbanframe.session import cut_lineage
+from urbanframe.session import cut_lineage, spread
 
 _PAIR = "array<double>"
 
@@ -147,7 +149,8 @@ def read_feature_collection(
 def feature_lines(df: DataFrame, geom: str = "geom") -> DataFrame:
     """One GeoJSON feature text per row, in degrees."""
     attributes = [c for c in df.columns if c not in (geom, "bbox")]
-    shape = to_geojson(st_transform(F.col(geom), WGS84))
+    # bound once: written in place, the projection would be computed for every mention of its result
+    shape = _bound(st_transform(F.col(geom), WGS84), to_geojson)
     head = F.lit('{"type":"Feature","geometry":')
     return df.select(
         F.concat(head, F.coalesce(shape, F.lit("null")), F.lit(',"properties":'), F.to_json(F.struct(*attributes)), F.lit("}")).alias("value")
@@ -173,7 +176,7 @@ def write_framed(lines: DataFrame, path: str, head: str, tail: str) -> None:
 def write_geojson_layer(df: DataFrame, path: str, geom: str = "geom") -> None:
     """Publish a layer: every part file is one valid FeatureCollection, written in parallel."""
     comma = F.when(F.col("_first"), F.lit("")).otherwise(F.lit(","))
-    lines = feature_lines(df, geom).withColumn("_m", F.monotonically_increasing_id())
+    lines = feature_lines(spread(df), geom).withColumn("_m", F.monotonically_increasing_id())
     lines = lines.withColumn("_first", F.col("_m").bitwiseAND((1 << 33) - 1) == 0).select(F.concat(comma, "value").alias("value"))
     write_framed(lines, path, '{"type":"FeatureCollection","features":[', "]}")
 
@@ -216,11 +219,20 @@ _RELIEF = f"struct<`_gml:id`:string,`dem:lod`:string,`dem:reliefComponent`:array
 CITYGML_MEMBER_DDL = f"`bldg:Building` {_building_ddl(PART_LEVELS)}, `dem:ReliefFeature` {_RELIEF}, `{_OTHER}` array<string>"
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def pos_list(text: Column) -> Column:
     """Vertices of a ``posList`` (x y z triples)."""
-    v = F.transform(F.split(F.trim(text), r"\s+"), lambda s: s.cast("double"))
-    n = F.floor(F.size(v) / 3).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: G.make_point(v[3 * i], v[3 * i + 1], v[3 * i + 2]))
+    numbers = F.transform(F.split(F.trim(text), r"\s+"), lambda s: s.cast("double"))
+
+    def vertices(v: Column) -> Column:
+        n = F.floor(F.size(v) / 3).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: G.make_point(v[3 * i], v[3 * i + 1], v[3 * i + 2]))
+
+    return _bound(numbers, vertices)
 
 
 def _ring(r: Column) -> Column:
@@ -234,23 +246,33 @@ def _polygons(members: Column) -> Column:
     return F.transform(own, lambda m: F.concat(F.array(_ring(m["gml:Polygon"]["gml:exterior"])), holes(m["gml:Polygon"])))
 
 
-def _shapes(df: DataFrame, thing: Column, srid: int) -> DataFrame:
-    """(id, objectid, name, lod, geometry): one row for each shape an element has."""
+_SHAPE_DDL = f"struct<name:string,lod:string,geometry:{GEOMETRY_DDL}>"
+
+
+def _shapes(thing: Column, srid: int) -> Column:
+    """Array of (name, lod, geometry): the shapes an element has."""
     found = []
     for n in LODS:
         for kind, column in (("MultiSurface", "gml:MultiSurface"), ("Solid", "gml:Solid")):
             shape = thing[f"bldg:lod{n}{kind}"][column]
             members = (shape if kind == "MultiSurface" else shape["gml:exterior"]["gml:CompositeSurface"])["gml:surfaceMember"]
-            parts = _polygons(members)
-            geometry = F.when(F.size(parts) > 0, G.geometry("MultiPolygon" if kind == "MultiSurface" else "Solid", parts, srid))
+            form = "MultiPolygon" if kind == "MultiSurface" else "Solid"
+            geometry = _bound(_polygons(members), lambda parts, form=form: F.when(F.size(parts) > 0, G.geometry(form, parts, srid)))
             found.append(F.struct(F.lit(f"lod{n}{kind}").alias("name"), F.lit(str(n)).alias("lod"), geometry.alias("geometry")))
-    rows = df.select("id", "objectid", F.explode(F.array(*found)).alias("s"))
-    return rows.select("id", "objectid", "s.*").where("geometry IS NOT NULL")
+    return F.filter(F.array(*found), lambda s: s["geometry"].isNotNull()).cast(f"array<{_SHAPE_DDL}>")
+
+
+_PARTS = "bldg:consistsOfBuildingPart"
 
 
-def _things(df: DataFrame, classname: Column, thing: Column, owner: Column, fallback: Column) -> DataFrame:
+def _apart(building: Column) -> list[Column]:
+    """(thing, parts): a building without its parts, and these. Written as two columns, so that few steps read the many fields of parts."""
+    return [building.dropFields(f"`{_PARTS}`").alias("thing"), building[_PARTS].alias("parts")]
+
+
+def _things(df: DataFrame, classname: Column, thing: Column, owner: Column, fallback: Column, *more: Column) -> DataFrame:
     """Elements with class, owner and id; one without a gml:id is named after its owner and place."""
-    rows = df.select(owner.alias("owner"), classname.alias("classname"), F.coalesce(thing["_gml:id"], fallback).alias("objectid"), thing.alias("thing"))
+    rows = df.select(owner.alias("owner"), classname.alias("classname"), F.coalesce(thing["_gml:id"], fallback).alias("objectid"), thing.alias("thing"), *more)
     return rows.where("thing IS NOT NULL").withColumn("id", F.xxhash64("objectid"))
 
 
@@ -264,6 +286,26 @@ def _placed_name(tag: Column) -> Column:
     return F.concat_ws("_", "objectid", tag, F.col("n").cast("string"))
 
 
+def _tagged(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
+    """The elements ``tag`` of XML files of any size.
+
+    A closing tag ends a record of the text reader, which splits files among tasks; an
+    element is what stands before it from its opening tag on. Files in which these tags
+    may mean something else (inside each other, in unfinished comments, CDATA sections or
+    empty elements, or with white space in a closing tag) are read by one task a file.
+    """
+    name = re.escape(tag)
+    text = F.regexp_replace("value", r"(?s)<!--.*?-->", "")
+    pieces = spark.read.option("lineSep", f"</{tag}>").text(path).select(text.alias("value"))
+    start = rf"<{name}(?=[\s>/])"
+    other = F.col("value").rlike(rf"<!--|<!\[CDATA\[|</{name}\s|<{name}(\s[^<>]*)?/>") | (F.regexp_count("value", F.lit(start)) > 1)
+    if pieces.where(other).isEmpty():
+        one = F.concat(F.regexp_extract("value", rf"(?s){start}.*", 0), F.lit(f"</{tag}>"))
+        # a generator, so that a member is parsed once and not once for each of its columns
+        return pieces.where(F.col("value").rlike(start)).select(F.inline(F.array(F.from_xml(one, schema, {"wildcardColName": _OTHER}))))
+    return spark.read.format("xml").option("wildcardColName", _OTHER).option("rowTag", tag).schema(schema).load(path)
+
+
 def read_citygml(
     spark: SparkSession, path: str, srid: int = METRIC, member_tag: str = "core:cityObjectMember", unknown: str = "fail"
 ) -> dict[str, DataFrame]:
@@ -276,31 +318,40 @@ def read_citygml(
     surface that holds them. Envelopes cover all a feature contains.
     """
     schema = T.StructType.fromDDL(CITYGML_MEMBER_DDL)
-    source = spark.read.format("xml").option("wildcardColName", _OTHER)
-    doc = cut_lineage(source.option("rowTag", member_tag).schema(schema).load(path))
+    columns = [*_apart(F.col("`bldg:Building`")), *[F.col(f"`{c}`") for c in schema.names[1:]]]
+    doc = cut_lineage(_tagged(spark, path, member_tag, schema).select(columns))
     if doc.isEmpty():  # a fragment of bare buildings
-        bare = source.option("rowTag", "bldg:Building").schema(schema["bldg:Building"].dataType).load(path)
+        bare = _tagged(spark, path, "bldg:Building", schema["bldg:Building"].dataType)
         rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[1:]]
-        doc = cut_lineage(bare.select(F.struct(*[F.col(f"`{c}`") for c in bare.columns]).alias("bldg:Building"), *rest))
+        doc = cut_lineage(bare.select(F.struct(*[F.col(f"`{c}`") for c in bare.columns]).alias("bldg:Building"), *rest).select(columns))
     if unknown == "fail":
         doc = _read_all(doc, F.col(_OTHER), "member")
     none = F.lit(None).cast("long")
-    level = _things(doc, F.lit("Building"), F.col("`bldg:Building`"), none, F.lit("Building"))
-    things, shapes = [], []
+    level = _things(doc, F.lit("Building"), F.col("thing"), none, F.lit("Building"), F.col("parts"))
+    things = []
     for depth in range(PART_LEVELS + 1):
-        parts = F.col("thing")["bldg:consistsOfBuildingPart"]
+        parts = F.col("parts")
         if depth == PART_LEVELS:
             level = _read_all(level, parts, f"building part below level {PART_LEVELS}")
         things.append(level)
         bounds = _read_all(level.select("id", "objectid", F.posexplode(F.col("thing")["bldg:boundedBy"]).alias("n", "s")), F.col("s")[_OTHER], "surface")
         each = F.array(*[F.struct(F.lit(t).alias("tag"), F.col("s")[f"bldg:{t}"].alias("thing")) for t in SURFACE_TAGS])
-        bounds = bounds.select("id", "objectid", "n", F.explode(each).alias("e"))
+        bounds = bounds.select("id", "objectid", "n", F.explode(F.filter(each, lambda e: e["thing"].isNotNull())).alias("e"))
         things.append(_things(bounds, F.col("e.tag"), F.col("e.thing"), F.col("id"), _placed_name(F.col("e.tag"))))
         if depth < PART_LEVELS:
             below = level.select("id", "objectid", F.posexplode(parts).alias("n", "p"))
-            level = _things(below, F.lit("BuildingPart"), F.col("p")["bldg:BuildingPart"], F.col("id"), _placed_name(F.lit("BuildingPart")))
-    shapes = [_shapes(t, F.col("thing"), srid) for t in things]
-    heights = [t.select("id", F.col("thing")["bldg:measuredHeight"].cast("double").alias("height")) for t in things[::2]]
+            # written, so that the members are not read again for every level, and empty levels end it
+            thing, more = _apart(F.col("p")["bldg:BuildingPart"])
+            level = cut_lineage(_things(below, F.lit("BuildingPart"), thing, F.col("id"), _placed_name(F.lit("BuildingPart")), more))
+            if level.isEmpty():
+                break
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    measured = [F.col("thing")["bldg:measuredHeight"], F.lit(None)]  # buildings and parts have one, surfaces none
+    # one pass over the members for all that is asked of an element
+    seen = cut_lineage(union([
+        t.select("id", "owner", "classname", "objectid", measured[i % 2].cast("double").alias("height"), _shapes(F.col("thing"), srid).alias("shapes"))
+        for i, t in enumerate(things)
+    ]))
     relief = _things(doc, F.lit("ReliefFeature"), F.col("`dem:ReliefFeature`"), none, F.lit("ReliefFeature"))
     pieces = relief.select("id", "objectid", F.posexplode(F.col("thing")["dem:reliefComponent"]).alias("n", "c"))
     pieces = _read_all(pieces, F.col("c")[_OTHER], "terrain")
@@ -308,12 +359,11 @@ def read_citygml(
     tin = F.col("thing")["dem:tin"]
     patches = F.coalesce(tin["gml:TriangulatedSurface"], tin["gml:Tin"])["gml:trianglePatches"]["gml:Triangle"]
     triangles = tins.select("id", "objectid", F.coalesce(F.col("thing")["dem:lod"], F.lit("0")).alias("lod"), F.posexplode(patches).alias("n", "t"))
-    shapes.append(triangles.select(
+    shapes = [seen.select("id", "objectid", F.explode("shapes").alias("s")).select("id", "objectid", "s.*"), triangles.select(
         "id", F.concat_ws("_", "objectid", F.col("n").cast("string")).alias("objectid"), F.lit("tin").alias("name"), "lod",
         G.geometry("Triangle", F.array(F.array(_ring(F.col("t")["gml:exterior"]))), srid).alias("geometry"),
-    ))
-    union = lambda frames: reduce(DataFrame.unionByName, frames)
-    found = cut_lineage(union([t.select("id", "owner", "classname", "objectid") for t in (*things, relief, tins)]))
+    )]
+    found = cut_lineage(union([t.select("id", "owner", "classname", "objectid") for t in (seen, relief, tins)]))
     # the LoD 2 surface of a feature has the feature's id, every other shape its own
     own = F.when(F.col("name") == "lod2MultiSurface", F.col("id")).otherwise(F.xxhash64("objectid", "name"))
     drawn = cut_lineage(union(shapes).withColumn("gid", own))
@@ -332,7 +382,7 @@ def read_citygml(
     props = union([
         rows(linked, "owner", role, val_feature_id=F.col("id"), val_relation_type=F.lit(1)),
         rows(drawn, "id", F.col("name"), val_geometry_id=F.col("gid"), val_lod=F.col("lod")),
-        rows(union(heights).where("height IS NOT NULL"), "id", F.lit("height"), val_double=F.col("height")),
+        rows(seen.where("height IS NOT NULL"), "id", F.lit("height"), val_double=F.col("height")),
     ])
     out = {"feature": features, "property": props, "geometry_data": drawn.select(F.col("gid").alias("id"), "geometry", F.col("id").alias("feature_id"))}
     return out if unknown == "fail" else {**out, "unread": doc.select(F.explode(_OTHER).alias("element"))}
