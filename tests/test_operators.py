@@ -631,3 +631,10 @@ def test_documents_are_read_by_line_where_they_can(spark, tmp_path):
         if "Scan json" not in _joins(got) and "FileScan json" not in _joins(got):
             split.append(name)
     assert split == ["framed", "apart"]
+
+
+def test_a_table_in_one_file_is_dealt_to_all_cores(spark, tmp_path):
+    spark.range(20_000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    parcels = city.relation(spark, str(tmp_path), "parcels")
+    assert parcels.rdd.getNumPartitions() == 8
+    assert parcels.count() == parcels.distinct().count() == 20_000
