@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -466,6 +467,28 @@ def _dots(spark, rows):
     return df.select("id", "class", G.st_rectangle(F.col("x"), F.col("y"), F.col("x") + F.col("s"), F.col("y") + F.col("s")).alias("geom"))
 
 
+def test_tiles_of_a_class_are_not_put_into_one_task(spark, monkeypatch):
+    x = F.col("id") % 30
+    layer = spark.range(200).select(
+        "id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("class"), G.st_rectangle(x, F.col("id"), x + 1, F.col("id") + 2).alias("geom")
+    )
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return cut_lineage(df)
+
+    monkeypatch.setattr(tiles, "cut_lineage", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables beyond it
+    try:
+        placed = tiles.separate_tilesets(layer, {"a": 3, "b": 5})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert placed.count() == 200
+    assert not [p for p in plans if re.search(r"SortMergeJoin \[class#\d+\]", p)]
+
+
 def test_tiles_go_as_deep_as_it_takes(spark):
     """A crowded spot far below level 10 and features of one centre beyond the cap."""
     rnd = random.Random(3)

@@ -32,8 +32,12 @@ GEOMETRIC_ERROR = 2000.0
 SUBTREE_LEVELS = 4
 
 
-def _placed(df: DataFrame, groups: list[str], key: str, geom: str, carried: list[str]) -> DataFrame:
-    """The rows with a box: place in the order of size ``_pos``, and the bits of their centre inside the root of their group."""
+def _placed(df: DataFrame, groups: list[str], key: str, geom: str, carried: list[str], few: bool) -> DataFrame:
+    """The rows with a box: place in the order of size ``_pos``, and the bits of their centre inside the root of their group.
+
+    The roots of ``few`` groups are broadcast: a shuffle by group would put all rows of a class into one task, and
+    its one file would keep them together through all rounds.
+    """
     mid = lambda a: ((F.col(f"_b.{a}min") + F.col(f"_b.{a}max")) / 2).alias(f"_c{a}")
     rows = df.select(*groups, key, *carried, G.st_bbox(geom).alias("_b")).where(F.col("_b").isNotNull())
     rows = rows.select(*groups, key, *carried, mid("x"), mid("y"), G.bbox_area(F.col("_b")).alias("_area"))
@@ -44,7 +48,7 @@ def _placed(df: DataFrame, groups: list[str], key: str, geom: str, carried: list
         F.greatest(F.max("_cx") - F.min("_cx"), F.max("_cy") - F.min("_cy"), F.lit(1e-9)).alias("_side"),
     )
     if groups:
-        rows = rows.join(frame, groups)
+        rows = rows.join(F.broadcast(frame) if few else frame, groups)
     else:
         rows = rows.withColumn("_e", frame.select(F.struct("_x0", "_y0", "_side")).scalar()).select("*", "_e.*").drop("_e")
     last = F.lit((1 << BITS) - 1).cast("long")
@@ -61,13 +65,13 @@ def quadtree_tiles(
     ``group`` builds one tree per group value, with a budget per value given as
     a dict. At ``max_level``, if given, tiles keep all that is left.
     """
-    groups, carried = [group] if group else [], carried or []
-    if isinstance(max_features, dict):
+    groups, carried, few = [group] if group else [], carried or [], isinstance(max_features, dict)
+    if few:
         df = df.where(F.col(group).isin(list(max_features)))
         limit = F.create_map(*[F.lit(v) for kv in max_features.items() for v in kv])[F.col(group)]
     else:
         limit = F.lit(max_features)
-    rest = cut_lineage(_placed(df, groups, key, geom, carried))
+    rest = cut_lineage(_placed(df, groups, key, geom, carried, few))
     width = max(1, math.isqrt(rest.count()))
     rest = rest.withColumn("_bucket", F.expr(f"_pos div {width}"))
     tile, out = [*groups, "level", "x", "y"], None
