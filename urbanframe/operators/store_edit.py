@@ -144,11 +144,19 @@ _EDGE = (
 )
 
 
+def _nested(prop: DataFrame, ids: DataFrame) -> DataFrame:
+    """The properties among the ids that have a parent."""
+    return among(prop.select("id", "parent_id", "name", "namespace_id").where("parent_id is not null"), ids, "id")
+
+
+def _named_as_parent(prop: DataFrame, nested: DataFrame) -> DataFrame:
+    p = prop.select(F.col("id").alias("parent_id"), "name", "namespace_id")
+    return nested.join(any_size(p), ["parent_id", "name", "namespace_id"]).select("id", "parent_id")
+
+
 def same_named_parents(prop: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, parent_id) of properties whose parent has the same name and namespace."""
-    c = among(prop.select("id", "parent_id", "name", "namespace_id"), ids, "id")
-    p = prop.select(F.col("id").alias("parent_id"), "name", "namespace_id")
-    return c.join(any_size(p), ["parent_id", "name", "namespace_id"]).select("id", "parent_id")
+    return _named_as_parent(prop, _nested(prop, ids))
 
 
 def _property_closure(prop: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,9 +164,14 @@ def _property_closure(prop: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataF
     start = cut_lineage(_ids(ids, "id"))
     cascaded, reached, front = None, start, start
     while True:  # ends with the ids: reached ones are not followed again
-        up = cut_lineage(same_named_parents(prop, front))
+        nested = cut_lineage(_nested(prop, front))
+        alone = nested.isEmpty()
+        # the names of all properties are looked at only if there are parents to look for
+        up = nested.select("id", "parent_id") if alone else cut_lineage(_named_as_parent(prop, nested))
         if cascaded is None:
             cascaded = _ids(up, "id")
+        if alone:
+            break
         front = cut_lineage(without(_ids(up, "parent_id"), reached))
         if front.isEmpty():
             break
