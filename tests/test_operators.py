@@ -18,6 +18,7 @@ from urbanframe.operators import advice, envelopes, features, hierarchy, materia
 from urbanframe.operators import dissolve as D
 from urbanframe.operators.dissolve import covered_area, dissolve
 from urbanframe.operators.ids import dense_id, rank_in_group
+from urbanframe.plans import shadow
 from urbanframe.registry import city, styling
 from urbanframe.schema import BBOX_DDL
 from urbanframe.session import cut_lineage
@@ -661,3 +662,63 @@ def test_a_table_in_one_file_is_dealt_to_all_cores(spark, tmp_path):
     parcels = city.relation(spark, str(tmp_path), "parcels")
     assert parcels.rdd.getNumPartitions() == 8
     assert parcels.count() == parcels.distinct().count() == 20_000
+
+
+def test_rounding_agrees_with_written_digits_near_halves_and_for_large_or_odd_values(spark):
+    rows = spark.range(4000).select(F.explode(F.array(
+        (F.col("id") * 2 + 1) / 2000.0, (F.col("id") - 2000) / 8.0, (F.col("id") * 2 + 1) / 200.0 * (1 + (F.rand(3) - 0.5) * 4e-15),
+        (F.rand(4) - 0.5) * F.pow(F.lit(10.0), F.rand(5) * 24 - 4),
+    )).alias("v"))
+    odd = [float("nan"), float("inf"), -float("inf"), None, -0.0, 1e-300, 0.005, -0.005, 1.005, 0.12499999999999999, 999999.995, 99999999.5, 1e19, 1e25]
+    rows = rows.union(spark.createDataFrame([(v,) for v in odd], "v double"))
+    for digits in (0, 2, 4):
+        written = F.round(F.format_string("%.14e", "v").try_cast("decimal(38,18)"), digits).cast("double")
+        assert rows.where(~round_numeric("v", digits).eqNullSafe(written)).count() == 0
+
+
+def test_boxes_are_compiled_without_lambdas(spark):
+    df = spark.range(3).select(G.st_rectangle(F.col("id").cast("double"), 1.0, 9.0, 4.0, 2.0).alias("geom"))
+    box = df.select(G.st_bbox("geom").alias("b"))
+    assert "lambda" not in box._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r.b) for r in box.collect()] == [(float(i), 1.0, 2.0, 9.0, 4.0, 2.0) for i in range(3)]
+
+
+def test_parts_are_dealt_and_written_once_for_all_that_reads_buildings(spark, tmp_path, monkeypatch):
+    rows = [*[(k, f"type {k % 3}", k % 50) for k in [*range(40), 7]], (None, None, None)]
+    spark.createDataFrame(rows, "p_partkey long, p_type string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    dealt = []
+    monkeypatch.setattr(city, "spread", lambda df: dealt.append(df) or df.repartition(3))
+    got = city.relation(spark, str(tmp_path), "properties")
+    city.relation(spark, str(tmp_path), "addresses")
+    assert len(dealt) == 1 and "RoundRobin" not in got._jdf.queryExecution().toString()
+    plain = spark.sql(city.RELATIONS["buildings"], part=city.table(spark, str(tmp_path), "part"))
+    now = city.relation(spark, str(tmp_path), "buildings")
+    assert sorted(map(str, now.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_shadows_go_through_cells_as_boxes_only(spark, monkeypatch):
+    rect = lambda x0, y0, x1, y1: G.st_rectangle(*[F.lit(float(v)) for v in (x0, y0, x1, y1)])
+    base = spark.createDataFrame([(1, 12.0), (2, 30.0), (2, 30.0), (None, 20.0)], "gid long, height_m double").select(
+        "gid", F.lit("B").alias("building_gml_id"), "height_m", F.lit("alto").alias("height_category"), rect(0, 0, 10, 10).alias("geom"),
+    ).withColumn("bbox", G.st_bbox("geom"))
+    greens = spark.createDataFrame([(7, 20.0), (8, 60.0)], "id long, y double").select("id", G.st_rectangle(F.lit(0.0), F.col("y"), F.lit(40.0), F.col("y") + 9).alias("geom"))
+    joined, join = [], shadow.bbox_join
+    monkeypatch.setattr(shadow, "bbox_join", lambda a, *rest: joined.append(a.columns) or join(a, *rest))
+    got = shadow.shadow_on_green(base, greens.withColumn("bbox", G.st_bbox("geom"))).collect()
+    assert joined == [["_row", "_sbox"]]
+    # rows with the same number or none each cast their own shadow
+    assert sorted((r.building_gid or 0, r.green_id, r.shadow_on_green_m2) for r in got) == sorted((g, n, 90.0) for g in (1, 2, 2, 0) for n in (7, 8))
+
+
+def test_names_of_all_properties_are_read_only_for_properties_with_a_parent(spark, monkeypatch):
+    prop = spark.createDataFrame([(1, None, "a", 1), (2, 1, "a", 1), (3, None, "b", 1), (4, 3, "c", 1), (2, 1, "a", 1)], "id long, parent_id long, name string, namespace_id int")
+    looked, named = [], store_edit._named_as_parent
+    monkeypatch.setattr(store_edit, "_named_as_parent", lambda *a: looked.append(1) or named(*a))
+
+    def closure(*ids):
+        rows, cascaded = store_edit._property_closure(prop, spark.createDataFrame([(i,) for i in ids], "id long"))
+        return sorted(r.id for r in rows.distinct().collect()), sorted(r.id for r in cascaded.collect())
+
+    assert closure(3) == ([3, 4], []) and not looked
+    assert closure(2) == ([1, 2], [2]) and len(looked) == 1
+    assert closure(4) == ([4], [])
